@@ -18,8 +18,22 @@ def op8_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(common.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from .wavelet import FILE_SCHEMA, read_shards, write_shards
+
+    common.ship(spark)
+    path = f"{common.shared_dir(spark)}/wavelet-{uuid.uuid4().hex[:12]}"
+    write_shards(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2, path)
+    return read_shards(spark.read.schema(FILE_SCHEMA).parquet(path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_encode": op8_piece_encode,
+    "op9_wavelet_shards": op9_wavelet_shards,
 }
 
 #: Only what DuckDB can say itself.
