@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    common.ship(spark)
+    return scan(common.documents(spark, sf_dir)).drop("spans")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    common.ship(spark)
+    return judge(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,6 +46,8 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_quality_rules": op2_quality_rules,
     "op8_piece_encode": op8_piece_encode,
     "op9_wavelet_shards": op9_wavelet_shards,
 }

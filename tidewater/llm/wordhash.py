@@ -33,7 +33,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse mod 2**64, for positions below n."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, _CHUNK + 4096)
-        _powers[:] = [np.cumprod(np.concatenate(([1], np.full(size - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _powers
 
 
