@@ -45,11 +45,19 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark.read.schema(FILE_SCHEMA).parquet(path))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import components
+
+    common.ship(spark)
+    return components(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op8_piece_encode": op8_piece_encode,
     "op9_wavelet_shards": op9_wavelet_shards,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 #: Only what DuckDB can say itself.
