@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -23,6 +24,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hist_sort import shard
+
+    return shard(common.documents(spark, sf_dir))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import judge
+
+    common.ship(spark)
+    return judge(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nra_topk import search
+
+    common.ship(spark)
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op8_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,6 +76,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op3_histogram_shards": op3_histogram_shards,
+    "op5_toxicity": op5_toxicity,
+    "op7_exact_topk": op7_exact_topk,
     "op8_piece_encode": op8_piece_encode,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_jaccard_join": op10_jaccard_join,
