@@ -311,3 +311,19 @@ def components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN,
     rows = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
     smallest = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
     return rows.join(smallest, "label", "left").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Rows of `docs`, one for each component: that of its smallest doc_id (one of them, if several rows have it). Rows with a null doc_id stay."""
+    found = written(components(docs, k, num, den), "jaccard-components").select(F.col("doc_id").alias("_id"), "component_id")
+    gone = written(found.where("_id != component_id").select("_id").distinct(), "jaccard-gone")
+    left = docs.join(checked_broadcast(gone, 10 * BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    # rows that repeat a doc_id are rare; only they are grouped
+    again = written(found.where("_id is not null").groupBy("_id").count().where("count > 1").select("_id"), "jaccard-again")
+    if again.isEmpty():
+        return left
+    again = checked_broadcast(again, 10 * BROADCAST_ROWS)
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    one = left.join(again, same, "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return left.join(again, same, "left_anti").unionByName(one)

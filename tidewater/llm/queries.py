@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -30,6 +30,70 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(common.documents(spark, sf_dir))
 
 
+def _list_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Captures and dated list entries, derived from `pages`: days and memberships come from digests of urls and domains."""
+    from .list_join import host_of
+
+    def number(x: Column) -> Column:
+        return F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")
+
+    day = F.to_date(F.lit("2023-01-01"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    captures = pages.select("page_id", "url", F.date_add(day, (number(F.col("url")) % 730).cast("int")).alias("fetched"))
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    base = hosts.select(F.array_join(F.slice(F.reverse(F.split("host", "\\.")), 1, 3), ".").alias("r")).select(F.array_join(F.reverse(F.split("r", "\\.")), ".").alias("host"))
+    domains = hosts.union(base).distinct().select(F.col("host").alias("domain"), number(F.col("host")).alias("h")).where("h % 3 != 0")
+    kinds = F.element_at(F.array(F.lit("malware"), F.lit("phishing"), F.lit("spam")), ((F.col("h") + F.col("x.k")) % 3 + 1).cast("int"))
+    steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(at).alias("at"), F.lit(on).alias("active")) for k, at, on in ((0, 0, True), (0, 200, False), (0, 320, True), (1, 90, True))))
+    entries = domains.select("domain", "h", F.explode(steps).alias("x")).where("x.k = 0 or h % 2 = 0").select(
+        kinds.alias("list"), "domain", F.date_add(day, (F.col("h") % 400 + F.col("x.at")).cast("int")).alias("day"), F.col("x.active").alias("active")
+    )
+    return captures, entries
+
+
+def op4_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .list_join import judge
+
+    return judge(*_list_tables(spark, sf_dir))
+
+
+_OP4_SQL = """
+with pages2 as (
+  select page_id, lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), '')) as host,
+         cast(date '2023-01-01' + cast(cast('0x' || substr(md5(url), 1, 8) as bigint) % 730 as integer) as date) as fetched
+  from pages),
+hosts as (select distinct host from pages2 where host is not null),
+names as (
+  select host as domain from hosts
+  union select array_to_string(list_slice(string_split(host, '.'), greatest(1, len(string_split(host, '.')) - 2), len(string_split(host, '.'))), '.') from hosts),
+domains as (select domain, cast('0x' || substr(md5(domain), 1, 8) as bigint) as h from names),
+steps(k, after_days, active) as (values (0, 0, true), (0, 200, false), (0, 320, true), (1, 90, true)),
+entries as (
+  select ['malware', 'phishing', 'spam'][cast((h + k) % 3 + 1 as integer)] as list, domain,
+         cast(date '2023-01-01' + cast(h % 400 + after_days as integer) as date) as day, active
+  from domains, steps where h % 3 != 0 and (k = 0 or h % 2 = 0)),
+days as (select list, domain, day, bool_and(active) as active from entries where list is not null group by all),
+changed as (select *, coalesce(lag(active) over (partition by list, domain order by day), false) as was from days),
+spans as (
+  select list, domain, since, until from (
+    select list, domain, day as since, active, lead(day) over (partition by list, domain order by day) as until from changed where active != was) where active),
+above as (
+  select distinct host, fetched, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') as domain
+  from pages2, unnest(range(1, len(string_split(host, '.')) + 1)) as t(i) where host is not null and fetched is not null),
+found as (
+  select host, fetched, string_agg(distinct list, ',' order by list) as lists, count(*) as n_entries
+  from above join spans using (domain) where since <= fetched and (until is null or fetched < until) group by all)
+select p.page_id, p.host, p.fetched, f.lists is not null as blocked, coalesce(f.lists, '') as lists, coalesce(f.n_entries, 0) as n_entries
+from pages2 p left join found f on p.host = f.host and p.fetched = f.fetched
+"""
+
+
+def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .length_buckets import pack
+
+    return pack(common.documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import judge
 
@@ -77,7 +141,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_histogram_shards": op3_histogram_shards,
+    "op4_temporal_list_join": op4_temporal_list_join,
     "op5_toxicity": op5_toxicity,
+    "op6_length_buckets": op6_length_buckets,
     "op7_exact_topk": op7_exact_topk,
     "op8_piece_encode": op8_piece_encode,
     "op9_wavelet_shards": op9_wavelet_shards,
@@ -85,4 +151,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Only what DuckDB can say itself.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_temporal_list_join": _OP4_SQL}
