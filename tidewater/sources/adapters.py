@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, dt, open, high, low, close, adj_close, volume: one row for each of 20 symbols and day with trades."""
-    price = F.floor((F.lit(100.0) + F.sqrt(F.col("l_extendedprice") / F.col("l_quantity")) / 10) * 10) / 10
+    price = F.lit(100.0) + F.sqrt(F.col("l_extendedprice") / F.col("l_quantity")) / 10
     rows = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("S"), F.lpad((F.col("l_suppkey") % 20).cast("string"), 2, "0")).alias("symbol"),
         F.to_date("l_shipdate").alias("dt"),
@@ -36,7 +36,7 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAILY_SQL = """trades as (
   select 'S' || lpad(cast(l_suppkey % 20 as varchar), 2, '0') as symbol, cast(l_shipdate as date) as dt,
          l_orderkey * 1000000000 + l_linenumber * 100000000 + l_partkey as k,
-         floor((100.0::double + sqrt(l_extendedprice / l_quantity) / 10) * 10) / 10 as p, l_quantity as q, l_discount as d, l_tax as t
+         100.0::double + sqrt(l_extendedprice / l_quantity) / 10 as p, l_quantity as q, l_discount as d, l_tax as t
   from lineitem),
 bars as (
   select *, "close" * (case when dt < date '1998-07-01' then 0.5::double else 1.0::double end) as adj_close from (
