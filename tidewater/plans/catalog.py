@@ -617,3 +617,6 @@ select symbol, dt, round(greatest(least(greatest(2 * sqrt(212e6) / sqrt(greatest
 def i_liquidity_half_spread(spark, sf_dir):
     adv = F.avg(F.col("close") * F.col("volume")).over(features.last_rows(20))
     return rounded(daily_bars(spark, sf_dir).withColumn("adv", adv).select("symbol", "dt", costs.liquidity_half_spread(F.col("adv"), F.col("close")).alias("half_spread_bp")))
+
+
+from . import catalog_more  # noqa: E402, F401  (adds its queries to the registry above)
