@@ -100,4 +100,4 @@ def html_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"(?i)</?(p|div|br|tr|li|h[1-6]|table|ul|ol)\b[^>]*>", "\n")
     t = unescape_html(F.regexp_replace(t, r"<[^>]*>", " "))
     t = F.regexp_replace(t, r"[ \t\x0B\f\r]+", " ")
-    return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")
