@@ -211,3 +211,26 @@ def test_streams(spark, tmp_path):
     p = spark.createDataFrame([("A", datetime(2024, 1, 1), 0.6), ("A", datetime(2024, 1, 2), 0.7)], "symbol string, ts timestamp, probability double")
     y = spark.createDataFrame([("A", datetime(2024, 1, 3), datetime(2024, 1, 1), 1)], "symbol string, known_ts timestamp, for_ts timestamp, outcome int")
     assert {r.ts.day: r.outcome for r in jobs.resolved(p, y).collect()} == {1: 1, 2: None}
+
+
+def test_events(spark):
+    from tidewater.operators import events
+
+    q = spark.createDataFrame([(10.0, 10.2), (5.0, 10.0), (0.0, 1.0)], "b double, a double").select(*(x.alias(n) for x, n in zip(events.valid_quote(F.col("b"), F.col("a")), "ba", strict=True)))
+    assert [tuple(r) for r in q.collect()] == [(10.0, 10.2), (None, None), (None, None)]
+    assert events.expected_max_normal(2) == pytest.approx(1 / math.sqrt(math.pi), abs=1e-6) and events.expected_max_normal(1) == 0
+    r = events.roundup_value(spark.createDataFrame([(2.0, 10, 0.5)], "price double, ratio int, p double")).first()
+    assert r.expected_profit == pytest.approx(9.0) and r.break_even_p == 0
+    f = spark.createDataFrame([("d", 1, "2024-02-01", None, None, False), ("d", 2, "2024-03-01", None, 0.5, False), ("d", 3, None, 9.0, 0.4, True)], "deal string, at int, extended_to string, final_price double, proration double, terminated boolean")
+    c = events.consolidated(f, "deal", "at").first()
+    assert (c.extended_to, c.extensions, c.final_price, c.proration, c.terminated_on) == ("2024-03-01", 2, 9.0, 0.5, 3)
+    m = events.mentions(spark.createDataFrame([(1, "Acme Rockets Inc."), (2, "Beta")], "entity int, name string"), spark.createDataFrame([(7, "The ACME Rockets, Inc. offer"), (8, "acme only"), (9, "alphabeta")], "doc_id int, text string"))
+    assert [tuple(r) for r in m.collect()] == [(1, 7)]
+    bars = bars_of(spark, [10.0, 11.0, 12.0, 13.0])
+    deals = spark.createDataFrame([("x", "A", D0, D0 + timedelta(9), 15.0, None), ("y", "A", D0, D0 + timedelta(9), None, D0 + timedelta(1))], "deal string, symbol string, filed date, expires date, final_price double, terminated_on date")
+    got = {(r.deal, r.fee): r.profit for r in events.tender_payoff(deals, features.calendar(bars), bars, 10, (0.0, 20.0)).collect()}
+    assert got == {("x", 0.0): 40.0, ("x", 20.0): 20.0, ("y", 0.0): 10.0, ("y", 20.0): -10.0}
+    panel = spark.createDataFrame([("A", D0 + timedelta(2), 9.9, D0 + timedelta(367))], "symbol string, dt date, price double, deadline date")
+    rates = spark.createDataFrame([(D0 + timedelta(i), 0.01) for i in range(5)], "dt date, rate double")
+    v = events.redemption_value(panel, spark.createDataFrame([("A", D0, 10.0)], "symbol string, filed date, per_share double"), rates).first()
+    assert v.value == pytest.approx(10 * 1.01**2) and v.to_deadline == pytest.approx(v.value / 9.9 - 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, costs, features, inference, modelling, outcomes, pit, quality, signals, text
+from ..operators import aggregates, costs, events, features, inference, modelling, outcomes, pit, quality, signals, text
 from ..sources import readers
 from ..sources.adapters import DAILY_SQL, SESSION_SQL, daily_bars, session_bars, table
 from ..streaming import jobs
@@ -256,3 +256,70 @@ def h_factor_alpha(spark, sf_dir):
     d = r.groupBy("dt").agg(F.avg("ret").alias("mkt"), F.avg(F.when(F.col("symbol") < "S05", F.col("ret"))).alias("y"))
     a = inference.factor_alpha(d, "y", ["mkt"], "dt")
     return spark.createDataFrame([tuple(round(float(v), 6) for v in a.values())], ", ".join(f"{k} double" for k in a))
+
+
+@query("""with e as (select o_custkey % 50 as symbol, cast(o_orderdate as date) as announced, sum(o_totalprice) as actual from orders group by 1, 2), s as (select *, actual - 150000 as surprise from e),
+p as (select *, count(surprise) over w as n, avg(surprise) over w as m, stddev_samp(surprise) over w as sd, surprise - lag(surprise) over (partition by symbol order by announced) as acceleration from s window w as (partition by symbol order by announced rows between unbounded preceding and 1 preceding)),
+i as (select *, sum(case when surprise > 0 then 0 else 1 end) over (partition by symbol order by announced) as island from p)
+select symbol, announced, round(case when n >= 4 and sd > 0 then (surprise - m) / sd end, 6) as sue, least(sum(case when surprise > 0 then 1 else 0 end) over (partition by symbol, island order by announced), 8) as streak, round(acceleration, 4) as acceleration from i""")
+def m_surprise_features(spark, sf_dir):
+    e = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("symbol"), F.to_date("o_orderdate").alias("announced")).agg(F.sum("o_totalprice").alias("actual")).withColumn("estimate", F.lit(150000))
+    d = events.surprise_features(e)
+    return d.select("symbol", "announced", F.round("sue", 6).alias("sue"), "streak", F.round("acceleration", 4).alias("acceleration"))
+
+
+@query("""with q as (select o_orderkey, cast(o_orderdate as date) as dt, o_totalprice as v, year(o_orderdate) || 'Q' || quarter(o_orderdate) as q, year(o_orderdate - interval 3 month) || 'Q' || quarter(o_orderdate - interval 3 month) as pq from orders),
+c as (select q, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as cuts from q group by q having count(v) >= 50)
+select o_orderkey, cast(case when cuts is not null then len(list_filter(cuts, lambda x: x <= v)) + 1 end as integer) as bucket from q left join c on q.pq = c.q""")
+def f_previous_quarter_deciles(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("dt"), F.col("o_totalprice").alias("v"))
+    return events.previous_quarter_deciles(o, "dt", "v").select("o_orderkey", "bucket")
+
+
+@query("""with n as (select o_custkey as k, cast(o_orderdate as date) as m, o_orderkey as a from orders), g as (select *, case when lag(m) over (partition by k order by m, a) is null or date_diff('day', lag(m) over (partition by k order by m, a), m) > 60 then 1 else 0 end as new from n),
+s as (select *, sum(new) over (partition by k order by m, a rows unbounded preceding) as meeting_n from g)
+select k as o_custkey, cast(meeting_n as bigint) as meeting_n, min(a) as first_notice, arg_max(m, a) as meeting_date, count(*) as notices from s group by 1, 2""")
+def e_meeting_timeline(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("m"), F.col("o_orderkey").alias("a"))
+    return events.meetings(o, "o_custkey", "a", "m")
+
+
+@query("""with o as (select o_custkey, o_orderkey, o_orderpriority as p, first_value(o_orderpriority) over (partition by o_custkey order by o_orderkey) as f from orders) select o_custkey, min(o_orderkey) as first_day, max(o_orderkey) as last_day, min(case when p <> f then o_orderkey end) as o_orderpriority_changed from o group by 1""")
+def e_attribute_change(spark, sf_dir):
+    return events.attribute_change(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), "o_custkey", "o_orderkey", ["o_orderpriority"])
+
+
+@query(f"""with {DAILY_SQL}, n as (select symbol, (high - low) / "close" as s, row_number() over (partition by dt order by volume, symbol) as i, count(*) over (partition by dt) as n from bars), b as (select case when n = 1 then 0 else greatest(0, ceil((i - 1) * 5.0 / (n - 1)) - 1) end as bucket, s from n)
+select cast(bucket as integer) as bucket, round(median(s), 6) as median_spread, count(*) as n from b group by 1""")
+def d_spread_by_liquidity(spark, sf_dir):
+    b = daily_bars(spark, sf_dir).withColumn("s", (F.col("high") - F.col("low")) / F.col("close"))
+    return rounded(events.spread_by_liquidity(b, "s", "volume", ["dt"], ["symbol"]))
+
+
+@query(f"""with {DAILY_SQL}, q as (select symbol, dt, case when volume % 3 = 0 then "close" - 0.5 when volume % 3 = 1 then "close" end as b, "close" + 0.5 as a from bars), o as (select *, case when b > 0 and a > b then (a - b) / (a + b) end as own from q), m as (select dt, median(own) as m from o group by 1)
+select symbol, o.dt, round(coalesce(own, m, 0.0025), 6) as half_spread from o join m on o.dt = m.dt""")
+def b_half_spread(spark, sf_dir):
+    q = daily_bars(spark, sf_dir).withColumn("b", F.when(F.col("volume") % 3 == 0, F.col("close") - 0.5).when(F.col("volume") % 3 == 1, F.col("close"))).withColumn("a", F.col("close") + 0.5)
+    return rounded(events.half_spread(q, "b", "a", "dt").select("symbol", "dt", "half_spread"))
+
+
+@query("""with p as (select o_custkey % 100 as symbol, o_totalprice - 200000 as profit, o_orderkey as place from orders) select symbol, round(max(profit), 6) as best, arg_max(place, {'p': profit, 'a': place}) as best_on from p where profit > 0 group by 1""")
+def f_best_entry(spark, sf_dir):
+    p = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("symbol"), (F.col("o_totalprice") - 200000).alias("profit"), F.col("o_orderkey").alias("at"))
+    return rounded(events.best_entry(p, ["symbol"], "profit", "at"))
+
+
+@query()
+def h_combined_signals(spark, sf_dir):
+    from ..operators.windows import group_zscore
+
+    bars = daily_bars(spark, sf_dir)
+    f = features.price_features(bars).join(features.forward_labels(bars).select("symbol", "dt", "fwd_1"), ["symbol", "dt"])
+    z = f.select("symbol", "dt", "fwd_1", *(group_zscore(c, ["dt"]).alias(f"z_{c}") for c in ("mom_21", "vol_20", "rel_volume")))
+    return rounded(events.combine_signals(z, ["z_mom_21", "z_vol_20", "z_rel_volume"], "fwd_1", "dt", "symbol"))
+
+
+@query()
+def h_gate(spark, sf_dir):
+    t = trades_of(spark, sf_dir).groupBy("symbol").agg((F.avg("ret") / (F.stddev_samp("ret") / F.sqrt(F.count(F.lit(1))))).alias("prior_t"), F.count(F.lit(1)).alias("n_prior"))
+    return rounded(events.gate(t.withColumn("tried", F.lit(20)).withColumn("n_new", F.col("n_prior") / 4).withColumn("needed_t", F.lit(2.0))))
