@@ -80,7 +80,7 @@ def a_session_bars(spark, sf_dir):
 
 @query(f"with {FEATURES_SQL} select symbol, dt, bar_num, volume, above_sma_200, sma_50_over_200, " + ", ".join(f"round({c}, 6) as {c}" for c in _FEATURES) + " from features")
 def e_feature_layer(spark, sf_dir):
-    return rounded(features.price_features(daily_bars(spark, sf_dir)))
+    return rounded(features.price_features(daily_bars(spark, sf_dir)).withColumn("bar_num", F.col("bar_num").cast("long")))
 
 
 _RANKED = """ranked as (select *, percent_rank() over (partition by dt order by mom_21 nulls first) as mom_21_rank,
@@ -127,7 +127,7 @@ def d_top_decile_returns(spark, sf_dir):
 @query("""with d as (select distinct cast(l_shipdate as date) as dt from lineitem)
 select dt, row_number() over (order by dt) - 1 as day_index, cast(year(dt) as integer) as year, cast(month(dt) as integer) as month, cast(dayofweek(dt) as integer) as dow from d""")
 def e_calendar(spark, sf_dir):
-    return features.calendar(daily_bars(spark, sf_dir))
+    return features.calendar(daily_bars(spark, sf_dir)).withColumn("day_index", F.col("day_index").cast("long"))
 
 
 @query(f"""with {DAILY_SQL}, p as (select symbol, dt, adj_close, max(adj_close) over (partition by symbol order by dt) as peak from bars) select symbol, dt, {r('peak')}, round((peak - adj_close) / peak, 6) as drawdown from p""")
@@ -138,7 +138,7 @@ def e_running_drawdown(spark, sf_dir):
 @query(f"""with {DAILY_SQL}, t as (select symbol, dt, row_number() over (partition by symbol, year(dt), month(dt) order by dt) as from_start, row_number() over (partition by symbol, year(dt), month(dt) order by dt desc) as from_end from bars)
 select *, from_start <= 3 or from_end <= 1 as turn_of_month from t""")
 def e_turn_of_month(spark, sf_dir):
-    return windows.turn_of_month(daily_bars(spark, sf_dir), ["symbol"]).select("symbol", "dt", "from_start", "from_end", "turn_of_month")
+    return windows.turn_of_month(daily_bars(spark, sf_dir), ["symbol"]).select("symbol", "dt", F.col("from_start").cast("long").alias("from_start"), F.col("from_end").cast("long").alias("from_end"), "turn_of_month")
 
 
 @query(f"""with {DAILY_SQL}, x as (select symbol, dt, case when volume >= 30 then adj_close end as v, volume from bars)
@@ -156,19 +156,19 @@ def e_prior_stats(spark, sf_dir):
 
 
 @query(f"""with {DAILY_SQL}, x as (select symbol, dt, coalesce("close" > open, false) as hit from bars), y as (select *, sum(case when hit then 0 else 1 end) over (partition by symbol order by dt) as island from x)
-select symbol, dt, least(sum(cast(hit as integer)) over (partition by symbol, island order by dt), 8) as streak from y""")
+select symbol, dt, cast(least(sum(cast(hit as integer)) over (partition by symbol, island order by dt), 8) as bigint) as streak from y""")
 def e_streaks(spark, sf_dir):
     return windows.streak(daily_bars(spark, sf_dir), F.col("close") > F.col("open"), ["symbol"], ["dt"]).select("symbol", "dt", "streak")
 
 
 @query(f"""with {DAILY_SQL}, d as (select dt, row_number() over (order by dt) - 1 as day_index from (select distinct dt from bars)),
 e as (select 'S' || lpad(cast(o_custkey % 20 as varchar), 2, '0') as symbol, day_index, cast(floor(o_totalprice) as bigint) as amount, 1 as events from orders join d on cast(o_orderdate as date) = d.dt)
-select b.symbol, b.dt, d.day_index, coalesce(sum(e.amount), 0) as amount_sum, coalesce(sum(e.events), 0) as events_sum from bars b join d using (dt) left join e on e.symbol = b.symbol and e.day_index between d.day_index - 90 and d.day_index group by 1, 2, 3""")
+select b.symbol, b.dt, d.day_index, cast(coalesce(sum(e.amount), 0) as bigint) as amount_sum, cast(coalesce(sum(e.events), 0) as bigint) as events_sum from bars b join d using (dt) left join e on e.symbol = b.symbol and e.day_index between d.day_index - 90 and d.day_index group by 1, 2, 3""")
 def e_trailing_event_sums(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
     days = F.broadcast(features.calendar(bars).select("dt", "day_index"))
     events = table(spark, sf_dir, "orders").select(F.concat(F.lit("S"), F.lpad((F.col("o_custkey") % 20).cast("string"), 2, "0")).alias("symbol"), F.to_date("o_orderdate").alias("dt"), F.floor("o_totalprice").cast("long").alias("amount"), F.lit(1).alias("events")).join(days, "dt").drop("dt")
-    return windows.trailing_event_sums(bars.select("symbol", "dt").join(days, "dt"), events, ["symbol"], "day_index", ["amount", "events"], 90).select("symbol", "dt", "day_index", "amount_sum", "events_sum")
+    return windows.trailing_event_sums(bars.select("symbol", "dt").join(days, "dt"), events, ["symbol"], "day_index", ["amount", "events"], 90).select("symbol", "dt", F.col("day_index").cast("long").alias("day_index"), "amount_sum", "events_sum")
 
 
 @query(f"""with {DAILY_SQL}, x as (select symbol, dt, count(volume) over w as n, avg(volume) over w as m, max("close") over w as hi from bars window w as (partition by symbol order by dt rows between 20 preceding and 1 preceding))

@@ -207,7 +207,7 @@ def f_event_window(spark, sf_dir):
 d as (select dt, row_number() over (order by dt) - 1 as i from (select distinct cast(l_shipdate as date) as dt from lineitem))
 select row_number() over (order by t.year) as fold, s.first as train_start, e.dt as train_end, t.first as test_start, t.last as test_end from y t join y s on s.year = t.year - 4 join d e on e.i = t.at_ - 22 where t.year >= (select min(year) from y where n > 200) + 4""")
 def m_walk_forward_folds(spark, sf_dir):
-    return modelling.walk_forward(features.calendar(daily_bars(spark, sf_dir)))
+    return modelling.walk_forward(features.calendar(daily_bars(spark, sf_dir))).withColumn("fold", F.col("fold").cast("long"))
 
 
 @query("select 0 as fold, date '2000-01-01' as train_end, date '2000-01-01' as test_start where false")
@@ -261,7 +261,7 @@ def h_factor_alpha(spark, sf_dir):
 @query("""with e as (select o_custkey % 50 as symbol, cast(o_orderdate as date) as announced, sum(o_totalprice) as actual from orders group by 1, 2), s as (select *, actual - 150000 as surprise from e),
 p as (select *, count(surprise) over w as n, avg(surprise) over w as m, stddev_samp(surprise) over w as sd, surprise - lag(surprise) over (partition by symbol order by announced) as acceleration from s window w as (partition by symbol order by announced rows between unbounded preceding and 1 preceding)),
 i as (select *, sum(case when surprise > 0 then 0 else 1 end) over (partition by symbol order by announced) as island from p)
-select symbol, announced, round(case when n >= 4 and sd > 0 then (surprise - m) / sd end, 6) as sue, least(sum(case when surprise > 0 then 1 else 0 end) over (partition by symbol, island order by announced), 8) as streak, round(acceleration, 4) as acceleration from i""")
+select symbol, announced, round(case when n >= 4 and sd > 0 then (surprise - m) / sd end, 6) as sue, cast(least(sum(case when surprise > 0 then 1 else 0 end) over (partition by symbol, island order by announced), 8) as bigint) as streak, round(acceleration, 4) as acceleration from i""")
 def m_surprise_features(spark, sf_dir):
     e = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("symbol"), F.to_date("o_orderdate").alias("announced")).agg(F.sum("o_totalprice").alias("actual")).withColumn("estimate", F.lit(150000))
     d = events.surprise_features(e)
