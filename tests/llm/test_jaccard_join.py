@@ -47,7 +47,7 @@ def test_bands_hold_both_ends_of_a_link():
         found = bands(num, den, 3000)
         for t in range(1, 2500):
             for s in {-(-t * num // den), t, (t + -(-t * num // den)) // 2}:
-                assert any(low <= s and t <= high for low, high, _ in found), (s, t)
+                assert any(low <= s and t <= high for low, high, *_ in found), (s, t)
 
 
 def test_linked_sets_share_a_part():

@@ -2,12 +2,14 @@
 
 Texts become sets of distinct k-word shingles. Two texts link when den * |A & B| >= num * |A | B|.
 
-1. One pass hashes every text to its set's size, a digest of the set, and part signatures. Sizes lie in bands that
+1. Every text is hashed to its set's size, a digest of the set, and part signatures. Sizes lie in bands that
    overlap so that both ends of any link share a band. A link leaves at most m shingles of a band's two sets unmatched,
-   so of m + 1 + SPARE hash parts at least 1 + SPARE are equal; parts without a shingle are named only by sets that
-   have more than SPARE of them. So linked sets share a named part: no link is lost.
-2. Equal digests are one class. Parts shared by different classes join them into candidate blocks (a star per part,
-   then connected components).
+   so of a set that fills more than m hash parts, one filled part at least is equal in the other; sets that fill fewer
+   name their empty parts too, and then both do. So linked sets share a named part: no link is lost.
+2. Equal digests are one class. Signatures travel packed, 5 bytes each, to buckets of bounded size. The classes that
+   share a part are a group (equal groups count once); inside a group, token bitmaps ordered by size and OR-combined
+   tile by tile leave the pairs whose largest possible overlap still allows a link, and enough of them to join all
+   such pairs make blocks (connected components).
 3. Inside a block, a tree per chunk holds at each node the OR of its members' token bitmaps and their size range. A
    dual traversal of two trees drops node pairs whose sizes, or whose largest possible overlap, forbid a link, and
    node pairs already joined; what is left is compared exactly. Chunks are bounded in bytes; a block with several is
@@ -22,6 +24,7 @@ get a row. Shingles, and whole sets, are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,27 +41,52 @@ SPARE = 2
 #: Ratio of a band's largest to its smallest size.
 BAND = 1.6
 FANOUT = 8
+#: Members of a group whose bitmaps are OR-combined, and compared, together.
+TILE = 128
 CHUNK_BYTES = 32 << 20
 #: Digests a task remembers so as not to name the parts of a copy again.
 SEEN = 200_000
+#: Signatures that one bucket gets.
+BUCKET = 3_000_000
 BROADCAST_ROWS = 200_000
 
 _U = np.uint64
 
 
 @functools.cache
-def bands(num: int, den: int, largest: int) -> tuple[tuple[int, int, int], ...]:
-    """(smallest size, largest size, parts) of each band up to sizes of `largest`; any linked pair of sizes lies whole in one."""
+def bands(num: int, den: int, largest: int) -> tuple[tuple[int, int, int, int], ...]:
+    """(smallest size, largest size, most unmatched shingles of a link, parts) of each band up to sizes of `largest`; any linked
+    pair of sizes lies whole in one. There are parts enough that a set of seven tenths of the smallest size fills more than
+    can be left unmatched."""
     out, low = [], 1
     while low <= largest:
-        high = max(low, int(low * BAND))
-        high = max(high, low * den // num)
+        high = max(low, int(low * BAND), low * den // num)
         unmatched = (den - num) * 2 * high // (den + num)
-        out.append((low, high, unmatched + 1 + SPARE if unmatched else 1))
+        parts = unmatched + 1 + SPARE
+        while unmatched and parts < 4 * unmatched and parts * (1 - math.exp(-0.7 * low / parts)) < 1.05 * unmatched + SPARE:
+            parts += max(1, unmatched // 20)
+        out.append((low, high, unmatched, parts if unmatched else 1))
         low = max(low + 1, -(-(high + 1) * num // den))
     return tuple(out)
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Token bitmap of two bits a token or more, a power of two wide; `folded` makes it narrower."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    flags = np.zeros(bits, bool)
+    flags[(shingles & _U(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps at the width of the narrowest, as rows of 64-bit words."""
+    width = min(map(len, maps))
+    out = np.zeros((len(maps), width), np.uint8)
+    for row, x in zip(out, maps, strict=True):
+        np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0, out=row)
+    return out.view(np.uint64)
+
+
 def set_digest(shingles: np.ndarray) -> int:
     """64 bits of a set of hashes, whatever their order."""
     return int(mix(mix(shingles ^ _U(0x5BF03635)).sum(keepdims=True, dtype=np.uint64) + _U(len(shingles))).view(np.int64)[0])
@@ -68,14 +96,14 @@ def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     """One 64-bit name per part of the set that must be named, over all bands the size lies in. `shingles` are sorted."""
     n, out = len(shingles), []
     spread = mix(shingles)
-    for k, (low, high, parts) in enumerate(bands(num, den, 1 << (n + 1).bit_length())):
+    for k, (low, high, unmatched, parts) in enumerate(bands(num, den, 1 << (n + 1).bit_length())):
         if not low <= n <= high or parts == 1:  # with one part only equal sets link, and those are one class
             continue
         part = ((spread >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         named, starts = np.unique(part[order], return_index=True)
         name = np.add.reduceat(spread[order], starts)
-        if parts - len(named) > SPARE:
+        if len(named) <= unmatched:  # too few to be sure that one of them is matched
             empty = np.setdiff1d(np.arange(parts), named)
             named, name = np.concatenate((named, empty)), np.concatenate((name, np.zeros(len(empty), np.uint64)))
         out.append(mix(name + _U(0x9E3779B97F4A7C15) * (named.astype(np.uint64) + _U(1)) + _U(k << 40)))
@@ -93,28 +121,121 @@ def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
                 yield sequence(hashes[a:b]) if b > a else np.zeros(0, np.uint64)
 
 
-def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, size, digest and part signatures; a digest's signatures are given once by each task."""
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, size of the set, its digest (`node`) and token bitmap (of the first row a task meets with that digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for at in range(0, len(texts), 1000):
-                sizes, digests, names = [], [], []
-                for shingles in shingle_sets(texts[at : at + 1000], k):
-                    sizes.append(len(shingles))
-                    digests.append(set_digest(shingles))
-                    known = digests[-1] in seen or not len(shingles)
-                    names.append(np.zeros(0, np.uint64) if known else signatures(shingles, num, den))
-                    if not known and len(seen) < SEEN:
-                        seen.add(digests[-1])
-                offsets = np.cumsum([0, *map(len, names)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(names).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sizes)), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), lists], names=["doc_id", "n_shingles", "node", "parts"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, parts array<long>")
+            sizes, nodes, maps = [], [], []
+            for x in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), k):
+                sizes.append(len(x))
+                nodes.append(set_digest(x))
+                maps.append(None if nodes[-1] in seen or not len(x) else bitmap(x))
+                if len(seen) < SEEN:
+                    seen.add(nodes[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "n_shingles", "node", "bitmap"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bitmap binary")
+
+
+def _packed(nodes: np.ndarray, names: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Signatures by bucket: (bucket, 5 low bytes of each signature behind the nodes and how many each has)."""
+    if not len(names):
+        return
+    bucket = ((names >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, nodes, names = bucket[order], nodes[order], names[order]
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        own = nodes[a:b]
+        start = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
+        count = np.diff(np.append(start, b - a)).astype("<u4")
+        low = names[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        yield int(bucket[a]), len(start).to_bytes(4, "little") + own[start].astype("<i8").tobytes() + count.tobytes() + low.tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = int.from_bytes(blob[:4], "little")
+    nodes, count = np.frombuffer(blob, "<i8", m, 4), np.frombuffer(blob, "<u4", m, 4 + 8 * m)
+    low = np.frombuffer(blob, np.uint8, -1, 4 + 12 * m).reshape(-1, 5)
+    names = np.zeros((len(low), 8), np.uint8)
+    names[:, :5] = low
+    return np.repeat(nodes, count), names.view("<u8")[:, 0]
+
+
+def _groups(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
+    """(part, node): the classes that share a named part with another; parts with the same classes count once."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            for at in range(0, len(texts), 2000):
+                nodes, names = [], []
+                for shingles in shingle_sets(texts[at : at + 2000], k):
+                    node = set_digest(shingles)
+                    if len(shingles) and node not in seen:
+                        if len(seen) < SEEN:
+                            seen.add(node)
+                        names.append(signatures(shingles, num, den))
+                        nodes.append(np.full(len(names[-1]), node, np.int64))
+                if names:
+                    rows = list(_packed(np.concatenate(nodes), np.concatenate(names), buckets))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "parts"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        pairs = [_unpacked(x) for x in table["parts"].to_pylist()]
+        nodes, names = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        order = np.lexsort((nodes, names))
+        nodes, names = nodes[order], names[order]
+        fresh = np.ones(len(nodes), bool)
+        fresh[1:] = (names[1:] != names[:-1]) | (nodes[1:] != nodes[:-1])
+        nodes, names = nodes[fresh], names[fresh]
+        start = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+        size = np.diff(np.append(start, len(nodes)))
+        members = mix(np.add.reduceat(mix(nodes.view(np.uint64)), start) + size.astype(np.uint64)).view(np.int64)
+        several = np.flatnonzero(size > 1)
+        part, where = np.unique(members[several], return_index=True)
+        start, size = start[several][where], size[several][where]
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return pa.table({"part": pa.array(np.repeat(part, size), pa.int64()), "node": pa.array(nodes[at], pa.int64())})
+
+    return docs.select("text").mapInArrow(name, "bucket int, parts binary").groupBy("bucket").applyInArrow(meet, "part long, node long").dropDuplicates()
+
+
+def _possible(num: int, den: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """(u, v) that join all members of a group whose bitmaps and sizes allow a link."""
+        frame = frame.sort_values(["n_shingles", "node"], kind="stable")
+        maps, size, node = folded(frame["bitmap"].tolist()), frame["n_shingles"].to_numpy(), frame["node"].to_numpy()
+        surplus = size - np.bitwise_count(maps).sum(1, dtype=np.int64)
+        joined, links = Joined(len(node)), []
+        tiles = [slice(i, min(i + TILE, len(node))) for i in range(0, len(node), TILE)]
+        union = [np.bitwise_or.reduce(maps[t], axis=0) for t in tiles]
+        for i, a in enumerate(tiles):
+            for j in range(i, len(tiles)):
+                b = tiles[j]
+                if size[b][0] * num > size[a][-1] * den:
+                    break  # sizes rise from tile to tile
+                most = int(np.bitwise_count(union[i] & union[j]).sum()) + min(surplus[a].max(), surplus[b].max())
+                roots = {joined.find(x) for t in (a, b) for x in range(t.start, t.stop)}
+                if most * (num + den) < num * (size[a][0] + size[b][0]) or len(roots) == 1:
+                    continue
+                common = np.zeros((a.stop - a.start, b.stop - b.start), np.int64)
+                for w in range(0, maps.shape[1], 16):
+                    common += np.bitwise_count(maps[a][:, None, w : w + 16] & maps[b][None, :, w : w + 16]).sum(2, dtype=np.int64)
+                x, y = size[a][:, None], size[b][None, :]
+                able = (common + np.minimum(surplus[a][:, None], surplus[b][None, :])) * (num + den) >= num * (x + y)
+                able &= (x * den >= y * num) & (y * den >= x * num)
+                for p, q in np.argwhere(able).tolist():
+                    p, q = p + a.start, q + b.start
+                    if joined.find(p) != joined.find(q):
+                        joined.join(p, q)
+                        links.append((p, q))
+        return pd.DataFrame({"u": node[[p for p, _ in links]] if links else np.zeros(0, np.int64), "v": node[[q for _, q in links]] if links else np.zeros(0, np.int64)})
+
+    return run
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:
@@ -233,6 +354,7 @@ def _unpack(frame: pd.DataFrame) -> list[np.ndarray]:
 def _inside(num: int, den: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """Links inside one chunk."""
+        frame = frame.drop_duplicates("node")
         sets, joined = _unpack(frame), Joined(len(frame))
         tree = Tree(sets, list(range(len(sets))), _bits(sets))
         traverse(tree, tree, joined, num, den)
@@ -264,43 +386,47 @@ def _between(num: int, den: int):
 def _shingles(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), k))
-            digest = [set_digest(x) for x in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), pa.array([8 * len(x) for x in rows], pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["node", "bytes", "shingles"])
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            for at in range(0, len(texts), 1000):
+                rows = list(shingle_sets(texts[at : at + 1000], k))
+                yield pa.RecordBatch.from_arrays([pa.array([set_digest(x) for x in rows], pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["node", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, bytes long, shingles binary")
+    return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
 
 def components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
-    sets = written(_sets(docs, k, num, den), "jaccard-sets")
-    # a star per part: the smallest class of a part against the others, read off in sorted order
-    parts = sets.select(F.explode("parts").alias("part"), "node")
-    order = Window.partitionBy("part").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    stars = parts.withColumn("head", F.min("node").over(order)).where("head != node").select(F.col("node").alias("u"), F.col("head").alias("v"))
-    blocks = written(connected(stars, "jaccard-candidates"), "jaccard-blocks")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = written(_sets(texts, k), "jaccard-sets")
+    # about so many signatures a shingle over all bands, from the bands' own arithmetic
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total * 5 * (den - num) / (den + num) / BUCKET) + 1)
+    # one bitmap for each class, joined to the groups the class is in
+    maps = sets.where("bitmap is not null").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap"))
+    groups = _groups(texts, k, num, den, buckets).join(maps, "node")
+    able = groups.groupBy("part").applyInPandas(_possible(num, den), "u long, v long")
+    blocks = written(connected(able, "jaccard-candidates"), "jaccard-blocks")
 
     # the shingles of one document of each class in a block, hashed anew
-    first = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    first = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), (8 * F.max("n_shingles")).alias("bytes"))
     wanted = written(first.join(blocks, "node"), "jaccard-wanted")
     ids = checked_broadcast(wanted.select(F.col("doc_id").alias("_id")), BROADCAST_ROWS)
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    some = some.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    found = written(_shingles(some, k).join(wanted.select("node", "label"), "node"), "jaccard-members").dropDuplicates(["node"])
+    found = _shingles(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), k)
+    place = wanted.select("node", "label", "bytes")
 
     pair = "u long, v long"
-    large = found.groupBy("label").agg(F.sum("bytes").alias("all")).where(F.col("all") > chunk_bytes)
+    large = wanted.groupBy("label").agg(F.sum("bytes").alias("all")).where(F.col("all") > chunk_bytes)
     if large.isEmpty():
         # each member already points at its component's first member
-        links = found.groupBy("label").applyInPandas(_inside(num, den), pair)
+        links = found.join(checked_broadcast(place, BROADCAST_ROWS), "node").groupBy("label").applyInPandas(_inside(num, den), pair)
         labels = links.select(F.col("u").alias("node"), F.col("v").alias("label"))
     else:
         so_far = Window.partitionBy("label").orderBy("bytes", "node").rowsBetween(Window.unboundedPreceding, -1)
         chunk = F.floor(F.coalesce(F.sum("bytes").over(so_far), F.lit(0)) / chunk_bytes).cast("int")
-        found = found.join(found.select("node", "label", "bytes").select("node", chunk.alias("chunk")), "node")
+        found = written(found.join(place.withColumn("chunk", chunk), "node"), "jaccard-members")
         links = written(found.groupBy("label", "chunk").applyInPandas(_inside(num, den), pair), "jaccard-links")
-        several = found.groupBy("label").agg(F.max("chunk").alias("chunks")).where("chunks > 0")
-        roots = found.join(several, "label").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = place.withColumn("chunk", chunk).groupBy("label").agg(F.max("chunk").alias("chunks")).where("chunks > 0")
+        roots = found.dropDuplicates(["node"]).join(several, "label").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
         roots = written(roots.select("label", "node", "root", "chunk", "chunks", "shingles"), "jaccard-chunks")
         again = roots.select(*(F.col(c).alias(c) for c in roots.columns))
         one = roots.withColumn("mine", F.col("chunk")).withColumn("other", F.explode(F.sequence("chunk", "chunks"))).where("other > mine")
