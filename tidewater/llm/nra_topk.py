@@ -2,10 +2,11 @@
 
 Vectors become integers, floor(scale * x). They are dealt into blocks by a hash of their id; each block keeps one list
 per component, sorted by value. Each query meets each block once, in a group of many queries: it reads the lists from
-the end that its own sign favours, a stretch at a time, and keeps for every vector a lower and an upper bound of its
-score (unread components lie between the list's last value and the value read last). After a stretch the front-runners'
-scores are resolved; reading stops once no more than RESOLVE of the block can still reach the k-th of them, and the
-scores of those are resolved. Ties stay in, so the result is exact. A query's blocks meet in one last ranking.
+the end that its own sign favours, a stretch at a time, and keeps an upper bound of every vector's score: what was read
+of it, and the value read last for each list in which it has not come up. After a stretch the front-runners by that
+bound are resolved, which closes their lower bounds; reading stops once no more than RESOLVE of the block can still
+reach the k-th of them, and those are resolved. Ties stay in, so the result is exact. A query's blocks meet in one last
+ranking.
 
 Defined results: rows with a null id, a null vector, or null or non-finite components take no part. Rows that repeat an
 id are one vector (the smallest by value). Vectors of unlike length are not compared. A query with no candidate has no rows.
@@ -25,7 +26,7 @@ from .common import written
 BLOCK = 8192
 QUERIES = 512
 DEPTHS = (0.65, 0.8, 0.9)
-RESOLVE = 0.05
+RESOLVE = 0.2
 
 
 class Lists:
@@ -33,7 +34,7 @@ class Lists:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        up = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
+        up = np.argsort(vectors, axis=0, kind="stable").T
         values = np.take_along_axis(vectors.T, up, 1).astype(np.float64)
         self.ids = np.ascontiguousarray(np.concatenate((up[:, ::-1], up)))
         self.values = np.ascontiguousarray(np.concatenate((values[:, ::-1], values)))
@@ -44,19 +45,16 @@ class Lists:
         used = np.flatnonzero(query)
         rows = np.where(query[used] > 0, used, used + d)
         q = query[used].astype(np.float64)[:, None]
-        least = self.values[rows, -1] * q[:, 0]
-        known, lower, read = np.zeros(0, np.int64), np.full(n, least.sum()), 0
+        known = np.zeros(0, np.int64)
         for share in DEPTHS if n > 4 * k else ():
             depth = max(1, math.ceil(share * n))
             ids = self.ids[rows, :depth]
             scores = self.values[rows, :depth] * q
             frontier = scores[:, -1:]
-            lower += np.bincount(ids[:, read:].ravel(), (scores[:, read:] - least[:, None]).ravel(), n)
             upper = frontier.sum() + np.bincount(ids.ravel(), (scores - frontier).ravel(), n)
-            read = depth
             if own >= 0:
-                upper[own] = lower[own] = -np.inf
-            front = np.argpartition(-(lower + upper), k - 1)[:k]
+                upper[own] = -np.inf
+            front = np.argpartition(-upper, k - 1)[:k]
             known = np.union1d(known, front[front != own])
             exact = np.sort(self.vectors[known] @ query)[::-1]
             if len(exact) >= k:
