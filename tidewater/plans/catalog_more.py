@@ -17,9 +17,9 @@ def d_month_ends(spark, sf_dir):
     return rounded(aggregates.month_ends(daily_bars(spark, sf_dir), "symbol", "dt", "adj_close", F.col("close") * F.col("volume")))
 
 
-@query("""select o_orderpriority as fold, count(distinct cast(o_orderdate as date)) as dates, count(*) as selections, round(avg(o_totalprice), 6) as mean_return from orders group by 1""")
+@query("""select o_orderpriority as fold, count(distinct cast(o_orderdate as date)) as dates, count(*) as selections, round(avg(o_totalprice / 3.7::double), 6) as mean_return from orders group by 1""")
 def d_fold_summary(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("fold"), F.to_date("o_orderdate").alias("dt"), F.col("o_totalprice").alias("ret"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("fold"), F.to_date("o_orderdate").alias("dt"), (F.col("o_totalprice") / 3.7).alias("ret"))
     return rounded(aggregates.fold_summary(o, "fold", "dt", "ret"))
 
 
