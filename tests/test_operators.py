@@ -234,3 +234,18 @@ def test_events(spark):
     rates = spark.createDataFrame([(D0 + timedelta(i), 0.01) for i in range(5)], "dt date, rate double")
     v = events.redemption_value(panel, spark.createDataFrame([("A", D0, 10.0)], "symbol string, filed date, per_share double"), rates).first()
     assert v.value == pytest.approx(10 * 1.01**2) and v.to_deadline == pytest.approx(v.value / 9.9 - 1)
+
+
+def test_filing_dates_and_short_interest(spark):
+    from tidewater.operators import events
+
+    cal = spark.createDataFrame([(date(2024, 3, d), d) for d in (1, 4, 5)], "dt date, day_index int")
+    docs = spark.createDataFrame([(1, "The split becomes effective on March 1, 2024 after the close of trading."), (2, "will begin trading on March 4, 2024"), (3, "nothing")], "doc_id int, text string")
+    got = {r.doc_id: (r.stated, r.effective) for r in text.effective_dates(docs, cal).collect()}
+    assert got == {1: (date(2024, 3, 1), date(2024, 3, 4)), 2: (date(2024, 3, 4), date(2024, 3, 4))}
+    panel = spark.createDataFrame([("A", date(2024, 3, 5), 10.0)], "symbol string, dt date, adv_shares double")
+    r = events.short_interest_signals(panel, spark.createDataFrame([("A", date(2024, 2, 1), 100.0), ("A", date(2024, 3, 1), 210.0)], "symbol string, tradeable_from date, short double")).first()
+    assert r.short_level == -1.0 and r.short_change == pytest.approx(-1.1) and r.days_to_cover == -21.0
+    keys = spark.createDataFrame([("A", 100, 2.0)], "symbol string, day_index int, adv double")
+    t = spark.createDataFrame([("A", 50, 400.0, 40.0), ("A", 5, 9.0, 9.0)], "symbol string, day_index int, bought double, sold double")
+    assert events.insider_signal(keys, t).first().net_buying == 2.0

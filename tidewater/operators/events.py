@@ -188,3 +188,22 @@ def minimum_detectable(se: Column) -> Column:
 
 def sharpe_error(sharpe: Column, n: Column) -> Column:
     return F.sqrt((1 + F.pow(sharpe, F.lit(2)) / 2) / (n - 1)) * math.sqrt(1.0)
+
+
+def insider_signal(keys: DataFrame, trades: DataFrame, back: int = 90) -> DataFrame:
+    """Net insider buying of the last `back` sessions over dollar volume times `back`; keys (symbol, day_index, adv), trades (symbol, day_index, bought, sold)."""
+    from .windows import trailing_event_sums
+
+    d = trailing_event_sums(keys, trades, ["symbol"], "day_index", ["bought", "sold"], back)
+    return d.withColumn("net_buying", F.when(F.col("adv") > 0, (F.col("bought_sum") - F.col("sold_sum")) / (F.col("adv") * back)))
+
+
+def short_interest_signals(panel: DataFrame, reports: DataFrame) -> DataFrame:
+    """Oriented short interest as of each row: panel (symbol, dt, adv_shares), reports (symbol, tradeable_from, short)."""
+    from .joins import asof
+
+    w = Window.partitionBy("symbol").orderBy("tradeable_from")
+    r = reports.withColumn("before", F.lag("short").over(w))
+    d = asof(panel, r, ["symbol"], "dt", "tradeable_from", ["short", "before"]).drop("asof_at")
+    level = F.when(F.col("adv_shares") > 0, -F.col("short") / (F.col("adv_shares") * 21))
+    return d.withColumn("short_level", level).withColumn("short_change", F.when(F.col("before") > 0, -(F.col("short") / F.col("before") - 1))).withColumn("days_to_cover", F.when(F.col("adv_shares") > 0, -F.col("short") / F.col("adv_shares")))

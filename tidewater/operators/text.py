@@ -94,3 +94,19 @@ def constituents(pages: DataFrame, ident: str, text: str, templates: tuple[str,
     body = F.split(F.col(text), r"(?i)==\s*(?:selected |recent )?changes", 2)[0]
     hit = F.expr("regexp_extract_all(_body, '(?i)\\\\{\\\\{\\\\s*(?:" + "|".join(templates) + ")\\\\s*\\\\|\\\\s*([A-Za-z.]+)', 1)")
     return pages.withColumn("_body", body).select(ident, F.explode(F.array_distinct(F.transform(hit, lambda x: F.replace(F.upper(x), F.lit("."), F.lit("-"))))).alias("symbol"))
+
+
+_MONTH = "(January|February|March|April|May|June|July|August|September|October|November|December)"
+
+
+def effective_dates(docs: DataFrame, calendar: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """ident, stated, effective: the first date that follows words of taking effect, in the order of the patterns; "after the close" moves it to the next session."""
+    t = F.col(text)
+    day = rf"{_MONTH}\s+(\d{{1,2}}),\s+(\d{{4}})"
+    patterns = [rf"(?i)effective (?:as of|on|at)[^.]{{0,80}}?{day}", rf"(?i)(?:become|becomes|became) effective[^.]{{0,80}}?{day}", rf"(?i)begin trading[^.]{{0,80}}?{day}"]
+    stated = F.coalesce(*(F.to_date(F.try_to_timestamp(F.nullif(F.concat_ws(" ", *(F.regexp_extract(t, p, i) for i in (1, 2, 3))), F.lit("  ")), F.lit("MMMM d yyyy"))) for p in patterns))
+    late = t.rlike(r"(?i)after (?:the )?(?:market )?close|close of (?:business|trading)")
+    d = docs.select(ident, stated.alias("stated"), F.coalesce(late, F.lit(False)).alias("_late")).where("stated is not null")
+    days = calendar.select(F.col("dt").alias("_d"))
+    follow = d.join(F.broadcast(days), F.when(F.col("_late"), F.col("_d") > F.col("stated")).otherwise(F.col("_d") >= F.col("stated")), "left")
+    return follow.groupBy(ident, "stated").agg(F.min("_d").alias("effective"))
