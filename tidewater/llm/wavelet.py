@@ -16,6 +16,7 @@ order of their text (null first) and each has its own run; null doc_ids come fir
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -30,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .wordhash import SPACES, words_at
+
 MAGIC = b"WMX1"
 BLOCK = 1 << 16
 WORD = 512
@@ -171,12 +174,19 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PUNCT = "!-&(-/:-@\\[-`{-~"
 _PARTS = re.compile(f"([{_LETTERS}]++(?=[{_PUNCT}]|\\Z)|[{_PUNCT}]++(?=[{_LETTERS}]|\\Z))|.+", re.DOTALL)
 
+_PUNCT_BYTES = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+#: In an ASCII part without white space: what makes it more than one word to the library.
+_MIXED = re.compile("[A-Za-z0-9']|<\\|")
+
 
 class WordTokens:
-    """Ids of texts from a tokenizers file whose normaliser and splitter never join across white space; units are remembered.
+    """Ids of texts from a tokenizers file whose normaliser and splitter never join across white space.
+
+    The units between white space are told apart by 64-bit hashes, a chunk of texts at a time; each distinct one is
+    encoded once and remembered.
 
-    Every id comes from the library. It is shown each new part once: runs of letters or of signs are single words to
-    it, so many of them go in one call and are told apart by the word-end mark of their last id.
+    Every id comes from the library: runs of ASCII letters or signs are single words to it and go straight to its
+    model; anything else passes its normaliser and splitter first.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED):
@@ -184,65 +194,79 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), most
-        self.units: dict[bytes, bytes] = {}
+        self.model, self.normal, self.pre = self.library.model, self.library.normalizer, self.library.pre_tokenizer
         self.parts: dict[str, bytes] = {}
-        vocabulary = self.library.get_vocab()
-        self.wide = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self._forget()
+        self.wide = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.packer, self.width = ("H", 2) if self.wide == "<u2" else ("I", 4)
 
     @staticmethod
-    def split(unit: str) -> list[tuple[str, bool]]:
-        """Parts of a unit, and whether each is one word to the library. ASCII is lower-cased, as the library does."""
-        if "<|" in unit:
-            return [(unit, False)]
-        return [(x.lower() if (x := m[0]).isascii() else x, m[1] is not None) for m in _PARTS.finditer(unit)]
-
-    def _encode_parts(self, single: list[str], other: list[str]) -> None:
-        for k in range(0, len(single), 256):
-            part = single[k : k + 256]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.wide)
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != len(part) or last[-1] != len(ids):
-                other = other + part
-                continue
-            raw, size = ids.tobytes(), ids.itemsize
-            at = 0
-            for x, e in zip(part, (last * size).tolist(), strict=True):
-                self.parts[x] = raw[at:e]
-                at = e
-        for k in range(0, len(other), 10_000):
-            part = other[k : k + 10_000]
-            for x, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.parts[x] = np.array(e.ids, self.wide).tobytes()
-
-    def learn(self, units: set[bytes]) -> None:
-        new = [x for x in units if x not in self.units]
-        if len(self.units) + len(new) > self.most:
-            self.units.clear()
-            new = list(units)
+    def split(unit: bytes) -> list[str]:
+        """Parts of a unit. ASCII is lower-cased, as the library does."""
+        if unit.isalpha():
+            return [unit.lower().decode()]
+        head = unit.rstrip(_PUNCT_BYTES)
+        if head.isalpha():
+            return [head.lower().decode(), unit[len(head) :].decode()]
+        text = unit.decode()
+        if "<|" in text:
+            return [text]
+        return [x.lower() if (x := m[0]).isascii() else x for m in _PARTS.finditer(text)]
+
+    def _encode_part(self, part: str) -> bytes:
+        if part.isascii() and (part.isalpha() or not _MIXED.search(part)):
+            ids = [t.id for t in self.model.tokenize(part)]
+        elif "<|" in part:
+            ids = self.library.encode(part, add_special_tokens=False).ids
+        else:
+            ids = [t.id for word, _ in self.pre.pre_tokenize_str(self.normal.normalize_str(part)) for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}{self.packer}", *ids)
+
+    def _ids(self, unit: bytes) -> bytes:
+        own = []
+        for p in self.split(unit):
+            ids = self.parts.get(p)
+            if ids is None:
+                ids = self.parts[p] = self._encode_part(p)
+            own.append(ids)
+        return own[0] if len(own) == 1 else b"".join(own)
+
+    def _forget(self) -> None:
+        """Start anew: known hashes (sorted), and where and how long each one's ids are in the store."""
+        self.known, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.store = bytearray()
+
+    def _places(self, hashes: np.ndarray, first: np.ndarray, buf: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where these distinct units' ids (hashes sorted) stand in the store, and how many; new ones are encoded and put at its end."""
+        if len(self.known) + len(hashes) > self.most:
+            self._forget()
         if len(self.parts) > self.most // 2:
             self.parts.clear()
-        cut = [self.split(x.decode()) for x in new]
-        missing = {p for x in cut for p in x if p[0] not in self.parts}
-        self._encode_parts([x for x, one in missing if one], [x for x, one in missing if not one])
-        parts = self.parts
-        for x, y in zip(new, cut, strict=True):
-            self.units[x] = parts[y[0][0]] if len(y) == 1 else b"".join([parts[p] for p, _ in y])
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        get = self.units.get
-        cut = [t.split() for t in texts]  # exactly the six white-space characters of ASCII
-        found = [list(map(get, units)) for units in cut]
-        gaps = [k for k, x in enumerate(found) if None in x]
-        if gaps:
-            self.learn({u for k in gaps for u, x in zip(cut[k], found[k], strict=True) if x is None})
-            for k in gaps:
-                found[k] = list(map(get, cut[k]))
-                if None in found[k]:  # forgotten while the others were learned
-                    self.learn(set(cut[k]))
-                    found[k] = list(map(get, cut[k]))
-        return [b"".join(x) for x in found]
+        slot = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = slot < len(self.known)
+        new[inside] = self.known[slot[inside]] != hashes[inside]
+        if new.any():
+            words = first[new]
+            ids = [self._ids(buf[a:b]) for a, b in zip(start[words].tolist(), end[words].tolist(), strict=True)]
+            size = np.array([len(x) for x in ids], np.int64) // self.width
+            at = len(self.store) // self.width + np.cumsum(size) - size
+            self.store += b"".join(ids)
+            self.known, self.at, self.size = (np.insert(x, slot[new], y) for x, y in ((self.known, hashes[new]), (self.at, at), (self.size, size)))
+            slot = np.searchsorted(self.known, hashes)
+        return self.at[slot], self.size[slot]
+
+    def encode(self, texts: list[bytes | None], end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Chunks of texts: index of the first, the ids of all with `end_id` behind each, and the number of ids of each."""
+        for first, hashes, bounds, buf, start, end in words_at(texts, SPACES, lower=False):
+            unique, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+            at, size = (x[back] for x in self._places(unique, where, buf, start, end))
+            total = np.concatenate(([0], np.cumsum(size)))
+            ids = np.frombuffer(self.store, self.wide)[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+            lengths = np.diff(total[bounds]) + 1
+            out = np.full(len(ids) + len(lengths), end_id, self.wide)
+            out[np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths - 1)] = ids
+            yield first, out, lengths
 
 
 @functools.cache
@@ -259,36 +283,26 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(tokenizer_path)
-        end = np.array([end_id], tokens.wide).tobytes()
-        part, seq = TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
+        part, seq, size = TaskContext.get().partitionId(), 0, 0
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         doc: list[int] = []
-        size = 0
 
         def flush() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), tokens.wide)
-            lengths = np.array([len(x) for x in ids], np.int64) // flat.itemsize
-            file = build(flat, np.array(doc, np.int64), lengths)
+            flat = np.concatenate(ids)
+            file = build(flat, np.array(doc, np.int64), np.concatenate(sizes))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "first_doc": [doc[0]], "n_docs": [len(doc)], "n_tokens": [len(flat)], "file": [file]}, schema)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            at = 0
-            while at < len(texts):
-                n, chars = at, 0
-                while n < len(texts) and (n == at or chars < 1_000_000):
-                    chars += len(texts[n] or b"")
-                    n += 1
-                for key, x in zip(keys[at:n], tokens.encode([t or b"" for t in texts[at:n]]), strict=True):
-                    ids.append(x + end)
-                    doc.append(NULL_DOC if key is None else key)
-                    size += len(ids[-1])
-                    if size >= shard_tokens * 2:
-                        yield flush()
-                        ids.clear()
-                        doc.clear()
-                        seq, size = seq + 1, 0
-                at = n
+            keys = [NULL_DOC if x is None else x for x in batch.column(0).to_pylist()]
+            for first, flat, lengths in tokens.encode(batch.column(1).cast(pa.binary()).to_pylist(), end_id):
+                ids.append(flat)
+                sizes.append(lengths)
+                doc += keys[first : first + len(lengths)]
+                size += len(flat)
+                if size >= shard_tokens:
+                    yield flush()
+                    ids, sizes, doc, seq, size = [], [], [], seq + 1, 0
         if ids:
             yield flush()
 
