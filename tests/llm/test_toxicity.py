@@ -34,6 +34,17 @@ def test_leaves_plain_words_alone(model):
     assert restored("x" * 500 + "1" + "y" * 500, model) == []
 
 
+def test_whole_runs_and_long_pieces_are_decoded(model):
+    plain = "you said the lies " * 12
+    found = {f for w in toxicity.spaced_words(" ".join((plain + "stupid idiot is the clown").replace(" ", "")), model) for f in toxicity.features(w)}
+    assert "idiot*" in found or "idiot" in found
+    assert "idiot" in spaced_words(" ".join("youaresaidthe" * 8 + "idiot"), model) and "stup*" in found
+    assert "idiot" in toxicity.token_words("idi" + "o" * 90 + "t", model)
+    chained = toxicity.token_words("-".join(["y0u", "5tup1d", "1d10t", "m0r0n"] * 6), model)
+    assert {"you", "stupid", "idiot", "moron"} <= set(chained)
+    assert {"stupid", "idiot"} <= set(restored("y0u_5tup1d.1d10t", model))
+
+
 def test_curve():
     rng = np.random.default_rng(15)
     x = np.column_stack([np.ones(4000), rng.normal(size=4000)])

@@ -36,7 +36,9 @@ WEIGHTED = 50_000
 PREFIXES = (4, 5, 6)
 #: Costs (in nats) of the channel.
 AS_LETTER, AS_VOWEL, PADDING, REPEAT, PAIR = 0.7, 2.0, 3.0, 0.3, 5.0
-STATES = 40
+#: A piece longer than this is taken to hold several words.
+LONG = 64
+NOWHERE, AT_SIGNS, ANYWHERE = 0, 1, 2
 
 # Letters that digits and signs stand for.
 LEET = {
@@ -47,6 +49,8 @@ LEET = {
 _EDGE = "\"'.,;:?!()[]{}<>*_~-|/\\#&%$@+=^`"
 _TAIL = re.compile(r"([^\w\s])\1{2,}$|[.,;:?!\"')\]}]+$")
 _RUN = re.compile(r"([a-z])\1\1")
+_SAME = re.compile(r"(.)\1*", re.DOTALL)
+_CHAIN = re.compile(r"\w[^\w\s]\w|[^\W_]_[^\W_]")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)(?:[^\s] ){3,}[^\s](?!\S)")
 _PIECE = re.compile(r"[^,;:?\"/\\()\[\]{}]+")
@@ -103,17 +107,14 @@ def _symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else OTHER
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The most probable word behind a lower-case token."""
-    states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
-    n = len(token)
-    for i, c in enumerate(token):
-        run = 1
-        while i - run >= 0 and token[i - run] == c:
-            run += 1
-        whole = run
-        while i + whole - run + 1 < n and token[i + whole - run + 1] == c:
-            whole += 1
+def decode(token: str, model: np.ndarray, breaks: int = NOWHERE) -> list[str]:
+    """The most probable words behind a lower-case token, of any length; one word, unless they may be broken at signs or anywhere."""
+    runs = [len(m[0]) for m in _SAME.finditer(token)]
+    place = [(i, n) for n in runs for i in range(n)]
+    values, size = model.item, SYMBOLS**3
+    # state: the last three symbols; links lead back over what was emitted
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    for c, (at, whole) in zip(token, place, strict=True):
         options: list[tuple[str, float]] = []
         if c in LEET:
             options += [(x, AS_LETTER) for x in LEET[c]]
@@ -126,27 +127,52 @@ def restore(token: str, model: np.ndarray) -> str:
             options.append((c, 0.0))
         else:
             options.append(("", 0.1))
-        if run > 1 and c.isalnum():
+        if at and c.isalnum():
             options.append(("", REPEAT if whole > 2 else PAIR))
-        following: dict[tuple[int, int, int], tuple[float, str]] = {}
-        for (a, b, d), (p, text) in states.items():
-            for x, cost in options:
-                if x:
-                    s = _symbol(x)
-                    key, q = (b, d, s), p - cost + float(model[((a * SYMBOLS + b) * SYMBOLS + d) * SYMBOLS + s])
+        steps = [(x, _symbol(x) if x else 0, cost) for x, cost in options]
+        if breaks == AT_SIGNS and not c.isalnum():
+            steps.append((" ", 0, 0.1))
+        following: dict[int, tuple[float, tuple | None]] = {}
+        for key, (p, link) in states.items():
+            for x, s, cost in steps:
+                if not x:
+                    to, q = key, p - cost
+                elif s:
+                    to, q = (key * SYMBOLS + s) % size, p - cost + values(key * SYMBOLS + s)
+                elif key:
+                    to, q = 0, p - cost + values(key * SYMBOLS)
                 else:
-                    key, q = (a, b, d), p - cost
-                if key not in following or following[key][0] < q:
-                    following[key] = (q, text + x)
-        if len(following) > STATES:
-            following = dict(sorted(following.items(), key=lambda x: -x[1][0])[:STATES])
+                    continue
+                if to not in following or following[to][0] < q:
+                    following[to] = (q, (link, x) if x else link)
+        if breaks == ANYWHERE:
+            for key, (p, link) in list(following.items()):
+                if key and (0 not in following or following[0][0] < p + values(key * SYMBOLS)):
+                    following[0] = (p + values(key * SYMBOLS), (link, " "))
         states = following
-    best = max(((p + float(model[((a * SYMBOLS + b) * SYMBOLS + d) * SYMBOLS]), text) for (a, b, d), (p, text) in states.items() if text), default=(0.0, ""))
-    return best[1]
+    link = max(((p + (values(key * SYMBOLS) if key else 0.0), link) for key, (p, link) in states.items() if link), key=lambda x: x[0], default=(0.0, None))[1]
+    out = []
+    while link:
+        link, x = link
+        out.append(x)
+    return [x for x in "".join(reversed(out)).split(" ") if x]
+
+
+def restore(token: str, model: np.ndarray) -> str:
+    """The most probable word behind a lower-case token."""
+    return "".join(decode(token, model))
+
+
+def run_words(run: str, model: np.ndarray) -> list[str]:
+    """Words behind a run of characters that may hold several, each once: as the lattice breaks it, and from each letter on (up to the run's
+    end near it, and else no farther than beginnings reach)."""
+    word = restore(run, model)
+    out = [word[i:] if len(word) - i <= LONG else word[i : i + PREFIXES[-1] + 1] for i in range(max(1, len(word) - 2))]
+    return list(dict.fromkeys(out + decode(run, model, ANYWHERE)))
 
 
 def restored(token: str, model: np.ndarray) -> list[str]:
-    """Words behind one token of a text; [] if it holds no letter or sign for one. Very long tokens are cut at signs only."""
+    """Words behind one token of a text; [] if it holds no letter or sign for one. Pieces longer than LONG are cut at signs only; see `token_words`."""
     token = token.lower()
     if _PLAIN.fullmatch(token) and not _RUN.search(token):
         return [token]
@@ -160,19 +186,31 @@ def restored(token: str, model: np.ndarray) -> list[str]:
             out.append(bare)
             if bare == piece:
                 continue
-        if len(piece) > 64:
+        if len(piece) > LONG:
             out += [x for x in _PLAIN.findall(piece) if not _RUN.search(x)]
         elif any(c.isalpha() for c in piece) and (word := restore(piece, model)):
             out.append(word)
+            if _CHAIN.search(piece):
+                out += [x for x in decode(piece, model, AT_SIGNS) if x not in out]
+    return out
+
+
+def token_words(token: str, model: np.ndarray) -> list[str]:
+    """Words behind one token of any length: `restored`, and all words of its pieces longer than LONG."""
+    out = restored(token, model)
+    if len(token) > LONG:
+        for piece in _PIECE.findall(token.lower()):
+            if len(piece := _TAIL.sub("", piece)) > LONG:
+                out += run_words(piece, model)
+        out = list(dict.fromkeys(out))
     return out
 
 
 def spaced_words(text: str, model: np.ndarray) -> list[str]:
-    """Words spelled with a space after each letter, from each of their letters on."""
+    """Words spelled with a space after each letter: of the whole run."""
     out = []
     for m in _SPACED.finditer(text.replace("\n", " ")):
-        word = restore(m[0].replace(" ", "").lower()[:64], model)
-        out += [word[i:] for i in range(max(1, len(word) - 2))]
+        out += run_words(m[0].replace(" ", "").lower(), model)
     return out
 
 
@@ -191,7 +229,7 @@ class Scorer:
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
     def token(self, token: str) -> float:
-        w = max((self.word(x) for x in restored(token, self.model)), default=0.0)
+        w = max((self.word(x) for x in token_words(token, self.model)), default=0.0)
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         self.known[token] = w
@@ -231,7 +269,7 @@ def _weigh(sample: DataFrame, model: np.ndarray) -> dict[str, float]:
                 words = set(spaced_words(text or "", model))
                 for t in set((text or "").split()):
                     if t not in known:
-                        known[t] = restored(t, model)
+                        known[t] = token_words(t, model)
                     words.update(known[t])
                 for f in {f for w in words for f in features(w)}:
                     seen.setdefault(f, [0, 0])[toxic] += 1
