@@ -45,6 +45,40 @@ def test_whole_runs_and_long_pieces_are_decoded(model):
     assert {"stupid", "idiot"} <= set(restored("y0u_5tup1d.1d10t", model))
 
 
+@pytest.mark.parametrize(("token", "word"), [("iidiot", "idiot"), ("idiiot", "idiot"), ("sstupid", "stupid"), ("7#3", "the"), ("#3", "he")])
+def test_no_gate_before_the_lattice(model, token, word):
+    assert word in restored(token, model)
+
+
+def test_spaced_runs_of_three_and_all_states(model):
+    assert "the" in spaced_words("so t h e end", model) and spaced_words("so t h end", model) == []
+    # digits of many readings: more states than a beam of 40 holds
+    rng = np.random.default_rng(1)
+    other = np.log(rng.dirichlet(np.ones(SYMBOLS), SYMBOLS**3)).reshape(-1)
+    token = "1686!|"
+    best = max(((_cost(token, x, other), "".join(y)) for x in _readings(token) if (y := [c for c in x[0] if c])), default=None)
+    assert toxicity.restore(token, other) == best[1]
+
+
+def _readings(token):
+    """All (emitted symbols, channel cost) of a token of signs and digits without repeats."""
+    out = [((), 0.0)]
+    for c in token:
+        options = [(x, toxicity.AS_LETTER) for x in toxicity.LEET[c]]
+        options += [("", toxicity.PADDING), (c, toxicity.PADDING)] if c.isdigit() else [("", toxicity.PADDING / 2)]
+        out = [((*e, x), cost + more) for e, cost in out for x, more in options]
+    return out
+
+
+def _cost(token, reading, model):
+    a = b = d = 0
+    total = -reading[1]
+    for x in [toxicity._symbol(c) for c in reading[0] if c] + [0]:
+        total += float(model[((a * SYMBOLS + b) * SYMBOLS + d) * SYMBOLS + x])
+        a, b, d = b, d, x
+    return total
+
+
 def test_curve():
     rng = np.random.default_rng(15)
     x = np.column_stack([np.ones(4000), rng.normal(size=4000)])

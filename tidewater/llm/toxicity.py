@@ -49,10 +49,11 @@ LEET = {
 _EDGE = "\"'.,;:?!()[]{}<>*_~-|/\\#&%$@+=^`"
 _TAIL = re.compile(r"([^\w\s])\1{2,}$|[.,;:?!\"')\]}]+$")
 _RUN = re.compile(r"([a-z])\1\1")
+_REPEATED = re.compile(r"(.)\1")
 _SAME = re.compile(r"(.)\1*", re.DOTALL)
 _CHAIN = re.compile(r"\w[^\w\s]\w|[^\W_]_[^\W_]")
 _PLAIN = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<!\S)(?:[^\s] ){3,}[^\s](?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\s] ){2,}[^\s](?!\S)")
 _PIECE = re.compile(r"[^,;:?\"/\\()\[\]{}]+")
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -168,28 +169,27 @@ def run_words(run: str, model: np.ndarray) -> list[str]:
     end near it, and else no farther than beginnings reach)."""
     word = restore(run, model)
     out = [word[i:] if len(word) - i <= LONG else word[i : i + PREFIXES[-1] + 1] for i in range(max(1, len(word) - 2))]
-    return list(dict.fromkeys(out + decode(run, model, ANYWHERE)))
+    return [x for x in dict.fromkeys(out + decode(run, model, ANYWHERE)) if x]
 
 
 def restored(token: str, model: np.ndarray) -> list[str]:
     """Words behind one token of a text; [] if it holds no letter or sign for one. Pieces longer than LONG are cut at signs only; see `token_words`."""
     token = token.lower()
-    if _PLAIN.fullmatch(token) and not _RUN.search(token):
+    if _PLAIN.fullmatch(token) and not _REPEATED.search(token):
         return [token]
     out = []
     for piece in _PIECE.findall(token):
         piece = _TAIL.sub("", piece)
         bare = piece.strip(_EDGE)
-        if not bare:
-            continue
         if _PLAIN.fullmatch(bare) and not _RUN.search(bare):
             out.append(bare)
-            if bare == piece:
+            if bare == piece and not _REPEATED.search(bare):
                 continue
         if len(piece) > LONG:
             out += [x for x in _PLAIN.findall(piece) if not _RUN.search(x)]
-        elif any(c.isalpha() for c in piece) and (word := restore(piece, model)):
-            out.append(word)
+        elif any(c.isalpha() or c in LEET for c in piece) and (word := restore(piece, model)):
+            if word not in out:
+                out.append(word)
             if _CHAIN.search(piece):
                 out += [x for x in decode(piece, model, AT_SIGNS) if x not in out]
     return out
