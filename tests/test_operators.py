@@ -168,6 +168,17 @@ def test_text(spark):
     assert sorted(r.symbol for r in text.constituents(wiki, "id", "text").collect()) == ["AAPL", "BRK-B"]
 
 
+def test_constituents_of_all_templates_and_bare_cells(spark):
+    six = "{{NYSE|A}} {{NyseSymbol|BRK-B}} {{Nasdaq|C}} {{NasdaqSymbol|BF.B}} {{BATS|E}} {{NYSEAmerican|F}}"
+    many = " ".join(f"{{{{NYSE|{a}{b}}}}}" for a in "ABCDEFGHIJKLMNOPQRST" for b in "ABCDEFGHIJKLMNOPQRSTUVWX")
+    pages = spark.createDataFrame([(1, six), (2, "|-\n| GOOD\n|Some name\n|BRK.B \n{{NYSE|A}}"), (3, many + "\n| BARE\n")], "id int, text string")
+    got = {}
+    for r in text.constituents(pages, "id", "text").collect():
+        got.setdefault((r.id, r.plausible), set()).add(r.symbol)
+    assert got[(1, False)] == {"A", "BRK-B", "C", "BF-B", "E", "F"} and got[(2, False)] == {"A", "GOOD", "BRK-B"}
+    assert len(got) == 3 and len(got[(3, True)]) == 480 and "BARE" not in got[(3, True)]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "b.csv").write_text("symbol,dt,open,high,low,close,adj_close,volume\nA,2024-01-02,1,2,0.5,1.5,1.5,10\n")
     assert readers.bars_csv(spark, f"{tmp_path}/b.csv").first().volume == 10

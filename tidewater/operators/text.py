@@ -89,11 +89,16 @@ def coverage_audit(parsed: DataFrame, truth: DataFrame, key: str, value: str, by
     return j.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("_p").isNotNull(), 1.0).otherwise(0.0)).alias("parsed"), F.avg(F.when(F.col("_p").isNotNull(), (F.col("_p") == F.col("_t")).cast("double"))).alias("agree"))
 
 
-def constituents(pages: DataFrame, ident: str, text: str, templates: tuple[str, ...] = ("NyseSymbol", "NasdaqSymbol", "BATSSymbol")) -> DataFrame:
-    """Tickers of the symbol templates in a page, each once, before its section of changes."""
+def constituents(pages: DataFrame, ident: str, text: str, templates: tuple[str, ...] = ("NYSE", "NyseSymbol", "Nasdaq", "NasdaqSymbol", "BATS", "NYSEAmerican", "BATSSymbol")) -> DataFrame:
+    """ident, symbol, plausible: tickers of the symbol templates in a page, each once, before its section of changes. A page with fewer
+    than 100 of them also gives those in bare cells; `plausible` says whether it has 400 to 520 in all."""
     body = F.split(F.col(text), r"(?i)==\s*(?:selected |recent )?changes", 2)[0]
-    hit = F.expr("regexp_extract_all(_body, '(?i)\\\\{\\\\{\\\\s*(?:" + "|".join(templates) + ")\\\\s*\\\\|\\\\s*([A-Za-z.]+)', 1)")
-    return pages.withColumn("_body", body).select(ident, F.explode(F.array_distinct(F.transform(hit, lambda x: F.replace(F.upper(x), F.lit("."), F.lit("-"))))).alias("symbol"))
+    find = lambda p: F.array_distinct(F.transform(F.regexp_extract_all("_body", F.lit(p), F.lit(1)), lambda x: F.replace(x, F.lit("."), F.lit("-"))))
+    named = find(r"(?i:\{\{\s*(?:" + "|".join(templates) + r")\s*\|\s*)([A-Z][A-Z.\-]{0,6})\s*(?:\||\}\})")
+    bare = find(r"(?m)^\|\s*([A-Z]{1,5}(?:\.[A-Z])?)\s*$")
+    found = pages.withColumn("_body", body).withColumn("_named", named)
+    found = found.withColumn("_all", F.when(F.size("_named") < 100, F.array_union("_named", bare)).otherwise(F.col("_named")))
+    return found.select(ident, F.explode("_all").alias("symbol"), F.size("_all").between(400, 520).alias("plausible"))
 
 
 _MONTH = "(January|February|March|April|May|June|July|August|September|October|November|December)"
