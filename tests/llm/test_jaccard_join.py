@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidewater.llm.common import ship
-from tidewater.llm.jaccard_join import bands, components, connected, signatures
+from tidewater.llm.jaccard_join import _chunked, bands, components, connected, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -84,3 +84,20 @@ def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (5, 5)], "u long, v long")
     got = {r.node: r.label for r in connected(edges, "chain").collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_large_groups_are_cut(spark):
+    ship(spark)
+    texts = corpus(12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in components(docs, 5, 80, 100, group=2).collect()}
+    assert got == dict(enumerate(brute(texts, 5, 80, 100)[1]))
+    # one part with 300 members: no task gets them all, and all pairs whose sizes allow a link meet
+    rows = [(1, i, 100 if i < 100 else 40 + i // 2, b"") for i in range(300)] + [(2, i, 50, b"") for i in range(5)]
+    cut = _chunked(spark.createDataFrame(rows, "part long, node long, n_shingles long, bitmap binary"), 80, 100, 20).collect()
+    tasks, size = {}, {r[1]: r[2] for r in rows if r[0] == 1}
+    for r in cut:
+        tasks.setdefault((r.part, r.mine, r.other), {}).setdefault(r.chunk, []).append(r.node)
+    assert max(len(c) for t in tasks.values() for c in t.values()) <= 60 and sorted(x for t, c in tasks.items() if t[0] == 2 for x in c[0]) == list(range(5))
+    met = {(u, v) for (part, mine, other), c in tasks.items() if part == 1 for u in c[mine] for v in c[other]}
+    assert all((u, v) in met or (v, u) in met for u in range(300) for v in range(u) if min(size[u], size[v]) * 100 >= max(size[u], size[v]) * 80)

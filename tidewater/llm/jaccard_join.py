@@ -9,7 +9,8 @@ Texts become sets of distinct k-word shingles. Two texts link when den * |A & B|
 2. Equal digests are one class. Signatures travel packed, 5 bytes each, to buckets of bounded size. The classes that
    share a part are a group (equal groups count once); inside a group, token bitmaps ordered by size and OR-combined
    tile by tile leave the pairs whose largest possible overlap still allows a link, and enough of them to join all
-   such pairs make blocks (connected components).
+   such pairs make blocks (connected components). A large group is cut into bounded chunks by size, and each pair of
+   chunks is compared in its own task.
 3. Inside a block, a tree per chunk holds at each node the OR of its members' token bitmaps and their size range. A
    dual traversal of two trees drops node pairs whose sizes, or whose largest possible overlap, forbid a link, and
    node pairs already joined; what is left is compared exactly. Chunks are bounded in bytes; a block with several is
@@ -43,6 +44,8 @@ BAND = 1.6
 FANOUT = 8
 #: Members of a group whose bitmaps are OR-combined, and compared, together.
 TILE = 128
+#: Weight (a member's is 1, and 1 more for each 16,384 shingles) beyond which a group is cut into chunks of about so much.
+GROUP = 4096
 CHUNK_BYTES = 32 << 20
 #: Digests a task remembers so as not to name the parts of a copy again.
 SEEN = 200_000
@@ -204,17 +207,47 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFr
     return docs.select("text").mapInArrow(name, "bucket int, parts binary").groupBy("bucket").applyInArrow(meet, "part long, node long").dropDuplicates()
 
 
+def _chunked(groups: DataFrame, num: int, den: int, weight: int) -> DataFrame:
+    """Rows of `groups` (part, node, n_shingles, bitmap; written) with `mine`, `other` and `chunk`: each (part, mine, other) is to be compared
+    by itself. A group beyond `weight` is cut by size, and by a hash of the node within a size, into chunks of at most about three
+    times that; its chunks meet pair by pair unless their sizes forbid a link."""
+    each = 1 + F.floor(F.col("n_shingles") / 16_384)
+    whole = groups.withColumns({c: F.lit(0).cast("long") for c in ("mine", "other", "chunk")})
+    large = written(groups.groupBy("part").agg(F.sum(each).alias("all")).where(F.col("all") > weight).select("part"), "jaccard-large")
+    if large.isEmpty():
+        return whole
+    large = checked_broadcast(large, BROADCAST_ROWS)
+    # one row for each part and size, however many members have it
+    sizes = groups.join(large, "part", "left_semi").groupBy("part", "n_shingles").agg(F.sum(each).alias("all"))
+    before = F.coalesce(F.sum("all").over(Window.partitionBy("part").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("part", "n_shingles", F.floor(before / weight).alias("first"), F.ceil(F.col("all") / weight).alias("pieces"))
+    sizes = written(sizes, "jaccard-sizes")
+    spans = sizes.withColumn("chunk", F.explode(F.expr("sequence(first, first + pieces - 1)"))).groupBy("part", "chunk").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    spans = written(spans, "jaccard-spans")
+    left = spans.select("part", F.col("chunk").alias("mine"), "high")
+    right = spans.select("part", F.col("chunk").alias("other"), "low")
+    pairs = left.join(right, "part").where((F.col("mine") <= F.col("other")) & (F.col("low") * num <= F.col("high") * den))
+    pairs = pairs.select("part", "mine", "other", F.explode(F.array_distinct(F.array("mine", "other"))).alias("chunk"))
+    pairs = checked_broadcast(written(pairs, "jaccard-pairs"), BROADCAST_ROWS)
+    cut = groups.join(checked_broadcast(sizes, BROADCAST_ROWS), ["part", "n_shingles"])
+    cut = cut.withColumn("chunk", F.col("first") + F.pmod(F.xxhash64("node"), F.col("pieces"))).join(pairs, ["part", "chunk"])
+    return whole.join(large, "part", "left_anti").unionByName(cut.select(whole.columns))
+
+
 def _possible(num: int, den: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """(u, v) that join all members of a group whose bitmaps and sizes allow a link."""
-        frame = frame.sort_values(["n_shingles", "node"], kind="stable")
+        """(u, v) that join all members of a chunk, or all of one and of another, whose bitmaps and sizes allow a link."""
+        frame = frame.sort_values(["chunk", "n_shingles", "node"], kind="stable")
         maps, size, node = folded(frame["bitmap"].tolist()), frame["n_shingles"].to_numpy(), frame["node"].to_numpy()
         surplus = size - np.bitwise_count(maps).sum(1, dtype=np.int64)
         joined, links = Joined(len(node)), []
-        tiles = [slice(i, min(i + TILE, len(node))) for i in range(0, len(node), TILE)]
+        cut = int((frame["chunk"] == frame["chunk"].iloc[0]).sum())  # members of the first chunk
+        tiles = [slice(i, min(i + TILE, end)) for start, end in ((0, cut), (cut, len(node))) for i in range(start, end, TILE)]
+        second = -(-cut // TILE)
+        across = second < len(tiles)
         union = [np.bitwise_or.reduce(maps[t], axis=0) for t in tiles]
-        for i, a in enumerate(tiles):
-            for j in range(i, len(tiles)):
+        for i, a in enumerate(tiles[:second]):
+            for j in range(second if across else i, len(tiles)):
                 b = tiles[j]
                 if size[b][0] * num > size[a][-1] * den:
                     break  # sizes rise from tile to tile
@@ -394,7 +427,7 @@ def _shingles(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
 
-def components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, chunk_bytes: int = CHUNK_BYTES, group: int = GROUP) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = written(_sets(texts, k), "jaccard-sets")
@@ -403,8 +436,8 @@ def components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN,
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total * 5 * (den - num) / (den + num) / BUCKET) + 1)
     # one bitmap for each class, joined to the groups the class is in
     maps = sets.where("bitmap is not null").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap"))
-    groups = _groups(texts, k, num, den, buckets).join(maps, "node")
-    able = groups.groupBy("part").applyInPandas(_possible(num, den), "u long, v long")
+    groups = written(_groups(texts, k, num, den, buckets).join(maps, "node"), "jaccard-groups")
+    able = _chunked(groups, num, den, group).groupBy("part", "mine", "other").applyInPandas(_possible(num, den), "u long, v long")
     blocks = written(connected(able, "jaccard-candidates"), "jaccard-blocks")
 
     # the shingles of one document of each class in a block, hashed anew
