@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies with byte fallback.
 
-A text is cut where no merge can reach (before each run of word marks, and around characters that no longer
-piece holds), and each segment is encoded by a score-ordered agenda of adjacent symbol pairs: the best-scored
-pair merges first, ties go left. Short segments are merged many at a time, one agenda step of every segment
-per numpy round; long ones use a heap. Segments are remembered per worker (bounded), and each newly encoded
-segment is held against the sentencepiece library, batch by batch; a difference raises.
+A text is cut where no merge can reach (before each run of word marks, and between characters that no chain of
+pieces connects: letters and signs, or digits among themselves), and each segment is encoded by a score-ordered agenda of
+adjacent symbol pairs: the best-scored pair merges first, ties go left. Short segments are merged many at a time, one
+agenda step of every segment per numpy round; long ones use a heap. A worker remembers the segments it met last (two
+generations of bounded size), and each newly encoded segment is held against the sentencepiece library, batch by batch; a
+difference raises.
 
 Defined results: null and empty texts have no ids and decode to ''. Repeated rows are encoded each by itself.
 Only the id and text columns are read, so other columns may have any name.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -27,7 +29,8 @@ from sentencepiece import sentencepiece_model_pb2
 MARK = "▁"
 SHORT = 24
 NONE = np.iinfo(np.int64).max
-REMEMBERED = 300_000
+#: Segments in a generation of a worker's memory.
+REMEMBERED = 450_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -56,10 +59,31 @@ class PieceCodec:
         longer = [p for p in normal if len(p) > 1]
         if any(MARK in p.lstrip(MARK) for p in longer):
             raise ValueError("pieces that hold a word mark behind other characters are not supported")
-        line = "" if any("\n" in p for p in longer) else "\n"
-        self.segments = re.compile("|".join([line] * bool(line) + [f"{MARK}*[^{MARK}{line}]+", f"{MARK}+"]))
+        self._cutting(longer)
         self._pair_table()
 
+    def _cutting(self, longer: list[str]) -> None:
+        """The expression that finds segments. Characters side by side in some piece are of one group; no merge joins two groups."""
+        group: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while group.setdefault(c, c) != c:
+                c = group[c]
+            return c
+
+        for piece in longer:
+            for a, b in itertools.pairwise(piece.lstrip(MARK)):
+                group[root(a)] = root(b)
+        members: dict[str, list[str]] = {}
+        for c in sorted(group):
+            members.setdefault(root(c), []).append(re.escape(c))
+        runs = [f"[{''.join(m)}]+" for m in sorted(members.values(), key=len, reverse=True)]
+        alone = f"[^{MARK}{''.join(map(re.escape, sorted(group)))}]"
+        self.segments = re.compile(f"{MARK}*(?:{'|'.join([*runs, alone])})|{MARK}+", re.DOTALL)
+        self.apart = next((c for c in "\n\t\x01\x02" if c not in group), None)
+        if self.apart is None:
+            raise ValueError("a control character that no longer piece holds is needed")
+
     def _pair_table(self) -> None:
         """All (left piece, right piece) pairs whose join is a piece, as sorted 64-bit keys; priority is the rank of its score."""
         by_score = sorted(self.ids.items(), key=lambda x: -self.score[x[1]])
@@ -190,9 +214,9 @@ class PieceCodec:
         return self.decode_marked(ids).removeprefix(" ")
 
     def check(self, segments: list[str], ids: list[list[int]]) -> None:
-        """Raise if the library encodes a segment otherwise. A segment without a leading mark is shown to it behind a line break."""
-        shown = [x[1:] if x[0] == MARK else "\n" + x for x in segments]
-        skip = len(self.library.encode("\n"))
+        """Raise if the library encodes a segment otherwise. A segment without a leading mark is shown to it behind a character that joins nothing."""
+        shown = [x[1:] if x[0] == MARK else self.apart + x for x in segments]
+        skip = len(self.library.encode(self.apart))
         theirs = self.library.encode([x or " " for x in shown], num_threads=1)
         for x, y, a, b in zip(segments, shown, ids, theirs, strict=True):
             if y and a != (b if x[0] == MARK else b[skip:]):
@@ -200,35 +224,46 @@ class PieceCodec:
 
 
 class Remembered:
-    """Encodes batches of texts; keeps the ids, as decimal text, of up to REMEMBERED segments, and those whose decoded text differs from their own."""
+    """Encodes batches of texts; keeps the ids, as decimal text, of up to twice `most` segments, the longest unseen going first, and
+    those of them whose decoded text differs from their own."""
 
     def __init__(self, codec: PieceCodec, most: int = REMEMBERED):
         self.codec, self.most = codec, most
         self.ids: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.changed: dict[str, str] = {}
 
     def learn(self, segments: set[str]) -> None:
-        new = [x for x in segments if x not in self.ids]
-        if len(self.ids) + len(new) > self.most:
-            self.ids.clear()
-            self.changed.clear()
-            new = list(segments)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        """Afterwards `ids` has all `segments`."""
+        new = segments - self.ids.keys()
+        if len(self.ids) + len(new) > self.most and self.ids:
+            self.older, self.ids = self.ids, {}
+            self.changed = {x: y for x, y in self.changed.items() if x in self.older}
+            new = segments
+        older = self.older
+        fresh = []
+        for x in new:
+            if (known := older.get(x)) is None:
+                fresh.append(x)
+            else:
+                self.ids[x] = known
+        text = self.codec.text
+        for k in range(0, len(fresh), 20_000):
+            part = fresh[k : k + 20_000]
             ids = self.codec.encode_segments(part)
-            text = self.codec.text
             self.codec.check(part, ids)
             for x, y in zip(part, ids, strict=True):
                 self.ids[x] = ",".join(map(str, y))
-                if "".join([text[i] for i in y]) != x and (back := self.codec.decode_marked(y)) != (own := x.replace(MARK, " ")):
-                    self.changed[own] = back
+                if "".join([text[i] for i in y]) != x and (back := self.codec.decode_marked(y)) != x.replace(MARK, " "):
+                    self.changed[x] = back
 
     def digest(self, segments: list[str]) -> tuple[int, str, str]:
         """`segments` have been learned. Segments decode each by itself, so those that keep their text need no second look."""
-        known = self.ids
+        known, changed = self.ids, self.changed
         ids = ",".join([known[x] for x in segments])
-        decoded = "".join(segments).replace(MARK, " ") if not self.changed else "".join([self.changed.get(y, y) for x in segments for y in (x.replace(MARK, " "),)])
-        decoded = decoded[1:]
+        if changed and not changed.keys().isdisjoint(segments):
+            segments = [changed.get(x, x) for x in segments]
+        decoded = "".join(segments).replace(MARK, " ")[1:]
         n = ids.count(",") + 1 if ids else 0
         return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
@@ -278,10 +313,11 @@ def encode_ids(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(model_path)
         for batch in batches:
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                ids = codec.encode(text or "")
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for a, b in _groups(texts):
+                ids = [codec.encode(t) for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, 1).cast(pa.int64()), pa.array([ids], pa.list_(pa.int32())), pa.array([codec.decode(ids)], pa.string())],
+                    [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())],
                     names=["doc_id", "ids", "decoded"],
                 )
 
