@@ -1,7 +1,9 @@
 import random
 from datetime import date, timedelta
 
-from tidewater.llm.list_join import judge
+from pyspark.sql import functions as F
+
+from tidewater.llm.list_join import domains_of, host_of, judge
 
 
 def test_as_brute_force(spark):
@@ -32,3 +34,40 @@ def test_as_brute_force(spark):
     assert all(r.blocked == (r.n_entries > 0) for r in got)
     none = spark.createDataFrame([], "page_id long, url string, fetched date")
     assert judge(none, spark.createDataFrame(entries, "list string, domain string, day date, active boolean")).count() == 0
+
+
+HOSTS = {
+    "http://user:pw@evil.com/x": "evil.com",
+    "http://a@b@evil.com": "evil.com",
+    "https://EVIL.com./x": "evil.com",
+    "https://evil.com..:443?q=@good.org": "evil.com",
+    "http://evil.com\\@good.org/": "evil.com",
+    "http://good.org/@evil.com": "good.org",
+    "http://good.org?@evil.com": "good.org",
+    "http://good.org#@evil.com": "good.org",
+    "http://[2001:DB8::1]:80/": "[2001:db8::1]",
+    "http://1.2.3.4:8080": "1.2.3.4",
+    "ftp+x://m.evil.com:21": "m.evil.com",
+    "http:///path": None,
+    "http://:80/": None,
+    "http://user@/": None,
+    "evil.com/x": None,
+    "": None,
+    None: None,
+}
+
+
+def test_hosts(spark):
+    urls = [(u,) for u in HOSTS]
+    got = spark.createDataFrame(urls, "url string").select("url", host_of(F.col("url")).alias("host"), domains_of(host_of(F.col("url"))).alias("above")).collect()
+    assert {r.url: r.host for r in got} == HOSTS
+    above = {r.host: r.above for r in got}
+    assert above["1.2.3.4"] == ["1.2.3.4"] and above["m.evil.com"] == ["m.evil.com", "evil.com", "com"] and above["[2001:db8::1]"] == ["[2001:db8::1]"]
+
+
+def test_none_slips_by_its_spelling(spark):
+    day = date(2024, 1, 1)
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(HOSTS)], "page_id long, url string, fetched date")
+    entries = spark.createDataFrame([("l", "Evil.com.", day, True), ("l", ".", day, True), ("l", "3.4", day, True)], "list string, domain string, day date, active boolean")
+    got = {r.page_id: r.blocked for r in judge(captures, entries).collect()}
+    assert got == {i: bool(h and h.endswith("evil.com")) for i, h in enumerate(HOSTS.values())}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -21,29 +22,62 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (single machine only) an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a run on one machine (a local master) gets
+    an own one, and any other is refused: what is written to a machine's own disk would be lost to the others."""
     at = spark.conf.get(_SETTING, None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_SETTING} must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set(_SETTING, at)
     return at.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Have the file system remove what is under `path` when the driver ends."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, reads prune columns."""
+    """Write `df` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, reads prune columns.
+    The table goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
+    passing(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have yet, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """`df` (a written table) with a broadcast hint if it holds at most `max_rows` rows; beyond that the join shuffles."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def checked_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """`df` (a written table) with a broadcast hint if it holds at most so many rows and bytes; beyond that the join shuffles."""
+    sizes = [F.lit(8 * len(df.columns))]
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(field.name), F.lit(0)))
+        elif kind in ("array", "map"):
+            sizes.append(32 * F.greatest(F.size(field.name), F.lit(0)))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(functools.reduce(Column.__add__, sizes)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def gapless_slots(df: DataFrame, group: Column, order: list[str], salts: int) -> DataFrame:

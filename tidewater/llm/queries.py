@@ -57,9 +57,9 @@ def op4_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(*_list_tables(spark, sf_dir))
 
 
-_OP4_SQL = """
+_OP4_SQL = r"""
 with pages2 as (
-  select page_id, lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), '')) as host,
+  select page_id, lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#\\]*@)?(\[[^/?#\\\]]*\]|[^/?#\\:@\[\]]*?)\.*(?::[^/?#\\]*)?(?:[/?#\\]|$)', 1), '')) as host,
          cast(date '2023-01-01' + cast(cast('0x' || substr(md5(url), 1, 8) as bigint) % 730 as integer) as date) as fetched
   from pages),
 hosts as (select distinct host from pages2 where host is not null),
@@ -79,7 +79,7 @@ spans as (
     select list, domain, day as since, active, lead(day) over (partition by list, domain order by day) as until from changed where active != was) where active),
 above as (
   select distinct host, fetched, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') as domain
-  from pages2, unnest(range(1, len(string_split(host, '.')) + 1)) as t(i) where host is not null and fetched is not null),
+  from pages2, unnest(range(1, if(regexp_matches(host, '^(\[.*|[0-9.]+)$'), 1, len(string_split(host, '.'))) + 1)) as t(i) where host is not null and fetched is not null),
 found as (
   select host, fetched, string_agg(distinct list, ',' order by list) as lists, count(*) as n_entries
   from above join spans using (domain) where since <= fetched and (until is null or fetched < until) group by all)
@@ -118,15 +118,14 @@ def op8_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     import public_tokenizers
 
     from .wavelet import FILE_SCHEMA, read_shards, write_shards
 
     common.ship(spark)
-    path = f"{common.shared_dir(spark)}/wavelet-{uuid.uuid4().hex[:12]}"
+    path = common.shared_path(spark, "wavelet")
     write_shards(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2, path)
+    common.passing(spark, path)
     return read_shards(spark.read.schema(FILE_SCHEMA).parquet(path))
 
 
