@@ -3,16 +3,17 @@ import random
 import re
 from collections import defaultdict
 
-from tidewater.llm.length_buckets import bin_of, boundaries, pack
 from pyspark.sql import functions as F
 
+from tidewater.llm.length_buckets import boundaries, pack
+
 
 def test_boundaries_are_the_best():
     rng = random.Random(11)
-    for _ in range(60):
-        edges = sorted(rng.sample(range(0, 60), rng.randint(1, 8)))
-        counts = [rng.randint(1, 9) for _ in edges]
-        buckets = rng.randint(1, 5)
+    for trial in range(300):
+        edges = sorted(rng.sample(range(0, 60), rng.randint(1, 10)) if trial % 3 else rng.sample(range(4000, 90_000), 7))
+        counts = [rng.randint(1, rng.choice((2, 9, 10_000))) for _ in edges]
+        buckets = rng.randint(1, 6)
 
         def cost(cuts, edges=edges, counts=counts):
             return sum(n * min(c for c in cuts if c >= e) for e, n in zip(edges, counts, strict=True))
@@ -44,8 +45,20 @@ def test_places(spark):
     assert all(sorted(x) == list(range(len(x))) for x in numbers.values())
 
 
-def test_bins_and_empty_tables(spark):
-    rows = spark.range(1, 300_000, 37).select("id", bin_of(F.col("id")).alias("edge")).collect()
-    assert all(r.id <= r.edge <= r.id * 65 // 64 + 1 for r in rows) and all(r.id == r.edge for r in rows if r.id <= 4096)
+def test_long_documents_are_padded_no_more_than_they_must(spark):
+    lengths = [4097, 4098, 4099, 5000, 5001, 9999, 70_001]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long")
+    assert [r.padding for r in pack(docs, buckets=8, length=F.col("n")).collect()] == [0] * 7
+    assert sum(r.padding for r in pack(docs, buckets=4, length=F.col("n")).collect()) == 2 + 1 + 1
+    assert sum(r.padding for r in pack(docs, buckets=1, length=F.col("n")).collect()) == sum(70_001 - n for n in lengths)
+
+
+def test_many_lengths_in_little_time():
+    rng = random.Random(5)
+    edges = sorted(rng.sample(range(10_000_000), 50_000))
+    assert len(boundaries(edges, [rng.randint(1, 100) for _ in edges], 8)) == 8
+
+
+def test_empty_tables(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert pack(spark.createDataFrame([(None, None), (1, None), (1, None)], "doc_id long, text string")).count() == 3

@@ -1,8 +1,10 @@
 """Packing into length buckets whose boundaries are optimal for the corpus.
 
-Lengths (words here; any whole number) are counted over all documents into a histogram: exact up to EXACT, above that
-in bins of 1/64 of their size, so the driver sees a bounded number of bins. Dynamic programming over the histogram
-picks the `buckets` boundaries with the fewest padded tokens (each document is padded to the boundary of its bucket).
+Lengths (words, unless a length column is given; any whole number) are counted over all documents into an exact
+histogram. It comes to the driver: lengths that differ sum to no more than all words do, so there are at most
+sqrt(2 * words) of them (5.5 million for 1.5e13 words). Dynamic programming over it picks the `buckets` boundaries, each a
+length that occurs, with the fewest padded tokens (each document is padded to the boundary of its bucket). The best
+earlier boundary is a minimum over straight lines, whose lower hull is kept, so a bucket takes one pass over the histogram.
 Inside a bucket documents are numbered without gaps and cut into batches of budget // boundary rows, at least one.
 
 Defined results: null and empty texts have length 0 and go to the first bucket. Repeated rows take places of their
@@ -11,9 +13,9 @@ own. Of equally good boundaries the smaller is taken. An empty table has no batc
 
 from __future__ import annotations
 
+import itertools
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,6 @@ from .common import gapless_slots, written
 
 BUCKETS = 8
 BUDGET = 65_536
-EXACT = 4096
 #: Rows that one task numbers.
 ROWS = 1_000_000
 
@@ -31,31 +32,35 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")
 
 
-def bin_of(length: Column) -> Column:
-    """Upper edge of a length's bin."""
-    step = F.greatest(F.lit(1), F.floor(F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 6))).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step).cast("long") * step)
-
-
 def boundaries(edges: list[int], counts: list[int], buckets: int) -> list[int]:
     """The boundaries (`buckets` of the sorted `edges`, or all if fewer; the last is among them) with the fewest padded tokens."""
     n = len(edges)
     if not n:
         return []
-    edge, below = np.array(edges, float), np.concatenate(([0.0], np.cumsum(np.array(counts, float))))
-    best = edge * below[1:]  # one bucket up to each edge
-    before: list[np.ndarray] = []
+    below = list(itertools.accumulate(counts))
+    best = [e * c for e, c in zip(edges, below, strict=True)]  # one bucket up to each edge
+    before: list[list[int]] = []
     for used in range(1, min(buckets, n)):
-        now, where = np.full(n, np.inf), np.zeros(n, np.int64)
+        # with the bucket before ending at i, edge j costs best[i] - edges[j] * below[i], and edges[j] * below[j] whatever i is
+        hull: list[int] = []
+        now, where, first = [0] * n, [0] * n, 0
         for j in range(used, n):
-            cost = best[:j] + edge[j] * (below[j + 1] - below[1 : j + 1])
-            where[j] = cost.argmin()
-            now[j] = cost[where[j]]
+            i = j - 1
+            while len(hull) - first > 1:
+                a, b = hull[-2], hull[-1]
+                if (best[i] - best[a]) * (below[b] - below[a]) >= (best[b] - best[a]) * (below[i] - below[a]):
+                    break
+                hull.pop()
+            hull.append(i)
+            while first + 1 < len(hull) and best[hull[first + 1]] - edges[j] * below[hull[first + 1]] < best[hull[first]] - edges[j] * below[hull[first]]:
+                first += 1
+            where[j] = hull[first]
+            now[j] = best[hull[first]] + edges[j] * (below[j] - below[hull[first]])
         before.append(where)
         best = now
     out, j = [edges[n - 1]], n - 1
     for where in reversed(before):
-        j = int(where[j])
+        j = where[j]
         out.append(edges[j])
     return out[::-1]
 
@@ -65,12 +70,11 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length:
     spark = docs.sparkSession
     n = words(F.col("text").cast("string")) if length is None else length.cast("long")
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_tokens")), "lengths")
-    histogram = rows.groupBy(bin_of(F.col("n_tokens")).alias("edge")).count().orderBy("edge").collect()
-    cuts = boundaries([r["edge"] for r in histogram], [r["count"] for r in histogram], buckets)
+    histogram = rows.groupBy("n_tokens").count().toArrow().sort_by("n_tokens")
+    cuts = boundaries(histogram["n_tokens"].to_pylist(), histogram["count"].to_pylist(), buckets)
     edges = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array(F.lit(0).cast("long"))
-    at = bin_of(F.col("n_tokens"))
-    bucket = F.size(F.filter(edges, lambda e: e < at))
-    total = sum(r["count"] for r in histogram)
+    bucket = F.size(F.filter(edges, lambda e: e < F.col("n_tokens")))
+    total = sum(histogram["count"].to_pylist())
     placed = gapless_slots(rows.withColumn("bucket", bucket), F.col("bucket"), ["doc_id", "n_tokens"], max(32, math.ceil(total / ROWS)))
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("boundary"), F.lit(1))))
     return (
