@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 
 from tidewater.llm.common import ship
-from tidewater.llm.quality import choose, count_texts, judge, tail
+from tidewater.llm import quality
+from tidewater.llm.quality import RULES, choose, count_texts, counts, cutoffs, judge, report, tail
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -71,3 +72,42 @@ def test_judge(spark):
         assert r.base_failed == (n < 20 or 100 * rep > 30 * n)
     assert judge(docs.limit(0), labels).count() == 0
     assert judge(docs.withColumn("lang", docs.lang.substr(9, 1)).limit(5), labels.limit(0)).count() == 5
+
+
+def test_cutoffs_as_brute_force_and_copies_count_once(spark):
+    ship(spark)
+    rng = random.Random(6)
+    docs, labels = [], []
+    for lang, share in (("en", 0.002), ("de", 0.0005), (None, 0.0)):
+        for i in range(3600):
+            words = [rng.choice("abcdefgh") * rng.randint(1, 6) + ("*" * rng.randint(1, 4) if rng.random() < share * 40 or i % 4 == 0 else "") for _ in range(rng.choice([10, 30, 60]))]
+            docs.append((len(docs), " ".join(words), lang))
+            labels.append((len(docs) - 1, int(i % 4 != 0)))
+    for i in range(0, 4000, 5):  # copies, labelled too
+        docs.append((len(docs), docs[i][1], docs[i][2]))
+        labels.append((len(docs) - 1, labels[i][1]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    label = spark.createDataFrame([*labels, labels[0]], "doc_id long, quality int")
+    found = counts(frame, "lang")
+    got = {r["_stratum"]: {x: r[f"_{x}"] for x in RULES if r[f"_{x}"] is not None} for r in cutoffs(found, label).collect()}
+
+    best = {}
+    for i, q in labels:
+        key = (docs[i][2] or "(null)", docs[i][1])
+        best[key] = max(q, best.get(key, 0))
+    texts = list(best)
+    n = count_texts([t.encode() for _, t in texts])
+    stands = [k for k in range(len(texts)) if n["n_words"][k] >= 20 and 100 * n["n_repeat_words"][k] <= 30 * n["n_words"][k]]
+    want = {}
+    for lang in ("en", "de", "(null)"):
+        mine = [k for k in stands if texts[k][0] == lang]
+        good = [k for k in mine if best[texts[k]]]
+        for rule, (value, cuts) in RULES.items():
+            top, bottom = value.split(" / ")
+            v = {k: n[top][k] / n[bottom][k] if n[bottom][k] else 0.0 for k in mine}
+            at = choose(len(good), [sum(v[k] > c for k in good) for c in cuts], [sum(v[k] > c for k in mine if not best[texts[k]]) for c in cuts], quality.LIMIT / len(RULES), quality.DELTA / (3 * len(RULES)))
+            if at is not None:
+                want.setdefault(lang, {})[rule] = cuts[at]
+    assert got == want and want
+    told = {r.stratum: r for r in report(frame, label).collect()}
+    assert sum(r.good for r in told.values()) == sum(best.values()) and all(r.rejected_by_cutoffs <= 0.02 * r.good for r in told.values()) and any(r.rejected_by_base for r in told.values())

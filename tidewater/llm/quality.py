@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import checked_broadcast, written
 from .wordhash import SPACES, rolling, words_at
 
 WINDOW = 8
@@ -31,6 +31,9 @@ LIMIT = 0.02
 DELTA = 0.05
 ENOUGH = 0.99
 
+#: Strata with cutoffs whose table may be broadcast.
+BROADCAST_ROWS = 20_000
+
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_bangs"]
 
 #: Rule: its value as SQL over the counts, and its cutoffs from lenient to strict.
@@ -92,16 +95,17 @@ def count_texts(texts: list[bytes | None]) -> dict[str, np.ndarray]:
 
 
 def counts(docs: DataFrame, stratum: str | None) -> DataFrame:
-    """doc_id, stratum and the counts of every whole text."""
+    """doc_id, stratum, a hash of the text, and the counts of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = count_texts(batch.column(2).cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[c]) for c in _COUNTS)], names=["doc_id", "stratum", *_COUNTS])
+            found = count_texts(batch.column(3).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[c]) for c in _COUNTS)], names=["doc_id", "stratum", "hash", *_COUNTS])
 
     kind = F.lit("all") if stratum is None else F.coalesce(F.col(stratum).cast("string"), F.lit("(null)"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), kind.alias("stratum"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), kind.alias("stratum"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, stratum string, hash long, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def tail(rejected: int, n: int, p: float) -> float:
@@ -132,52 +136,69 @@ def _value(rule: str) -> F.Column:
     return F.coalesce(F.expr(RULES[rule][0].replace(" / ", " / nullif(") + ", 0)"), F.lit(0.0))
 
 
-def cutoffs(found: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> list[tuple[str, str, float]]:
-    """(stratum, rule, cutoff) from labelled rows; `found` has the counts. Strata are taken to be few (languages, kinds)."""
+def _fails_base() -> F.Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+def _labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct labelled texts of each stratum: their counts and quality."""
     label = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    return found.join(label, "doc_id").groupBy("stratum", "hash").agg(F.max("quality").alias("quality"), *(F.first(c).alias(c) for c in _COUNTS))
+
+
+def cutoffs(found: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
+    """stratum and its cutoff for each rule (null: none), from labelled rows; `found` has the counts. A stratum gets a cutoff only with
+    more than 1 / limit good labels, so strata that come to the driver, one after the other, are bounded by the labels."""
+    spark = found.sparkSession
     each = [
         F.sum(F.when((F.col("quality") == q) & (_value(r) > c), 1).otherwise(0)).alias(f"{r}_{k}_{q}")
         for r, (_, cuts) in RULES.items() for k, c in enumerate(cuts) for q in (0, 1)
     ]
-    rows = found.join(label, "doc_id").groupBy("stratum").agg(F.sum("quality").alias("good"), *each).collect()
-    level = delta / max(1, len(rows) * len(RULES))
+    sums = written(_labelled(found, labels).where(~_fails_base()).groupBy("stratum").agg(F.sum("quality").alias("good"), *each), "quality-sums")
+    level, share = delta / max(1, sums.count() * len(RULES)), limit / len(RULES)
     out = []
-    for row in rows:
+    for row in sums.where((F.col("good") + 1) * -math.log1p(-share) >= -math.log(level)).toLocalIterator():
+        chosen = []
         for r, (_, cuts) in RULES.items():
-            at = choose(row["good"], [row[f"{r}_{k}_1"] for k in range(len(cuts))], [row[f"{r}_{k}_0"] for k in range(len(cuts))], limit / len(RULES), level)
-            if at is not None:
-                out.append((row["stratum"], r, cuts[at]))
-    return out
+            at = choose(row["good"], [row[f"{r}_{k}_1"] for k in range(len(cuts))], [row[f"{r}_{k}_0"] for k in range(len(cuts))], share, level)
+            chosen.append(None if at is None else cuts[at])
+        if any(c is not None for c in chosen):
+            out.append((row["stratum"], *chosen))
+    return spark.createDataFrame(out, "_stratum string, " + ", ".join(f"_{r} double" for r in RULES))
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
-    """Per row of `docs`: the counts, base_failed, the rules broken (`broken`, sorted and comma-joined) and `kept`."""
-    spark = docs.sparkSession
-    found = written(counts(docs, stratum), "quality")
-    chosen = cutoffs(found, labels, limit, delta)
-    by_stratum: dict[str, dict[str, float]] = {}
-    for s, r, c in chosen:
-        by_stratum.setdefault(s, {})[r] = c
-    table = spark.createDataFrame(
-        [(s, *(cuts.get(r) for r in RULES)) for s, cuts in by_stratum.items()], "_stratum string, " + ", ".join(f"_{r} double" for r in RULES)
-    )
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+def _judged(found: DataFrame, chosen: DataFrame) -> DataFrame:
+    """`found` with base_failed, broken and kept."""
     broken = F.array_compact(F.array(*(F.when(_value(r) > F.col(f"_{r}"), F.lit(r)) for r in sorted(RULES))))
     return (
-        found.join(F.broadcast(table), F.col("stratum") == F.col("_stratum"), "left")
-        .withColumn("base_failed", base)
+        found.join(checked_broadcast(chosen, BROADCAST_ROWS), F.col("stratum") == F.col("_stratum"), "left")
+        .withColumn("base_failed", _fails_base())
         .withColumn("broken", F.array_join(broken, ","))
         .withColumn("kept", ~F.col("base_failed") & (F.col("broken") == ""))
-        .select("doc_id", "stratum", *_COUNTS, "base_failed", "broken", "kept")
+        .drop("_stratum", *(f"_{r}" for r in RULES))
+    )
+
+
+def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
+    """Per row of `docs`: the counts, base_failed, the rules broken (`broken`, sorted and comma-joined) and `kept`."""
+    found = written(counts(docs, stratum), "quality")
+    return _judged(found, cutoffs(found, labels, limit, delta)).select("doc_id", "stratum", *_COUNTS, "base_failed", "broken", "kept")
+
+
+def report(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
+    """Per stratum over distinct labelled texts: how many are good, and how many of those the base rule and, behind it, the cutoffs reject."""
+    found = written(counts(docs, stratum), "quality")
+    good = _judged(_labelled(found, labels).where("quality = 1"), cutoffs(found, labels, limit, delta))
+    return good.groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("good"), F.count_if("base_failed").alias("rejected_by_base"), F.count_if(~F.col("base_failed") & ~F.col("kept")).alias("rejected_by_cutoffs")
     )
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
     """The rows of `docs` that `judge` keeps, with all their columns; the texts are counted again where they lie instead of being joined."""
     found = written(counts(docs, stratum), "quality")
-    chosen: dict[str, dict[str, float]] = {}
-    for s, r, c in cutoffs(found, labels, limit, delta):
-        chosen.setdefault(s, {})[r] = c
+    rows = cutoffs(found, labels, limit, delta).collect()
+    chosen = {row["_stratum"]: {r: row[f"_{r}"] for r in RULES if row[f"_{r}"] is not None} for row in rows}
     at, of = docs.columns.index("text"), None if stratum is None else docs.columns.index(stratum)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
