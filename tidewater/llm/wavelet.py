@@ -308,9 +308,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, s
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("file", pa.binary())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    by = ["doc_id"]
+    # rows that share an id, or have none, are in order of their text's hash, so that they too spread over partitions
+    by = ["doc_id", F.xxhash64(F.col("text").cast("string"))]
     rows = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
-    rows.sortWithinPartitions("doc_id", "text").mapInArrow(run, FILE_SCHEMA).write.parquet(path)
+    rows.sortWithinPartitions(*by).mapInArrow(run, FILE_SCHEMA).write.parquet(path)
 
 
 def read_shards(files: DataFrame) -> DataFrame:
@@ -334,8 +335,13 @@ def read_shards(files: DataFrame) -> DataFrame:
                     names=["part", "seq", "k", "doc_id", "local", "n_tokens", "ids_crc32"],
                 )
 
-    # one row per file: a few megabytes of ids each, so this window is over (input / SHARD_TOKENS) short rows
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))
+    # ids before each part, then before each file of a part: no task sees more than one row for each partition that wrote files
+    def before(by: Window) -> Window:
+        return by.rowsBetween(Window.unboundedPreceding, -1)
+
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("all"))
+    parts = parts.select("part", F.coalesce(F.sum("all").over(before(Window.orderBy("part"))), F.lit(0)).alias("from"))
+    inside = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("part").orderBy("seq"))), F.lit(0))
+    offsets = files.select("part", "seq", inside.alias("in_part")).join(parts, "part").select("part", "seq", (F.col("from") + F.col("in_part")).alias("offset"))
     read = files.select("part", "seq", "file").mapInArrow(run, DOC_SCHEMA)
     return read.join(offsets, ["part", "seq"]).select("doc_id", (F.col("offset") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
