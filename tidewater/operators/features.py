@@ -25,20 +25,21 @@ def over_positive(a: Column, b: Column) -> Column:
 
 def price_features(bars: DataFrame) -> DataFrame:
     """Lag returns, moving averages, ranges, realised volatility, true range and momentum. Averages of closes allow short
-    histories; volatility needs 20 returns, ATR 14 true ranges (a true range needs a previous close)."""
+    histories; volatility needs 20 returns, ATR 14 true ranges (a true range needs a previous close). The extremes of a year are on
+    the adjusted basis, the prior extremes of 20 bars on that of the quotes, against which breaks are judged."""
     w = by_symbol()
     factor = F.when(F.col("close") != 0, F.col("adj_close") / F.col("close"))
     df = bars.withColumn("_prev", F.lag("adj_close").over(w)).withColumn("_pc", F.lag("close").over(w)).withColumn("bar_num", F.row_number().over(w))
     df = df.withColumn("ret_1d", over_positive(F.col("adj_close"), F.col("_prev")) - 1)
     df = df.withColumn("gap_pct", over_positive(F.col("open"), F.col("_pc")) - 1)
-    df = df.withColumn("range_pct", over_positive(F.col("high") - F.col("low"), F.col("close")))
+    df = df.withColumn("range_pct", over_positive(F.col("high") - F.col("low"), F.col("low")))
     df = df.withColumn("_tr", F.when(F.col("_pc").isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc")))))
     df = df.withColumn("_ah", F.col("high") * factor).withColumn("_al", F.col("low") * factor)
     for n in (20, 50, 200):
         df = df.withColumn(f"sma_{n}", F.avg("adj_close").over(last_rows(n)))
     df = df.withColumn("avg_vol_20", F.avg(F.col("volume").cast("double")).over(last_rows(20)))
     df = df.withColumn("high_252", F.max("_ah").over(last_rows(252))).withColumn("low_252", F.min("_al").over(last_rows(252)))
-    df = df.withColumn("prior_high_20", F.max("_ah").over(w.rowsBetween(-20, -1))).withColumn("prior_low_20", F.min("_al").over(w.rowsBetween(-20, -1)))
+    df = df.withColumn("prior_high_20", F.max("high").over(w.rowsBetween(-20, -1))).withColumn("prior_low_20", F.min("low").over(w.rowsBetween(-20, -1)))
     mean, square, n = (f(x).over(last_rows(20)) for f, x in ((F.avg, F.col("ret_1d")), (F.avg, F.col("ret_1d") * F.col("ret_1d")), (F.count, F.col("ret_1d"))))
     df = df.withColumn("_v", F.when(n == 20, square - mean * mean))
     df = df.withColumn("vol_20", F.when(F.col("_v") > 0, F.sqrt("_v") * F.sqrt(F.lit(252.0))))
@@ -52,7 +53,7 @@ def price_features(bars: DataFrame) -> DataFrame:
         "prior_high_20", "prior_low_20", "vol_20", "atr_14", over_positive(F.col("atr_14"), F.col("close")).alias("atr_pct"),
         "mom_5", "mom_21", "mom_63", "mom_126",
         F.when(F.col("adj_close") > F.col("sma_200"), 1).otherwise(0).alias("above_sma_200"), F.when(F.col("sma_50") > F.col("sma_200"), 1).otherwise(0).alias("sma_50_over_200"),
-        (over_positive(F.col("adj_close"), F.col("sma_20")) - 1).alias("dist_sma_20"),
+        *((over_positive(F.col("adj_close"), F.col(f"sma_{n}")) - 1).alias(f"dist_sma_{n}") for n in (20, 50, 200)),
     )
 
 
@@ -72,12 +73,14 @@ def quantile_bucket(value: str, by: list[str], q: int, tie: list[str]) -> Column
 
 
 def forward_labels(bars: DataFrame, cost: float = 0.0014) -> DataFrame:
-    """Returns after 1, 5 and 21 own sessions from the close and from the next open, net of `cost`; worst and best of the next 5."""
+    """Returns after 1, 5 and 21 own sessions from the close and from the next open, net of `cost`; worst and best of the next 5 on
+    the basis of the quotes, and (`_adj`) on the adjusted one, which a split or dividend inside the 5 sessions does not move."""
     w = by_symbol()
     adj_open = F.when(F.col("close") != 0, F.col("open") * F.col("adj_close") / F.col("close"))
     df = bars.withColumn("_o", F.lead(adj_open, 1).over(w))
     f = F.when(F.col("close") != 0, F.col("adj_close") / F.col("close"))
-    df = df.withColumn("_h", F.max(F.col("high") * f).over(w.rowsBetween(1, 5))).withColumn("_l", F.min(F.col("low") * f).over(w.rowsBetween(1, 5)))
+    next5 = w.rowsBetween(1, 5)
+    df = df.withColumns({"_h": F.max("high").over(next5), "_l": F.min("low").over(next5), "_ha": F.max(F.col("high") * f).over(next5), "_la": F.min(F.col("low") * f).over(next5)})
     out = df
     for n in (1, 5, 21):
         ahead = F.lead("adj_close", n).over(w)
@@ -85,9 +88,21 @@ def forward_labels(bars: DataFrame, cost: float = 0.0014) -> DataFrame:
     return out.select(
         "symbol", "dt", "fwd_1", "fwd_5", "fwd_21", (F.col("fwd_5") - cost).alias("net_5"), F.when(F.col("fwd_5").isNotNull(), (F.col("fwd_5") - cost > 0).cast("int")).alias("win_5"),
         "open_fwd_1", "open_fwd_5", "open_fwd_21", (over_positive(F.col("_l"), F.col("adj_close")) - 1).alias("mae_5"), (over_positive(F.col("_h"), F.col("adj_close")) - 1).alias("mfe_5"),
+        (over_positive(F.col("_la"), F.col("adj_close")) - 1).alias("mae_5_adj"), (over_positive(F.col("_ha"), F.col("adj_close")) - 1).alias("mfe_5_adj"),
     )
 
 
+def abnormal_return(bars: DataFrame, benchmark: DataFrame, hold: int = 5) -> DataFrame:
+    """symbol, dt, fwd, abnormal: from the next own session's open to the close `hold` own sessions on, and that less the benchmark's
+    return from its next open to its close `hold` of its sessions on. `benchmark` has dt, open, close, adj_close: one row a day."""
+    def forward(df: DataFrame, w: WindowSpec) -> Column:
+        adj_open = over_positive(F.col("open") * F.col("adj_close"), F.col("close"))
+        return over_positive(F.lead("adj_close", hold).over(w), F.lead(adj_open, 1).over(w)) - 1
+
+    bench = benchmark.select("dt", forward(benchmark, Window.orderBy("dt")).alias("_b"))  # a date-level series
+    return bars.withColumn("fwd", forward(bars, by_symbol())).join(bench, "dt", "left").select("symbol", "dt", "fwd", (F.col("fwd") - F.col("_b")).alias("abnormal"))
+
+
 def calendar(bars: DataFrame) -> DataFrame:
     """dt, day_index (dense from 0), year, month, dow, of observed days. One row a day: small whatever the panel's width."""
     w = Window.orderBy("dt")

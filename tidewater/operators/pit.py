@@ -122,7 +122,8 @@ def basis_audit(transform: Callable[[DataFrame], DataFrame], df: DataFrame, keys
 
 
 def future_swap_audit(rules: Callable[[DataFrame], DataFrame], bars: DataFrame, k: int) -> DataFrame:
-    """Rule firings up to bar k that change when the bars behind k are those of the symbol's session before."""
+    """Rule firings up to bar k that change when the bars behind k are those of the symbol's session before. `rules` should take what it
+    needs of earlier sessions (a previous close) from elsewhere than these bars."""
     other = bars.select("symbol", "session").distinct().withColumn("donor", F.lag("session").over(Window.partitionBy("symbol").orderBy("session"))).where("donor is not null")
     late = bars.where(F.col("bar") > k).withColumnRenamed("session", "donor").join(other, ["symbol", "donor"]).drop("donor")
     swapped = bars.where(F.col("bar") <= k).join(other.select("symbol", "session"), ["symbol", "session"], "left_semi").unionByName(late)

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 
-
 def by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("dt")
 
@@ -58,7 +57,7 @@ def blocks(bars: DataFrame) -> DataFrame:
     a, c, h, low, o, v = (F.col(x) for x in ("adj_close", "close", "high", "low", "open", "volume"))
     pc = F.lag("close").over(by_symbol())
     df = bars.withColumn("prev_close", pc).withColumn("prev_open", F.lag("open").over(by_symbol())).withColumn("prev_high", F.lag("high").over(by_symbol())).withColumn("prev_low", F.lag("low").over(by_symbol()))
-    df = df.withColumn("adj_ret", a / F.lag("adj_close").over(by_symbol()) - 1).withColumn("tr", F.greatest(h - low, F.abs(h - pc), F.abs(low - pc)))
+    df = df.withColumn("adj_ret", F.try_divide(a, F.lag("adj_close").over(by_symbol())) - 1).withColumn("tr", F.greatest(h - low, F.abs(h - pc), F.abs(low - pc)))
     for n in (20, 50, 100, 200):
         df = df.withColumn(f"sma{n}", full(F.avg, a, n))
     df = df.withColumn("sd20", full(F.stddev_samp, a, 20)).withColumn("atr14", full(F.avg, F.col("tr"), 14)).withColumn("vol20", full(F.avg, v.cast("double"), 20))
@@ -132,8 +131,8 @@ REGISTRY: dict[str, Callable[[], Column]] = {
     "three_white_soldiers": lambda: _up() & _up(1) & _up(2) & (_c("close") > before(_c("close"))) & (before(_c("close")) > before(_c("close"), 2)),
     "inside_bar": lambda: (_c("high") < _c("prev_high")) & (_c("low") > _c("prev_low")),
     "outside_bar_up": lambda: (_c("high") > _c("prev_high")) & (_c("low") < _c("prev_low")) & _up(),
-    "gap_up_2pct": lambda: _c("open") / _c("prev_close") - 1 > 0.02,
-    "gap_down_2pct": lambda: _c("open") / _c("prev_close") - 1 < -0.02,
+    "gap_up_2pct": lambda: F.try_divide(_c("open"), _c("prev_close")) - 1 > 0.02,
+    "gap_down_2pct": lambda: F.try_divide(_c("open"), _c("prev_close")) - 1 < -0.02,
     "volume_spike_up": lambda: (_c("volume") > 2 * _c("vol20")) & _up(),
     "volume_dryup": lambda: _c("volume") < 0.5 * _c("vol20"),
     "three_down_days": lambda: (_c("adj_close") < before(_c("adj_close"))) & (before(_c("adj_close")) < before(_c("adj_close"), 2)) & (before(_c("adj_close"), 2) < before(_c("adj_close"), 3)),
@@ -165,7 +164,7 @@ def long_form(bars: DataFrame, names: list[str] | None = None, custom: dict[str,
 
 def squeeze(bars: DataFrame) -> DataFrame:
     """bollinger_squeeze: band width at or under the 10th percentile of its last 120 values."""
-    df = blocks(bars).withColumn("width", 4 * F.col("sd20") / F.col("sma20"))
+    df = blocks(bars).withColumn("width", F.try_divide(4 * F.col("sd20"), F.col("sma20")))
     w = by_symbol().rowsBetween(-119, 0)
     cut = F.when(F.count("width").over(w) == 120, F.percentile("width", F.lit(0.1)).over(w))
     return df.select(*bars.columns, F.coalesce(F.col("width") <= cut, F.lit(False)).alias("bollinger_squeeze"))
@@ -179,7 +178,7 @@ def confluence(bars: DataFrame) -> DataFrame:
         "uptrend": (F.col("ema_200") > before(F.col("ema_200"), 20)) & (F.col("sma50") > F.col("ema_200")),
         "ema_pullback": (F.col("low") <= 1.01 * F.col("ema_200")) & (F.col("ema_200") <= F.col("close")),
         "rsi_low": F.col("rsi_14") < 30,
-        "near_support": (F.count("low").over(by_symbol().rowsBetween(-60, -6)) == 55) & (F.abs(F.col("close") / support - 1) <= 0.03),
+        "near_support": (F.count("low").over(by_symbol().rowsBetween(-60, -6)) == 55) & (F.abs(F.try_divide(F.col("close"), support) - 1) <= 0.03),
     }
     df = df.select(*bars.columns, *(F.coalesce(x, F.lit(False)).alias(n) for n, x in conditions.items()))
     names = list(conditions)
@@ -201,37 +200,42 @@ def complete_sessions(bars: DataFrame, size: int = 7) -> DataFrame:
     return bars.withColumn("_n", F.count(F.lit(1)).over(whole_session())).where(F.col("_n") == size).drop("_n")
 
 
-def intraday_rules(bars: DataFrame) -> DataFrame:
+def intraday_rules(bars: DataFrame, closes: DataFrame | None = None) -> DataFrame:
     """symbol, session, rule, bar: the first bar of a session at which each rule holds.
 
-    Rules read bars up to the one they fire on, and the close of the symbol's session before."""
-    sofar = in_session().rowsBetween(Window.unboundedPreceding, 0)
+    Rules read bars by their place in the session, up to the one they fire on, and the close of the symbol's session before (or `closes`:
+    symbol, session, prev_close). Each rule needs a session long enough that bars follow; none but the last-hour rule looks at how many."""
+    session = in_session()
+    sofar = session.rowsBetween(Window.unboundedPreceding, 0)
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     volume = F.sum("volume").over(sofar)
-    df = bars.withColumn("vwap", F.when(volume > 0, F.sum(typical * F.col("volume")).over(sofar) / volume))
-    df = df.withColumn("mean_range", F.avg(F.col("high") - F.col("low")).over(sofar)).withColumn("n", F.count(F.lit(1)).over(whole_session()))
-    at = lambda c, b: F.max(F.when(F.col("bar") == b, F.col(c))).over(whole_session())
-    df = df.withColumn("o0", at("open", 0)).withColumn("h0", at("high", 0)).withColumn("l0", at("low", 0)).withColumn("prior_volume", F.avg("volume").over(in_session().rowsBetween(Window.unboundedPreceding, -1)))
-    closes = bars.groupBy("symbol", "session").agg(F.max_by("close", "bar").alias("_c"))
-    closes = closes.select("symbol", "session", F.lag("_c").over(Window.partitionBy("symbol").orderBy("session")).alias("prev_close"))
-    df = df.join(closes, ["symbol", "session"])
-    b, c, n = F.col("bar"), F.col("close"), F.col("n")
-    gap = F.col("o0") / F.col("prev_close") - 1
+    df = bars.withColumn("place", F.row_number().over(session) - 1).withColumn("n", F.count(F.lit(1)).over(whole_session()))
+    df = df.withColumn("vwap", F.when((F.col("volume") != 0) & (volume > 0), F.sum(typical * F.col("volume")).over(sofar) / volume)).withColumn("mean_range", F.avg(F.col("high") - F.col("low")).over(sofar))
+    first = lambda c: F.first(c).over(sofar)
+    df = df.withColumns({"o0": first("open"), "h0": first("high"), "l0": first("low"), "prior_volume": F.avg("volume").over(session.rowsBetween(Window.unboundedPreceding, -1))})
+    if closes is None:
+        closes = bars.groupBy("symbol", "session").agg(F.max_by("close", "bar").alias("_c"))
+        closes = closes.select("symbol", "session", F.lag("_c").over(Window.partitionBy("symbol").orderBy("session")).alias("prev_close"))
+    df = df.join(closes, ["symbol", "session"], "left")
+    df = df.withColumn("below", F.coalesce(F.col("close") < F.col("vwap"), F.lit(False)))
+    i, c, n = F.col("place"), F.col("close"), F.col("n")
+    inner = (i >= 1) & (i <= n - 2)
+    gap = F.when(F.col("prev_close") > 0, F.col("o0") / F.col("prev_close") - 1)
     rules = {
-        "opening_range_break_up": (b == 1) & (c > F.col("h0")),
-        "opening_range_break_down": (b == 1) & (c < F.col("l0")),
-        "first_hour_high_break": (b >= 2) & (c > F.col("h0")),
-        "vwap_reversion_long": (b >= 1) & (b <= n - 2) & (c < F.col("vwap") - 0.5 * F.col("mean_range")),
-        "vwap_reclaim": (F.lag("close").over(in_session()) < F.lag("vwap").over(in_session())) & (c >= F.col("vwap")),
-        "gap_up_fade": (b == 0) & (gap > 0.01),
-        "gap_down_fill": (b == 0) & (gap < -0.01),
-        "midday_reversal": (b == 2) & (c < F.col("o0")),
-        "afternoon_momentum": (b == 2) & (c > F.col("o0")),
-        "power_hour_long": (b == n - 2) & (c > F.col("o0")),
-        "inside_session_squeeze": (b == 2) & (F.col("high") - F.col("low") < 0.5 * (F.col("h0") - F.col("l0"))),
-        "volume_climax_long": (b >= 1) & (F.col("volume") > 2 * F.col("prior_volume")) & (c < F.col("open")),
+        "opening_range_break_up": (n >= 3) & (i == 1) & (c > F.col("h0")),
+        "opening_range_break_down": (n >= 3) & (i == 1) & (c < F.col("l0")),
+        "first_hour_high_break": (n >= 4) & (i >= 2) & (c > F.col("h0")),
+        "vwap_reversion_long": (n >= 4) & inner & (F.col("mean_range") > 0) & (c < F.col("vwap") - 0.5 * F.col("mean_range")),
+        "vwap_reclaim": (n >= 4) & inner & F.lag("below").over(session) & ~F.col("below"),
+        "gap_up_fade": (n >= 3) & (i == 0) & (gap > 0.01),
+        "gap_down_fill": (n >= 3) & (i == 0) & (gap < -0.01),
+        "midday_reversal": (n >= 5) & (i == 2) & (c < F.col("o0")),
+        "afternoon_momentum": (n >= 5) & (i == 2) & (c > F.col("o0")),
+        "power_hour_long": (n >= 6) & (i == n - 2) & (c > F.col("o0")),
+        "inside_session_squeeze": (n >= 5) & (i == 2) & (F.col("h0") > F.col("l0")) & (F.col("high") - F.col("low") < 0.5 * (F.col("h0") - F.col("l0"))),
+        "volume_climax_long": (n >= 4) & inner & (F.col("prior_volume") > 0) & (F.col("volume") > 2 * F.col("prior_volume")) & (c < F.col("open")),
     }
     wide = df.select("symbol", "session", "bar", *(x.alias(r) for r, x in rules.items()))
-    first = wide.groupBy("symbol", "session").agg(*(F.min(F.when(F.col(r), F.col("bar"))).alias(r) for r in rules))
+    hits = wide.groupBy("symbol", "session").agg(*(F.min(F.when(F.col(r), F.col("bar"))).alias(r) for r in rules))
     pairs = F.array_compact(F.array(*(F.when(F.col(r).isNotNull(), F.struct(F.lit(r).alias("rule"), F.col(r).alias("bar"))) for r in rules)))
-    return first.select("symbol", "session", F.explode(pairs).alias("x")).select("symbol", "session", "x.rule", "x.bar")
+    return hits.select("symbol", "session", F.explode(pairs).alias("x")).select("symbol", "session", "x.rule", "x.bar")

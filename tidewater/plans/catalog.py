@@ -46,12 +46,12 @@ FEATURES_SQL = f"""{DAILY_SQL},
 f1 as (select *, lag(adj_close) over w as prev, lag("close") over w as pc, row_number() over w as bar_num,
   high * adj_close / nullif("close", 0) as _x, adj_close / nullif("close", 0) as f from bars window w as (partition by symbol order by dt)),
 f2 as (select *, case when prev > 0 then adj_close / prev end - 1 as ret_1d, case when pc > 0 then open / pc end - 1 as gap_pct,
-  case when "close" > 0 then (high - low) / "close" end as range_pct,
+  case when low > 0 then (high - low) / low end as range_pct,
   case when pc is not null then greatest(high - low, abs(high - pc), abs(low - pc)) end as tr, high * f as ah, low * f as al from f1),
 f3 as (select *, {_sma(20)} as sma_20, {_sma(50)} as sma_50, {_sma(200)} as sma_200, {_sma(20, 'cast(volume as double)')} as av,
   max(ah) {_W.format(251)} as h252, min(al) {_W.format(251)} as l252,
-  max(ah) over (partition by symbol order by dt rows between 20 preceding and 1 preceding) as prior_high_20,
-  min(al) over (partition by symbol order by dt rows between 20 preceding and 1 preceding) as prior_low_20,
+  max(high) over (partition by symbol order by dt rows between 20 preceding and 1 preceding) as prior_high_20,
+  min(low) over (partition by symbol order by dt rows between 20 preceding and 1 preceding) as prior_low_20,
   case when count(ret_1d) {_W.format(19)} = 20 then avg(ret_1d * ret_1d) {_W.format(19)} - power(avg(ret_1d) {_W.format(19)}, 2) end as v,
   case when count(tr) {_W.format(13)} = 14 then avg(tr) {_W.format(13)} end as atr_14,
   lag(adj_close, 5) over w as l5, lag(adj_close, 21) over w as l21, lag(adj_close, 63) over w as l63, lag(adj_close, 126) over w as l126
@@ -63,9 +63,10 @@ features as (select symbol, dt, bar_num, open, high, low, "close", adj_close, vo
   case when l5 > 0 then adj_close / l5 end - 1 as mom_5, case when l21 > 0 then adj_close / l21 end - 1 as mom_21,
   case when l63 > 0 then adj_close / l63 end - 1 as mom_63, case when l126 > 0 then adj_close / l126 end - 1 as mom_126,
   case when adj_close > sma_200 then 1 else 0 end as above_sma_200, case when sma_50 > sma_200 then 1 else 0 end as sma_50_over_200,
-  case when sma_20 > 0 then adj_close / sma_20 end - 1 as dist_sma_20 from f3)"""
+  case when sma_20 > 0 then adj_close / sma_20 end - 1 as dist_sma_20, case when sma_50 > 0 then adj_close / sma_50 end - 1 as dist_sma_50,
+  case when sma_200 > 0 then adj_close / sma_200 end - 1 as dist_sma_200 from f3)"""
 
-_FEATURES = ["open", "high", "low", '"close"', "adj_close", "ret_1d", "gap_pct", "range_pct", "sma_20", "sma_50", "sma_200", "rel_volume", "dist_high_252", "dist_low_252", "prior_high_20", "prior_low_20", "vol_20", "atr_14", "atr_pct", "mom_5", "mom_21", "mom_63", "mom_126", "dist_sma_20"]
+_FEATURES = ["open", "high", "low", '"close"', "adj_close", "ret_1d", "gap_pct", "range_pct", "sma_20", "sma_50", "sma_200", "rel_volume", "dist_high_252", "dist_low_252", "prior_high_20", "prior_low_20", "vol_20", "atr_14", "atr_pct", "mom_5", "mom_21", "mom_63", "mom_126", "dist_sma_20", "dist_sma_50", "dist_sma_200"]
 
 
 @query(f'with {DAILY_SQL} select symbol, dt, {r("open", "high", "low")}, round("close", 6) as "close", {r("adj_close")}, volume from bars')
@@ -101,15 +102,16 @@ def e_quantile_buckets(spark, sf_dir):
 
 
 LABELS_SQL = f"""{DAILY_SQL},
-l1 as (select *, lead(open * adj_close / nullif("close", 0), 1) over w as o, max(high * (adj_close / nullif("close", 0))) over (partition by symbol order by dt rows between 1 following and 5 following) as h,
-  min(low * (adj_close / nullif("close", 0))) over (partition by symbol order by dt rows between 1 following and 5 following) as lo,
-  lead(adj_close, 1) over w as a1, lead(adj_close, 5) over w as a5, lead(adj_close, 21) over w as a21 from bars window w as (partition by symbol order by dt)),
+l1 as (select *, lead(open * adj_close / nullif("close", 0), 1) over w as o, max(high) over n5 as h, min(low) over n5 as lo,
+  max(high * (adj_close / nullif("close", 0))) over n5 as ha, min(low * (adj_close / nullif("close", 0))) over n5 as la,
+  lead(adj_close, 1) over w as a1, lead(adj_close, 5) over w as a5, lead(adj_close, 21) over w as a21 from bars window w as (partition by symbol order by dt), n5 as (partition by symbol order by dt rows between 1 following and 5 following)),
 labels as (select symbol, dt, case when adj_close > 0 then a1 / adj_close end - 1 as fwd_1, case when adj_close > 0 then a5 / adj_close end - 1 as fwd_5, case when adj_close > 0 then a21 / adj_close end - 1 as fwd_21,
   case when o > 0 then a1 / o end - 1 as open_fwd_1, case when o > 0 then a5 / o end - 1 as open_fwd_5, case when o > 0 then a21 / o end - 1 as open_fwd_21,
-  case when adj_close > 0 then lo / adj_close end - 1 as mae_5, case when adj_close > 0 then h / adj_close end - 1 as mfe_5 from l1)"""
+  case when adj_close > 0 then lo / adj_close end - 1 as mae_5, case when adj_close > 0 then h / adj_close end - 1 as mfe_5,
+  case when adj_close > 0 then la / adj_close end - 1 as mae_5_adj, case when adj_close > 0 then ha / adj_close end - 1 as mfe_5_adj from l1)"""
 
 
-@query(f"with {LABELS_SQL} select symbol, dt, {r('fwd_1', 'fwd_5', 'fwd_21', 'open_fwd_1', 'open_fwd_5', 'open_fwd_21', 'mae_5', 'mfe_5')}, round(fwd_5 - 0.0014::double, 6) as net_5, cast(fwd_5 - 0.0014::double > 0 as integer) as win_5 from labels")
+@query(f"with {LABELS_SQL} select symbol, dt, {r('fwd_1', 'fwd_5', 'fwd_21', 'open_fwd_1', 'open_fwd_5', 'open_fwd_21', 'mae_5', 'mfe_5', 'mae_5_adj', 'mfe_5_adj')}, round(fwd_5 - 0.0014::double, 6) as net_5, cast(fwd_5 - 0.0014::double > 0 as integer) as win_5 from labels")
 def f_forward_labels(spark, sf_dir):
     return rounded(features.forward_labels(daily_bars(spark, sf_dir)))
 
@@ -426,20 +428,20 @@ def f_bollinger_squeeze(spark, sf_dir):
 
 
 _S = "over (partition by symbol, session order by bar rows between unbounded preceding and current row)"
+_INTRADAY_RULES = {
+    "opening_range_break_up": "n >= 3 and i = 1 and c > h0", "opening_range_break_down": "n >= 3 and i = 1 and c < l0", "first_hour_high_break": "n >= 4 and i >= 2 and c > h0",
+    "vwap_reversion_long": "n >= 4 and i between 1 and n - 2 and mr > 0 and c < vwap - 0.5::double * mr", "vwap_reclaim": "n >= 4 and i between 1 and n - 2 and was_below and not below",
+    "gap_up_fade": "n >= 3 and i = 0 and gap > 0.01::double", "gap_down_fill": "n >= 3 and i = 0 and gap < -0.01::double", "midday_reversal": "n >= 5 and i = 2 and c < o0", "afternoon_momentum": "n >= 5 and i = 2 and c > o0",
+    "power_hour_long": "n >= 6 and i = n - 2 and c > o0", "inside_session_squeeze": "n >= 5 and i = 2 and h0 > l0 and high - low < 0.5::double * (h0 - l0)",
+    "volume_climax_long": "n >= 4 and i between 1 and n - 2 and pv > 0 and volume > 2 * pv and c < open",
+}
 _INTRADAY_SQL = f"""{SESSION_SQL},
-i1 as (select *, "close" as c, count(*) over (partition by symbol, session) as n, sum((high + low + "close") / 3 * volume) {_S} / nullif(sum(volume) {_S}, 0) as vwap, avg(high - low) {_S} as mr,
-  avg(volume) over (partition by symbol, session order by bar rows between unbounded preceding and 1 preceding) as pv, max(case when bar = 0 then open end) over (partition by symbol, session) as o0,
-  max(case when bar = 0 then high end) over (partition by symbol, session) as h0, max(case when bar = 0 then low end) over (partition by symbol, session) as l0 from hourly),
+i1 as (select *, "close" as c, count(*) over (partition by symbol, session) as n, row_number() over w - 1 as i, case when volume <> 0 then sum((high + low + "close") / 3 * volume) {_S} / nullif(sum(volume) {_S}, 0) end as vwap, avg(high - low) {_S} as mr,
+  avg(volume) over (partition by symbol, session order by bar rows between unbounded preceding and 1 preceding) as pv, first_value(open) over w as o0, first_value(high) over w as h0, first_value(low) over w as l0 from hourly window w as (partition by symbol, session order by bar)),
 i2 as (select symbol, session, lag(lc) over (partition by symbol order by session) as prev_close from (select symbol, session, arg_max("close", bar) as lc from hourly group by 1, 2)),
-i3 as (select *, lag(c) over (partition by symbol, session order by bar) as pc, lag(vwap) over (partition by symbol, session order by bar) as pvw, o0 / prev_close - 1 as gap from i1 join i2 using (symbol, session)),
-fired as (""" + " union all ".join(
-    f"select symbol, session, '{n}' as rule, min(bar) as bar from i3 where {x} group by 1, 2"
-    for n, x in {
-        "opening_range_break_up": "bar = 1 and c > h0", "opening_range_break_down": "bar = 1 and c < l0", "first_hour_high_break": "bar >= 2 and c > h0", "vwap_reversion_long": "bar >= 1 and bar <= n - 2 and c < vwap - 0.5::double * mr",
-        "vwap_reclaim": "pc < pvw and c >= vwap", "gap_up_fade": "bar = 0 and gap > 0.01::double", "gap_down_fill": "bar = 0 and gap < -0.01::double", "midday_reversal": "bar = 2 and c < o0", "afternoon_momentum": "bar = 2 and c > o0",
-        "power_hour_long": "bar = n - 2 and c > o0", "inside_session_squeeze": "bar = 2 and high - low < 0.5::double * (h0 - l0)", "volume_climax_long": "bar >= 1 and volume > 2 * pv and c < open",
-    }.items()
-) + ")"
+i3 as (select *, coalesce(c < vwap, false) as below, case when prev_close > 0 then o0 / prev_close end - 1 as gap from i1 join i2 using (symbol, session)),
+i4 as (select *, lag(below) over (partition by symbol, session order by bar) as was_below from i3),
+fired as (""" + " union all ".join(f"select symbol, session, '{n}' as rule, min(bar) as bar from i4 where {x} group by 1, 2" for n, x in _INTRADAY_RULES.items()) + ")"
 
 
 @query(f"with {_INTRADAY_SQL} select * from fired")
