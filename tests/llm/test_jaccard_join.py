@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidewater.llm.common import ship
-from tidewater.llm.jaccard_join import _chunked, bands, components, connected, signatures
+from tidewater.llm.jaccard_join import _chunked, _few, _many, bands, bitmap, components, connected, representatives, signatures, spares
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,7 +59,9 @@ def test_linked_sets_share_a_part():
             b = np.unique(np.concatenate((a[drop:], rng.integers(0, 1 << 63, drop).astype(np.uint64))))
             overlap = len(np.intersect1d(a, b))
             if 100 * overlap >= 90 * (len(a) + len(b) - overlap) and len(a) + len(b) > 2 * overlap:
-                assert set(signatures(a, 90, 100).tolist()) & set(signatures(b, 90, 100).tolist())
+                x, y = signatures(a, 90, 100).tolist(), signatures(b, 90, 100).tolist()
+                shared = [sum(1 for name in set(x) & set(y) if name & 7 == band) for band in range(8)]
+                assert any(shared) and any(m >= max(p, q) for m, p, q in zip(shared, spares(a, 90, 100), spares(b, 90, 100), strict=True))
 
 
 @pytest.mark.parametrize(("k", "num", "chunk"), [(3, 90, 32 << 20), (5, 80, 32 << 20), (3, 90, 2000)])
@@ -67,7 +69,7 @@ def test_as_brute_force(spark, k, num, chunk):
     ship(spark)
     texts = corpus(k + chunk)
     docs = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, node string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in components(docs, k, num, 100, chunk).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in components(docs, k, num, 100, chunk_bytes=chunk).collect()}
     sizes, low = brute(texts, k, num, 100)
     assert got == {i: (sizes[i], low[i]) for i in range(len(texts))}
     assert len(set(low)) < len(low)
@@ -80,6 +82,16 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert components(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [(7, "a b c d e f", 1), (7, "a b c d e f", 2), (7, "other words here", 3), (3, "A b c d e f", 4), (None, "a b c d e f", 5), (None, "x y z", 6), (None, "x y z", 7), (9, "other words here", 8), (None, None, 9), (None, "", 10), (2, "", 11), (2, "", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").withColumnRenamed("row", "Row")
+    got = representatives(docs)
+    assert got.columns == ["doc_id", "text", "Row"]
+    left = sorted((str(r.doc_id), str(r.text)) for r in got.collect())
+    assert left == sorted([("3", "A b c d e f"), ("7", "other words here"), ("None", "x y z"), ("None", "None"), ("None", ""), ("2", ""), ("2", "")])
+    assert representatives(docs.limit(0)).count() == 0
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (5, 5)], "u long, v long")
     got = {r.node: r.label for r in connected(edges, "chain").collect()}
@@ -101,3 +113,45 @@ def test_large_groups_are_cut(spark):
     assert max(len(c) for t in tasks.values() for c in t.values()) <= 60 and sorted(x for t, c in tasks.items() if t[0] == 2 for x in c[0]) == list(range(5))
     met = {(u, v) for (part, mine, other), c in tasks.items() if part == 1 for u in c[mine] for v in c[other]}
     assert all((u, v) in met or (v, u) in met for u in range(300) for v in range(u) if min(size[u], size[v]) * 100 >= max(size[u], size[v]) * 80)
+
+
+def test_sets_leave_frequent_parts_and_no_link_is_lost(spark):
+    ship(spark)
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopqrst") + rng.choice("uvwxyz")
+    passage = [word() for _ in range(25)]
+    texts = []
+    for i in range(60):
+        own = [word() for _ in range(70)]
+        texts.append(" ".join(own[:30] + passage + own[30:]))
+        if i % 3 == 0:
+            own[rng.randrange(70)] = "other"
+            texts.append(" ".join(own[:30] + passage + own[30:]))
+    base = [word() for _ in range(90)]
+    for i in range(40):  # near copies in number, which can't leave
+        texts.append(" ".join([*base[: i + 20], f"w{i}", *base[i + 21 :]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for k, num in ((3, 90), (5, 80)):
+            got = {r.doc_id: r.component_id for r in components(docs, k, num, 100, frequent=4, group=16).collect()}
+            assert got == dict(enumerate(brute(texts, k, num, 100)[1]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_few_and_many_agree():
+    rng = np.random.default_rng(8)
+    for n in (2, 5, 12):
+        for cut in (n, n // 2):
+            base = np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64))
+            sets = sorted((np.unique(np.concatenate((base[rng.integers(0, 30) :], rng.integers(0, 1 << 63, rng.integers(0, 9)).astype(np.uint64)))) for _ in range(n)), key=len)
+            size, maps = [len(x) for x in sets], [bitmap(x) for x in sets]
+
+            def groups(links, n=n):
+                root = list(range(n))
+                for p, q in links:
+                    root = [root[p] if r == root[q] else r for r in root]
+                return {frozenset(i for i in range(n) if root[i] == r) for r in root}
+
+            assert groups(_few(size, maps, cut, 80, 100)) == groups(_many(np.array(size), maps, cut, 80, 100))

@@ -9,8 +9,10 @@ Texts become sets of distinct k-word shingles. Two texts link when den * |A & B|
 2. Equal digests are one class. Signatures travel packed, 5 bytes each, to buckets of bounded size. The classes that
    share a part are a group (equal groups count once); inside a group, token bitmaps ordered by size and OR-combined
    tile by tile leave the pairs whose largest possible overlap still allows a link, and enough of them to join all
-   such pairs make blocks (connected components). A large group is cut into bounded chunks by size, and each pair of
-   chunks is compared in its own task.
+   such pairs make blocks (connected components). Of the parts a set names in a band, more are equal in a linked set than
+   it needs, so it leaves groups of frequent parts (a common passage) as long as it keeps one: its links meet in others.
+   Sets that can't leave (near copies in great number) stay; a large group is cut into bounded chunks by size, and
+   each pair of chunks is compared by itself.
 3. Inside a block, a tree per chunk holds at each node the OR of its members' token bitmaps and their size range. A
    dual traversal of two trees drops node pairs whose sizes, or whose largest possible overlap, forbid a link, and
    node pairs already joined; what is left is compared exactly. Chunks are bounded in bytes; a block with several is
@@ -31,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, written
+from .common import checked_broadcast, fresh, written
 from .wordhash import SPACES, mix, rolling, sequence, words
 
 NUM, DEN, WORDS = 90, 100, 3
@@ -46,12 +48,18 @@ FANOUT = 8
 TILE = 128
 #: Weight (a member's is 1, and 1 more for each 16,384 shingles) beyond which a group is cut into chunks of about so much.
 GROUP = 4096
+#: Members beyond which a part is frequent.
+FREQUENT = 128
+#: Members of groups that one task compares, about.
+TASK = 20_000
 CHUNK_BYTES = 32 << 20
 #: Digests a task remembers so as not to name the parts of a copy again.
 SEEN = 200_000
 #: Signatures that one bucket gets.
 BUCKET = 3_000_000
 BROADCAST_ROWS = 200_000
+#: A class with more than one of so many equal shares of all rows is met by broadcast; so there are at most so many.
+SHARES = 50_000
 
 _U = np.uint64
 
@@ -95,24 +103,39 @@ def set_digest(shingles: np.ndarray) -> int:
     return int(mix(mix(shingles ^ _U(0x5BF03635)).sum(keepdims=True, dtype=np.uint64) + _U(len(shingles))).view(np.int64)[0])
 
 
+def _dealt(spread: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(band, unmatched, parts, part of each shingle) for each band that a set's size lies in."""
+    n = len(spread)
+    for k, (low, high, unmatched, parts) in enumerate(bands(num, den, 1 << (n + 1).bit_length())):
+        if low <= n <= high and parts > 1:  # with one part only equal sets link, and those are one class
+            yield k, unmatched, parts, ((spread >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+
+
 def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """One 64-bit name per part of the set that must be named, over all bands the size lies in. `shingles` are sorted."""
-    n, out = len(shingles), []
+    """One 64-bit name per part of the set that must be named, over all bands the size lies in; its last 3 bits tell those bands
+    apart. `shingles` are sorted."""
+    out = []
     spread = mix(shingles)
-    for k, (low, high, unmatched, parts) in enumerate(bands(num, den, 1 << (n + 1).bit_length())):
-        if not low <= n <= high or parts == 1:  # with one part only equal sets link, and those are one class
-            continue
-        part = ((spread >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+    for k, unmatched, parts, part in _dealt(spread, num, den):
         order = np.argsort(part, kind="stable")
         named, starts = np.unique(part[order], return_index=True)
         name = np.add.reduceat(spread[order], starts)
         if len(named) <= unmatched:  # too few to be sure that one of them is matched
             empty = np.setdiff1d(np.arange(parts), named)
             named, name = np.concatenate((named, empty)), np.concatenate((name, np.zeros(len(empty), np.uint64)))
-        out.append(mix(name + _U(0x9E3779B97F4A7C15) * (named.astype(np.uint64) + _U(1)) + _U(k << 40)))
+        out.append(mix(name + _U(0x9E3779B97F4A7C15) * (named.astype(np.uint64) + _U(1)) + _U(k << 40)) & ~_U(7) | _U(k & 7))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def spares(shingles: np.ndarray, num: int, den: int) -> list[int]:
+    """By the last 3 bits of a band: of the parts that the set names in it, how many at least are equal in any linked set."""
+    out = [np.iinfo(np.int32).max] * 8
+    for k, unmatched, parts, part in _dealt(mix(shingles), num, den):
+        named = int(np.count_nonzero(np.bincount(part)))
+        out[k & 7] = min(out[k & 7], (named if named > unmatched else parts) - unmatched)
+    return out
+
+
 def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     for _, hashes, bounds in words(texts, SPACES, lower=True):
@@ -124,22 +147,25 @@ def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
                 yield sequence(hashes[a:b]) if b > a else np.zeros(0, np.uint64)
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, size of the set, its digest (`node`) and token bitmap (of the first row a task meets with that digest)."""
+def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, row, size of the set, its digest (`node`), and (of the first row a task meets with that digest) token bitmap and spares.
+    `docs` has doc_id, text and row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sizes, nodes, maps = [], [], []
+            sizes, nodes, maps, spare = [], [], [], []
             for x in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), k):
                 sizes.append(len(x))
                 nodes.append(set_digest(x))
-                maps.append(None if nodes[-1] in seen or not len(x) else bitmap(x))
+                known = nodes[-1] in seen or not len(x)
+                maps.append(None if known else bitmap(x))
+                spare.append(None if known else spares(x, num, den))
                 if len(seen) < SEEN:
                     seen.add(nodes[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "n_shingles", "node", "bitmap"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(spare, pa.list_(pa.int32()))], names=["doc_id", "row", "n_shingles", "node", "bitmap", "spares"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bitmap binary")
+    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long, bitmap binary, spares array<int>")
 
 
 def _packed(nodes: np.ndarray, names: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -168,7 +194,8 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
-    """(part, node): the classes that share a named part with another; parts with the same classes count once."""
+    """(part, node, band, names): the classes that share a named part with another. Parts of a band with the same classes count
+    once; `names` says how many they are."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -197,14 +224,29 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFr
         nodes, names = nodes[fresh], names[fresh]
         start = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
         size = np.diff(np.append(start, len(nodes)))
-        members = mix(np.add.reduceat(mix(nodes.view(np.uint64)), start) + size.astype(np.uint64)).view(np.int64)
+        band = names[start] & _U(7)
+        members = mix(np.add.reduceat(mix(nodes.view(np.uint64)), start) + size.astype(np.uint64) + (band << _U(56))).view(np.int64)
         several = np.flatnonzero(size > 1)
-        part, where = np.unique(members[several], return_index=True)
-        start, size = start[several][where], size[several][where]
+        part, where, count = np.unique(members[several], return_index=True, return_counts=True)
+        start, size, band = start[several][where], size[several][where], band[several][where].astype(np.int32)
         at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return pa.table({"part": pa.array(np.repeat(part, size), pa.int64()), "node": pa.array(nodes[at], pa.int64())})
+        return pa.table({"part": np.repeat(part, size), "node": nodes[at], "band": np.repeat(band, size), "names": np.repeat(count.astype(np.int64), size)})
+
+    met = docs.select("text").mapInArrow(name, "bucket int, parts binary").groupBy("bucket").applyInArrow(meet, "part long, node long, band int, names long")
+    return met.groupBy("part", "node").agg(F.max("band").alias("band"), F.sum("names").alias("names"))
+
 
-    return docs.select("text").mapInArrow(name, "bucket int, parts binary").groupBy("bucket").applyInArrow(meet, "part long, node long").dropDuplicates()
+def _thinned(groups: DataFrame, most: int) -> DataFrame:
+    """Rows of `groups` (part, node, band, names, spares, ...; written) without those that leave frequent parts. A set leaves all of a band if
+    they are fewer than its spares there: some part of it that is equal in a linked set is then not frequent."""
+    frequent = written(groups.groupBy("part").count().where(F.col("count") > most).select("part"), "jaccard-frequent")
+    if frequent.isEmpty():
+        return groups
+    frequent = checked_broadcast(frequent, BROADCAST_ROWS)
+    common = groups.join(frequent, "part", "left_semi")
+    often = common.groupBy("node", "band").agg(F.sum("names").alias("often"))
+    stay = common.join(often, ["node", "band"]).where(F.element_at("spares", F.col("band") + 1) <= F.col("often"))
+    return written(groups.join(frequent, "part", "left_anti").unionByName(stay.drop("often")), "jaccard-thinned")
 
 
 def _chunked(groups: DataFrame, num: int, den: int, weight: int) -> DataFrame:
@@ -234,41 +276,110 @@ def _chunked(groups: DataFrame, num: int, den: int, weight: int) -> DataFrame:
     return whole.join(large, "part", "left_anti").unionByName(cut.select(whole.columns))
 
 
-def _possible(num: int, den: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """(u, v) that join all members of a chunk, or all of one and of another, whose bitmaps and sizes allow a link."""
-        frame = frame.sort_values(["chunk", "n_shingles", "node"], kind="stable")
-        maps, size, node = folded(frame["bitmap"].tolist()), frame["n_shingles"].to_numpy(), frame["node"].to_numpy()
-        surplus = size - np.bitwise_count(maps).sum(1, dtype=np.int64)
-        joined, links = Joined(len(node)), []
-        cut = int((frame["chunk"] == frame["chunk"].iloc[0]).sum())  # members of the first chunk
-        tiles = [slice(i, min(i + TILE, end)) for start, end in ((0, cut), (cut, len(node))) for i in range(start, end, TILE)]
-        second = -(-cut // TILE)
-        across = second < len(tiles)
-        union = [np.bitwise_or.reduce(maps[t], axis=0) for t in tiles]
-        for i, a in enumerate(tiles[:second]):
-            for j in range(second if across else i, len(tiles)):
-                b = tiles[j]
-                if size[b][0] * num > size[a][-1] * den:
-                    break  # sizes rise from tile to tile
-                most = int(np.bitwise_count(union[i] & union[j]).sum()) + min(surplus[a].max(), surplus[b].max())
-                roots = {joined.find(x) for t in (a, b) for x in range(t.start, t.stop)}
-                if most * (num + den) < num * (size[a][0] + size[b][0]) or len(roots) == 1:
-                    continue
-                common = np.zeros((a.stop - a.start, b.stop - b.start), np.int64)
-                for w in range(0, maps.shape[1], 16):
-                    common += np.bitwise_count(maps[a][:, None, w : w + 16] & maps[b][None, :, w : w + 16]).sum(2, dtype=np.int64)
-                x, y = size[a][:, None], size[b][None, :]
-                able = (common + np.minimum(surplus[a][:, None], surplus[b][None, :])) * (num + den) >= num * (x + y)
-                able &= (x * den >= y * num) & (y * den >= x * num)
-                for p, q in np.argwhere(able).tolist():
-                    p, q = p + a.start, q + b.start
-                    if joined.find(p) != joined.find(q):
-                        joined.join(p, q)
-                        links.append((p, q))
-        return pd.DataFrame({"u": node[[p for p, _ in links]] if links else np.zeros(0, np.int64), "v": node[[q for _, q in links]] if links else np.zeros(0, np.int64)})
+def _few(size: list[int], maps: list[bytes], cut: int, num: int, den: int) -> list[tuple[int, int]]:
+    """As `_many`, for few members: bitmaps are whole numbers."""
+    width = min(map(len, maps))
+    bits = []
+    for x in maps:
+        folds = 0
+        for i in range(0, len(x), width):
+            folds |= int.from_bytes(x[i : i + width], "little")
+        bits.append(folds)
+    surplus = [n - x.bit_count() for n, x in zip(size, bits, strict=True)]
+    joined, links = Joined(len(size)), []
+    for p in range(cut):
+        for q in range(cut if cut < len(size) else p + 1, len(size)):
+            x, y = size[p], size[q]
+            if y * num > x * den or x * num > y * den or joined.find(p) == joined.find(q):
+                continue
+            if ((bits[p] & bits[q]).bit_count() + min(surplus[p], surplus[q])) * (num + den) >= num * (x + y):
+                joined.join(p, q)
+                links.append((p, q))
+    return links
 
-    return run
+
+def _many(size: np.ndarray, bitmaps: list[bytes], cut: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that join all members whose bitmaps and sizes allow a link: between the first `cut` members and the others, or of all
+    with all where there are no others. Sizes rise in both."""
+    maps = folded(bitmaps)
+    surplus = size - np.bitwise_count(maps).sum(1, dtype=np.int64)
+    joined, links = Joined(len(size)), []
+    tiles = [slice(i, min(i + TILE, end)) for start, end in ((0, cut), (cut, len(size))) for i in range(start, end, TILE)]
+    second = -(-cut // TILE)
+    across = second < len(tiles)
+    union = [np.bitwise_or.reduce(maps[t], axis=0) for t in tiles]
+    for i, a in enumerate(tiles[:second]):
+        for j in range(second if across else i, len(tiles)):
+            b = tiles[j]
+            if size[b][0] * num > size[a][-1] * den:
+                break  # sizes rise from tile to tile
+            most = int(np.bitwise_count(union[i] & union[j]).sum()) + min(surplus[a].max(), surplus[b].max())
+            roots = {joined.find(x) for t in (a, b) for x in range(t.start, t.stop)}
+            if most * (num + den) < num * (size[a][0] + size[b][0]) or len(roots) == 1:
+                continue
+            common = np.zeros((a.stop - a.start, b.stop - b.start), np.int64)
+            for w in range(0, maps.shape[1], 16):
+                common += np.bitwise_count(maps[a][:, None, w : w + 16] & maps[b][None, :, w : w + 16]).sum(2, dtype=np.int64)
+            x, y = size[a][:, None], size[b][None, :]
+            able = (common + np.minimum(surplus[a][:, None], surplus[b][None, :])) * (num + den) >= num * (x + y)
+            able &= (x * den >= y * num) & (y * den >= x * num)
+            for p, q in np.argwhere(able).tolist():
+                p, q = p + a.start, q + b.start
+                if joined.find(p) != joined.find(q):
+                    joined.join(p, q)
+                    links.append((p, q))
+    return links
+
+
+def _possible(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v) that join all members of a chunk, or all of one and of another, whose bitmaps and sizes allow a link. `rows` as of `_chunked`."""
+    keys, columns = ["part", "mine", "other"], ["chunk", "n_shingles", "node", "bitmap"]
+
+    def links(batches: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links inside each run of equal keys."""
+        table = pa.Table.from_batches(batches)
+        key = [table[c].to_numpy() for c in keys]
+        edge = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in key])) + 1
+        chunk, size, node = (table[c].to_numpy() for c in columns[:3])
+        maps = table["bitmap"].to_pylist()
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(node)], strict=True):
+            cut = int(np.searchsorted(chunk[a:b], chunk[a], "right"))
+            if b - a <= 12:
+                found = _few(size[a:b].tolist(), maps[a:b], cut, num, den)
+            else:
+                found = _many(size[a:b], maps[a:b], cut, num, den)
+            if found:
+                p, q = np.array(found).T
+                yield node[a + p], node[a + q]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # all of one group, the last that has been met
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ends = list(links(held))
+            if ends:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*ends, strict=True)], names=["u", "v"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = [batch.column(i).to_numpy() for i in range(3)]
+            # the batch's last group may go on; all before it are whole
+            last = int(np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in key]))[-1]) + 1 if any((x != x[-1]).any() for x in key) else 0
+            goes_on = bool(held) and all(held[-1].column(i)[-1].as_py() == key[i][-1] for i in range(3)) and not last
+            if not goes_on:
+                if last:
+                    held.append(batch.slice(0, last))
+                if held:
+                    yield from out()
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from out()
+
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK))
+    dealt = rows.select(*keys, *columns).repartition(n, *keys).sortWithinPartitions(*keys, "chunk", "n_shingles", "node")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:
@@ -277,10 +388,11 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     current = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # exchanged once more, so that AQE may split a node with very many edges
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("u")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).repartition("u")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = written(small.where("u != v").distinct(), name)
         sums = [x.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first() for x in (current, after)]
@@ -427,17 +539,28 @@ def _shingles(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
 
-def components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, chunk_bytes: int = CHUNK_BYTES, group: int = GROUP) -> DataFrame:
+def _row(docs: DataFrame) -> Column:
+    """Tells rows of different doc_id or text apart."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
+def components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, **sizes: int) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(_sets(texts, k), "jaccard-sets")
+    return members(docs, k, num, den, **sizes).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+def members(docs: DataFrame, k: int, num: int, den: int, chunk_bytes: int = CHUNK_BYTES, group: int = GROUP, frequent: int = FREQUENT) -> DataFrame:
+    """Per row: doc_id, row (a hash of doc_id and text), n_shingles, and `first`, the doc_id and row of its component's smallest row (by
+    doc_id, rows without one last, then by `row`); null where the row is the only one of its component, or its set is empty."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row(docs).alias("row"))
+    sets = written(_sets(texts, k, num, den), "jaccard-sets")
     # about so many signatures a shingle over all bands, from the bands' own arithmetic
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total * 5 * (den - num) / (den + num) / BUCKET) + 1)
     # one bitmap for each class, joined to the groups the class is in
-    maps = sets.where("bitmap is not null").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap"))
+    maps = sets.where("bitmap is not null").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap"), F.max("spares").alias("spares"))
     groups = written(_groups(texts, k, num, den, buckets).join(maps, "node"), "jaccard-groups")
-    able = _chunked(groups, num, den, group).groupBy("part", "mine", "other").applyInPandas(_possible(num, den), "u long, v long")
+    able = _possible(_chunked(_thinned(groups, frequent).drop("band", "names", "spares"), num, den, group), num, den)
     blocks = written(connected(able, "jaccard-candidates"), "jaccard-blocks")
 
     # the shingles of one document of each class in a block, hashed anew
@@ -466,23 +589,37 @@ def components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN,
         two = again.where("chunk > 0").withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("chunk") - 1))).withColumn("other", F.col("chunk"))
         across = one.groupBy("label", "mine", "other").cogroup(two.groupBy("label", "mine", "other")).applyInPandas(_between(num, den), pair)
         labels = connected(links.unionByName(across), "jaccard-across")
-    rows = sets.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
-    rows = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
-    smallest = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    return rows.join(smallest, "label", "left").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
+    # the smallest row of each class, then of each component; rows take it from their class
+    place_of = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = written(sets.where("n_shingles > 0").groupBy("node").agg(F.min(place_of).alias("first"), F.count(F.lit(1)).alias("n")), "jaccard-classes")
+    labels = written(labels, "jaccard-labels")
+    labels = labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct()
+    linked = written(labels.join(classes, "node").select("node", "label", "first"), "jaccard-linked")
+    smallest = checked_broadcast(written(linked.groupBy("label").agg(F.min("first").alias("smallest")), "jaccard-smallest"), BROADCAST_ROWS)
+    linked = written(linked.join(smallest, "label").select("node", "smallest"), "jaccard-places")
+    own = classes.join(linked, "node", "left").where("n > 1 or smallest is not null").select("node", F.coalesce("smallest", "first").alias("first"), "n")
+    own = written(own, "jaccard-own")
+    rows = sets.select("doc_id", "row", "n_shingles", "node")
+    # classes with very many rows are few, and their rows stay where they are
+    many = max(1000, sets.count() // SHARES)
+    hot, others = F.broadcast(own.where(F.col("n") > many).drop("n")), own.where(F.col("n") <= many).drop("n")
+    some = rows.where("n_shingles > 0")
+    placed = some.join(hot, "node").unionByName(some.join(hot, "node", "left_anti").join(others, "node", "left"))
+    alone = rows.where("n_shingles = 0").withColumn("first", F.lit(None).cast(own.schema["first"].dataType))
+    return placed.unionByName(alone).drop("node")
 
 
 def representatives(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Rows of `docs`, one for each component: that of its smallest doc_id (one of them, if several rows have it). Rows with a null doc_id stay."""
-    found = written(components(docs, k, num, den), "jaccard-components").select(F.col("doc_id").alias("_id"), "component_id")
-    gone = written(found.where("_id != component_id").select("_id").distinct(), "jaccard-gone")
-    left = docs.join(checked_broadcast(gone, 10 * BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    # rows that repeat a doc_id are rare; only they are grouped
-    again = written(found.where("_id is not null").groupBy("_id").count().where("count > 1").select("_id"), "jaccard-again")
+    """Rows of `docs`, all columns, one for each component: that of its smallest doc_id (rows without one come last; rows alike in both doc_id
+    and text count as one). Rows with an empty set all stay."""
+    found = written(members(docs, k, num, den).where("first is not null").select("row", F.col("first.row").alias("kept")), "jaccard-members-of")
+    gone = checked_broadcast(written(found.where("row != kept").select("row").distinct(), "jaccard-gone"), 10 * BROADCAST_ROWS)
+    key = fresh(docs, "row")
+    left = docs.withColumn(key, _row(docs)).join(gone.withColumnRenamed("row", key), key, "left_anti")
+    # rows that are repeated whole are rare; only they are grouped
+    again = written(found.where("row = kept").groupBy("row").count().where("count > 1").select("row"), "jaccard-again")
     if again.isEmpty():
-        return left
-    again = checked_broadcast(again, 10 * BROADCAST_ROWS)
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = left.join(again, same, "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return left.join(again, same, "left_anti").unionByName(one)
+        return left.select(docs.columns)
+    again = checked_broadcast(again, 10 * BROADCAST_ROWS).withColumnRenamed("row", key)
+    one = left.join(again, key, "left_semi").dropDuplicates([key])
+    return left.join(again, key, "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
