@@ -138,7 +138,7 @@ def test_inference_properties(spark):
     assert plain.t == pytest.approx(y.mean() / (y.std() / math.sqrt(len(y))), rel=1e-9)
     b = inference.stationary_bootstrap(s, ["y"], "t", reps=200).toPandas()["y"]
     assert len(b) == 200 and b.mean() == pytest.approx(y.mean(), abs=0.1)
-    p = inference.iid_bootstrap_p(spark.createDataFrame([("n", float(v)) for v in rng.normal(0, 1, 300)] + [("s", float(v)) for v in rng.normal(1, 1, 300)], "g string, v double"), "v", ["g"], 300)
+    p = inference.iid_bootstrap_p(spark.createDataFrame([("n", i, float(v)) for i, v in enumerate(rng.normal(0, 1, 300))] + [("s", i, float(v)) for i, v in enumerate(rng.normal(1, 1, 300))], "g string, i int, v double"), "v", ["g"], ["i"], 300)
     got = {r.g: r.p for r in p.collect()}
     assert got["s"] == 0 and got["n"] > 0.01
 

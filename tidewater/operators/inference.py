@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 from ..functions.scalar import normal_cdf, normal_quantile
 
@@ -143,20 +144,35 @@ def detectable(se: Column) -> Column:
     return (1.959963984540054 + 0.8416212335729143) * se
 
 
-def iid_bootstrap_p(df: DataFrame, value: str, by: list[str], reps: int = 2000, seed: int = 7) -> DataFrame:
-    """Share of centred resampled means at or above the mean. Each row takes Poisson(1) weights per replicate, so replicates
-    sum map-side and no resample is gathered anywhere."""
-    centred = df.where(F.col(value).isNotNull()).withColumn("_m", F.avg(value).over(Window.partitionBy(*by))).withColumn("_d", F.col(value) - F.col("_m"))
-    rep = F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_rep"), F.col("_d"), *by), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    edges, total, term = [], 0.0, math.exp(-1)
-    for k in range(8):
-        total += term
-        edges.append(total)
-        term /= k + 1
-    weight = sum((F.when(u > e, 1).otherwise(0) for e in edges), F.lit(0))
-    drawn = centred.withColumn("_rep", rep).withColumn("_w", weight).groupBy(*by, "_rep", "_m").agg((F.sum(F.col("_w") * F.col("_d")) / F.sum("_w")).alias("_b"))
-    return drawn.groupBy(*by).agg(F.avg((F.abs("_b") >= F.abs("_m")).cast("double")).alias("p"), F.first("_m").alias("mean"))
+def iid_bootstrap_p(df: DataFrame, value: str, by: list[str], key: list[str], reps: int = 2000, seed: int = 7) -> DataFrame:
+    """Share of centred resampled means at or above the mean, by `by`. A row takes a Poisson(1) weight in each replicate, drawn from a hash
+    of its `key` (columns that tell the rows of a group apart), so equal values are drawn apart, any task draws the same, and
+    replicates are summed where the rows lie: a task gives one row for each group and replicate. A replicate that draws no row is left out."""
+    rows = df.where(F.col(value).isNotNull())
+    mean = rows.groupBy(*by).agg(F.avg(value).alias("_m"))
+    rows = rows.join(mean, by) if by else rows.crossJoin(F.broadcast(mean))
+    rows = rows.select(*by, "_m", (F.col(value) - F.col("_m")).cast("double").alias("_d"), F.xxhash64(F.lit(seed), *by, *key).alias("_h"))
+    edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        odd = np.arange(1, 2 * reps, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sums: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            for group, part in frame.groupby([*by, "_m"], dropna=False, sort=False):
+                total = sums.setdefault(group, np.zeros((2, reps)))
+                for at in range(0, len(part), 256):
+                    h = part["_h"].to_numpy()[at : at + 256].view(np.uint64)[:, None] ^ odd
+                    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    weight = np.searchsorted(edges, (h >> np.uint64(11)) * 2.0**-53, "right").astype(float)
+                    total += np.stack((part["_d"].to_numpy()[at : at + 256] @ weight, weight.sum(0)))
+        for group, total in sums.items():
+            yield pd.DataFrame({**dict(zip([*by, "_m"], group, strict=True)), "_rep": np.arange(reps), "_s": total[0], "_w": total[1]})
+
+    schema = StructType([*(rows.schema[c] for c in [*by, "_m"])]).add("_rep", LongType()).add("_s", DoubleType()).add("_w", DoubleType())
+    drawn = rows.mapInPandas(run, schema).groupBy(*by, "_m", "_rep").agg(F.sum("_s").alias("_s"), F.sum("_w").alias("_w")).where("_w > 0")
+    reached = F.abs(F.col("_s") / F.col("_w")) >= F.abs("_m")
+    return drawn.groupBy(*by, "_m").agg(F.avg(reached.cast("double")).alias("p")).select(*by, "p", F.col("_m").alias("mean"))
 
 
 def stationary_bootstrap(series: DataFrame, columns: list[str], order: str, reps: int = 1000, block: float = 10.0, seed: int = 7, parts: int = 8) -> DataFrame:
@@ -197,7 +213,6 @@ def reality_check(series: DataFrame, columns: list[str], order: str, reps: int =
 
 def residualize(df: DataFrame, y: str, factors: list[str], sector: str, at: str, least: int = 40) -> DataFrame:
     """Per date, residuals of y on factors and sector dummies (constant columns dropped); dates with fewer names get null."""
-    from pyspark.sql.types import DoubleType, StructType
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         ok = g[[y, *factors]].notna().all(axis=1)
@@ -212,12 +227,29 @@ def residualize(df: DataFrame, y: str, factors: list[str], sector: str, at: str,
     return df.groupBy(at).applyInPandas(run, StructType([*df.schema.fields]).add("residual", DoubleType()))
 
 
-def effective_signals(df: DataFrame, columns: list[str]) -> float:
-    """(sum of eigenvalues)^2 / sum of their squares of the columns' correlation matrix, correlated in Spark."""
-    pairs = df.agg(*(F.corr(a, b).alias(f"c{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j)).first()
-    m = np.eye(len(columns))
-    for i in range(len(columns)):
-        for j in range(i + 1, len(columns)):
-            m[i, j] = m[j, i] = pairs[f"c{i}_{j}"] or 0.0
-    e = np.linalg.eigvalsh(m)
-    return float(e.sum() ** 2 / (e**2).sum())
+def effective_signals(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row, `effective`: (sum of eigenvalues)^2 / sum of their squares of the columns' correlation matrix (rows with a null left out).
+    Each task sums products over its rows, and the sums meet as one k x k matrix."""
+    k = len(columns)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k + 1, k + 1))
+        for frame in frames:
+            x = frame.dropna().to_numpy(float)
+            x = np.column_stack((np.ones(len(x)), x))
+            total += x.T @ x
+        at = np.indices(total.shape).reshape(2, -1)
+        yield pd.DataFrame({"i": at[0], "j": at[1], "s": total.ravel()})
+
+    def eigen(frame: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((k + 1, k + 1))
+        m[frame["i"], frame["j"]] = frame["s"]
+        n = max(m[0, 0], 1.0)
+        cov = m[1:, 1:] / n - np.outer(m[0, 1:], m[0, 1:]) / n**2
+        sd = np.sqrt(np.maximum(np.diag(cov), 0))
+        both = np.outer(sd, sd)
+        e = np.linalg.eigvalsh(np.where(both > 1e-15, cov / np.where(both > 1e-15, both, 1), 0) * (1 - np.eye(k)) + np.eye(k))
+        return pd.DataFrame({"effective": [float(e.sum() ** 2 / (e**2).sum())]})
+
+    sums = df.select(*columns).mapInPandas(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    return sums.groupBy(F.lit(0).alias("all")).applyInPandas(lambda g: eigen(g), "effective double")

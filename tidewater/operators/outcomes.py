@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-
 def by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("dt")
 
@@ -65,7 +64,7 @@ def session_hold(bars: DataFrame, fired: DataFrame, half_spread: float = 0.0005)
     excess over the same (symbol, bar)'s mean without condition."""
     s = Window.partitionBy("symbol", "session").orderBy("bar")
     last = F.last("close").over(s.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    held = bars.select("symbol", "session", "bar", (last / F.lead("open").over(s) - 1).alias("ret")).where("ret is not null")
+    held = bars.select("symbol", "session", "bar", (F.try_divide(last, F.lead("open").over(s)) - 1).alias("ret")).where("ret is not null")
     usual = held.groupBy("symbol", "bar").agg(F.avg("ret").alias("usual"))
     return fired.join(held, ["symbol", "session", "bar"]).join(usual, ["symbol", "bar"]).select("symbol", "session", "rule", "bar", "ret", (F.col("ret") - 2 * half_spread).alias("net"), (F.col("ret") - F.col("usual")).alias("excess"))
 
@@ -83,7 +82,7 @@ def overnight_split(bars: DataFrame) -> DataFrame:
     """night (previous adjusted close to adjusted open), day (open to close), hold."""
     adj_open = F.when(F.col("close") != 0, F.col("open") * F.col("adj_close") / F.col("close"))
     prev = F.lag("adj_close").over(by_symbol())
-    return bars.select("symbol", "dt", (adj_open / prev - 1).alias("night"), (F.col("adj_close") / adj_open - 1).alias("day"), (F.col("adj_close") / prev - 1).alias("hold"))
+    return bars.select("symbol", "dt", (F.try_divide(adj_open, prev) - 1).alias("night"), (F.try_divide("adj_close", adj_open) - 1).alias("day"), (F.try_divide("adj_close", prev) - 1).alias("hold"))
 
 
 def first_last_momentum(bars: DataFrame, cost: float = 0.0002) -> DataFrame:
@@ -94,9 +93,9 @@ def first_last_momentum(bars: DataFrame, cost: float = 0.0002) -> DataFrame:
 
 def weekly_reversal(bars: DataFrame, calendar: DataFrame, every: int = 5, start: int = 25, names: int = 3) -> DataFrame:
     """Every `every` sessions: the `names` largest losers and winners of the last `every` rows, by the open-to-open return that follows."""
-    adj_open = F.col("open") * F.col("adj_close") / F.col("close")
-    df = bars.withColumn("_o", adj_open).withColumn("past", F.col("adj_close") / F.lag("adj_close", every).over(by_symbol()) - 1)
-    df = df.withColumn("fwd", F.lead("_o", every + 1).over(by_symbol()) / F.lead("_o", 1).over(by_symbol()) - 1).join(F.broadcast(calendar.select("dt", "day_index")), "dt")
+    adj_open = F.try_divide(F.col("open") * F.col("adj_close"), "close")
+    df = bars.withColumn("_o", adj_open).withColumn("past", F.try_divide("adj_close", F.lag("adj_close", every).over(by_symbol())) - 1)
+    df = df.withColumn("fwd", F.try_divide(F.lead("_o", every + 1).over(by_symbol()), F.lead("_o", 1).over(by_symbol())) - 1).join(F.broadcast(calendar.select("dt", "day_index")), "dt")
     df = df.where((F.col("day_index") >= start) & ((F.col("day_index") - start) % every == 0) & F.col("past").isNotNull() & F.col("fwd").isNotNull())
     lo = F.row_number().over(Window.partitionBy("dt").orderBy("past", "symbol"))
     hi = F.row_number().over(Window.partitionBy("dt").orderBy(F.desc("past"), "symbol"))
@@ -109,7 +108,7 @@ def rotation_weights(bars: DataFrame, k: int = 3) -> DataFrame:
     month = F.trunc("dt", "month")
     ends = bars.groupBy("symbol", month.alias("month")).agg(F.max_by("adj_close", "dt").alias("px"))
     w = Window.partitionBy("symbol").orderBy("month")
-    mom = ends.withColumn("mom", F.lag("px", 1).over(w) / F.lag("px", 12).over(w) - 1).where("mom is not null")
+    mom = ends.withColumn("mom", F.try_divide(F.lag("px", 1).over(w), F.lag("px", 12).over(w)) - 1).where("mom is not null")
     ranked = mom.withColumn("_n", F.row_number().over(Window.partitionBy("month").orderBy(F.desc("mom"), "symbol"))).where(F.col("_n") <= k)
     return ranked.select(F.add_months("month", 1).alias("month"), "symbol", F.lit(1.0 / k).alias("weight"))
 
@@ -142,7 +141,7 @@ def calendar_time(events: DataFrame, bars: DataFrame, calendar: DataFrame, first
     days = F.broadcast(calendar.select("dt", "day_index"))
     entry = events.join(days.withColumnRenamed("dt", "day0"), "day0").select("symbol", F.col("day_index").alias("d0"))
     adj_open = F.when(F.col("close") != 0, F.col("open") * F.col("adj_close") / F.col("close"))
-    px = bars.select("symbol", "dt", (F.col("adj_close") / F.lag("adj_close").over(by_symbol()) - 1).alias("_r"), (F.col("adj_close") / adj_open - 1).alias("_r1")).join(days, "dt")
+    px = bars.select("symbol", "dt", (F.try_divide("adj_close", F.lag("adj_close").over(by_symbol())) - 1).alias("_r"), (F.try_divide("adj_close", adj_open) - 1).alias("_r1")).join(days, "dt")
     held = entry.withColumn("day_index", F.explode(F.sequence(F.col("d0") + first, F.col("d0") + last))).join(px, ["symbol", "day_index"])
     order = Window.partitionBy("symbol", "d0").orderBy("day_index")
     n, size = F.row_number().over(order), F.count(F.lit(1)).over(Window.partitionBy("symbol", "d0"))

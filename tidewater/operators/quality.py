@@ -23,7 +23,7 @@ def normalize_bars(raw: DataFrame, order: str) -> DataFrame:
 def bar_issues(bars: DataFrame, max_move: float = 0.35, max_gap: int = 10) -> DataFrame:
     """symbol, dt, issue, severity of every broken rule: price order (error), zero volume, extreme move, calendar gap (warnings)."""
     w = Window.partitionBy("symbol").orderBy("dt")
-    move = F.abs(F.col("adj_close") / F.lag("adj_close").over(w) - 1)
+    move = F.abs(F.try_divide("adj_close", F.lag("adj_close").over(w)) - 1)
     broken = (F.col("high") < F.col("low")) | (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close"))
     rules = [("price_order", "error", broken), ("zero_volume", "warn", F.col("volume") == 0), ("extreme_move", "warn", move > max_move), ("calendar_gap", "warn", F.datediff("dt", F.lag("dt").over(w)) > max_gap)]
     marks = F.array_compact(F.array(*(F.when(hit, F.struct(F.lit(n).alias("issue"), F.lit(s).alias("severity"))) for n, s, hit in rules)))
@@ -96,5 +96,5 @@ def stale_symbols(source: DataFrame, built: DataFrame) -> DataFrame:
 
 def severe_symbols(bars: DataFrame) -> DataFrame:
     """Symbols with a move beyond +300 % or -90 % or an open more than half away from the close."""
-    move = F.col("adj_close") / F.lag("adj_close").over(Window.partitionBy("symbol").orderBy("dt")) - 1
-    return bars.withColumn("_m", move).where((F.col("_m") > 3) | (F.col("_m") < -0.9) | (F.abs(F.col("open") / F.col("close") - 1) > 0.5)).select("symbol").distinct()
+    move = F.try_divide("adj_close", F.lag("adj_close").over(Window.partitionBy("symbol").orderBy("dt"))) - 1
+    return bars.withColumn("_m", move).where((F.col("_m") > 3) | (F.col("_m") < -0.9) | (F.abs(F.try_divide("open", "close") - 1) > 0.5)).select("symbol").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, costs, features, inference, joins, outcomes, quality, signals, windows
-from ..sources.adapters import DAILY_SQL, SESSION_SQL, daily_bars, session_bars, table
+from ..sources.adapters import CUSTOMER_SYMBOL_SQL, DAILY_SQL, SESSION_SQL, customer_symbol, daily_bars, session_bars, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,12 +164,12 @@ def e_streaks(spark, sf_dir):
 
 
 @query(f"""with {DAILY_SQL}, d as (select dt, row_number() over (order by dt) - 1 as day_index from (select distinct dt from bars)),
-e as (select 'S' || lpad(cast(o_custkey % 20 as varchar), 2, '0') as symbol, day_index, cast(floor(o_totalprice) as bigint) as amount, 1 as events from orders join d on cast(o_orderdate as date) = d.dt)
+e as (select {CUSTOMER_SYMBOL_SQL} as symbol, day_index, cast(floor(o_totalprice) as bigint) as amount, 1 as events from orders join d on cast(o_orderdate as date) = d.dt)
 select b.symbol, b.dt, d.day_index, cast(coalesce(sum(e.amount), 0) as bigint) as amount_sum, cast(coalesce(sum(e.events), 0) as bigint) as events_sum from bars b join d using (dt) left join e on e.symbol = b.symbol and e.day_index between d.day_index - 90 and d.day_index group by 1, 2, 3""")
 def e_trailing_event_sums(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
     days = F.broadcast(features.calendar(bars).select("dt", "day_index"))
-    events = table(spark, sf_dir, "orders").select(F.concat(F.lit("S"), F.lpad((F.col("o_custkey") % 20).cast("string"), 2, "0")).alias("symbol"), F.to_date("o_orderdate").alias("dt"), F.floor("o_totalprice").cast("long").alias("amount"), F.lit(1).alias("events")).join(days, "dt").drop("dt")
+    events = table(spark, sf_dir, "orders").select(customer_symbol(F.col("o_custkey")).alias("symbol"), F.to_date("o_orderdate").alias("dt"), F.floor("o_totalprice").cast("long").alias("amount"), F.lit(1).alias("events")).join(days, "dt").drop("dt")
     return windows.trailing_event_sums(bars.select("symbol", "dt").join(days, "dt"), events, ["symbol"], "day_index", ["amount", "events"], 90).select("symbol", "dt", F.col("day_index").cast("long").alias("day_index"), "amount_sum", "events_sum")
 
 
@@ -185,7 +185,7 @@ _RET = "ret as (select symbol, dt, adj_close / lag(adj_close) over (partition by
 
 def returns(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
-    return bars.withColumn("ret", F.col("adj_close") / F.lag("adj_close").over(features.by_symbol()) - 1)
+    return bars.withColumn("ret", F.try_divide("adj_close", F.lag("adj_close").over(features.by_symbol())) - 1)
 
 
 @query(f"""with {DAILY_SQL}, {_RET}, m as (select dt, avg(ret) as mkt from ret group by dt), j as (select symbol, dt, case when ret is not null and mkt is not null then ret end as y, case when ret is not null and mkt is not null then mkt end as x from ret join m using (dt)),
@@ -250,12 +250,12 @@ def e_past_month_returns(spark, sf_dir):
     return rounded(windows.compound_returns(m, "ret", ["symbol"], ["month"], "mi", 3).select("symbol", "month", "cum_1", "cum_2", "cum_3"))
 
 
-_EVENTS = "ev as (select 'S' || lpad(cast(o_custkey % 20 as varchar), 2, '0') as symbol, cast(o_orderdate as date) as known, max(o_totalprice) as amount from orders group by 1, 2)"
+_EVENTS = f"ev as (select {CUSTOMER_SYMBOL_SQL} as symbol, cast(o_orderdate as date) as known, max(o_totalprice) as amount from orders group by 1, 2)"
 
 
 def events_of(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.concat(F.lit("S"), F.lpad((F.col("o_custkey") % 20).cast("string"), 2, "0")).alias("symbol"), F.to_date("o_orderdate").alias("known")).agg(F.max("o_totalprice").alias("amount"))
+    return o.groupBy(customer_symbol(F.col("o_custkey")).alias("symbol"), F.to_date("o_orderdate").alias("known")).agg(F.max("o_totalprice").alias("amount"))
 
 
 @query(f"with {DAILY_SQL}, {_EVENTS} select b.symbol, b.dt, e.known as asof_at, round(e.amount, 6) as amount from bars b asof left join ev e on b.symbol = e.symbol and b.dt >= e.known")
@@ -263,38 +263,38 @@ def c_asof_join(spark, sf_dir):
     return rounded(joins.asof(daily_bars(spark, sf_dir).select("symbol", "dt"), events_of(spark, sf_dir), ["symbol"], "dt", "known", ["amount"]))
 
 
-@query(f"""with {DAILY_SQL}, {_EVENTS}, l as (select symbol, known as since, known + interval 30 day as until, amount from ev where amount > 400000)
+@query(f"""with {DAILY_SQL}, {_EVENTS}, l as (select symbol, known as since, known + interval 30 day as until, amount from ev)
 select b.symbol, b.dt, cast(l.since as date) as since, round(l.amount, 6) as amount from bars b join l on b.symbol = l.symbol and b.dt between l.since and l.until""")
 def c_interval_join(spark, sf_dir):
-    links = events_of(spark, sf_dir).where("amount > 400000").select("symbol", F.col("known").alias("since"), F.date_add("known", 30).alias("until"), "amount")
+    links = events_of(spark, sf_dir).select("symbol", F.col("known").alias("since"), F.date_add("known", 30).alias("until"), "amount")
     return rounded(joins.interval_join(daily_bars(spark, sf_dir).select("symbol", "dt"), links, ["symbol"], "dt", "since", "until").select("symbol", "dt", "since", "amount"))
 
 
-@query(f"""with {DAILY_SQL}, {_EVENTS}, l as (select symbol, known, amount from ev where amount > 420000) select distinct b.symbol, b.dt from bars b join l on b.symbol = l.symbol and b.dt between l.known - interval 10 day and l.known + interval 15 day""")
+@query(f"""with {DAILY_SQL}, {_EVENTS}, l as (select symbol, known, amount from ev) select distinct b.symbol, b.dt from bars b join l on b.symbol = l.symbol and b.dt between l.known - interval 10 day and l.known + interval 15 day""")
 def c_rows_around_events(spark, sf_dir):
-    ev = events_of(spark, sf_dir).where("amount > 420000")
+    ev = events_of(spark, sf_dir)
     return joins.rows_around(daily_bars(spark, sf_dir).select("symbol", "dt"), ev, ["symbol"], "dt", "known", 10, 15)
 
 
-@query(f"""with {_EVENTS}, a as (select symbol, known as ann from ev where amount > 400000), x as (select a.symbol, a.ann, e.known as note, e.amount, row_number() over (partition by a.symbol, a.ann order by e.known desc, e.amount) as n from a join ev e on a.symbol = e.symbol and e.known >= a.ann - interval 90 day and e.known < a.ann)
+@query(f"""with {_EVENTS}, a as (select symbol, known as ann from ev), x as (select a.symbol, a.ann, e.known as note, e.amount, row_number() over (partition by a.symbol, a.ann order by e.known desc, e.amount) as n from a join ev e on a.symbol = e.symbol and e.known >= a.ann - interval 90 day and e.known < a.ann)
 select symbol, ann, note, round(amount, 6) as amount from x where n = 1""")
 def c_latest_before(spark, sf_dir):
     ev = events_of(spark, sf_dir)
-    a = ev.where("amount > 400000").select("symbol", F.col("known").alias("ann"))
+    a = ev.select("symbol", F.col("known").alias("ann"))
     return rounded(joins.latest_before(a, ev.withColumnRenamed("known", "note"), ["symbol"], "ann", "note", 90, "amount"))
 
 
-@query(f"""with {_EVENTS}, o as (select symbol, known as offer, lead(known) over (partition by symbol order by known) as nxt from ev where amount > 400000)
+@query(f"""with {_EVENTS}, o as (select symbol, known as offer, lead(known) over (partition by symbol order by known) as nxt from ev)
 select e.symbol, e.known as follow_up, o.offer from ev e join o on e.symbol = o.symbol and e.known >= o.offer and (o.nxt is null or e.known < o.nxt) and date_diff('day', o.offer, e.known) <= 365""")
 def c_nearest_owner(spark, sf_dir):
     ev = events_of(spark, sf_dir)
-    return joins.nearest_owner(ev.select("symbol", F.col("known").alias("follow_up")), ev.where("amount > 400000").select("symbol", F.col("known").alias("offer")), ["symbol"], "follow_up", "offer")
+    return joins.nearest_owner(ev.select("symbol", F.col("known").alias("follow_up")), ev.select("symbol", F.col("known").alias("offer")), ["symbol"], "follow_up", "offer")
 
 
-@query(f"""with {_EVENTS}, t as (select symbol, known as entry, known + interval 20 day as exit_ from ev where amount > 430000), rt as (select cast(l_shipdate as date) as dt, sum(cast(l_linenumber as bigint)) as rate from lineitem group by 1)
+@query(f"""with {_EVENTS}, t as (select symbol, known as entry, known + interval 20 day as exit_ from ev), rt as (select cast(l_shipdate as date) as dt, sum(cast(l_linenumber as bigint)) as rate from lineitem group by 1)
 select t.symbol, t.entry, cast(t.exit_ as date) as exit_at, coalesce(cast(sum(rt.rate) as bigint), 0) as rate_sum from t left join rt on rt.dt > t.entry and rt.dt <= t.exit_ group by 1, 2, 3""")
 def c_interval_sums(spark, sf_dir):
-    trades = events_of(spark, sf_dir).where("amount > 430000").select("symbol", F.col("known").alias("entry"), F.date_add("known", 20).alias("exit_at"))
+    trades = events_of(spark, sf_dir).select("symbol", F.col("known").alias("entry"), F.date_add("known", 20).alias("exit_at"))
     rates = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("dt")).agg(F.sum(F.col("l_linenumber").cast("long")).alias("rate"))
     return joins.interval_sums(trades, rates, "entry", "exit_at", "dt", "rate")
 
@@ -319,9 +319,9 @@ def c_lagged_month_cost(spark, sf_dir):
     return rounded(joins.lagged_period(c, "symbol", "month", "cost"))
 
 
-@query(f"""with {DAILY_SQL}, {_EVENTS}, s as (select known as dt, count(*) as n from ev where symbol = 'S03' group by 1), d as (select distinct dt from bars) select d.dt, coalesce(n, 0) as n from d left join s using (dt)""")
+@query(f"""with {DAILY_SQL}, {_EVENTS}, s as (select known as dt, count(*) as n from ev group by 1), d as (select distinct dt from bars) select d.dt, coalesce(n, 0) as n from d left join s using (dt)""")
 def c_calendar_densify(spark, sf_dir):
-    series = events_of(spark, sf_dir).where("symbol = 'S03'").groupBy(F.col("known").alias("dt")).agg(F.count(F.lit(1)).alias("n"))
+    series = events_of(spark, sf_dir).groupBy(F.col("known").alias("dt")).agg(F.count(F.lit(1)).alias("n"))
     return joins.densify(series, features.calendar(daily_bars(spark, sf_dir)), "dt", ["n"])
 
 
@@ -340,10 +340,10 @@ def g_snapshot_diff(spark, sf_dir):
     return quality.snapshot_diff(keyed.where("dt < date '1998-01-01'").select("key").distinct(), keyed.where("dt >= date '1998-01-01'").select("key").distinct(), "key")
 
 
-@query(f"""with {DAILY_SQL} select symbol, dt, case when volume > 60 then 'large' else 'late' end as reason from bars where (symbol = 'S01' and volume > 60) or (symbol = 'S02' and dt >= date '2000-01-01') and symbol = 'S02'
-and true""".replace("case when volume > 60 then 'large' else 'late' end", "case when symbol = 'S01' then 'early' else 'late' end").replace("symbol = 'S01' and volume > 60", "symbol = 'S01' and dt <= date '1996-06-30'"))
+@query(f"""with {DAILY_SQL} select symbol, dt, case when volume > 60 then 'large' else 'late' end as reason from bars where (symbol = 'S00001' and volume > 60) or (symbol = 'S00002' and dt >= date '2000-01-01') and symbol = 'S00002'
+and true""".replace("case when volume > 60 then 'large' else 'late' end", "case when symbol = 'S00001' then 'early' else 'late' end").replace("symbol = 'S00001' and volume > 60", "symbol = 'S00001' and dt <= date '1996-06-30'"))
 def g_quarantine(spark, sf_dir):
-    rules = spark.createDataFrame([("S01", None, "1996-06-30", "early"), ("S02", "2000-01-01", None, "late")], "symbol string, since string, until string, reason string")
+    rules = spark.createDataFrame([("S00001", None, "1996-06-30", "early"), ("S00002", "2000-01-01", None, "late")], "symbol string, since string, until string, reason string")
     rules = rules.withColumn("since", F.to_date("since")).withColumn("until", F.to_date("until"))
     return quality.quarantine(daily_bars(spark, sf_dir), rules)[1].select("symbol", "dt", "reason")
 
@@ -496,13 +496,13 @@ def f_first_touch(spark, sf_dir):
     return rounded(outcomes.first_touch(bars, signals=signals.long_form(bars, ["donchian_break_20"])))
 
 
-@query(f"""with {DAILY_SQL}, d as (select dt, row_number() over (order by dt) - 1 as day_index from (select distinct dt from bars)), {_EVENTS}, e as (select distinct symbol, known from ev where amount > 430000),
+@query(f"""with {DAILY_SQL}, d as (select dt, row_number() over (order by dt) - 1 as day_index from (select distinct dt from bars)), {_EVENTS}, e as (select distinct symbol, known from ev),
 z as (select e.symbol, d.day_index as d0 from e join d on e.known = d.dt), px as (select b.symbol, b.dt, d.day_index, adj_close / lag(adj_close) over (partition by symbol order by b.dt) - 1 as rr, adj_close / (open * adj_close / nullif("close", 0)) - 1 as r1 from bars b join d using (dt)),
 h as (select z.symbol, z.d0, px.*, row_number() over (partition by z.symbol, z.d0 order by px.day_index) as n, count(*) over (partition by z.symbol, z.d0) as size from z join px on px.symbol = z.symbol and px.day_index between z.d0 + 2 and z.d0 + 61)
 select dt, round(avg(case when n = 1 then r1 else coalesce(rr, 0) end - 0.0025::double * (case when n = 1 then 1 else 0 end + case when n = size then 1 else 0 end)), 6) as ret, count(*) as positions from h group by dt""")
 def f_calendar_time_portfolio(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
-    ev = events_of(spark, sf_dir).where("amount > 430000").select("symbol", F.col("known").alias("day0")).distinct()
+    ev = events_of(spark, sf_dir).select("symbol", F.col("known").alias("day0")).distinct()
     return rounded(outcomes.calendar_time(ev, bars, features.calendar(bars)))
 
 
@@ -590,18 +590,18 @@ def h_leaderboard(spark, sf_dir):
 @query()
 def h_iid_bootstrap(spark, sf_dir):
     d = trades_of(spark, sf_dir).groupBy("signal", F.trunc("dt", "month").alias("month")).agg(F.avg("ret").alias("ret"))
-    return rounded(inference.iid_bootstrap_p(d, "ret", ["signal"], reps=200))
+    return rounded(inference.iid_bootstrap_p(d, "ret", ["signal"], ["month"]))
 
 
 @query()
 def h_reality_check(spark, sf_dir):
     d = trades_of(spark, sf_dir).groupBy("dt").agg(F.coalesce(F.avg(F.when(F.col("signal") == "a", F.col("ret"))), F.lit(0.0)).alias("a"), F.coalesce(F.avg(F.when(F.col("signal") == "b", F.col("ret"))), F.lit(0.0)).alias("b"))
-    return rounded(inference.reality_check(d, ["a", "b"], "dt", reps=200))
+    return rounded(inference.reality_check(d, ["a", "b"], "dt"))
 
 
 @query()
 def h_residualize(spark, sf_dir):
-    df = returns(spark, sf_dir).withColumn("size", F.log("volume")).withColumn("sector", F.col("symbol").substr(3, 1)).select("symbol", "dt", "ret", "size", "sector")
+    df = returns(spark, sf_dir).withColumn("size", F.log("volume")).withColumn("sector", F.col("symbol").substr(6, 1)).select("symbol", "dt", "ret", "size", "sector")
     return rounded(inference.residualize(df, "ret", ["size"], "sector", "dt", 12).select("symbol", "dt", "residual"))
 
 

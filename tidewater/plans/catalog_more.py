@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, costs, events, features, inference, modelling, outcomes, pit, quality, signals, text
 from ..sources import readers
-from ..sources.adapters import DAILY_SQL, SESSION_SQL, daily_bars, session_bars, table
+from ..sources.adapters import DAILY_SQL, SESSION_SQL, customer_symbol, daily_bars, session_bars, symbol_of, symbol_sql, table
 from ..streaming import jobs
 from .catalog import _TRADES, query, returns, rounded, trades_of
 
@@ -87,32 +87,71 @@ def g_change_only_rows(spark, sf_dir):
     return df.withColumn("_b", before).where(F.col("_b").isNull() | ~F.col("volume").eqNullSafe(F.col("_b"))).drop("_b")
 
 
-@query(f"""with {DAILY_SQL}, x as (select symbol, adj_close / lag(adj_close) over (partition by symbol order by dt) - 1 as m, open, "close" as c from bars) select distinct symbol from x where m > 3 or m < -0.9 or abs(open / c - 1) > 0.5""")
+@query(f"""with {DAILY_SQL}, p as (select symbol, dt, open, "close" as c, case when volume % 50 = 7 then 5 * adj_close else adj_close end as a from bars), x as (select symbol, a / lag(a) over (partition by symbol order by dt) - 1 as m, open, c from p) select distinct symbol from x where m > 3 or m < -0.9 or abs(open / c - 1) > 0.5""")
 def g_severe_symbols(spark, sf_dir):
-    return quality.severe_symbols(daily_bars(spark, sf_dir))
+    """Every bar with a volume of 7 modulo 50 is planted as a fivefold adjusted close."""
+    bars = daily_bars(spark, sf_dir)
+    return quality.severe_symbols(bars.withColumn("adj_close", F.when(F.col("volume") % 50 == 7, 5 * F.col("adj_close")).otherwise(F.col("adj_close"))))
+
 
+_CUT = "1996-06-28"
 
-@query("select symbol, dt, problem from (select '' as symbol, date '2000-01-01' as dt, '' as problem) where false")
+
+@query(f"""with {DAILY_SQL}, x as (select symbol, dt, row_number() over (partition by symbol order by dt desc) as from_end, max(dt) over (partition by symbol) as last_dt from bars where dt <= date '{_CUT}' ),
+later as (select symbol, min(dt) as nxt from bars where dt > date '{_CUT}' group by 1)
+select x.symbol, x.dt, 'next_close' as problem from x join later using (symbol) where from_end = 1""")
 def n_truncation_audit(spark, sf_dir):
-    return pit.truncation_audit(features.price_features, daily_bars(spark, sf_dir), F.lit("1999-06-30").cast("date"), "dt", ["symbol", "dt"], ["sma_200", "vol_20", "atr_14", "mom_126"])
+    """The feature layer is sound; a planted column that reads the next close must be found, at each symbol's last row before the cut."""
+
+    def planted(bars):
+        return features.price_features(bars).withColumn("next_close", F.lead("close").over(features.by_symbol()))
 
+    columns = ["sma_200", "vol_20", "atr_14", "mom_126", "prior_high_20", "dist_high_252", "next_close"]
+    return pit.truncation_audit(planted, daily_bars(spark, sf_dir), F.lit(_CUT).cast("date"), "dt", ["symbol", "dt"], columns)
 
-@query("select symbol, dt, 0.0::double as fwd_5 from (select '' as symbol, date '2000-01-01' as dt) where false")
+
+@query(f"""with {DAILY_SQL} select symbol, max(dt) as dt, 0.0::double as fwd_5 from bars where dt <= date '{_CUT}' group by symbol""")
 def n_labels_vanish(spark, sf_dir):
-    return pit.labels_vanish(features.forward_labels, daily_bars(spark, sf_dir), F.lit("1999-06-30").cast("date"), "dt", "fwd_5").select("symbol", "dt", "fwd_5")
+    """A planted label that is filled where the future is missing must be found at each symbol's last row; the true one has none there."""
+
+    def planted(bars):
+        return features.forward_labels(bars).withColumn("fwd_5", F.coalesce("fwd_5", F.lit(0.0)))
+
+    bars, cut = daily_bars(spark, sf_dir), F.lit(_CUT).cast("date")
+    true = pit.labels_vanish(features.forward_labels, bars, cut, "dt", "fwd_5").select("symbol", "dt", "fwd_5")
+    return true.unionByName(pit.labels_vanish(planted, bars, cut, "dt", "fwd_5").select("symbol", "dt", "fwd_5"))
 
 
-@query("select symbol, dt, problem from (select '' as symbol, date '2000-01-01' as dt, '' as problem) where false")
+@query(f"""with {DAILY_SQL}, x as (select symbol, dt, adj_close, lag("close") over (partition by symbol order by dt) as pc from bars) select symbol, dt, 'mixed' as problem from x where (adj_close > pc) <> (adj_close * 0.37::double > pc)""")
 def n_price_basis_audit(spark, sf_dir):
+    """Signals on one basis do not change when it is rescaled; a planted one that holds adjusted against raw closes does."""
     names = ["golden_cross_50_200", "bollinger_lower_touch", "three_down_days", "big_down_day"]
     bars = daily_bars(spark, sf_dir)
-    return pit.basis_audit(lambda d: signals.compute(d, names).select("symbol", "dt", *(F.col(n).cast("int").alias(n) for n in names)), bars, ["symbol", "dt"], names)
 
+    def planted(d):
+        mixed = F.coalesce(F.col("adj_close") > F.lag("close").over(features.by_symbol()), F.lit(False))
+        return signals.compute(d, names, {}).withColumn("mixed", mixed).select("symbol", "dt", *(F.col(n).cast("int").alias(n) for n in [*names, "mixed"]))
 
-@query("select symbol, session, rule, bar from (select '' as symbol, date '2000-01-01' as session, '' as rule, 0 as bar) where false")
+    return pit.basis_audit(planted, bars, ["symbol", "dt"], [*names, "mixed"])
+
+
+@query(f"""with {SESSION_SQL}, whole as (select symbol, session, max(case when bar = 2 then "close" end) as c2, max(case when bar = 6 then "close" end) as c6 from hourly where bars_in_session = 7 group by 1, 2),
+x as (select *, lag(c6) over (partition by symbol order by session) as other from whole)
+select symbol, session, 'knows_the_close' as rule, cast(2 as integer) as bar from x where other is not null and (c6 > c2) <> (other > c2)""")
 def n_future_swap_audit(spark, sf_dir):
-    # rules that need the session's length are judged on complete sessions
-    return pit.future_swap_audit(lambda d: signals.intraday_rules(d).where("rule not in ('gap_up_fade', 'gap_down_fill')"), signals.complete_sessions(session_bars(spark, sf_dir)), 2)
+    """All session rules are sound; a planted one that fires on the third bar if the session will close higher must be found wherever the swap turns it."""
+    from pyspark.sql import Window
+
+    bars = signals.complete_sessions(session_bars(spark, sf_dir))
+    closes = bars.groupBy("symbol", "session").agg(F.max_by("close", "bar").alias("c"))
+    closes = closes.select("symbol", "session", F.lag("c").over(Window.partitionBy("symbol").orderBy("session")).alias("prev_close"))
+
+    def planted(d):
+        last = d.groupBy("symbol", "session").agg(F.max_by("close", "bar").alias("last"))
+        hit = d.where("bar = 2").join(last, ["symbol", "session"]).where("last > close").select("symbol", "session", F.lit("knows_the_close").alias("rule"), "bar")
+        return signals.intraday_rules(d, closes).unionByName(hit)
+
+    return pit.future_swap_audit(planted, bars, 2)
 
 
 @query()
@@ -192,15 +231,15 @@ def f_touch_grid(spark, sf_dir):
     w = Window.partitionBy("symbol").orderBy("session").rowsBetween(-20, -1)
     unit = unit.select("symbol", "session", F.when(F.count("r").over(w) >= 5, F.avg("r").over(w)).alias("unit"))
     t = bars.withColumn("path", path).where("size(path) > 0").withColumn("entry", F.col("path")[0]["open"]).join(unit, ["symbol", "session"]).where("unit is not null")
-    g = outcomes.touch_grid(t, [0.5, 1.0, 2.0], [0.5, 1.0, 2.0])
+    g = outcomes.touch_grid(t, [0.5, 1.0, 1.5, 2.0, 3.0], [0.5, 1.0, 1.5, 2.0, 3.0])
     return rounded(g.groupBy("bar", "stop_m", "target_m").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean")))
 
 
 @query()
 def f_event_window(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
-    ev = table(spark, sf_dir, "orders").where("o_totalprice > 440000").select(F.concat(F.lit("S"), F.lpad((F.col("o_custkey") % 20).cast("string"), 2, "0")).alias("symbol"), F.to_date("o_orderdate").alias("effective")).distinct()
-    return rounded(outcomes.event_window_returns(ev, bars, features.calendar(bars), bars.where("symbol = 'S00'"), 1, 10))
+    ev = table(spark, sf_dir, "orders").select(customer_symbol(F.col("o_custkey")).alias("symbol"), F.to_date("o_orderdate").alias("effective")).distinct()
+    return rounded(outcomes.event_window_returns(ev, bars, features.calendar(bars), bars.groupBy("dt").agg(F.avg("adj_close").alias("adj_close")), 1, 10))
 
 
 @query("""with y as (select year(dt) as year, min(dt) as first, max(dt) as last, min(i) as at_, count(*) as n from (select dt, row_number() over (order by dt) - 1 as i from (select distinct cast(l_shipdate as date) as dt from lineitem)) group by 1),
@@ -210,10 +249,14 @@ def m_walk_forward_folds(spark, sf_dir):
     return modelling.walk_forward(features.calendar(daily_bars(spark, sf_dir))).withColumn("fold", F.col("fold").cast("long"))
 
 
-@query("select 0 as fold, date '2000-01-01' as train_end, date '2000-01-01' as test_start where false")
+@query("""with d as (select dt, row_number() over (order by dt) - 1 as i from (select distinct cast(l_shipdate as date) as dt from lineitem)), y as (select year(dt) as year, min(dt) as first, min(i) as at_, count(*) as n from d group by 1)
+select row_number() over (order by t.year) as fold, e.dt as train_end, t.first as test_start from y t join y s on s.year = t.year - 4 join d e on e.i = t.at_ - 6 where t.year >= (select min(year) from y where n > 200) + 4""")
 def m_leakage(spark, sf_dir):
+    """Folds purged by 5 sessions leak labels of 21; folds purged by 21 do not."""
     cal = features.calendar(daily_bars(spark, sf_dir))
-    return modelling.leaking_folds(modelling.walk_forward(cal), cal, 21)
+    sound = modelling.leaking_folds(modelling.walk_forward(cal), cal, 21)
+    planted = modelling.leaking_folds(modelling.walk_forward(cal, purge=5), cal, 21)
+    return sound.unionByName(planted).withColumn("fold", F.col("fold").cast("long"))
 
 
 @query()
@@ -226,9 +269,9 @@ def m_logistic_walk_forward(spark, sf_dir):
     return rounded(modelling.evaluate(out, "fwd_5", ["fold"]))
 
 
-@query("""select 'U' || cast(user_id % 10 as varchar) as symbol, date_trunc('hour', ts) as ts, round(arg_min(value, ts), 6) as open, round(max(value), 6) as high, round(min(value), 6) as low, round(arg_max(value, ts), 6) as "close", count(*) as volume from events group by 1, 2""")
+@query(f"""select {symbol_sql("user_id", "U")} as symbol, date_trunc('hour', ts) as ts, round(arg_min(value, ts), 6) as open, round(max(value), 6) as high, round(min(value), 6) as low, round(arg_max(value, ts), 6) as "close", count(*) as volume from events group by 1, 2""")
 def l_hourly_bars(spark, sf_dir):
-    t = table(spark, sf_dir, "events").select("ts", F.concat(F.lit("U"), (F.col("user_id") % 10).cast("string")).alias("symbol"), F.col("value").alias("price"), F.lit(1).alias("quantity"))
+    t = table(spark, sf_dir, "events").select("ts", symbol_of(F.col("user_id"), "U").alias("symbol"), F.col("value").alias("price"), F.lit(1).alias("quantity"))
     return rounded(jobs.hourly_bars(t))
 
 
@@ -245,15 +288,15 @@ def a_upsert(spark, sf_dir):
 
 @query()
 def h_effective_signals(spark, sf_dir):
-    names = ["above_sma_50", "above_sma_200", "volume_spike_up", "three_down_days", "hammer", "doji"]
+    names = list(signals.REGISTRY)
     s = signals.compute(daily_bars(spark, sf_dir), names).select(*(F.col(n).cast("double").alias(n) for n in names))
-    return spark.createDataFrame([(round(inference.effective_signals(s, names), 6),)], "effective double")
+    return rounded(inference.effective_signals(s, names))
 
 
 @query()
 def h_factor_alpha(spark, sf_dir):
     r = returns(spark, sf_dir)
-    d = r.groupBy("dt").agg(F.avg("ret").alias("mkt"), F.avg(F.when(F.col("symbol") < "S05", F.col("ret"))).alias("y"))
+    d = r.groupBy("dt").agg(F.avg("ret").alias("mkt"), F.avg(F.when(F.col("symbol") < "S00005", F.col("ret"))).alias("y"))
     a = inference.factor_alpha(d, "y", ["mkt"], "dt")
     return spark.createDataFrame([tuple(round(float(v), 6) for v in a.values())], ", ".join(f"{k} double" for k in a))
 

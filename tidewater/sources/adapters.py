@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,11 +13,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def symbol_of(number: Column, kind: str = "S") -> Column:
+    return F.concat(F.lit(kind), F.lpad(number.cast("string"), 5, "0"))
+
+
+def symbol_sql(number: str, kind: str = "S") -> str:
+    return f"'{kind}' || lpad(cast({number} as varchar), 5, '0')"
+
+
+#: Customers and users belong to the symbol of their fifteen: there are as many symbols as suppliers, and a tenth of that in the sessions.
+FIFTEEN = 15
+
+
+def customer_symbol(key: Column) -> Column:
+    return symbol_of(F.floor(key / FIFTEEN).cast("long"))
+
+
+CUSTOMER_SYMBOL_SQL = symbol_sql(f"o_custkey // {FIFTEEN}")
+
+
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, dt, open, high, low, close, adj_close, volume: one row for each of 20 symbols and day with trades."""
+    """symbol, dt, open, high, low, close, adj_close, volume: one row for each supplier and day with trades."""
     price = F.lit(100.0) + F.sqrt(F.col("l_extendedprice") / F.col("l_quantity")) / 10
     rows = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("S"), F.lpad((F.col("l_suppkey") % 20).cast("string"), 2, "0")).alias("symbol"),
+        symbol_of(F.col("l_suppkey")).alias("symbol"),
         F.to_date("l_shipdate").alias("dt"),
         (F.col("l_orderkey") * 1_000_000_000 + F.col("l_linenumber") * 100_000_000 + F.col("l_partkey")).alias("k"),
         price.alias("p"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"),
@@ -33,24 +52,25 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "dt", "open", "high", "low", "close", (F.col("close") * factor).alias("adj_close"), "volume")
 
 
-DAILY_SQL = """trades as (
-  select 'S' || lpad(cast(l_suppkey % 20 as varchar), 2, '0') as symbol, cast(l_shipdate as date) as dt,
+DAILY_SQL = f"""trades as (
+  select {symbol_sql("l_suppkey")} as symbol, cast(l_shipdate as date) as dt,
          l_orderkey * 1000000000 + l_linenumber * 100000000 + l_partkey as k,
          100.0::double + sqrt(l_extendedprice / l_quantity) / 10 as p, l_quantity as q, l_discount as d, l_tax as t
   from lineitem),
 bars as (
   select *, "close" * (case when dt < date '1998-07-01' then 0.5::double else 1.0::double end) as adj_close from (
-    select symbol, dt, arg_min(p, {'k': k, 'p': p}) as open, max(p * (1 + d / 4)) as high, min(p * (1 - t / 4)) as low,
-           arg_max(p * (1 + (d - t) / 4), {'k': k, 'p': p, 'd': d, 't': t}) as "close", cast(sum(q) as bigint) as volume
+    select symbol, dt, arg_min(p, {{'k': k, 'p': p}}) as open, max(p * (1 + d / 4)) as high, min(p * (1 - t / 4)) as low,
+           arg_max(p * (1 + (d - t) / 4), {{'k': k, 'p': p, 'd': d, 't': t}}) as "close", cast(sum(q) as bigint) as volume
     from trades group by symbol, dt))"""
 
 
 def session_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, session, bar (0..6), bars_in_session, open, high, low, close, volume: events as trades, 7 bars a day, 10 symbols."""
+    """symbol, session, bar (0..6), bars_in_session, open, high, low, close, volume: events as trades, 7 bars a day, a symbol for
+    each fifteen users."""
     from pyspark.sql import Window
 
     rows = table(spark, sf_dir, "events").select(
-        F.concat(F.lit("E"), (F.col("user_id") % 10).cast("string")).alias("symbol"),
+        symbol_of(F.floor(F.col("user_id") / FIFTEEN).cast("long"), "E").alias("symbol"),
         F.to_date("ts").alias("session"),
         F.floor((F.hour("ts") * 60 + F.minute("ts")) * 7 / 1440).cast("int").alias("bar"),
         "event_id",
@@ -62,8 +82,8 @@ def session_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("bars_in_session", F.count(F.lit(1)).over(Window.partitionBy("symbol", "session")))
 
 
-SESSION_SQL = """ticks as (
-  select 'E' || cast(user_id % 10 as varchar) as symbol, cast(ts as date) as session,
+SESSION_SQL = f"""ticks as (
+  select {symbol_sql(f"user_id // {FIFTEEN}", "E")} as symbol, cast(ts as date) as session,
          cast(floor((hour(ts) * 60 + minute(ts)) * 7 / 1440.0) as integer) as bar, event_id, 100.0::double + floor(value * 10) / 100 as p
   from events),
 hourly as (
