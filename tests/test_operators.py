@@ -215,7 +215,11 @@ def test_streams(spark, tmp_path):
     changes = spark.readStream.schema("ts timestamp, symbol string, price double, quantity int").parquet(src)
     for _ in range(2):
         jobs.change_stream(changes, f"{tmp_path}/changes", f"{tmp_path}/d{_}", ["symbol"], ["price"], "ts").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/changes").count() == 1
+    # each price differs from the one before it; rows that come again change nothing
+    assert sorted(r.price for r in spark.read.parquet(f"{tmp_path}/changes").collect()) == [10.0 + i for i in range(50)]
+    old = spark.createDataFrame([("A", 3, 1.0)], "k string, at int, v double")
+    new = spark.createDataFrame([("A", 2, 9.0), ("A", 4, 1.0), ("A", 5, 2.0), ("A", 6, 2.0), ("A", 7, 1.0), ("B", 1, None), ("B", 2, None)], "k string, at int, v double")
+    assert sorted((r.k, r.at) for r in quality.changes(old, new, ["k"], ["v"], "at").collect()) == [("A", 5), ("A", 7), ("B", 1)]
     assert jobs.hourly_bars(spark.read.parquet(src)).first().volume == 50
     out = jobs.hourly_bars(stream).writeStream.format("memory").queryName("bars_mem").outputMode("append").option("checkpointLocation", f"{tmp_path}/m").trigger(availableNow=True).start()
     out.awaitTermination()
@@ -260,3 +264,52 @@ def test_filing_dates_and_short_interest(spark):
     keys = spark.createDataFrame([("A", 100, 2.0)], "symbol string, day_index int, adv double")
     t = spark.createDataFrame([("A", 50, 400.0, 40.0), ("A", 5, 9.0, 9.0)], "symbol string, day_index int, bought double, sold double")
     assert events.insider_signal(keys, t).first().net_buying == 2.0
+
+
+def test_structural_exits_as_bar_by_bar(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for s in range(12):
+        p = 100.0
+        for b in range(7):
+            o = p + rng.normal(0, 0.5)
+            c = o + rng.normal(0, 1)
+            rows.append(("A", D0 + timedelta(s), b, float(o), float(max(o, c) + abs(rng.normal(0, 0.6))), float(min(o, c) - abs(rng.normal(0, 0.6))), float(c), int(rng.integers(1, 9))))
+            p = c
+    bars = spark.createDataFrame(rows, "symbol string, session date, bar int, open double, high double, low double, close double, volume long")
+    units = bars.select("symbol", "session").distinct().withColumn("unit", F.lit(0.008))
+    got = {(r.session, r.bar, r.style): (r.gross, r.kind) for r in outcomes.structural_exits(bars, units).collect()}
+    assert len(got) == 12 * 6 * 4
+    sessions = [[x for x in rows if x[1] == D0 + timedelta(s)] for s in range(12)]
+    for s, bar in enumerate(sessions):
+        before = max(x[4] for x in sessions[s - 1]) if s else None
+        for i in range(6):
+            e = bar[i + 1][3]
+            high = max(x[4] for x in bar[: i + 1])
+            vwap = sum((x[4] + x[5] + x[6]) / 3 * x[7] for x in bar[: i + 1]) / sum(x[7] for x in bar[: i + 1])
+            goals = {"resistance": min([x for x in (high, before) if x is not None and x > e], default=None), "vwap": vwap if vwap > e else None, "breakeven": None, "trailing": None}
+            for style, goal in goals.items():
+                stop, best, out = e * (1 - 0.008), e, None
+                for _, _, _, o, h, low, c, _ in bar[i + 1 :]:
+                    if low <= stop:
+                        out = (min(stop, o), "stop")
+                    elif goal is not None and h >= goal:
+                        out = (max(goal, o), "target")
+                    if out:
+                        break
+                    best = max(best, h)
+                    if style == "breakeven" and best >= e * 1.008:
+                        stop = max(stop, e)
+                    if style == "trailing":
+                        stop = max(stop, best - e * 0.008)
+                price, kind = out or (bar[-1][6], "close")
+                gross, how = got[D0 + timedelta(s), i, style]
+                assert gross == pytest.approx(price / e - 1) and how == kind
+
+
+def test_ties_are_drawn_apart(spark):
+    rows = spark.createDataFrame([("a", i, float(i % 2)) for i in range(100)], "g string, i int, v double")
+    got = inference.iid_bootstrap_p(rows, "v", ["g"], ["i"], 500).first()
+    # a mean of 0.5 of coin flips has an error of 0.05: no replicate strays by as much as the mean
+    assert got.p == 0 and got["mean"] == 0.5
+    assert inference.iid_bootstrap_p(spark.createDataFrame([("a", 1, 2.0)], "g string, i int, v double"), "v", ["g"], ["i"], 50).first().p == 0

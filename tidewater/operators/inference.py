@@ -253,3 +253,76 @@ def effective_signals(df: DataFrame, columns: list[str]) -> DataFrame:
 
     sums = df.select(*columns).mapInPandas(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
     return sums.groupBy(F.lit(0).alias("all")).applyInPandas(lambda g: eigen(g), "effective double")
+
+
+def bucket_spread(df: DataFrame, bucket: str, value: str, by: list[str]) -> DataFrame:
+    """Mean of `value` in each bucket as an array from the lowest, the last less the first, and whether they only rise or only fall."""
+    means = df.where(F.col(bucket).isNotNull() & F.col(value).isNotNull()).groupBy(*by, bucket).agg(F.avg(value).alias("_m"))
+    g = means.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(bucket, "_m"))), lambda x: x["_m"]).alias("means"))
+    steps = F.transform(F.sequence(F.lit(1), F.size("means") - 1), lambda i: F.get("means", i) - F.get("means", i - 1))
+    monotone = (F.size("means") < 2) | F.forall(steps, lambda d: d >= 0) | F.forall(steps, lambda d: d <= 0)
+    return g.select(*by, "means", (F.element_at("means", -1) - F.get("means", F.lit(0))).alias("spread"), monotone.alias("monotone"))
+
+
+def double_sort(df: DataFrame, rows: str, columns: str, value: str, by: list[str], tie: list[str], q: int = 3) -> DataFrame:
+    """Mean of `value` in each cell of two independent quantile sorts within `by`: a row for each bucket of `rows`, cell_0 .. of `columns`,
+    and the first cell less the last."""
+    from .features import quantile_bucket
+
+    known = df.where(" and ".join(f"`{c}` is not null" for c in (rows, columns, value)))
+    cells = known.withColumn("bucket", quantile_bucket(rows, by, q, tie)).withColumn("_b", quantile_bucket(columns, by, q, tie))
+    g = cells.groupBy("bucket").agg(*(F.avg(F.when(F.col("_b") == i, F.col(value))).alias(f"cell_{i}") for i in range(q)), F.count(F.lit(1)).alias("n"))
+    return g.withColumn("low_minus_high", F.col("cell_0") - F.col(f"cell_{q - 1}"))
+
+
+def weighted_means(df: DataFrame, session: str, values: list[str], by: list[str]) -> DataFrame:
+    """trades, sessions; of each value the mean over trades (`_tw`) and over sessions' means (`_sw`); t and one-sided p of the first value's
+    session means."""
+    per = df.groupBy(*by, session).agg(F.count(F.lit(1)).alias("_n"), *(F.sum(v).alias(f"_s_{v}") for v in values))
+    each = [x for v in values for x in ((F.sum(f"_s_{v}") / F.sum("_n")).alias(f"{v}_tw"), F.avg(F.col(f"_s_{v}") / F.col("_n")).alias(f"{v}_sw"))]
+    sd = F.stddev_samp(F.col(f"_s_{values[0]}") / F.col("_n"))
+    g = per.groupBy(*by).agg(F.sum("_n").alias("trades"), F.count(F.lit(1)).alias("sessions"), *each, sd.alias("_sd"))
+    t = F.when(F.col("_sd") > 0, F.col(f"{values[0]}_sw") / (F.col("_sd") / F.sqrt("sessions")))
+    return g.withColumn("t", t).withColumn("p", 1 - normal_cdf(F.col("t"))).drop("_sd")
+
+
+def event_table(df: DataFrame, pnl: str, at: str, drop_top: int = 5, extra: dict[str, Column] | None = None, years: float | None = None) -> DataFrame:
+    """Per slice (all, without the `drop_top` best, each year, and `extra`): events, mean, median, win_rate, p10, worst, sd, the share of the
+    `drop_top` best in all gains, t clustered by month, clusters, and the sum a year (`years`: how many all rows cover; one for a year).
+
+    Ranks that say which are the best come from a window over rows that a first look has thinned to those at or above the `drop_top`-th value."""
+    rows = df.select(*df.columns, F.monotonically_increasing_id().alias("_row")).where(F.col(pnl).isNotNull())
+    best = rows.orderBy(F.desc(pnl), "_row").limit(drop_top).select("_row", F.lit(True).alias("_best"))
+    marked = rows.join(F.broadcast(best), "_row", "left").withColumn("_year", F.concat(F.lit("year_"), F.year(at).cast("string")))
+    span = F.lit(years) if years is not None else None
+    slices = {"all": F.lit(True), f"drop_top_{drop_top}": F.col("_best").isNull(), **(extra or {})}
+    names = F.array_compact(F.array(*(F.when(hit, F.lit(n)) for n, hit in slices.items()), F.col("_year")))
+    x = marked.select(F.explode(names).alias("slice"), F.col(pnl).cast("double").alias("x"), F.trunc(at, "month").alias("month"), F.year(at).alias("y"))
+    rank = F.row_number().over(Window.partitionBy("slice").orderBy(F.desc("x")))
+    top = x.withColumn("_i", rank).where(F.col("_i") <= drop_top).groupBy("slice").agg(F.sum("x").alias("_top"))
+    g = x.groupBy("slice").agg(
+        F.count(F.lit(1)).alias("events"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.avg((F.col("x") > 0).cast("double")).alias("win_rate"), F.percentile("x", F.lit(0.1)).alias("p10"),
+        F.min("x").alias("worst"), F.stddev_samp("x").alias("sd"), F.sum(F.when(F.col("x") > 0, F.col("x"))).alias("_gain"), F.sum("x").alias("_sum"), (F.max("y") - F.min("y") + 1).alias("_years"),
+    )
+    t = clustered_mean(x, "x", ["month"], ["slice"]).select("slice", "t", "clusters")
+    covered = F.when(F.col("slice").startswith("year_"), 1.0).otherwise(F.col("_years") if span is None else span)
+    return g.join(top, "slice").join(t, "slice").withColumn("top_share", F.when(F.col("_gain") > 0, F.col("_top") / F.col("_gain"))).withColumn("per_year", F.col("_sum") / covered).drop("_gain", "_top", "_sum", "_years")
+
+
+def nav_report(nav: DataFrame, by: list[str], day: str = "day", value: str = "nav", invested: str = "market_value", rate: str | None = None) -> DataFrame:
+    """From a daily value series: months, mean monthly return over the rate (`rate`: a column of daily ones), its Newey-West t, the Sharpe
+    ratio, the deepest fall below the running peak, and the mean share invested."""
+    w = Window.partitionBy(*by).orderBy(day)
+    df = nav.withColumn("_r", F.try_divide(F.col(value), F.lag(value).over(w)) - 1).withColumn("_f", F.try_divide(F.col(value), F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))) - 1)
+    rf = F.coalesce(F.col(rate), F.lit(0.0)) if rate else F.lit(0.0)
+    month = F.trunc(day, "month")
+    held = df.where(F.col("_r").isNotNull()).groupBy(*by, month.alias("month")).agg((F.product(1 + F.col("_r")) - F.product(1 + rf)).alias("excess"))
+    t = newey_west(held, "excess", "month", by).select(*by, F.col("n").alias("months"), F.col("mean").alias("mean_monthly_excess"), F.col("t").alias("t_nw"))
+    sharpe_of = held.groupBy(*by).agg((F.avg("excess") / F.stddev_samp("excess") * math.sqrt(12)).alias("sharpe"))
+    whole = df.groupBy(*by).agg(F.min("_f").alias("max_drawdown"), F.avg(F.try_divide(invested, value)).alias("capacity_used"))
+    return t.join(sharpe_of, by).join(whole, by)
+
+
+def break_even(gross: Column, turns: Column) -> Column:
+    """Cost of one turn, each way, at which a gross return with so many turns is nothing."""
+    return F.when(turns > 0, gross / (2 * turns))

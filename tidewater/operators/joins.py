@@ -65,12 +65,29 @@ def densify(series: DataFrame, calendar: DataFrame, at: str, values: list[str])
 
 
 def interval_sums(trades: DataFrame, rates: DataFrame, entry: str, exit_: str, at: str, rate: str) -> DataFrame:
-    """Sum of the daily rate over (entry, exit] for each trade, as the difference of two running sums looked up as of both ends."""
-    running = rates.groupBy(at).agg(F.sum(rate).alias("_r")).select(at, F.sum("_r").over(Window.orderBy(at).rowsBetween(Window.unboundedPreceding, 0)).alias("_sum"), F.lit(0).alias("_k"))
-    keyed = trades.withColumn("_k", F.lit(0))
-    first = asof(keyed, running, ["_k"], entry, at, ["_sum"]).withColumnRenamed("_sum", "_a").drop("asof_at")
-    both = asof(first, running, ["_k"], exit_, at, ["_sum"]).withColumnRenamed("_sum", "_b").drop("asof_at", "_k")
-    return both.withColumn("rate_sum", F.coalesce("_b", F.lit(0)) - F.coalesce("_a", F.lit(0))).drop("_a", "_b")
+    """Sum of the daily rate over (entry, exit] for each trade, as the difference of two running sums. They run over the dates that
+    occur on either side, a short axis however many the trades, and trades meet them by equal dates."""
+    dates = trades.select(F.col(entry).alias("_d")).union(trades.select(exit_)).union(rates.select(at)).where("_d is not null").distinct()
+    daily = rates.groupBy(F.col(at).alias("_d")).agg(F.sum(rate).alias("_r"))
+    so_far = F.sum("_r").over(Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, 0))
+    running = dates.join(daily, "_d", "left").select("_d", F.coalesce(so_far, F.lit(0)).alias("_sum"))
+    for end, name in ((entry, "_a"), (exit_, "_b")):
+        trades = trades.join(running.select(F.col("_d").alias(end), F.col("_sum").alias(name)), end, "left")
+    return trades.withColumn("rate_sum", F.coalesce("_b", F.lit(0)) - F.coalesce("_a", F.lit(0))).drop("_a", "_b")
+
+
+def session_of(df: DataFrame, calendar: DataFrame, at: str, out: str, ahead: bool, strict: bool = True) -> DataFrame:
+    """`out`: the day_index of the first session after `at` (`ahead`), or of the last before it; a session on the day itself counts unless
+    `strict`. Found once for each distinct date, over the dates of both sides, and joined by equality."""
+    days = calendar.select(F.col("dt").alias("_d"), F.col("day_index").cast("int").alias("_session"))
+    asked = df.select(F.col(at).cast("date").alias("_d")).where("_d is not null").distinct()
+    # of one day, the session is met first if it counts looking back, or must not looking ahead
+    session_first = strict == ahead
+    both = days.withColumn("_side", F.lit(0 if session_first else 1)).unionByName(asked.select("_d", F.lit(None).cast("int").alias("_session"), F.lit(1 if session_first else 0).alias("_side")))
+    w = Window.orderBy("_d", "_side")
+    seen = F.first("_session", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if ahead else F.last("_session", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    found = both.select("_d", "_session", seen.alias(out)).where("_session is null").drop("_session")
+    return df.join(found, F.col(at).cast("date") == F.col("_d"), "left").drop("_d")
 
 
 def overrides(df: DataFrame, manual: DataFrame, on: list[str], columns: list[str]) -> DataFrame:

@@ -35,42 +35,116 @@ def baselines(df: DataFrame, momentum: str) -> DataFrame:
     return df.withColumn("always_long", F.lit(0.51)).withColumn("momentum_rule", F.when(F.col(momentum) > 0, 0.60).otherwise(0.40))
 
 
-def fit_predict(rows: DataFrame, features: list[str], label: str, kind: str = "logistic", seed: int = 1) -> DataFrame:
-    """Per fold: fit on train rows, score test rows; fold, symbol, dt, label, probability. Folds are few; each fit is distributed."""
+#: Boosted trees: rounds at most, step, depth, rows of a leaf; early stopping on a share of the training rows.
+TREES = {"maxIter": 300, "stepSize": 0.05, "maxDepth": 4, "minInstancesPerNode": 200}
+VALIDATION = 0.15
+
+
+def fit(train: DataFrame, features: list[str], label: str, kind: str = "logistic", seed: int = 1, trees: dict | None = None):
+    """The fitted pipeline: medians for missing values, then a logistic model (inverse penalty 0.1 over the rows, standardised inputs) or boosted
+    trees, which stop when a validation share of the rows, taken by a hash of symbol and day, no longer gains."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
+    train = train.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
     filled = [f"{c}_filled" for c in features]
+    prepare = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw")]
+    if kind == "logistic":
+        model = [StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(labelCol=label, regParam=1 / (0.1 * max(1, train.count())), maxIter=50)]
+    else:
+        train = train.withColumn("_validates", F.pmod(F.xxhash64("symbol", "dt", F.lit(seed)), F.lit(1000)) < VALIDATION * 1000)
+        model = [VectorAssembler(inputCols=["raw"], outputCol="features"), GBTClassifier(labelCol=label, seed=seed, validationIndicatorCol="_validates", **(TREES | (trees or {})))]
+    return Pipeline(stages=prepare + model).fit(train)
+
+
+def predicted(fitted, test: DataFrame, label: str) -> DataFrame:
+    """fold, symbol, dt, label, probability."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = test.withColumn("_validates", F.lit(False))
+    return fitted.transform(rows).select("fold", "symbol", "dt", F.col(label).cast("double").alias("label"), vector_to_array("probability")[1].alias("probability"))
+
+
+def fit_predict(rows: DataFrame, features: list[str], label: str, kind: str = "logistic", seed: int = 1, trees: dict | None = None) -> DataFrame:
+    """Per fold: fit on train rows, score test rows; fold, symbol, dt, label, probability. Folds are few; each fit is distributed."""
     out = None
     for (fold,) in sorted(rows.select("fold").distinct().collect()):
-        train = rows.where((F.col("fold") == fold) & (F.col("role") == "train") & F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
-        test = rows.where((F.col("fold") == fold) & (F.col("role") == "test"))
-        prepare = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw")]
-        if kind == "logistic":
-            n = max(1, train.count())
-            model = [StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(labelCol=label, regParam=1 / (0.1 * n), maxIter=50)]
-        else:
-            model = [VectorAssembler(inputCols=["raw"], outputCol="features"), GBTClassifier(labelCol=label, maxIter=20, stepSize=0.05, maxDepth=4, minInstancesPerNode=20, seed=seed)]
-        fitted = Pipeline(stages=prepare + model).fit(train)
-        scored = fitted.transform(test).select("fold", "symbol", "dt", F.col(label).cast("double").alias("label"), vector_to_array("probability")[1].alias("probability"))
+        mine = rows.where(F.col("fold") == fold)
+        scored = predicted(fit(mine.where("role = 'train'"), features, label, kind, seed + fold, trees), mine.where("role = 'test'"), label)
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
-def evaluate(scored: DataFrame, outcome: str, by: list[str]) -> DataFrame:
-    """AUC (from average ranks), Brier, accuracy over always-yes, and the mean outcome of the pooled top tenth."""
-    from .windows import average_rank
+def auc(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Area under the curve: wins of positive over negative rows, ties half. Rows are summed to one for each distinct score first; where
+    scores hardly repeat, ranks over a range partitioning would be needed for groups beyond a task."""
+    known = scored.where("label is not null and probability is not null")
+    per = known.groupBy(*by, "probability").agg(F.sum("label").alias("_p"), F.sum(1 - F.col("label")).alias("_q"))
+    under = F.coalesce(F.sum("_q").over(Window.partitionBy(*by).orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    g = per.withColumn("_u", F.col("_p") * (under + F.col("_q") / 2)).groupBy(*by).agg(F.sum("_u").alias("_u"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    return g.select(*by, F.when((F.col("_p") > 0) & (F.col("_q") > 0), F.col("_u") / (F.col("_p") * F.col("_q"))).alias("auc"))
+
 
+def evaluate(scored: DataFrame, outcome: str, by: list[str], horizon: int = 5) -> DataFrame:
+    """What a model is worth, by `by`. Of all rows: n, auc, brier, accuracy and its lift over the majority, base_rate. Of the tenth with the
+    highest probability (ties by symbol and day): mean over rows (top_naive), and, since rows of a date are one bet, over dates: dates,
+    top_mean, edge_bps over all rows, share of dates up, median and most picks a date, share of the ten busiest dates, n_effective
+    (dates over the horizon), and Sharpe and t of every `horizon`-th date; beside them the Sharpe of the rows taken as independent."""
     known = scored.where("label is not null and probability is not null")
     part = Window.partitionBy(*by)
-    top = F.row_number().over(part.orderBy(F.desc("probability"), "symbol", "dt")) <= F.ceil(0.1 * F.count(F.lit(1)).over(part))
-    r = known.withColumn("_r", average_rank("probability", by)).withColumn("_top", top)
-    pos, neg = F.sum("label"), F.sum(1 - F.col("label"))
-    auc = F.when((pos > 0) & (neg > 0), (F.sum(F.col("_r") * F.col("label")) - pos * (pos + 1) / 2) / (pos * neg))
-    right = F.avg(((F.col("probability") > 0.5).cast("double") == F.col("label")).cast("double"))
-    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), auc.alias("auc"), F.avg(F.pow(F.col("probability") - F.col("label"), F.lit(2))).alias("brier"), (right - F.avg("label")).alias("lift"), F.avg(F.when(F.col("_top"), F.col(outcome))).alias("top_mean"))
+    right = F.avg(((F.col("probability") >= 0.5).cast("double") == F.col("label")).cast("double"))
+    base = F.avg("label")
+    whole = known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), base.alias("base_rate"), right.alias("accuracy"), (right - F.greatest(base, 1 - base)).alias("lift"),
+        F.avg(F.pow(F.col("probability") - F.col("label"), F.lit(2))).alias("brier"), F.avg(outcome).alias("_all"), F.count_distinct("dt").alias("dates_available"),
+    ).join(auc(known, by), by)
+    # the score at the tenth's edge comes from counts of distinct scores; only rows at that score are ranked
+    per = known.groupBy(*by, "probability").count()
+    above = F.coalesce(F.sum("count").over(part.orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = F.greatest(F.lit(1), F.floor(0.1 * F.sum("count").over(part)))
+    edge = per.withColumn("_above", above).withColumn("_size", size).where((F.col("_above") < F.col("_size"))).select(*by, "probability", F.least(F.col("count"), F.col("_size") - F.col("_above")).alias("_take"), "count")
+    rows = known.join(edge, [*by, "probability"])
+    tied = F.row_number().over(Window.partitionBy(*by, "probability").orderBy("symbol", "dt"))
+    whole_scores, cut = rows.where(F.col("_take") == F.col("count")), rows.where(F.col("_take") < F.col("count")).withColumn("_i", tied).where(F.col("_i") <= F.col("_take")).drop("_i")
+    top = whole_scores.unionByName(cut)
+    naive = top.groupBy(*by).agg(F.avg(outcome).alias("top_naive"), F.avg("label").alias("precision"), F.stddev_samp(outcome).alias("_sd"), F.count(F.lit(1)).alias("top_n"))
+    dates = top.groupBy(*by, "dt").agg(F.avg(outcome).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    dates = dates.withColumn("_i", F.row_number().over(part.orderBy("dt"))).withColumn("_busy", F.row_number().over(part.orderBy(F.desc("_n"), "dt")))
+    every = F.when((F.col("_i") - 1) % horizon == 0, F.col("_m"))
+    d = dates.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("dates"), F.avg("_m").alias("top_mean"), F.avg((F.col("_m") > 0).cast("double")).alias("dates_up"), F.median("_n").alias("median_picks"), F.max("_n").alias("most_picks"),
+        (F.sum(F.when(F.col("_busy") <= 10, F.col("_n"))) / F.sum("_n")).alias("concentration"), (F.count(F.lit(1)) / horizon).alias("n_effective"),
+        F.avg(every).alias("_em"), F.stddev_samp(every).alias("_es"), F.count(every).alias("_en"),
+    )
+    out = whole.join(naive, by).join(d, by).withColumn("edge_bps", (F.col("top_mean") - F.col("_all")) * 10_000).withColumn("dates_traded", F.col("dates") / F.col("dates_available"))
+    sound = (F.col("_en") > 2) & (F.col("_es") > 0)
+    out = out.withColumn("sharpe", F.when(sound, F.col("_em") / F.col("_es") * (252.0 / horizon) ** 0.5)).withColumn("t", F.when(sound, F.col("_em") / F.col("_es") * F.sqrt("_en")))
+    return out.withColumn("sharpe_naive", F.when(F.col("_sd") > 0, F.col("top_naive") / F.col("_sd") * (252.0 / horizon) ** 0.5)).drop("_all", "_sd", "_em", "_es", "_en")
+
+
+def pooled(evaluated: DataFrame, by: list[str]) -> DataFrame:
+    """Means over folds of an `evaluate` by (by, fold), with the spread of auc and top mean, and in how many folds the top tenth gained."""
+    mean = ("accuracy", "lift", "top_naive", "edge_bps", "sharpe", "sharpe_naive", "t", "dates_up", "concentration")
+    return evaluated.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("folds"), F.avg("auc").alias("auc"), F.stddev_samp("auc").alias("auc_sd"), F.avg("top_mean").alias("top_mean"), F.stddev_samp("top_mean").alias("top_mean_sd"),
+        *(F.avg(c).alias(c) for c in mean), F.sum("n_effective").alias("n_effective"), F.sum("top_n").alias("top_n"), F.count_if(F.col("top_mean") > 0).alias("folds_up"),
+    )
+
+
+def permutation_importance(train: DataFrame, test: DataFrame, features: list[str], label: str, kind: str = "trees", repeats: int = 3, seed: int = 1, trees: dict | None = None) -> DataFrame:
+    """feature, auc_drop, auc_drop_sd: what the model's area under the curve loses on `test` when one feature is shuffled, over `repeats`."""
+    fitted = fit(train, features, label, kind, seed, trees)
+    tries = None
+    for i, c in enumerate([None, *features]):
+        for k in range(repeats if c else 1):
+            rows = test if c is None else permuted(test, c, ["fold"], ["symbol", "dt"], seed + 1 + i * repeats + k)
+            one = predicted(fitted, rows, label).select(F.lit(c).cast("string").alias("feature"), F.lit(k).alias("repeat"), "label", "probability")
+            tries = one if tries is None else tries.unionByName(one)
+    found = auc(tries, ["feature", "repeat"])
+    base = found.where("feature is null").select(F.col("auc").alias("_base"))
+    drops = found.where("feature is not null").crossJoin(F.broadcast(base))
+    return drops.groupBy("feature").agg(F.avg(F.col("_base") - F.col("auc")).alias("auc_drop"), F.stddev_pop(F.col("_base") - F.col("auc")).alias("auc_drop_sd"))
 
 
 def permuted(df: DataFrame, column: str, by: list[str], ident: list[str], seed: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .joins import session_of
 
 def by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("dt")
@@ -15,16 +16,22 @@ def first_touch(bars: DataFrame, stop_atr: float = 2.0, target_atr: float = 3.0,
     first touched of the next `horizon` bars. A bar that touches both counts as stopped; a gap fills at the open; else the
     close of the last bar. symbol, dt, entry, outcome (stop, target, timeout, open if the data end first), days, gross.
 
-    The outcome depends on the row alone, so it is found once per row, over a bounded frame."""
+    The outcome depends on the row alone, so it is found once per row, over a bounded number of bars."""
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.lag("close").over(by_symbol())), F.abs(F.col("low") - F.lag("close").over(by_symbol())))
     f = F.when(F.col("close") != 0, F.col("adj_close") / F.col("close"))
     df = bars.select("symbol", "dt", "adj_close", *((F.col(x) * f).alias(x[0]) for x in ("open", "high", "low")), (tr * f).alias("_tr"))
     atr = by_symbol().rowsBetween(-13, 0)
     df = df.withColumn("atr", F.when(F.count("_tr").over(atr) == 14, F.avg("_tr").over(atr)))
-    path = F.collect_list(F.struct("o", "h", "l", F.col("adj_close").alias("c"))).over(by_symbol().rowsBetween(1, horizon))
-    df = df.withColumn("path", path)
-    if signals is not None:
-        df = df.join(signals.select("symbol", "dt").distinct(), ["symbol", "dt"], "left_semi")
+    if signals is None:
+        df = df.withColumn("path", F.collect_list(F.struct("o", "h", "l", F.col("adj_close").alias("c"))).over(by_symbol().rowsBetween(1, horizon)))
+    else:
+        # paths of the rows with a signal only: each asks for the rows that follow it by number
+        df = df.withColumn("_n", F.row_number().over(by_symbol()))
+        asked = df.where("atr is not null").join(signals.select("symbol", "dt").distinct(), ["symbol", "dt"], "left_semi").select("symbol", "dt", "atr", F.col("_n").alias("_at"))
+        wanted = asked.select("symbol", "_at", F.explode(F.sequence(F.col("_at") + 1, F.col("_at") + horizon)).alias("_n"))
+        bar = F.struct("_n", "o", "h", "l", F.col("adj_close").alias("c"))
+        paths = wanted.join(df.select("symbol", bar.alias("_b"), "_n"), ["symbol", "_n"]).groupBy("symbol", "_at").agg(F.sort_array(F.collect_list("_b")).alias("path"))
+        df = asked.join(paths, ["symbol", "_at"])
     df = df.where("atr is not null and size(path) > 0").withColumn("entry", F.col("path")[0]["o"])
     df = df.withColumn("stop", F.col("entry") - stop_atr * F.col("atr")).withColumn("target", F.col("entry") + target_atr * F.col("atr"))
     touched = F.transform("path", lambda b: (b["l"] <= F.col("stop")) | (b["h"] >= F.col("target")))
@@ -48,6 +55,51 @@ def touch_grid(trades: DataFrame, stops: list[float], targets: list[float]) -> D
     return df.withColumn("ret", price / F.col("entry") - 1).drop("_s", "_t", "_k", "_b")
 
 
+def structural_exit(path: Column, entry: Column, unit: Column, target: Column | None = None, moves: str = "") -> Column:
+    """(exit, kind) of a trade whose stop lies `unit` (a share of the entry) under the entry: kind is stop, target or close. A bar that
+    reaches both is stopped; gaps fill at the open. After a bar the stop moves to the entry once the best high is `unit` above it
+    (`moves` = "breakeven"), or to `unit` of the entry under the best high ("trailing")."""
+    none = F.lit(None).cast("double")
+    goal = none if target is None else target
+    start = F.struct((entry * (1 - unit)).alias("stop"), entry.cast("double").alias("best"), none.alias("exit"), F.lit(None).cast("string").alias("kind"), none.alias("last"))
+
+    def step(s: Column, b: Column) -> Column:
+        stopped, reached = b["low"] <= s["stop"], F.coalesce(b["high"] >= goal, F.lit(False))
+        price = F.when(stopped, F.least(s["stop"], b["open"])).when(reached, F.greatest(goal, b["open"]))
+        kind = F.when(stopped, "stop").when(reached, "target")
+        best = F.greatest(s["best"], b["high"])
+        stop = s["stop"]
+        if moves == "breakeven":
+            stop = F.when(best >= entry * (1 + unit), F.greatest(stop, entry)).otherwise(stop)
+        elif moves == "trailing":
+            stop = F.greatest(stop, best - entry * unit)
+        done = s["exit"].isNotNull()
+        return F.struct(stop.cast("double").alias("stop"), best.cast("double").alias("best"), F.when(done, s["exit"]).otherwise(price).cast("double").alias("exit"), F.when(done, s["kind"]).otherwise(kind).alias("kind"), b["close"].cast("double").alias("last"))
+
+    return F.aggregate(path, start, step, lambda s: F.struct(F.coalesce(s["exit"], s["last"]).alias("exit"), F.coalesce(s["kind"], F.lit("close")).alias("kind")))
+
+
+def structural_exits(bars: DataFrame, units: DataFrame) -> DataFrame:
+    """symbol, session, bar, style, gross, kind: a signal on each bar of a session, filled at the next bar's open and left by four styles:
+    at the nearer resistance above the entry (the session's high so far, the high of the session before), at the session's average price
+    by volume, with a stop that moves to the entry, with a trailing stop. `units`: symbol, session, unit (the stop's distance).
+    A session's last bar has no fill and no row."""
+    s = Window.partitionBy("symbol", "session").orderBy("bar")
+    sofar = s.rowsBetween(Window.unboundedPreceding, 0)
+    highs = bars.groupBy("symbol", "session").agg(F.max("high").alias("_h"))
+    highs = highs.select("symbol", "session", F.lag("_h").over(Window.partitionBy("symbol").orderBy("session")).alias("prev_high"))
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    df = bars.withColumns({
+        "path": F.collect_list(F.struct("open", "high", "low", "close")).over(s.rowsBetween(1, Window.unboundedFollowing)), "run_high": F.max("high").over(sofar),
+        "vwap": F.try_divide(F.sum(typical * F.col("volume")).over(sofar), F.sum("volume").over(sofar)),
+    }).where("size(path) > 0").join(highs, ["symbol", "session"]).join(units, ["symbol", "session"]).withColumn("entry", F.col("path")[0]["open"])
+    above = lambda c: F.when(F.col(c) > F.col("entry"), F.col(c))
+    levels = {"resistance": (F.least(above("run_high"), above("prev_high")), ""), "vwap": (above("vwap"), ""), "breakeven": (None, "breakeven"), "trailing": (None, "trailing")}
+    exits = F.array(*(F.struct(F.lit(name).alias("style"), structural_exit(F.col("path"), F.col("entry"), F.col("unit"), goal, moves).alias("x")) for name, (goal, moves) in levels.items()))
+    out = df.where("unit is not null").select("symbol", "session", "bar", "entry", F.explode(exits).alias("e"))
+    return out.select("symbol", "session", "bar", "e.style", (F.try_divide("e.x.exit", "entry") - 1).alias("gross"), "e.x.kind")
+
+
 def trailing_exit(path: Column, entry: Column, width: Column) -> Column:
     """Exit price with a stop `width` under the best high so far, raised after each bar; the last close if never touched."""
     start = F.struct((entry - width).alias("stop"), F.lit(None).cast("double").alias("exit"), F.lit(None).cast("double").alias("last"))
@@ -117,13 +169,14 @@ def event_window_returns(events: DataFrame, bars: DataFrame, calendar: DataFrame
     """Per event (symbol, effective): entry at the last session before `effective` plus `offset`, return over `hold` sessions less
     the benchmark's, times `sign`, less `cost`. A missing price leaves a null return; the row stays."""
     days = calendar.select("dt", "day_index")
-    last = events.select("symbol", "effective").distinct().crossJoin(F.broadcast(days)).where(F.col("dt") < F.col("effective")).groupBy("symbol", "effective").agg((F.max("day_index") + offset).alias("entry_index"))
+    last = session_of(events.select("symbol", "effective").distinct(), calendar, "effective", "_i", ahead=False)
+    last = last.select("symbol", "effective", (F.col("_i") + offset).alias("entry_index"))
     px = bars.join(F.broadcast(days), "dt").select("symbol", "day_index", "adj_close")
     bm = benchmark.join(F.broadcast(days), "dt").select("day_index", F.col("adj_close").alias("bm"))
     a = last.join(px.select("symbol", F.col("day_index").alias("entry_index"), F.col("adj_close").alias("p0")), ["symbol", "entry_index"], "left")
     a = a.withColumn("exit_index", F.col("entry_index") + hold).join(px.select("symbol", F.col("day_index").alias("exit_index"), F.col("adj_close").alias("p1")), ["symbol", "exit_index"], "left")
     a = a.join(bm.select(F.col("day_index").alias("entry_index"), F.col("bm").alias("b0")), "entry_index", "left").join(bm.select(F.col("day_index").alias("exit_index"), F.col("bm").alias("b1")), "exit_index", "left")
-    return a.select("symbol", "effective", (sign * ((F.col("p1") / F.col("p0") - 1) - (F.col("b1") / F.col("b0") - 1)) - cost).alias("abnormal"))
+    return a.select("symbol", "effective", (sign * (F.try_divide("p1", "p0") - F.try_divide("b1", "b0")) - cost).alias("abnormal"))
 
 
 def decile_portfolios(df: DataFrame, period: str, score: str, weight: str, ret: str, subset: Column, q: int = 10, least: int = 10) -> DataFrame:

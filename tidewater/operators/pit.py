@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import session_of
 from .quality import reconcile
 
 
@@ -53,16 +54,10 @@ class Dataset:
 
 
 def next_session(df: DataFrame, calendar: DataFrame, at: str, out: str, strict: bool = True, sessions: int = 0) -> DataFrame:
-    """`out`: the first session after `at` (at or after, unless strict), then `sessions` further. Calendars are small."""
-    days = calendar.select(F.col("dt").alias("_d"), F.col("day_index").alias("_i"))
-    last = F.lead("_d").over(Window.orderBy("_d"))
-    spans = days.withColumn("_prev", F.lag("_d").over(Window.orderBy("_d"))).drop("_last")
-    lower = F.col("_prev").isNull() | ((F.col(at) >= F.col("_prev")) if strict else (F.col(at) > F.col("_prev")))
-    upper = (F.col(at) < F.col("_d")) if strict else (F.col(at) <= F.col("_d"))
-    del last
-    found = df.join(F.broadcast(spans), lower & upper, "left")
-    target = days.select(F.col("_d").alias(out), (F.col("_i") - sessions).alias("_i"))
-    return found.join(F.broadcast(target), "_i", "left").drop("_i", "_d", "_prev")
+    """`out`: the first session after `at` (at or after, unless strict), then `sessions` further."""
+    found = session_of(df, calendar, at, "_i", ahead=True, strict=strict)
+    target = calendar.select(F.col("dt").alias(out), (F.col("day_index") - sessions).cast("int").alias("_i"))
+    return found.join(target, "_i", "left").drop("_i")
 
 
 def tradeable_from(announced: Column, open_hour: float = 9.5, close_hour: float = 16.0) -> Column:

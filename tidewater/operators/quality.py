@@ -65,6 +65,17 @@ def changed_rows(latest_source: DataFrame, new: DataFrame, keys: list[str], trac
     return new.join(old, keys, "left").where(F.col("_old").isNull() | (F.col("_old") != F.concat_ws("\x1f", *map(_normal, tracked)))).drop("_old")
 
 
+def changes(before: DataFrame, new: DataFrame, keys: list[str], tracked: list[str], order: str) -> DataFrame:
+    """New rows, later than the latest row of their key in `before`, that differ in a tracked column from the row of their key just before
+    them, new or old; and the first rows of new keys. Rows that are given again change nothing."""
+    latest = Window.partitionBy(*keys).orderBy(F.desc(order))
+    prints = F.concat_ws("\x1f", *map(_normal, tracked))
+    old = before.join(new.select(*keys).distinct(), keys, "left_semi").withColumn("_n", F.row_number().over(latest)).where("_n = 1").select(*keys, F.col(order).alias("_at"), prints.alias("_old"))
+    rows = new.join(old, keys, "left").where(F.col("_at").isNull() | (F.col(order) > F.col("_at"))).withColumn("_new", prints)
+    was = F.coalesce(F.lag("_new").over(Window.partitionBy(*keys).orderBy(order, "_new")), F.col("_old"))
+    return rows.withColumn("_was", was).where(F.col("_was").isNull() | (F.col("_was") != F.col("_new"))).drop("_at", "_old", "_new", "_was")
+
+
 def chain_hash(previous: Column, payload: Column) -> Column:
     return F.sha2(F.concat(previous, payload), 256)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import html_text
+from .joins import session_of
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -112,6 +113,8 @@ def effective_dates(docs: DataFrame, calendar: DataFrame, ident: str = "doc_id",
     stated = F.coalesce(*(F.to_date(F.try_to_timestamp(F.nullif(F.concat_ws(" ", *(F.regexp_extract(t, p, i) for i in (1, 2, 3))), F.lit("  ")), F.lit("MMMM d yyyy"))) for p in patterns))
     late = t.rlike(r"(?i)after (?:the )?(?:market )?close|close of (?:business|trading)")
     d = docs.select(ident, stated.alias("stated"), F.coalesce(late, F.lit(False)).alias("_late")).where("stated is not null")
-    days = calendar.select(F.col("dt").alias("_d"))
-    follow = d.join(F.broadcast(days), F.when(F.col("_late"), F.col("_d") > F.col("stated")).otherwise(F.col("_d") >= F.col("stated")), "left")
-    return follow.groupBy(ident, "stated").agg(F.min("_d").alias("effective"))
+    for name, strict in (("_on", False), ("_after", True)):
+        d = session_of(d, calendar, "stated", name, ahead=True, strict=strict)
+    days = calendar.select(F.col("dt").alias("effective"), F.col("day_index").cast("int").alias("_i"))
+    d = d.withColumn("_i", F.when(F.col("_late"), F.col("_after")).otherwise(F.col("_on"))).join(days, "_i", "left")
+    return d.groupBy(ident, "stated").agg(F.min("effective").alias("effective"))

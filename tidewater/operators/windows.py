@@ -140,3 +140,21 @@ def compound_returns(df: DataFrame, ret: str, by: list[str], order: list[str], m
         product = product * (1 + F.lag(ret, k).over(w))
         out = out.withColumn(f"cum_{k}", F.when(whole, product - 1))
     return out
+
+
+def state_position(df: DataFrame, state: Column, inside: str, outside: str, by: list[str], order: list[str], switch_cost: float = 0.0) -> DataFrame:
+    """Rows with `held` (the state of the row before), and `ret`: column `inside` while held, else `outside`, less `switch_cost` on rows that
+    change sides. Rows without a state before them or without either return go; the first row left counts as a change."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    rows = df.withColumn("held", F.lag(state).over(w)).where(F.col("held").isNotNull() & F.col(inside).isNotNull() & F.col(outside).isNotNull())
+    switch = ~F.lag("held").over(w).eqNullSafe(F.col("held"))
+    return rows.withColumn("switch", switch).withColumn("ret", F.when(F.col("held"), F.col(inside)).otherwise(F.col(outside)) - F.when(F.col("switch"), switch_cost).otherwise(0.0))
+
+
+def percentile_bands(df: DataFrame, value: str, q: int, by: list[str]) -> DataFrame:
+    """`band` 0..q-1 of a value between its own percentiles (interpolated; an edge belongs to the band under it), null values null. The
+    edges are those of the distinct rows of `by` and the value, so that a busy period weighs once."""
+    known = df.where(F.col(value).isNotNull())
+    base = known.select(*by, value).distinct() if by else known.select(value)
+    edges = base.agg(F.percentile(value, F.array(*(F.lit(i / q) for i in range(1, q)))).alias("_edges"))
+    return df.crossJoin(F.broadcast(edges)).withColumn("band", F.when(F.col(value).isNotNull(), F.size(F.filter("_edges", lambda e: e < F.col(value))))).drop("_edges")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.quality import changed_rows
+from ..operators.quality import changes
 
 
 def hourly_bars(ticks: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -39,18 +39,17 @@ def scoring_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], p
 
 
 def change_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], tracked: list[str], order: str):
-    """Append a row only if a tracked column differs from the latest row of its key."""
+    """Append each row in which a tracked column differs from the row of its key before it, in the table or in the same batch."""
 
     def sink(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        w = Window.partitionBy(*keys).orderBy(F.desc(order))
-        last = batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
         try:
-            last = changed_rows(spark.read.schema(batch.schema).parquet(path), last, keys, tracked, order)
+            old = batch.sparkSession.read.schema(batch.schema).parquet(path)
+            old.isEmpty()
         except Exception as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-        last.write.mode("append").parquet(path)
+            old = batch.limit(0)
+        changes(old, batch, keys, tracked, order).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
