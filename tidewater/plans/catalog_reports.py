@@ -177,10 +177,10 @@ def e_kth_firing(spark, sf_dir):
 
 
 @query("""select o_orderkey, round(case when o_orderkey % 2 = 0 and b <= a and b > 0 and b >= 0.9::double * a then b end, 6) as bid, round(case when o_orderkey % 2 = 0 and b <= a and b > 0 and b >= 0.9::double * a then a end, 6) as ask, round(nullif(abs(b), 0), 6) as price, list_has_any(list_transform(string_split(o_orderpriority, '-'), lambda x: trim(x)), ['URGENT', 'HIGH']) as urgent
-from (select *, o_totalprice / 1000 - 100 as b, (o_totalprice / 1000 - 100) * (1 + (o_orderkey % 7) / 40.0::double) + (case when o_orderkey % 2 = 0 then 0 else -1e9 end) as a from orders)""")
+from (select *, o_totalprice / 1000 - 100 as b, (o_totalprice / 1000 - 100) * (1 + (o_orderkey % 7) / 37.0::double) + (case when o_orderkey % 2 = 0 then 0 else -1e9 end) as a from orders)""")
 def b_quotes_and_items(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("b", F.col("o_totalprice") / 1000 - 100)
-    o = o.withColumn("a", F.col("b") * (1 + (F.col("o_orderkey") % 7) / F.lit(40.0)) + F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(-1e9))
+    o = o.withColumn("a", F.col("b") * (1 + (F.col("o_orderkey") % 7) / F.lit(37.0)) + F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(-1e9))
     bid, ask = events.valid_quote(F.col("b"), F.col("a"))
     urgent = events.item_overlap(F.replace("o_orderpriority", F.lit("-"), F.lit(",")), ["URGENT", "HIGH"])
     return rounded(o.select("o_orderkey", bid.alias("bid"), ask.alias("ask"), events.signed_price(F.col("b")).alias("price"), urgent.alias("urgent")))
