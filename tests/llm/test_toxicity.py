@@ -61,11 +61,9 @@ def test_spaced_runs_of_three_and_all_states(model):
 
 
 def _readings(token):
-    """All (emitted symbols, channel cost) of a token of signs and digits without repeats."""
+    """All (emitted symbols, channel cost) of a token."""
     out = [((), 0.0)]
-    for c in token:
-        options = [(x, toxicity.AS_LETTER) for x in toxicity.LEET[c]]
-        options += [("", toxicity.PADDING), (c, toxicity.PADDING)] if c.isdigit() else [("", toxicity.PADDING / 2)]
+    for options in toxicity.readings(token):
         out = [((*e, x), cost + more) for e, cost in out for x, more in options]
     return out
 
@@ -103,3 +101,26 @@ def test_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, None)], "doc_id long, quality int, toxic int")
     assert sorted(r.score for r in judge(docs, labels).collect()) == [0.0] * 5
     assert judge(docs.limit(0), labels).count() == 0
+
+
+def test_restore_as_exhaustive_search():
+    rng = np.random.default_rng(2)
+    for seed in range(3):
+        other = np.log(np.random.default_rng(seed).dirichlet(np.full(SYMBOLS, 0.1 if seed else 1.0), SYMBOLS**3) + 1e-6).reshape(-1)
+        for _ in range(150):
+            token = "".join(rng.choice(list("aabbcd10$!*#ß.")) for _ in range(rng.integers(1, 7)))
+            best = max(((_cost(token, x, other), "".join(x[0])) for x in _readings(token) if any(x[0])), default=(0, ""))
+            got = toxicity.restore(token, other)
+            assert got == best[1] or any("".join(x[0]) == got and abs(_cost(token, x, other) - best[0]) < 1e-9 for x in _readings(token)), (token, got, best)
+
+
+def test_one_pair_as_the_lattice():
+    rng = np.random.default_rng(3)
+    other = np.log(rng.dirichlet(np.full(SYMBOLS, 0.05), SYMBOLS**3) + 1e-7).reshape(-1)
+    words = {"".join(rng.choice(list("abcdß")) for _ in range(rng.integers(2, 10))) for _ in range(3000)}
+    pairs = [w for w in words if sum(a == b for a, b in zip(w, w[1:], strict=False)) == 1]
+    changed = 0
+    for w in pairs:
+        assert toxicity.restore(w, other) == "".join(toxicity.decode(w, other)), w
+        changed += toxicity.restore(w, other) != w
+    assert len(pairs) > 300 and changed > 10

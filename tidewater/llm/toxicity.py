@@ -7,7 +7,9 @@ the restoration with the best product of channel and language model. Restored wo
 learned from labelled texts, and a logistic curve turns a text's strongest words into its score.
 
 Labels are learned from at most 2 x SAMPLE rows (SAMPLE of each class, by a hash of the id): half of them weigh words,
-the other half fit the curve. Everything else covers all rows.
+the other half fit the curve. Every word sure enough keeps its weight: it stands in three toxic texts of that sample or
+more, so the sample bounds what is sent to the executors. Everything else covers all rows, whole texts and all states of
+the lattice.
 
 Defined results: null and empty texts have no words and get the score of a text without any weighted word. Rows with a
 null doc_id count as held out. Repeated rows are scored each by itself. Without labels of both classes all scores are 0.
@@ -16,27 +18,28 @@ null doc_id count as held out. Repeated rows are scored each by itself. Without
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
+from .common import fresh
 
 SAMPLE = 10_000
 SYMBOLS = 28
 OTHER = 27
-REMEMBERED = 400_000
-STRONGEST = 5
+#: Tokens in a generation of a worker's memory.
+REMEMBERED = 500_000
 #: A word or beginning is weighted if its share among toxic texts exceeds that among others by so many standard errors.
 SURE = 4.0
-#: Largest number of weighted words (the surest are kept); bounds what is sent to the executors.
-WEIGHTED = 50_000
 PREFIXES = (4, 5, 6)
 #: Costs (in nats) of the channel.
 AS_LETTER, AS_VOWEL, PADDING, REPEAT, PAIR = 0.7, 2.0, 3.0, 0.3, 5.0
-#: A piece longer than this is taken to hold several words.
+#: A piece longer than this is taken to hold several words, and is searched for all of them as well.
 LONG = 64
 NOWHERE, AT_SIGNS, ANYWHERE = 0, 1, 2
 
@@ -47,6 +50,7 @@ LEET = {
 }
 
 _EDGE = "\"'.,;:?!()[]{}<>*_~-|/\\#&%$@+=^`"
+_CLOSING = ".,;:?!\"')]}"
 _TAIL = re.compile(r"([^\w\s])\1{2,}$|[.,;:?!\"')\]}]+$")
 _RUN = re.compile(r"([a-z])\1\1")
 _REPEATED = re.compile(r"(.)\1")
@@ -108,14 +112,10 @@ def _symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else OTHER
 
 
-def decode(token: str, model: np.ndarray, breaks: int = NOWHERE) -> list[str]:
-    """The most probable words behind a lower-case token, of any length; one word, unless they may be broken at signs or anywhere."""
+def readings(token: str) -> Iterator[list[tuple[str, float]]]:
+    """For each character of a token what it may stand for, and at what cost."""
     runs = [len(m[0]) for m in _SAME.finditer(token)]
-    place = [(i, n) for n in runs for i in range(n)]
-    values, size = model.item, SYMBOLS**3
-    # state: the last three symbols; links lead back over what was emitted
-    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
-    for c, (at, whole) in zip(token, place, strict=True):
+    for c, (at, whole) in zip(token, ((i, n) for n in runs for i in range(n)), strict=True):
         options: list[tuple[str, float]] = []
         if c in LEET:
             options += [(x, AS_LETTER) for x in LEET[c]]
@@ -130,6 +130,15 @@ def decode(token: str, model: np.ndarray, breaks: int = NOWHERE) -> list[str]:
             options.append(("", 0.1))
         if at and c.isalnum():
             options.append(("", REPEAT if whole > 2 else PAIR))
+        yield options
+
+
+def decode(token: str, model: np.ndarray, breaks: int = NOWHERE) -> list[str]:
+    """The most probable words behind a lower-case token, of any length; one word, unless they may be broken at signs or anywhere."""
+    values, size = model.item, SYMBOLS**3
+    # state: the last three symbols; links lead back over what was emitted
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    for c, options in zip(token, readings(token), strict=True):
         steps = [(x, _symbol(x) if x else 0, cost) for x, cost in options]
         if breaks == AT_SIGNS and not c.isalnum():
             steps.append((" ", 0, 0.1))
@@ -159,8 +168,21 @@ def decode(token: str, model: np.ndarray, breaks: int = NOWHERE) -> list[str]:
     return [x for x in "".join(reversed(out)).split(" ") if x]
 
 
+def _of_pair(token: str, at: int, model: np.ndarray) -> str:
+    """As `decode`, for letters of which only the one at `at` repeats the one before it: the token with or without it. The two readings
+    differ in the symbols from there to three further on."""
+    s = [0, 0, 0, *map(_symbol, token), 0]
+    t = s[: at + 3] + s[at + 4 :]
+    value = model.item
+    kept = sum(value(((s[j - 3] * SYMBOLS + s[j - 2]) * SYMBOLS + s[j - 1]) * SYMBOLS + s[j]) for j in range(at + 3, min(at + 7, len(s))))
+    left = sum(value(((t[j - 3] * SYMBOLS + t[j - 2]) * SYMBOLS + t[j - 1]) * SYMBOLS + t[j]) for j in range(at + 3, min(at + 6, len(t))))
+    return token if kept >= left - PAIR else token[:at] + token[at + 1 :]
+
+
 def restore(token: str, model: np.ndarray) -> str:
     """The most probable word behind a lower-case token."""
+    if _PLAIN.fullmatch(token) and (pair := _REPEATED.search(token)) and not _REPEATED.search(token, pair.end() - 1):
+        return _of_pair(token, pair.end() - 1, model)
     return "".join(decode(token, model))
 
 
@@ -219,31 +241,39 @@ def features(word: str) -> list[str]:
 
 
 class Scorer:
-    """Values of a text that the curve is over; remembers the weight of up to REMEMBERED tokens."""
+    """Values of a text that the curve is over; remembers the weights of up to twice `most` tokens, the longest unseen going first."""
 
-    def __init__(self, model: np.ndarray, weights: dict[str, float]):
-        self.model, self.weights = model, weights
+    def __init__(self, model: np.ndarray, weights: dict[str, float], most: int = REMEMBERED):
+        self.model, self.weights, self.most = model, weights, most
         self.known: dict[str, float] = {}
+        self.older: dict[str, float] = {}
 
     def word(self, word: str) -> float:
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
     def token(self, token: str) -> float:
-        w = max((self.word(x) for x in token_words(token, self.model)), default=0.0)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+        """Weight of a token not known yet."""
+        w = self.older.get(token)
+        if w is None:
+            # letters before closing signs mean what the letters alone mean
+            bare = token.lower().rstrip(_CLOSING)
+            if bare != token and _PLAIN.fullmatch(bare):
+                w = self.known[bare] if bare in self.known else self.token(bare)
+            else:
+                w = max((self.word(x) for x in token_words(token, self.model)), default=0.0)
+        if len(self.known) >= self.most:
+            self.older, self.known = self.known, {}
         self.known[token] = w
         return w
 
     def values(self, text: str) -> list[float]:
         tokens = set(text.split())
         get = self.known.get
-        weights = [w for t in tokens if (w := get(t) if t in self.known else self.token(t))]
+        weights = [w for t in tokens if (w := found if (found := get(t)) is not None else self.token(t))]
         if " " in text:
             weights += [w for x in spaced_words(text, self.model) if (w := self.word(x))]
-        weights.sort(reverse=True)
-        top = weights[:STRONGEST] + [0.0] * (STRONGEST - len(weights[:STRONGEST]))
-        return [1.0, top[0], sum(top), np.log1p(100 * len(weights) / (len(tokens) + 20)), np.log1p(len(tokens))]
+        n = np.log1p(len(tokens))
+        return [1.0, max(weights, default=0.0), np.log1p(sum(weights)), np.log1p(100 * len(weights) / (len(tokens) + 20)), n]
 
 
 def _held_out() -> F.Column:
@@ -284,7 +314,7 @@ def _weigh(sample: DataFrame, model: np.ndarray) -> dict[str, float]:
     p, q = (F.col("a") + 0.5) / (n[1] + 1), (F.col("b") + 0.5) / (n[0] + 1)
     pooled = (F.col("a") + F.col("b") + 1) / (n[0] + n[1] + 2)
     z = (p - q) / F.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
-    rows = counted.withColumn("z", z).withColumn("w", F.log(p / q)).where((F.col("z") > SURE) & (F.col("a") >= 3)).orderBy(F.desc("z"), "feature").limit(WEIGHTED).select("feature", "w").collect()
+    rows = counted.withColumn("z", z).withColumn("w", F.log(p / q)).where((F.col("z") > SURE) & (F.col("a") >= 3)).select("feature", "w").collect()
     return {r["feature"]: r["w"] for r in rows}
 
 
@@ -334,24 +364,38 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Fitted:
     return Fitted(model, weights, fit_curve(np.array([r["v"] for r in got]), toxic, np.array([weight[int(t)] for t in toxic])))
 
 
-def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
-    """All columns of `docs`, and `_score`."""
+_scorers: list[tuple[int, Scorer]] = []
+
+
+def _scorer(key: int, fitted: Fitted) -> Scorer:
+    """The worker's memory for one broadcast, kept from task to task."""
+    if not _scorers or _scorers[0][0] != key:
+        _scorers[:] = [(key, Scorer(fitted.model, fitted.weights))]
+    return _scorers[0][1]
+
+
+def score(docs: DataFrame, fitted: Fitted, name: str) -> DataFrame:
+    """All columns of `docs`, and the score as column `name`."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
-    at = docs.columns.index("text")
+    at, key = docs.columns.index("text"), uuid.uuid4().int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
-        scorer = Scorer(f.model, f.weights)
+        scorer = _scorer(key, f)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f.scores(batch.column(at).to_pylist(), scorer))], names=[*batch.schema.names, "_score"])
-
-    from pyspark.sql.types import DoubleType, StructType
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f.scores(batch.column(at).to_pylist(), scorer))], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def judge(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = score(rows, fit(rows, labels, most))
-    return scored.select("doc_id", _held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(rows, fit(rows, labels, most), "score")
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def mild(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """Rows of `docs`, all columns, that are not predicted as toxic."""
+    name = fresh(docs, "score")
+    return score(docs, fit(docs, labels, most), name).where(F.col(name) < 0.5).drop(name)
