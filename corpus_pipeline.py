@@ -1,7 +1,11 @@
 """The corpus pipeline: toxicity, quality rules, near-duplicates, packing. Each stage works on all its predecessor kept.
 
-The first three return the columns of documents; the last returns the packed places. `run` applies them to documents,
-each written as Parquet in the shared folder and read again.
+The first three return the columns of documents, whatever they are called; the last returns the packed places. `run` applies
+them to documents, each written as Parquet in the shared folder and read again.
+
+Defined results: null and empty texts have no toxic words and pass the first stage, and fail the second (fewer than 20
+words). Rows that repeat a doc_id with a text of their own are judged each by itself; of rows that share a doc_id only one
+stays behind the third stage if they are alike, and rows without a doc_id all stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,8 +19,7 @@ from tidewater.llm import common, jaccard_join, length_buckets, quality, toxicit
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score does not predict as toxic."""
     common.ship(spark)
-    fitted = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, fitted).where("_score < 0.5").drop("_score")
+    return toxicity.mild(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
