@@ -19,7 +19,6 @@ with no candidate has no rows. Scores are exact while they fit 64 bits, and clip
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, shared_dir, written
+from .common import checked_broadcast, passing, shared_path, written
 
 #: Vectors of a block and queries of a pack, and how many components either may hold.
 BLOCK, QUERIES, COMPONENTS = 8192, 512, 4 << 20
@@ -157,11 +156,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, b
     blocks = written(dealt(rows, "blocks", ("rows", "ids", "vectors"), n_blocks or 1).drop("number"), "topk-blocks")
     packs = written(dealt(rows.where("asks"), "packs", ("query_rows", "query_ids", "queries"), n_packs or 1), "topk-packs")
     run, schema = _best(k, float(scale))
-    found = f"{shared_dir(vectors.sparkSession)}/topk-found-{uuid.uuid4().hex[:12]}"
+    found = shared_path(vectors.sparkSession, "topk-found")
     for r in range(max(1, -(-(n_packs or 0) // per_round))):
         some = packs.where(F.floor(F.col("number") / per_round) == r).drop("number")
         pairs = blocks.repartition(max(1, min(n_blocks or 1, 10_000))).join(F.broadcast(some), "dims")
         pairs.mapInArrow(run, schema).write.mode("append").parquet(found)
+    passing(vectors.sparkSession, found)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     best = vectors.sparkSession.read.schema(schema).parquet(found).withColumn("rank", F.row_number().over(order))
     return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "read")
