@@ -411,7 +411,23 @@ def f_window_signals(spark, sf_dir):
     return signals.long_form(daily_bars(spark, sf_dir), list(_RULES_SQL))
 
 
-@query()
+# the recursions of the exponential means, row by row; a mean counts once it has seen as many values as it spans
+_MEANS_SQL = f"""recursive {DAILY_SQL},
+nb as (select symbol, dt, adj_close as x, row_number() over w as n, adj_close - lag(adj_close) over w as mv, case when count(*) over (w rows between 199 preceding and current row) = 200 then avg(adj_close) over (w rows between 199 preceding and current row) end as sma200
+  from bars window w as (partition by symbol order by dt)),
+e as (select symbol, n, x as e12, x as e26, null::double as g, null::double as l, null::double as sg from nb where n = 1
+  union all select b.symbol, b.n, e12 + (b.x - e12) * 2 / 13, e26 + (b.x - e26) * 2 / 27, case when b.n = 2 then greatest(mv, 0) else g + (greatest(mv, 0) - g) / 14 end, case when b.n = 2 then greatest(-mv, 0) else l + (greatest(-mv, 0) - l) / 14 end,
+    case when b.n = 26 then e12 + (b.x - e12) * 2 / 13 - e26 - (b.x - e26) * 2 / 27 when b.n > 26 then sg + (e12 + (b.x - e12) * 2 / 13 - e26 - (b.x - e26) * 2 / 27 - sg) * 2 / 10 end
+  from e join nb b on b.symbol = e.symbol and b.n = e.n + 1),
+m as (select symbol, dt, x, sma200, case when n >= 12 then e12 end as e12, case when n >= 26 then e26 end as e26, case when n >= 26 then e12 - e26 end as macd, case when n >= 34 then sg end as sg, case when n >= 15 and l <> 0 then 100 - 100 / (1 + g / l) end as rsi from e join nb using (symbol, n)),
+p as (select *, lag(e12) over w as pe12, lag(e26) over w as pe26, lag(macd) over w as pmacd, lag(sg) over w as psg, lag(rsi) over w as prsi from m window w as (partition by symbol order by dt))"""
+_RECURSIVE_SQL = {
+    "ema_cross_12_26": "e12 > e26 and pe12 <= pe26", "macd_cross_up": "macd > sg and pmacd <= psg", "macd_hist_positive": "macd - sg > 0 and pmacd - psg <= 0", "oversold_in_uptrend": "rsi < 35 and x > sma200",
+    "rsi_cross_50": "rsi > 50 and prsi <= 50", "rsi_overbought_70": "rsi > 70 and prsi <= 70", "rsi_oversold_20": "rsi < 20 and prsi >= 20", "rsi_oversold_30": "rsi < 30 and prsi >= 30",
+}
+
+
+@query(f"with {_MEANS_SQL} " + " union all ".join(f"select symbol, dt, '{n}' as signal from p where {x}" for n, x in _RECURSIVE_SQL.items()))
 def f_recursive_signals(spark, sf_dir):
     return signals.long_form(daily_bars(spark, sf_dir), sorted(signals.RECURSIVE))
 
@@ -490,7 +506,12 @@ def f_rotation_weights(spark, sf_dir):
     return rounded(outcomes.rotation_weights(daily_bars(spark, sf_dir)))
 
 
-@query()
+@query(f"""with {_BLOCKS_SQL}, x as (select symbol, dt, adj_close as c, adj_close / nullif("close", 0) as f, open, high, low, row_number() over w as n, greatest(high - low, abs(high - lag("close") over w), abs(low - lag("close") over w)) as tr from bars window w as (partition by symbol order by dt)),
+a as (select symbol, dt, n, c, open * f as o, high * f as h, low * f as l, case when count(tr * f) {_W.format(13)} = 14 then avg(tr * f) {_W.format(13)} end as atr from x), sig as (select symbol, dt from s2 where {_RULES_SQL["donchian_break_20"]}),
+t as (select a.symbol, a.dt, a.n, a.atr, e.o as entry, e.o - 2 * a.atr as stop, e.o + 3 * a.atr as target from a join sig using (symbol, dt) join a e on e.symbol = a.symbol and e.n = a.n + 1 where a.atr is not null),
+p as (select t.*, b.n - t.n as k, b.o as bo, b.l <= stop as hs, b.h >= target as ht, b.c as bc from t join a b on b.symbol = t.symbol and b.n between t.n + 1 and t.n + 60),
+g as (select symbol, dt, any_value(entry) as entry, any_value(stop) as stop, any_value(target) as target, min(k) filter (hs or ht) as k, arg_min(hs, k) filter (hs or ht) as hs, arg_min(bo, k) filter (hs or ht) as bo, arg_max(bc, k) as last, max(k) as size from p group by 1, 2)
+select symbol, dt, round(entry, 6) as entry, case when k is not null then if(hs, 'stop', 'target') when size = 60 then 'timeout' else 'open' end as outcome, cast(coalesce(k, size) as integer) as days, round(case when k is not null then if(hs, least(stop, bo), greatest(target, bo)) else last end / entry - 1, 6) as gross from g""")
 def f_first_touch(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
     return rounded(outcomes.first_touch(bars, signals=signals.long_form(bars, ["donchian_break_20"])))
@@ -599,7 +620,9 @@ def h_reality_check(spark, sf_dir):
     return rounded(inference.reality_check(d, ["a", "b"], "dt"))
 
 
-@query()
+@query(f"""with {DAILY_SQL}, {_RET}, x as (select b.symbol, b.dt, r.ret, ln(volume) as size, substr(b.symbol, 6, 1) as sector from bars b join ret r using (symbol, dt)), k as (select *, ret is not null and size is not null as ok from x), n as (select *, count(*) filter (ok) over (partition by dt) as names from k),
+d as (select *, ret - avg(case when ok then ret end) over (partition by dt, sector) as yd, size - avg(case when ok then size end) over (partition by dt, sector) as xd from n), b as (select dt, sum(case when ok then xd * yd end) / nullif(sum(case when ok then xd * xd end), 0) as b from d group by dt)
+select symbol, d.dt, round(case when ok and names >= 12 then yd - coalesce(b, 0) * xd end, 6) as residual from d join b on d.dt = b.dt""")
 def h_residualize(spark, sf_dir):
     df = returns(spark, sf_dir).withColumn("size", F.log("volume")).withColumn("sector", F.col("symbol").substr(6, 1)).select("symbol", "dt", "ret", "size", "sector")
     return rounded(inference.residualize(df, "ret", ["size"], "sector", "dt", 12).select("symbol", "dt", "residual"))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, costs, events, features, inference, modelling, outcomes, pit, quality, signals, text
 from ..sources import readers
-from ..sources.adapters import DAILY_SQL, SESSION_SQL, customer_symbol, daily_bars, session_bars, symbol_of, symbol_sql, table
+from ..sources.adapters import CUSTOMER_SYMBOL_SQL, DAILY_SQL, SESSION_SQL, customer_symbol, daily_bars, session_bars, symbol_of, symbol_sql, table
 from ..streaming import jobs
-from .catalog import _TRADES, query, returns, rounded, trades_of
+from .catalog import _RET, _TRADES, query, returns, rounded, trades_of
 
 
 @query(f"""with {DAILY_SQL}, m as (select cast(date_trunc('month', dt) as date) as month, symbol, arg_max(adj_close, dt) as px, min(dt) as first_day, max(dt) as last_day, median("close" * volume) as dollar_volume from bars group by 1, 2), l as (select cast(date_trunc('month', dt) as date) as month, max(dt) as d from bars group by 1)
@@ -154,11 +154,13 @@ def n_future_swap_audit(spark, sf_dir):
     return pit.future_swap_audit(planted, bars, 2)
 
 
-@query()
+@query(f"""with {DAILY_SQL} select case when dt <= date '{_CUT}' then symbol end as symbol, case when dt <= date '{_CUT}' then dt end as dt, round("close", 6) as "close", volume from bars""")
 def n_scramble(spark, sf_dir):
+    """Rows up to the cut stay as they are; behind it the same pairs of values are there, at other places (whose names are left out here)."""
     bars = daily_bars(spark, sf_dir).withColumn("known_at", F.col("dt"))
-    d = pit.Dataset("bars", bars, ["symbol"], "dt", ["close", "volume"])
-    return rounded(d.scramble(F.lit("1999-06-30").cast("date")).select("symbol", "dt", "close", "volume"))
+    d, cut = pit.Dataset("bars", bars, ["symbol"], "dt", ["close", "volume"]), F.lit(_CUT).cast("date")
+    early = F.col("dt") <= cut
+    return rounded(d.scramble(cut).select(F.when(early, F.col("symbol")).alias("symbol"), F.when(early, F.col("dt")).alias("dt"), "close", "volume"))
 
 
 @query("""with v as (select o_custkey, cast(o_orderdate as date) as known_at, max(o_totalprice) as val from orders where o_orderdate <= timestamp '1998-06-30' group by 1, 2) select o_custkey, known_at, round(val, 6) as val from (select *, row_number() over (partition by o_custkey order by known_at desc) as n from v) where n = 1""")
@@ -220,7 +222,15 @@ def f_trailing_exit(spark, sf_dir):
     return rounded(df.select("symbol", "session", "bar", outcomes.trailing_exit(F.col("path"), F.col("path")[0]["open"], F.lit(1.0)).alias("exit")))
 
 
-@query()
+_GRID = [0.5, 1.0, 1.5, 2.0, 3.0]
+_UNITS_SQL = f"""{SESSION_SQL}, u as (select symbol, session, avg((high - low) / "close") as r from hourly group by 1, 2), un as (select symbol, session, case when count(r) over w >= 5 then avg(r) over w end as unit from u window w as (partition by symbol order by session rows between 20 preceding and 1 preceding))"""
+
+
+@query(f"""with {_UNITS_SQL}, t as (select h.symbol, h.session, h.bar, lead(h.open) over (partition by h.symbol, h.session order by h.bar) as entry, unit from hourly h join un using (symbol, session)), k(m) as (values {", ".join(f"({x}::double)" for x in _GRID)}),
+g as (select t.*, a.m as stop_m, b.m as target_m, entry * (1 - a.m * unit) as stop, entry * (1 + b.m * unit) as target from t, k a, k b where entry is not null and unit is not null),
+p as (select g.*, h.bar as j, h.open, h.low <= stop as hs, h.high >= target as ht, h."close" as c from g join hourly h on h.symbol = g.symbol and h.session = g.session and h.bar > g.bar),
+f as (select symbol, session, bar, stop_m, target_m, any_value(entry) as entry, any_value(stop) as stop, any_value(target) as target, min(j) filter (hs or ht) as j, arg_min(hs, j) filter (hs or ht) as hs, arg_min(open, j) filter (hs or ht) as o, arg_max(c, j) as last from p group by 1, 2, 3, 4, 5)
+select bar, stop_m, target_m, count(*) as n, round(avg(case when j is not null then if(hs, least(stop, o), greatest(target, o)) else last end / entry - 1), 6) as mean from f group by 1, 2, 3""")
 def f_touch_grid(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -231,11 +241,13 @@ def f_touch_grid(spark, sf_dir):
     w = Window.partitionBy("symbol").orderBy("session").rowsBetween(-20, -1)
     unit = unit.select("symbol", "session", F.when(F.count("r").over(w) >= 5, F.avg("r").over(w)).alias("unit"))
     t = bars.withColumn("path", path).where("size(path) > 0").withColumn("entry", F.col("path")[0]["open"]).join(unit, ["symbol", "session"]).where("unit is not null")
-    g = outcomes.touch_grid(t, [0.5, 1.0, 1.5, 2.0, 3.0], [0.5, 1.0, 1.5, 2.0, 3.0])
+    g = outcomes.touch_grid(t, _GRID, _GRID)
     return rounded(g.groupBy("bar", "stop_m", "target_m").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean")))
 
 
-@query()
+@query(f"""with {DAILY_SQL}, d as (select dt, row_number() over (order by dt) - 1 as i from (select distinct dt from bars)), ev as (select distinct {CUSTOMER_SYMBOL_SQL} as symbol, cast(o_orderdate as date) as effective from orders),
+e as (select symbol, effective, max(i) + 1 as i from ev left join d on d.dt < ev.effective group by 1, 2), px as (select symbol, i, adj_close as p from bars join d using (dt)), bm as (select i, avg(p) as b from px group by i)
+select e.symbol, effective, round(x1.p / x0.p - b1.b / b0.b - 0.001::double, 6) as abnormal from e left join px x0 on x0.symbol = e.symbol and x0.i = e.i left join px x1 on x1.symbol = e.symbol and x1.i = e.i + 10 left join bm b0 on b0.i = e.i left join bm b1 on b1.i = e.i + 10""")
 def f_event_window(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
     ev = table(spark, sf_dir, "orders").select(customer_symbol(F.col("o_custkey")).alias("symbol"), F.to_date("o_orderdate").alias("effective")).distinct()
@@ -293,7 +305,13 @@ def h_effective_signals(spark, sf_dir):
     return rounded(inference.effective_signals(s, names))
 
 
-@query()
+_LAGGED = " + ".join(f"2 * (1 - {k} / 6.0) * coalesce(v * lag(v, {k}) over (order by dt), 0)" for k in range(1, 6))
+
+
+@query(f"""with {DAILY_SQL}, {_RET}, d as (select dt, avg(ret) as x, avg(case when symbol < 'S00005' then ret end) as y from ret group by dt having x is not null and y is not null),
+s as (select count(*) as n, avg(x) as mx, avg(y) as my, regr_slope(y, x) as b, sum(x * x) as sxx, sum(x) as sx, var_pop(y) * count(*) as total from d),
+e as (select dt, y - (my - b * mx) - b * x as e, (sxx - sx * x) / (n * sxx - sx * sx) as w from d, s), v as (select dt, e, e * w as v from e), l as (select e * e as ee, v * v + {_LAGGED} as term from v)
+select cast(n as double) as n, round((my - b * mx) * 252, 6) as alpha, round((my - b * mx) / sqrt(sum(term)), 6) as alpha_t, round((my - b * mx) / sqrt(sum(ee) / (n - 2)) * sqrt(252.0), 6) as ir, round(1 - sum(ee) / total, 6) as r2, round(b, 6) as mkt from l, s group by n, my, b, mx, total""")
 def h_factor_alpha(spark, sf_dir):
     r = returns(spark, sf_dir)
     d = r.groupBy("dt").agg(F.avg("ret").alias("mkt"), F.avg(F.when(F.col("symbol") < "S00005", F.col("ret"))).alias("y"))
