@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import events, features, inference, modelling, outcomes, pit, quality, signals, windows
+from ..functions import scalar
+from ..operators import aggregates, costs, events, features, inference, modelling, outcomes, pit, quality, signals, windows
+from ..sources import readers
 from ..sources.adapters import CUSTOMER_SYMBOL_SQL, DAILY_SQL, SESSION_SQL, customer_symbol, daily_bars, session_bars, table
 from .catalog import _RET, _TRADES, FEATURES_SQL, LABELS_SQL, query, returns, rounded, trades_of
 
@@ -184,3 +186,123 @@ def b_quotes_and_items(spark, sf_dir):
     bid, ask = events.valid_quote(F.col("b"), F.col("a"))
     urgent = events.item_overlap(F.replace("o_orderpriority", F.lit("-"), F.lit(",")), ["URGENT", "HIGH"])
     return rounded(o.select("o_orderkey", bid.alias("bid"), ask.alias("ask"), events.signed_price(F.col("b")).alias("price"), urgent.alias("urgent")))
+
+
+@query("""select o_orderpriority, count(*) as n, avg(case when o_orderstatus = 'F' then 1.0::double else 0.0::double end) as "share_F", avg(case when o_orderstatus = 'O' then 1.0::double else 0.0::double end) as "share_O" from orders group by 1""")
+def d_outcome_mix(spark, sf_dir):
+    return aggregates.outcome_mix(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderstatus", ["F", "O"])
+
+
+@query(f"""with {DAILY_SQL}, s as (select symbol, cast(date_trunc('month', dt) as date) as month, greatest(least(median((high - low) / "close") * 10000, 1000), 1) as bp from bars group by 1, 2), l as (select symbol from bars group by 1 having sum(volume) % 2 = 0),
+b as (select month, median(bp) as base from s join l using (symbol) group by 1) select symbol, s.month, round(greatest(least(2 * bp / base, 150), 1), 6) as half_spread_bp from s join b on s.month = b.month""")
+def i_anchored_half_spread(spark, sf_dir):
+    bars = daily_bars(spark, sf_dir)
+    monthly = costs.monthly_spread(bars.withColumn("spread", (F.col("high") - F.col("low")) / F.col("close")))
+    return rounded(costs.anchored_half_spread(monthly, bars.groupBy("symbol").agg(F.sum("volume").alias("v")).where("v % 2 = 0").select("symbol")))
+
+
+@query(f"""with {_TRADES}, f as (select min(dt) as d0 from tr), x as (select signal, floor(date_diff('day', d0, dt) / 14.0) as block, ret from tr, f), c as (select signal, block, sum(ret) as s, count(*) as n from x group by 1, 2), g as (select signal, sum(s) / sum(n) as m, sum(n) as n, count(*) as k from c group by 1)
+select signal, cast(g.n as bigint) as n, k as clusters, round(m, 6) as mean, round(sqrt(sum(power(s - m * c.n, 2)) * k / (k - 1)) / g.n, 6) as se from c join g using (signal) group by signal, g.n, k, m""")
+def h_block_clustered_mean(spark, sf_dir):
+    t = trades_of(spark, sf_dir)
+    first = t.agg(F.min("dt").alias("d0"))
+    blocks = t.crossJoin(F.broadcast(first)).withColumn("block", inference.time_block("dt", F.col("d0"), 5))
+    return rounded(inference.clustered_mean(blocks, "ret", ["block"], ["signal"]).select("signal", "n", "clusters", "mean", "se"))
+
+
+@query(f"""with {DAILY_SQL} select (select count(distinct l_suppkey) from lineitem) as source_symbols, (select count(distinct symbol) from bars where dt >= date '1999-12-01') as built_symbols""")
+def g_staleness(spark, sf_dir):
+    bars = daily_bars(spark, sf_dir)
+    return quality.stale_symbols(table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "symbol"), bars.where("dt >= date '1999-12-01'"))
+
+
+@query("""select c_custkey, 'c_acctbal' as column, 'negative balance' as message, 'warn' as severity from customer where c_acctbal < 0 union all select c_custkey, 'c_mktsegment', 'unknown segment', 'error' from customer where c_mktsegment not in ('BUILDING', 'MACHINERY')""")
+def g_validate_rows(spark, sf_dir):
+    rules = [("c_acctbal", "negative balance", "warn", F.col("c_acctbal") < 0), ("c_mktsegment", "unknown segment", "error", ~F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))]
+    return quality.validate_rows(table(spark, sf_dir, "customer"), "c_custkey", rules)
+
+
+@query(f"""with {FEATURES_SQL} select symbol, dt, cast(0.51 as double) as always_long, cast(case when mom_21 > 0 then 0.60 else 0.40 end as double) as momentum_rule from features""")
+def m_baselines(spark, sf_dir):
+    return modelling.baselines(features.price_features(daily_bars(spark, sf_dir)), "mom_21").select("symbol", "dt", "always_long", "momentum_rule")
+
+
+_FUNDAMENTALS = """fu as (select o_custkey as k, o_totalprice / 100 - 800 as income, o_totalprice - 150000 as equity, o_totalprice as assets, o_totalprice - o_orderkey % 1000 * 100 as assets_lag, o_totalprice / 200 as cash_flow, o_totalprice / 10 as gross_profit,
+  cast(case when o_orderkey % 3 = 0 then o_orderkey % 100 end as double) as s1, cast(case when o_orderkey % 3 < 2 then o_orderkey % 90 end as double) as s2, cast(o_orderkey % 80 as double) as s3, o_orderkey from orders)"""
+
+
+@query(f"""with {_FUNDAMENTALS}, c as (select *, (87 / 7.3::double) * coalesce(s1, s2, s3) as cap from fu)
+select o_orderkey, round(case when cap > 0 then income / cap end, 6) as ep, round(case when cap > 0 then equity / cap end, 6) as bp, round(case when equity > 0 then income / equity end, 6) as roe, round(-(case when assets > 0 then (income - cash_flow) / assets end), 6) as accruals,
+  round(-(case when assets_lag > 0 then assets / assets_lag end - 1), 6) as asset_growth, round(case when assets > 0 then gross_profit / assets end, 6) as profitability from c""")
+def m_fundamental_ratios(spark, sf_dir):
+    p, k = F.col("o_totalprice"), F.col("o_orderkey")
+    shares = {"shares_cover": F.when(k % 3 == 0, k % 100), "shares_balance": F.when(k % 3 < 2, k % 90), "shares_weighted": k % 80}
+    df = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (p / 100 - 800).alias("income"), (p - 150000).alias("equity"), p.alias("assets"), (p - k % 1000 * 100).alias("assets_lag"), (p / 200).alias("cash_flow"), (p / 10).alias("gross_profit"),
+        *(x.cast("double").alias(c) for c, x in shares.items()),
+    )
+    return rounded(modelling.fundamental_ratios(df, F.lit(87 / 7.3)).select("o_orderkey", "ep", "bp", "roe", "accruals", "asset_growth", "profitability"))
+
+
+@query(f"""with {DAILY_SQL}, adv as (select symbol, dt, avg(volume) over (partition by symbol order by dt rows between 19 preceding and current row) as adv from bars), r as (select {CUSTOMER_SYMBOL_SQL} as symbol, cast(o_orderdate as date) as d, max(o_orderkey % 5000) as short from orders group by 1, 2), q as (select *, lag(short) over (partition by symbol order by d) as before from r)
+select a.symbol, a.dt, round(case when adv > 0 then -short / (adv * 21) end, 6) as short_level, round(case when before > 0 then -(short / before - 1) end, 6) as short_change, round(case when adv > 0 then -short / adv end, 6) as days_to_cover from adv a asof left join q on a.symbol = q.symbol and a.dt >= q.d""")
+def m_short_interest(spark, sf_dir):
+    panel = daily_bars(spark, sf_dir).select("symbol", "dt", F.avg("volume").over(features.last_rows(20)).alias("adv_shares"))
+    reports = table(spark, sf_dir, "orders").groupBy(customer_symbol(F.col("o_custkey")).alias("symbol"), F.to_date("o_orderdate").alias("tradeable_from")).agg(F.max(F.col("o_orderkey") % 5000).alias("short"))
+    return rounded(events.short_interest_signals(panel, reports).select("symbol", "dt", "short_level", "short_change", "days_to_cover"))
+
+
+@query(f"""with {DAILY_SQL}, d as (select dt, row_number() over (order by dt) - 1 as i from (select distinct dt from bars)), k as (select symbol, i, "close" * 1000 as adv from bars join d using (dt)), t as (select {CUSTOMER_SYMBOL_SQL} as symbol, i, sum(case when o_orderkey % 2 = 0 then o_totalprice else 0 end) as b, sum(case when o_orderkey % 2 = 1 then o_totalprice else 0 end) as s from orders join d on cast(o_orderdate as date) = d.dt group by 1, 2)
+select k.symbol, k.i as day_index, round(coalesce(sum(b - s), 0) / (any_value(adv) * 90), 4) as net_buying from k left join t on t.symbol = k.symbol and t.i between k.i - 90 and k.i group by 1, 2""")
+def m_insider_signal(spark, sf_dir):
+    bars = daily_bars(spark, sf_dir)
+    days = F.broadcast(features.calendar(bars).select("dt", F.col("day_index").cast("long").alias("day_index")))
+    keys = bars.join(days, "dt").select("symbol", "day_index", (F.col("close") * 1000).alias("adv"))
+    o = table(spark, sf_dir, "orders").select(customer_symbol(F.col("o_custkey")).alias("symbol"), F.to_date("o_orderdate").alias("dt"), "o_totalprice", (F.col("o_orderkey") % 2 == 0).alias("buy")).join(days, "dt")
+    trades = o.groupBy("symbol", "day_index").agg(F.sum(F.when(F.col("buy"), F.col("o_totalprice")).otherwise(0)).alias("bought"), F.sum(F.when(~F.col("buy"), F.col("o_totalprice")).otherwise(0)).alias("sold"))
+    return events.insider_signal(keys, trades, 90).select("symbol", "day_index", F.round("net_buying", 4).alias("net_buying"))
+
+
+@query("""select o_orderkey, cast(case when cast(o_orderdate as date) < date '2017-09-05' then 3 when cast(o_orderdate as date) < date '2024-05-28' then 2 else 1 end as integer) as settles, year(o_orderdate - interval 3 month) || 'Q' || quarter(o_orderdate - interval 3 month) as previous, cast(o_orderdate as date) as parsed,
+  case when o_orderkey % 5 > 0 then greatest(o_orderkey % 5, o_custkey) end as largest, ['one', 'twenty-one', '7', 'no number'][o_orderkey % 4 + 1] as word, [1, 21, 7, null][o_orderkey % 4 + 1] as number from orders""")
+def j_scalars(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    day, k = F.to_date("o_orderdate"), F.col("o_orderkey")
+    text = F.when(k % 3 == 0, F.date_format(day, "dd-MMM-yyyy")).when(k % 3 == 1, F.date_format(day, "yyyyMMdd")).otherwise(F.date_format(day, "MMMM d, yyyy"))
+    word = F.element_at(F.array(*map(F.lit, ("one", "twenty-one", "7", "no number"))), (k % 4 + 1).cast("int"))
+    return o.select(
+        "o_orderkey", scalar.settlement_days(day).alias("settles"), scalar.previous_quarter(day).alias("previous"), scalar.parse_date(text, "dd-MMM-yyyy", "yyyyMMdd", "MMMM d, yyyy").alias("parsed"),
+        scalar.poisoned(F.greatest, F.when(k % 5 > 0, k % 5), F.col("o_custkey")).alias("largest"), word.alias("word"), scalar.number_word(word).alias("number"),
+    )
+
+
+@query(f"""with o as (select {CUSTOMER_SYMBOL_SQL} as deal, o_orderkey as k, cast(case when o_orderkey % 3 = 0 then o_orderdate end as date) as ext, case when o_orderkey % 4 = 0 then o_totalprice end as fp, o_orderkey % 97 = 0 as term from orders)
+select deal, arg_max(ext, k) filter (ext is not null) as extended_to, count(ext) as extensions, round(arg_min(fp, k) filter (fp is not null), 6) as final_price, min(k) filter (term) as terminated_on from o group by 1""")
+def k_consolidated(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(
+        customer_symbol(F.col("o_custkey")).alias("deal"), k.alias("at"), F.when(k % 3 == 0, F.to_date("o_orderdate")).alias("extended_to"), F.when(k % 4 == 0, F.col("o_totalprice")).alias("final_price"),
+        F.lit(None).cast("double").alias("proration"), (k % 97 == 0).alias("terminated"),
+    )
+    return rounded(events.consolidated(o, "deal", "at").drop("proration"))
+
+
+@query(f"""with {DAILY_SQL}, g as (select symbol from bars group by 1 having sum(volume) % 3 = 0) select symbol, dt, volume from bars where symbol in (select symbol from g)""")
+def a_bars_of_kind(spark, sf_dir):
+    bars = daily_bars(spark, sf_dir)
+    kinds = bars.groupBy("symbol").agg(F.when(F.sum("volume") % 3 == 0, "stock").otherwise("fund").alias("kind"))
+    return readers.bars_of_kind(bars, kinds).select("symbol", "dt", "volume")
+
+
+@query("""select c_custkey, c_acctbal from customer order by c_acctbal desc, c_custkey limit 25""")
+def o_top_rows(spark, sf_dir):
+    """A report of the 25 largest."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.lit(1).alias("all"))
+    return c.orderBy(F.desc("c_acctbal"), "c_custkey").limit(25).select("c_custkey", "c_acctbal")
+
+
+@query("""with x as (select o_custkey % 200 as symbol, (10 + o_totalprice / 1e5) / 7.3::double as price, o_orderkey % 30 + 2 as ratio, (o_orderkey % 10) / 10.0::double as p, o_orderkey from orders) select o_orderkey, round(p * price * ratio + (1 - p) * price - price, 6) as expected_profit, 0.0::double as break_even_p from x""")
+def f_roundup_value(spark, sf_dir):
+    k = F.col("o_orderkey")
+    df = table(spark, sf_dir, "orders").select("o_orderkey", ((10 + F.col("o_totalprice") / 1e5) / 7.3).alias("price"), (k % 30 + 2).alias("ratio"), ((k % 10) / F.lit(10.0)).alias("p"))
+    return rounded(events.roundup_value(df).select("o_orderkey", "expected_profit", "break_even_p"))
