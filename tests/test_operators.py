@@ -202,6 +202,10 @@ def test_readers(spark, tmp_path):
     assert [r.Mkt for r in readers.first_block(lines, ["Mkt", "RF"]).orderBy("dt").collect()] == [0.015, -0.01]
     readers.materialize(bars_of(spark, range(10)), f"{tmp_path}/out")
     assert readers.bounded_parquet(spark, f"{tmp_path}/out", ["symbol", "dt"], max_date="2024-01-03").count() == 3
+    for kind in ("csv", "json"):
+        readers.materialize(bars_of(spark, range(10)), f"{tmp_path}/{kind}", kind=kind)
+        back = readers.many_files(spark, f"{tmp_path}/{kind}/year=*/*", "symbol string, dt date, open double", kind)
+        assert back.count() == 10 and back.where("symbol is null or file = ''").count() == 0
 
 
 def test_streams(spark, tmp_path):

@@ -40,8 +40,8 @@ def quarantine(df: DataFrame, rules: DataFrame, symbol: str = "symbol", at: str
     """(kept, moved): rows within [since, until] of a rule for their symbol are moved, with its reason (the smallest, if several)."""
     r = rules.select(F.col("symbol").alias("_s"), "since", "until", "reason")
     hit = (F.col(symbol) == F.col("_s")) & (F.col("since").isNull() | (F.col(at) >= F.col("since"))) & (F.col("until").isNull() | (F.col(at) <= F.col("until")))
-    kept = df.join(F.broadcast(r), hit, "left_anti")
-    moved = df.join(F.broadcast(r), hit).groupBy(*df.columns).agg(F.min("reason").alias("reason"))
+    kept = df.join(r, hit, "left_anti")
+    moved = df.join(r, hit).groupBy(*df.columns).agg(F.min("reason").alias("reason"))
     return kept, moved
 
 

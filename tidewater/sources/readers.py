@@ -46,7 +46,7 @@ def sealed(df: DataFrame, date_col: str, seal: date | str, asked: date | str | N
 
 
 def bars_of_kind(bars: DataFrame, symbols: DataFrame, kind: str = "stock") -> DataFrame:
-    return bars.join(F.broadcast(symbols.where(F.col("kind") == kind).select("symbol")), "symbol", "left_semi")
+    return bars.join(symbols.where(F.col("kind") == kind).select("symbol"), "symbol", "left_semi")
 
 
 def tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -109,8 +109,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
 
-def materialize(df: DataFrame, path: str, date_col: str = "dt") -> None:
-    """Parquet partitioned by year, sorted by symbol inside files so that symbol filters skip row groups."""
+def materialize(df: DataFrame, path: str, date_col: str = "dt", kind: str = "parquet") -> None:
+    """A table partitioned by year, sorted by symbol inside files so that symbol filters skip row groups; `kind`: parquet, csv (with a
+    header) or json (one row a line)."""
+    if kind not in ("parquet", "csv", "json"):
+        raise ValueError(kind)
     year: Column = F.year(date_col)
-    out = df.withColumn("year", year)
-    out.repartition("year", "symbol").sortWithinPartitions("symbol", date_col).write.mode("overwrite").partitionBy("year").parquet(path)
+    out = df.withColumn("year", year).repartition("year", "symbol").sortWithinPartitions("symbol", date_col)
+    out.write.format(kind).option("header", True).mode("overwrite").partitionBy("year").save(path)
+
+
+def many_files(spark: SparkSession, pattern: str, schema: str, kind: str = "csv") -> DataFrame:
+    """All files that a glob names, with `file`, the name of the one a row comes from; a schema is given, so no file is read to guess it."""
+    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").format(kind).load(pattern)
+    return rows.withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
