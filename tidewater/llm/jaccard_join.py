@@ -194,8 +194,8 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
-    """(part, node, band, names): the classes that share a named part with another. Parts of a band with the same classes count
-    once; `names` says how many they are."""
+    """(part, node, band, names, members): the classes that share a named part with another. Parts of a band with the same classes
+    count once; `names` says how many they are, and `members` how many classes are in each."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -230,23 +230,18 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFr
         part, where, count = np.unique(members[several], return_index=True, return_counts=True)
         start, size, band = start[several][where], size[several][where], band[several][where].astype(np.int32)
         at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return pa.table({"part": np.repeat(part, size), "node": nodes[at], "band": np.repeat(band, size), "names": np.repeat(count.astype(np.int64), size)})
+        return pa.table({"part": np.repeat(part, size), "node": nodes[at], "band": np.repeat(band, size), "names": np.repeat(count.astype(np.int64), size), "members": np.repeat(size, size)})
 
-    met = docs.select("text").mapInArrow(name, "bucket int, parts binary").groupBy("bucket").applyInArrow(meet, "part long, node long, band int, names long")
-    return met.groupBy("part", "node").agg(F.max("band").alias("band"), F.sum("names").alias("names"))
+    met = docs.select("text").mapInArrow(name, "bucket int, parts binary").groupBy("bucket").applyInArrow(meet, "part long, node long, band int, names long, members long")
+    return met.groupBy("part", "node").agg(F.max("band").alias("band"), F.sum("names").alias("names"), F.max("members").alias("members"))
 
 
 def _thinned(groups: DataFrame, most: int) -> DataFrame:
-    """Rows of `groups` (part, node, band, names, spares, ...; written) without those that leave frequent parts. A set leaves all of a band if
-    they are fewer than its spares there: some part of it that is equal in a linked set is then not frequent."""
-    frequent = written(groups.groupBy("part").count().where(F.col("count") > most).select("part"), "jaccard-frequent")
-    if frequent.isEmpty():
-        return groups
-    frequent = checked_broadcast(frequent, BROADCAST_ROWS)
-    common = groups.join(frequent, "part", "left_semi")
-    often = common.groupBy("node", "band").agg(F.sum("names").alias("often"))
-    stay = common.join(often, ["node", "band"]).where(F.element_at("spares", F.col("band") + 1) <= F.col("often"))
-    return written(groups.join(frequent, "part", "left_anti").unionByName(stay.drop("often")), "jaccard-thinned")
+    """Rows of `groups` (part, node, band, names, members, spares, ...) without those that leave frequent parts (of more than `most` members).
+    A set leaves all of a band if they are fewer than its spares there: some part of it that is equal in a linked set is then not frequent."""
+    often = F.sum(F.when(F.col("members") > most, F.col("names")).otherwise(0)).over(Window.partitionBy("node", "band"))
+    stays = (F.col("members") <= most) | (F.element_at("spares", F.col("band") + 1) <= F.col("_often"))
+    return groups.withColumn("_often", often).where(stays).drop("_often", "band", "names", "members", "spares")
 
 
 def _chunked(groups: DataFrame, num: int, den: int, weight: int) -> DataFrame:
@@ -559,8 +554,8 @@ def members(docs: DataFrame, k: int, num: int, den: int, chunk_bytes: int = CHUN
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total * 5 * (den - num) / (den + num) / BUCKET) + 1)
     # one bitmap for each class, joined to the groups the class is in
     maps = sets.where("bitmap is not null").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap"), F.max("spares").alias("spares"))
-    groups = written(_groups(texts, k, num, den, buckets).join(maps, "node"), "jaccard-groups")
-    able = _possible(_chunked(_thinned(groups, frequent).drop("band", "names", "spares"), num, den, group), num, den)
+    groups = written(_thinned(_groups(texts, k, num, den, buckets).join(maps, "node"), frequent), "jaccard-groups")
+    able = _possible(_chunked(groups, num, den, group), num, den)
     blocks = written(connected(able, "jaccard-candidates"), "jaccard-blocks")
 
     # the shingles of one document of each class in a block, hashed anew
