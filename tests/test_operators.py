@@ -317,3 +317,15 @@ def test_ties_are_drawn_apart(spark):
     # a mean of 0.5 of coin flips has an error of 0.05: no replicate strays by as much as the mean
     assert got.p == 0 and got["mean"] == 0.5
     assert inference.iid_bootstrap_p(spark.createDataFrame([("a", 1, 2.0)], "g string, i int, v double"), "v", ["g"], ["i"], 50).first().p == 0
+
+
+def test_normal_targets(spark):
+    from statistics import NormalDist
+
+    from tidewater.operators import windows
+
+    rows = [("m", i, float(v)) for i, v in enumerate([3.0, 1.0, 2.0, 2.0])] + [("m", 9, None), ("n", 1, 5.0)]
+    got = {(r.p, r.i): r for r in windows.normal_targets(spark.createDataFrame(rows, "p string, i int, v double"), "v", "p").collect()}
+    for i, rank in enumerate([4, 1, 2.5, 2.5]):
+        assert got["m", i].target == pytest.approx(NormalDist().inv_cdf(rank / 5), abs=1e-6) and got["m", i].weight == 0.25
+    assert got["m", 9].target is None and got["m", 9].weight is None and got["n", 1].target == pytest.approx(0, abs=1e-9)

@@ -101,3 +101,13 @@ def html_text(html: Column) -> Column:
     t = unescape_html(F.regexp_replace(t, r"<[^>]*>", " "))
     t = F.regexp_replace(t, r"[ \t\x0B\f\r]+", " ")
     return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")
+
+
+def session_date(at: Column, zone: str = "America/New_York") -> Column:
+    """Local date of a time in UTC."""
+    return F.to_date(F.from_utc_timestamp(at, zone))
+
+
+def canonical_json(columns: list[str]) -> Column:
+    """One text for a row: its fields in the order of their names, nulls kept."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})

@@ -128,3 +128,9 @@ def anti(df: DataFrame, flagged: DataFrame, on: list[str]) -> DataFrame:
 
 def semi(df: DataFrame, members: DataFrame, on: list[str]) -> DataFrame:
     return df.join(members.select(*on).distinct(), on, "left_semi")
+
+
+def matched_controls(rows: DataFrame, treated: Column, cells: list[str]) -> DataFrame:
+    """Rows that are not treated but share a cell (equal values of `cells`) with one that is; each once."""
+    marked = rows.withColumn("_t", F.coalesce(treated, F.lit(False)))
+    return marked.where("not _t").join(marked.where("_t").select(*cells).distinct(), cells, "left_semi").drop("_t")

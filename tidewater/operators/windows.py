@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import normal_quantile
+
 
 def running_drawdown(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
     """peak so far, and how far below it each row is."""
@@ -111,6 +113,33 @@ def turnover(weights: DataFrame, period: str, entity: str, weight: str) -> DataF
     return now.unionByName(before).groupBy(period, entity).agg(F.sum("_w").alias("_d")).groupBy(period).agg(F.sum(F.abs("_d")).alias("turnover"))
 
 
+def drift_turnover(weights: DataFrame, period: str, entity: str, weight: str, ret: str) -> DataFrame:
+    """As `turnover`, against the weights that the period before has drifted to by its returns (w (1 + r), scaled to sum to 1 again)."""
+    order = weights.select(period).distinct().withColumn("_next", F.lead(period).over(Window.orderBy(period)))
+    grown = weights.withColumn("_g", F.col(weight) * (1 + F.coalesce(F.col(ret), F.lit(0.0))))
+    total = grown.groupBy(period).agg(F.sum("_g").alias("_all"))
+    drifted = grown.join(total, period).join(order, period).where("_next is not null").select(F.col("_next").alias(period), entity, (-F.try_divide("_g", "_all")).alias("_w"))
+    both = weights.select(period, entity, F.col(weight).alias("_w")).unionByName(drifted)
+    return both.groupBy(period, entity).agg(F.sum("_w").alias("_d")).groupBy(period).agg(F.sum(F.abs("_d")).alias("turnover"))
+
+
+def set_turnover(members: DataFrame, period: str, entity: str) -> DataFrame:
+    """Names that came or went since the period before, over the names there are; periods without one before them are left out."""
+    order = members.select(period).distinct().withColumn("_next", F.lead(period).over(Window.orderBy(period)))
+    now = members.select(period, entity, F.lit(1).alias("_now"), F.lit(0).alias("_was")).distinct()
+    was = members.join(order, period).where("_next is not null").select(F.col("_next").alias(period), entity, F.lit(0).alias("_now"), F.lit(1).alias("_was")).distinct()
+    each = now.unionByName(was).groupBy(period, entity).agg(F.max("_now").alias("_now"), F.max("_was").alias("_was"))
+    g = each.groupBy(period).agg(F.sum(F.abs(F.col("_now") - F.col("_was"))).alias("_changed"), F.sum("_now").alias("_n"), F.sum("_was").alias("_b"))
+    return g.where("_b > 0").select(period, (F.col("_changed") / F.col("_n")).alias("turnover"))
+
+
+def normal_targets(df: DataFrame, value: str, period: str) -> DataFrame:
+    """`target`: the standard normal quantile of the average-tie rank over n + 1 within the period, and `weight`: 1 / n; null values have neither."""
+    part = Window.partitionBy(period)
+    n = F.count(value).over(part)
+    return df.withColumn("_r", average_rank(value, [period])).withColumn("target", normal_quantile(F.col("_r") / (n + 1))).withColumn("weight", F.when(F.col(value).isNotNull(), 1 / n)).drop("_r")
+
+
 def fixed_bands(value: Column, edges: list[float]) -> Column:
     """Band number of right-closed bands (edges[i], edges[i + 1]]; null outside."""
     out = F.lit(None).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import aggregates, costs, events, features, inference, modelling, outcomes, pit, quality, signals, windows
+from ..operators import aggregates, costs, events, features, inference, joins, modelling, outcomes, pit, quality, signals, windows
 from ..sources import readers
 from ..sources.adapters import CUSTOMER_SYMBOL_SQL, DAILY_SQL, SESSION_SQL, customer_symbol, daily_bars, session_bars, table
 from .catalog import _RET, _TRADES, FEATURES_SQL, LABELS_SQL, query, returns, rounded, trades_of
@@ -306,3 +306,43 @@ def f_roundup_value(spark, sf_dir):
     k = F.col("o_orderkey")
     df = table(spark, sf_dir, "orders").select("o_orderkey", ((10 + F.col("o_totalprice") / 1e5) / 7.3).alias("price"), (k % 30 + 2).alias("ratio"), ((k % 10) / F.lit(10.0)).alias("p"))
     return rounded(events.roundup_value(df).select("o_orderkey", "expected_profit", "break_even_p"))
+
+
+@query(f"""with {SESSION_SQL}, n as (select symbol, session, bar, open, "close" as c, row_number() over (partition by bar order by volume, symbol, session) as i, count(*) over (partition by bar) as n from hourly),
+x as (select symbol, session, bar, cast(case when n = 1 then 0 else greatest(0, ceil((i - 1) * 10.0 / (n - 1)) - 1) end as integer) as decile, c < open - 0.3 as treated from n)
+select symbol, session, bar, decile from x where not treated and (bar, decile) in (select (bar, decile) from x where treated)""")
+def c_matched_controls(spark, sf_dir):
+    rows = session_bars(spark, sf_dir).withColumn("decile", features.quantile_bucket("volume", ["bar"], 10, ["symbol", "session"]))
+    return joins.matched_controls(rows, F.col("close") < F.col("open") - 0.3, ["bar", "decile"]).select("symbol", "session", "bar", "decile")
+
+
+_MONTH_WEIGHTS = f"""{DAILY_SQL}, {_RET}, mw as (select b.symbol, cast(date_trunc('month', b.dt) as date) as month, sum(b.volume) as v, product(1 + coalesce(r.ret, 0)) - 1 as g from bars b join ret r using (symbol, dt) group by 1, 2), w as (select symbol, month, v / sum(v) over (partition by month) as w, g from mw), nx as (select month, lead(month) over (order by month) as nxt from (select distinct month from w))"""
+
+
+def _month_weights(spark, sf_dir):
+    m = returns(spark, sf_dir).groupBy("symbol", F.trunc("dt", "month").alias("month")).agg(F.sum("volume").alias("v"), (F.product(1 + F.coalesce("ret", F.lit(0.0))) - 1).alias("g"))
+    return m.withColumn("w", F.col("v") / F.sum("v").over(Window.partitionBy("month")))
+
+
+@query(f"""with {_MONTH_WEIGHTS}, d as (select symbol, nxt as month, w * (1 + g) / sum(w * (1 + g)) over (partition by month) as w from w join nx using (month) where nxt is not null), u as (select month, symbol, w from w union all select month, symbol, -w from d)
+select month, round(sum(abs(x)), 6) as turnover from (select month, symbol, sum(w) as x from u group by 1, 2) group by month""")
+def e_drift_turnover(spark, sf_dir):
+    return rounded(windows.drift_turnover(_month_weights(spark, sf_dir), "month", "symbol", "w", "g"))
+
+
+@query(f"""with {_MONTH_WEIGHTS}, m as (select symbol, month from w where v_ok(symbol, month)), p as (select symbol, nxt as month from m join nx using (month) where nxt is not null),
+u as (select month, symbol, max(a) as a, max(b) as b from (select month, symbol, 1 as a, 0 as b from m union all select month, symbol, 0, 1 from p) group by 1, 2)
+select month, round(sum(abs(a - b)) / sum(a), 6) as turnover from u group by month having sum(b) > 0""".replace("v_ok(symbol, month)", "w > 0.009::double"))
+def e_set_turnover(spark, sf_dir):
+    return rounded(windows.set_turnover(_month_weights(spark, sf_dir).where("w > 0.009D"), "month", "symbol"))
+
+
+@query()
+def e_normal_targets(spark, sf_dir):
+    return rounded(windows.normal_targets(_month_weights(spark, sf_dir).select("symbol", "month", "g"), "g", "month").select("symbol", "month", "target", "weight"))
+
+
+@query("""select event_id, cast(ts - interval 5 hour as date) as session, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}' as json from events""")
+def j_sessions_and_json(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", scalar.session_date(F.col("ts"), "Etc/GMT+5").alias("session"), scalar.canonical_json(["user_id", "event_id", "event_type"]).alias("json"))
