@@ -33,7 +33,7 @@ SAMPLE = 10_000
 SYMBOLS = 28
 OTHER = 27
 #: Tokens in a generation of a worker's memory.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: A word or beginning is weighted if its share among toxic texts exceeds that among others by so many standard errors.
 SURE = 4.0
 PREFIXES = (4, 5, 6)
