@@ -47,15 +47,18 @@ def fit(train: DataFrame, features: list[str], label: str, kind: str = "logistic
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 
-    train = train.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
+    # every stage of the pipeline reads the rows again
+    train = train.where(F.col(label).isNotNull()).select("symbol", "dt", *features, F.col(label).cast("double").alias(label)).persist()
     filled = [f"{c}_filled" for c in features]
     prepare = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw")]
     if kind == "logistic":
         model = [StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(labelCol=label, regParam=1 / (0.1 * max(1, train.count())), maxIter=50)]
     else:
-        train = train.withColumn("_validates", F.pmod(F.xxhash64("symbol", "dt", F.lit(seed)), F.lit(1000)) < VALIDATION * 1000)
+        marked = train.withColumn("_validates", F.pmod(F.xxhash64("symbol", "dt", F.lit(seed)), F.lit(1000)) < VALIDATION * 1000)
         model = [VectorAssembler(inputCols=["raw"], outputCol="features"), GBTClassifier(labelCol=label, seed=seed, validationIndicatorCol="_validates", **(TREES | (trees or {})))]
-    return Pipeline(stages=prepare + model).fit(train)
+    fitted = Pipeline(stages=prepare + model).fit(train if kind == "logistic" else marked)
+    train.unpersist()
+    return fitted
 
 
 def predicted(fitted, test: DataFrame, label: str) -> DataFrame:

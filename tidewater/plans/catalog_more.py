@@ -275,8 +275,9 @@ def m_leakage(spark, sf_dir):
 def m_logistic_walk_forward(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
     f = features.price_features(bars).join(features.forward_labels(bars).select("symbol", "dt", "fwd_5", "win_5"), ["symbol", "dt"])
-    rows = modelling.split(features.usable_rows(f), modelling.walk_forward(features.calendar(bars)))
-    scored = modelling.fit_predict(rows, ["mom_21", "vol_20", "atr_pct", "dist_sma_20"], "win_5")
+    # read again by every fold, and the scores by every part of the evaluation
+    rows = modelling.split(features.usable_rows(f), modelling.walk_forward(features.calendar(bars))).persist()
+    scored = modelling.fit_predict(rows, ["mom_21", "vol_20", "atr_pct", "dist_sma_20"], "win_5").persist()
     out = scored.join(f.select("symbol", "dt", "fwd_5"), ["symbol", "dt"])
     return rounded(modelling.evaluate(out, "fwd_5", ["fold"]))
 

@@ -140,7 +140,7 @@ def m_permutation_importance(spark, sf_dir):
     """On the last fold's rows, with few rounds of trees; the operator's defaults are those of production."""
     bars = daily_bars(spark, sf_dir)
     f = features.price_features(bars).join(features.forward_labels(bars).select("symbol", "dt", "win_5"), ["symbol", "dt"])
-    rows = modelling.split(features.usable_rows(f), modelling.walk_forward(features.calendar(bars)))
+    rows = modelling.split(features.usable_rows(f), modelling.walk_forward(features.calendar(bars))).persist()
     last = rows.agg(F.max("fold")).first()[0]
     mine = rows.where(F.col("fold") == last)
     out = modelling.permutation_importance(mine.where("role = 'train'"), mine.where("role = 'test' and win_5 is not null"), ["mom_21", "vol_20", "atr_pct", "dist_sma_20"], "win_5", "trees", 3, 1, {"maxIter": 10})
