@@ -37,7 +37,7 @@ MAGIC = b"WMX1"
 BLOCK = 1 << 16
 WORD = 512
 SHARD_TOKENS = 1 << 21
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 
 FILE_SCHEMA = "part int, seq int, first_doc long, n_docs long, n_tokens long, file binary"
 DOC_SCHEMA = "part int, seq int, k int, doc_id long, local long, n_tokens long, ids_crc32 long"
