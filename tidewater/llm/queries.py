@@ -136,6 +136,67 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(common.documents(spark, sf_dir))
 
 
+def op11_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is the folder that the session names in `tidewater.token.cache`, kept from run to run, and else an empty one that goes with the driver."""
+    import public_tokenizers
+
+    from .digest_cache import count
+
+    common.ship(spark)
+    cache = spark.conf.get("tidewater.token.cache", None)
+    if not cache:
+        cache = common.shared_path(spark, "token-cache")
+        common.passing(spark, cache)
+    return count(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), cache)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import digests
+
+    common.ship(spark)
+    return digests(common.documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+_OP13_SQL = r"""
+with docs as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as words from documents),
+least as (select text, min(doc_id) as first_id from docs group by text),
+told as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+failed as (
+  select d.part, coalesce(t.good, 0) as good, coalesce(t.toxic, 0) as toxic,
+         case when len(words) < 50 then 'A' else '' end || case when 100 * len(list_distinct(words)) < 65 * len(words) then 'B' else '' end
+         || case when 100 * length(regexp_replace(d.text, '[^A-Z]+', '', 'g')) > 5 * length(d.text) then 'C' else '' end
+         || case when regexp_matches(d.text, '[#$%&*|]') then 'D' else '' end || case when d.doc_id > l.first_id then 'E' else '' end as fails
+  from docs d join least l on d.text = l.text left join told t on d.doc_id = t.doc_id),
+counts as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from failed group by all),
+letters(f) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps as (select filter_order, cast(step as integer) as step, substr(filter_order, step, 1) as f, substr(filter_order, 1, step - 1) as before from orders, unnest(range(1, 6)) as t(step)),
+met as (
+  select c.part, s.filter_order, s.step, s.f, contains(c.fails, s.f) as fails_it, c.fails = s.f as only_it,
+         translate(c.fails, s.before, '') != c.fails as gone, c.n, c.good, c.toxic
+  from counts c, steps s),
+told_steps as (
+  select part, filter_order, step, f,
+         sum(case when not gone and not fails_it then n else 0 end) as kept, sum(case when not gone and fails_it then n else 0 end) as removed,
+         sum(case when gone and fails_it then n else 0 end) as redundant, sum(case when only_it then n else 0 end) as unique_fails,
+         sum(case when not gone and fails_it then good else 0 end) as good_lost, sum(case when not gone and fails_it then toxic else 0 end) as toxic_lost
+  from met group by all)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, f) as bigint) as shapley
+from told_steps
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -147,7 +208,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_encode": op8_piece_encode,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_digest_cache": op11_digest_cache,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: Only what DuckDB can say itself.
-ORACLES: dict[str, str] = {"op4_temporal_list_join": _OP4_SQL}
+ORACLES: dict[str, str] = {"op4_temporal_list_join": _OP4_SQL, "op13_filter_audit": _OP13_SQL}
