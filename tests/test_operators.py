@@ -238,8 +238,11 @@ def test_events(spark):
     q = spark.createDataFrame([(10.0, 10.2), (5.0, 10.0), (0.0, 1.0)], "b double, a double").select(*(x.alias(n) for x, n in zip(events.valid_quote(F.col("b"), F.col("a")), "ba", strict=True)))
     assert [tuple(r) for r in q.collect()] == [(10.0, 10.2), (None, None), (None, None)]
     assert events.expected_max_normal(2) == pytest.approx(1 / math.sqrt(math.pi), abs=1e-6) and events.expected_max_normal(1) == 0
-    r = events.roundup_value(spark.createDataFrame([(2.0, 10, 0.5)], "price double, ratio int, p double")).first()
-    assert r.expected_profit == pytest.approx(9.0) and r.break_even_p == 0
+    ideas = spark.createDataFrame([(3.0, k, 100.0, 100.0, 2.0) for k in (6400, 64, 1, 0, None)], "prior_t double, tried int, n_prior double, n_new double, needed_t double")
+    g = events.gate(ideas).collect()
+    shrunk = {r.tried: r.shrunk_t for r in g}
+    assert len(g) == 5 and shrunk[1] == shrunk[0] == shrunk[None] == 3.0 and shrunk[64] == pytest.approx(3 - 2.3437, abs=1e-3) and shrunk[6400] == 0.0
+    assert events.expected_max_normal(10**6) == pytest.approx(4.8636, abs=1e-3)
     f = spark.createDataFrame([("d", 1, "2024-02-01", None, None, False), ("d", 2, "2024-03-01", None, 0.5, False), ("d", 3, None, 9.0, 0.4, True)], "deal string, at int, extended_to string, final_price double, proration double, terminated boolean")
     c = events.consolidated(f, "deal", "at").first()
     assert (c.extended_to, c.extensions, c.final_price, c.proration, c.terminated_on) == ("2024-03-01", 2, 9.0, 0.5, 3)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import statistics
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,13 +101,6 @@ def tender_payoff(deals: DataFrame, calendar: DataFrame, bars: DataFrame, shares
     return d.withColumn("fee", F.explode(F.array(*map(F.lit, fees)))).select("deal", "entry_on", "entry_index", "entry", "exit", "fee", (shares * (F.col("exit") - F.col("entry")) - F.col("fee")).alias("profit"))
 
 
-def roundup_value(df: DataFrame) -> DataFrame:
-    """Value of one old share before a 1-for-ratio split that may round up (probability p) or pay cash: expected profit and break-even p of (price, ratio, p)."""
-    up, cash = F.col("price") * F.col("ratio"), F.col("price")
-    value = F.col("p") * up + (1 - F.col("p")) * cash
-    return df.withColumn("expected_profit", value - F.col("price")).withColumn("break_even_p", F.when(up > cash, (F.col("price") - cash) / (up - cash)))
-
-
 def redemption_value(panel: DataFrame, filings: DataFrame, bill_yield: DataFrame) -> DataFrame:
     """panel (symbol, dt, price, deadline) with the trust value per share as of the last filing (symbol, filed, per_share), grown at the bill
     rate (dt, rate a day) since, the discount, and the yearly yield to the deadline."""
@@ -131,16 +126,39 @@ def filing_scope(filings: DataFrame, events: DataFrame, forms: list[str], on: li
     return rows_around(filings.where(F.col("form").isin(forms)), events, on, "filed", "effective", before, after)
 
 
-def mentions(entities: DataFrame, docs: DataFrame, look: int = 30_000) -> DataFrame:
-    """(entity, doc_id) pairs whose name stem (its words without legal forms) begins at a word of the document's first characters.
+#: Name stems up to so many rows and bytes travel to every task as one automaton; more are joined.
+STEMS, STEM_BYTES = 500_000, 16 << 20
+
 
-    Joined on the stem's first word, then checked whole, so only documents that have that word are compared."""
+def mentions(entities: DataFrame, docs: DataFrame, look: int | None = None) -> DataFrame:
+    """(entity, doc_id) pairs whose name stem (its words without legal forms) stands as whole words in the document, or in its first `look` characters.
+
+    One pass over each text finds all stems at once: a broadcast automaton in Arrow batches, where the stems are few enough (counted first). More of
+    them are met by the stem's first word and checked whole, so only documents that have that word are compared."""
     from .joins import name_key
 
     stem = entities.select("entity", name_key(F.col("name")).alias("_w")).where("size(_w) > 0").select("entity", F.col("_w")[0].alias("word"), F.array_join("_w", " ").alias("stem"))
-    text = F.regexp_replace(F.lower(F.substring("text", 1, look)), "[^a-z0-9]+", " ")
-    d = docs.select("doc_id", text.alias("_t")).withColumn("word", F.explode(F.array_distinct(F.split(F.trim("_t"), " "))))
-    return d.join(stem, "word").where(F.concat(F.lit(" "), "_t", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("stem"), F.lit(" ")))).select("entity", "doc_id").distinct()
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.substring("text", 1, look) if look else F.col("text")), "[^a-z0-9]+", " ")), F.lit(" "))
+    d = docs.select("doc_id", words.alias("_t"))
+    known = stem.agg(F.count_distinct("stem").alias("n"), F.coalesce(F.sum(F.length("stem")), F.lit(0)).alias("size")).first()
+    if known["n"] > STEMS or known["size"] > STEM_BYTES:
+        met = d.withColumn("word", F.explode(F.array_distinct(F.split(F.trim("_t"), " ")))).join(stem, "word")
+        return met.where(F.col("_t").contains(F.concat(F.lit(" "), F.col("stem"), F.lit(" ")))).select("entity", "doc_id").distinct()
+    stems = docs.sparkSession.sparkContext.broadcast([r["stem"] for r in stem.select("stem").distinct().collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for s in stems.value:
+            automaton.add_word(f" {s} ", s)
+        automaton.make_automaton()
+        for batch in batches:
+            hits = [sorted({s for _, s in automaton.iter(t)}) if stems.value and t else [] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.string()))], names=["doc_id", "stems"])
+
+    found = d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, stems array<string>").select("doc_id", F.explode("stems").alias("stem"))
+    return found.join(stem.select("entity", "stem"), "stem").select("entity", "doc_id").distinct()
 
 
 def combine_signals(df: DataFrame, zs: list[str], ret: str, at: str, entity: str, hold: int = 5, least: int = 252) -> DataFrame:
@@ -158,16 +176,27 @@ def combine_signals(df: DataFrame, zs: list[str], ret: str, at: str, entity: str
 
 
 def expected_max_normal(k: int, steps: int = 4000) -> float:
-    """Mean of the largest of k standard normals (quadrature)."""
-    n, h = statistics.NormalDist(), 16 / steps
-    return sum(x * k * n.pdf(x) * n.cdf(x) ** (k - 1) * h for i in range(steps + 1) for x in (-8 + i * h,)) if k > 1 else 0.0
+    """Mean of the largest of k standard normals: quadrature over the values that it takes with any weight."""
+    if k <= 1:
+        return 0.0
+    n = statistics.NormalDist()
+    low, high = -8.0, 8.0 + math.sqrt(2 * math.log(k))
+    h = (high - low) / steps
+    # by the tails, which keep their digits near 1
+    return sum(x * k * n.pdf(x) * math.exp((k - 1) * math.log1p(-min(n.cdf(-x), 1 - 1e-16))) * h for x in (low + i * h for i in range(steps + 1)))
+
+
+def gate(ideas: DataFrame) -> DataFrame:
+    """p_pass and worth of ideas (prior_t, tried, n_prior, n_new, needed_t): the prior t less the expected best of `tried` normals, scaled to the new sample.
+
+    One try, none, or an unknown number leaves the prior t as it is. The expected best is worked out once for each number of tries that occurs."""
 
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([expected_max_normal(k) for k in batch.column(0).to_pylist()], pa.float64())], names=["_tried", "_best"])
 
-def gate(ideas: DataFrame, largest: int = 64) -> DataFrame:
-    """p_pass and worth of ideas (prior_t, tried, n_prior, n_new, needed_t): the prior t less the expected best of `tried` normals, scaled to the new sample."""
-    spark = ideas.sparkSession
-    table = spark.createDataFrame([(k, expected_max_normal(k)) for k in range(1, largest + 1)], "tried int, expected double")
-    j = ideas.withColumn("tried", F.least("tried", F.lit(largest))).join(F.broadcast(table), "tried")
+    numbers = ideas.where("tried > 1").select(F.col("tried").cast("long").alias("_tried")).distinct()
+    j = ideas.join(numbers.mapInArrow(best, "_tried long, _best double"), F.col("tried") == F.col("_tried"), "left").drop("_tried").withColumn("expected", F.coalesce("_best", F.lit(0.0))).drop("_best")
     t = F.greatest(F.lit(0.0), F.col("prior_t") - F.col("expected")) * F.sqrt(F.col("n_new") / F.col("n_prior"))
     out = j.withColumn("shrunk_t", t).withColumn("p_pass", 1 - normal_cdf(F.col("needed_t") - F.col("shrunk_t")))
     return out.withColumn("worth", F.col("p_pass") >= 0.5)

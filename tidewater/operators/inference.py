@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
 from ..functions.scalar import normal_cdf, normal_quantile
+from .ordered import largest, quantiles
 
 
 def clustered_mean(df: DataFrame, value: str, cluster: list[str], by: list[str]) -> DataFrame:
@@ -43,18 +44,24 @@ def concentration(df: DataFrame, value: str, cluster: str, by: list[str]) -> Dat
 
 
 def newey_west(series: DataFrame, value: str, order: str, by: list[str], lags: int | None = None) -> DataFrame:
-    """n, mean, se, t of a serially correlated series (Bartlett weights); lags default to floor(4 (n / 100) ^ (2/9)).
+    """n, mean, se, t of a serially correlated series (Bartlett weights); lags default to floor(4 (n / 100) ^ (2/9)), at any length.
 
-    The lag terms come from one window pass over the residuals; the number of lags is small."""
+    The values before a row come as one array from one window, as long as the group's own number of lags asks for; the window is as wide as the
+    longest group needs (counted first: 33 for a million rows, 55 for ten million)."""
     w = Window.partitionBy(*by)
-    e = series.withColumn("_n", F.count(value).over(w)).withColumn("_e", F.col(value) - F.avg(value).over(w))
-    most = lags if lags is not None else 24
-    o = Window.partitionBy(*by).orderBy(order)
-    chosen = F.lit(lags) if lags is not None else F.least(F.lit(most), F.floor(4 * F.pow(F.col("_n") / 100, F.lit(2 / 9))))
+    rule = F.floor(4 * F.pow(F.col("_n") / 100, F.lit(2 / 9))).cast("int")
+    if lags is None:
+        longest = series.groupBy(*by).agg(F.count(value).alias("_n")).agg(F.max(rule)).first()[0] or 0
+    else:
+        longest = lags
+    e = series.withColumn("_n", F.count(value).over(w)).withColumn("_e", F.col(value) - F.avg(value).over(w)).withColumn("_l", F.lit(lags) if lags is not None else rule)
     term = F.col("_e") * F.col("_e")
-    for k in range(1, most + 1):
-        weight = F.when(chosen >= k, 2 * (1 - k / (chosen + 1))).otherwise(0.0)
-        term = term + weight * F.coalesce(F.col("_e") * F.lag("_e", k).over(o), F.lit(0.0))
+    if longest:
+        # an array leaves nulls out, so a missing value is kept in its place as one of no weight
+        before = F.collect_list(F.coalesce("_e", F.lit(0.0))).over(Window.partitionBy(*by).orderBy(order).rowsBetween(-longest, -1))
+        e = e.withColumn("_before", F.reverse(before))
+        weighted = F.transform("_before", lambda x, i: F.when(i < F.col("_l"), x * 2 * (1 - (i + 1) / (F.col("_l") + 1))).otherwise(0.0))
+        term = term + F.col("_e") * F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)
     g = e.withColumn("_term", term).groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.sum("_term").alias("_v"))
     return g.withColumn("se", F.sqrt(F.greatest(F.col("_v"), F.lit(0.0))) / F.col("n")).withColumn("t", F.when(F.col("se") > 0, F.col("mean") / F.col("se"))).drop("_v")
 
@@ -290,7 +297,7 @@ def event_table(df: DataFrame, pnl: str, at: str, drop_top: int = 5, extra: dict
     """Per slice (all, without the `drop_top` best, each year, and `extra`): events, mean, median, win_rate, p10, worst, sd, the share of the
     `drop_top` best in all gains, t clustered by month, clusters, and the sum a year (`years`: how many all rows cover; one for a year).
 
-    Ranks that say which are the best come from a window over rows that a first look has thinned to those at or above the `drop_top`-th value."""
+    A slice may hold most rows: its quantiles are counted in pieces, and its best rows are those left of the best of each piece."""
     rows = df.select(*df.columns, F.monotonically_increasing_id().alias("_row")).where(F.col(pnl).isNotNull())
     best = rows.orderBy(F.desc(pnl), "_row").limit(drop_top).select("_row", F.lit(True).alias("_best"))
     marked = rows.join(F.broadcast(best), "_row", "left").withColumn("_year", F.concat(F.lit("year_"), F.year(at).cast("string")))
@@ -298,15 +305,15 @@ def event_table(df: DataFrame, pnl: str, at: str, drop_top: int = 5, extra: dict
     slices = {"all": F.lit(True), f"drop_top_{drop_top}": F.col("_best").isNull(), **(extra or {})}
     names = F.array_compact(F.array(*(F.when(hit, F.lit(n)) for n, hit in slices.items()), F.col("_year")))
     x = marked.select(F.explode(names).alias("slice"), F.col(pnl).cast("double").alias("x"), F.trunc(at, "month").alias("month"), F.year(at).alias("y"))
-    rank = F.row_number().over(Window.partitionBy("slice").orderBy(F.desc("x")))
-    top = x.withColumn("_i", rank).where(F.col("_i") <= drop_top).groupBy("slice").agg(F.sum("x").alias("_top"))
+    top = largest(x.select("slice", "x", "month"), ["slice"], "x", drop_top).groupBy("slice").agg(F.sum("x").alias("_top"))
+    cut = quantiles(x, ["slice"], "x", [0.5, 0.1], "_q").select("slice", F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p10"))
     g = x.groupBy("slice").agg(
-        F.count(F.lit(1)).alias("events"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.avg((F.col("x") > 0).cast("double")).alias("win_rate"), F.percentile("x", F.lit(0.1)).alias("p10"),
+        F.count(F.lit(1)).alias("events"), F.avg("x").alias("mean"), F.avg((F.col("x") > 0).cast("double")).alias("win_rate"),
         F.min("x").alias("worst"), F.stddev_samp("x").alias("sd"), F.sum(F.when(F.col("x") > 0, F.col("x"))).alias("_gain"), F.sum("x").alias("_sum"), (F.max("y") - F.min("y") + 1).alias("_years"),
     )
     t = clustered_mean(x, "x", ["month"], ["slice"]).select("slice", "t", "clusters")
     covered = F.when(F.col("slice").startswith("year_"), 1.0).otherwise(F.col("_years") if span is None else span)
-    return g.join(top, "slice").join(t, "slice").withColumn("top_share", F.when(F.col("_gain") > 0, F.col("_top") / F.col("_gain"))).withColumn("per_year", F.col("_sum") / covered).drop("_gain", "_top", "_sum", "_years")
+    return g.join(top, "slice").join(cut, "slice").join(t, "slice").withColumn("top_share", F.when(F.col("_gain") > 0, F.col("_top") / F.col("_gain"))).withColumn("per_year", F.col("_sum") / covered).drop("_gain", "_top", "_sum", "_years")
 
 
 def nav_report(nav: DataFrame, by: list[str], day: str = "day", value: str = "nav", invested: str = "market_value", rate: str | None = None) -> DataFrame:

@@ -2,27 +2,82 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, values: list[str], exact: bool = True) -> DataFrame:
+def place(df: DataFrame, at: str) -> Column:
+    """A date in days, a time in seconds (both since 1970), a number as it is."""
+    kind = df.schema[at].dataType.typeName()
+    return F.unix_date(at).cast("long") if kind == "date" else F.col(at).cast("timestamp").cast("double") if kind.startswith("timestamp") else F.col(at)
+
+
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, values: list[str], exact: bool = True, cell: float | None = None) -> DataFrame:
     """Each left row with the `values` (and the time, `asof_at`) of the last right row at or before it (before it, unless `exact`).
 
     Both sides are unioned, sorted once per key and filled forward: linear, one shuffle. Right rows of one time: the largest values win.
-    A left row without key or time finds nothing."""
+    A left row without key or time finds nothing. Where one key may hold a large share of all rows, `cell` (days, seconds or units) cuts
+    each key's time into pieces that are sorted in tasks of their own: the last right row of every piece is carried into the pieces
+    behind it, over a table of keys and pieces. The result is the same; the right side is read twice."""
     keys = [F.col(c) for c in by]
     side = F.lit(0 if exact else 2)
-    found = right.where(F.col(right_at).isNotNull()).select(*keys, F.col(right_at).alias("_at"), side.alias("_side"), F.struct(F.col(right_at).alias("at"), *values).alias("_v"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"))
-    asked = left.select(*keys, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(found.schema["_v"].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
-    order = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_at"), "_side", F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    filled = found.unionByName(asked).withColumn("_last", F.last("_v", ignorenulls=True).over(order)).where("_row is not null")
+    piece = (lambda df, at: F.floor(place(df, at) / cell)) if cell else (lambda df, at: F.lit(0))
+    known = functools.reduce(Column.__and__, (F.col(c).isNotNull() for c in (right_at, *by)))
+    found = right.where(known).select(*keys, piece(right, right_at).alias("_piece"), F.col(right_at).alias("_at"), side.alias("_side"), F.struct(F.col(right_at).alias("at"), *values).alias("_v"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"))
+    asked = left.select(*keys, piece(left, left_at).alias("_piece"), F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(found.schema["_v"].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
+    both = found.unionByName(asked)
+    if cell:
+        heads = both.groupBy(*by, "_piece").agg(F.max("_v").alias("_m"))
+        before = F.last("_m", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+        carried = heads.withColumn("_v", before).where("_v is not null and _piece is not null")
+        both = both.unionByName(carried.select(*keys, "_piece", F.lit(None).cast(found.schema["_at"].dataType).alias("_at"), F.lit(-1).alias("_side"), "_v", F.lit(None).cast(found.schema["_row"].dataType).alias("_row")))
+    order = Window.partitionBy(*by, "_piece").orderBy(F.asc_nulls_first("_at"), "_side", F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("_last", F.last("_v", ignorenulls=True).over(order)).where("_row is not null")
     return filled.select("_row.*", F.col("_last.at").alias("asof_at"), *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
+def first_from(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, values: list[str], exact: bool = True) -> DataFrame:
+    """As `asof`, looking ahead: the first right row at or after each left row (after it, unless `exact`)."""
+    a = left.withColumn("_ahead", -place(left, left_at))
+    b = right.withColumn("_behind", -place(right, right_at)).withColumn("_on", F.col(right_at))
+    return asof(a, b, by, "_ahead", "_behind", ["_on", *values], exact).drop("_ahead").withColumn("asof_at", F.col("_on")).drop("_on")
+
+
+#: Time cells nest by sixteens: spans of dates or whole numbers up to 16 ** LEVELS around 1970 (or 0).
+RADIX, LEVELS = 16, 5
+
+
+def _at_level(k: int):
+    return lambda x: F.struct(F.lit(k).alias("_level"), x.alias("_cell"))
+
+
+def _cells(first: Column, last: Column) -> Column:
+    """The fewest cells (level, number) that tile the places from first to last, each place in one of them."""
+    out = []
+    for k in range(LEVELS):
+        low, high = F.ceil(first / RADIX**k), F.floor((last + 1) / RADIX**k) - 1
+        up_low, up_high = F.ceil(first / RADIX ** (k + 1)), F.floor((last + 1) / RADIX ** (k + 1)) - 1
+        whole = (up_low > up_high) | F.lit(k + 1 == LEVELS)
+        for a, b in ((low, F.when(whole, high).otherwise(RADIX * up_low - 1)), (F.when(whole, high + 1).otherwise(RADIX * (up_high + 1)), high)):
+            numbers = F.when(a <= b, F.sequence(a.cast("long"), b.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+            out.append(F.transform(numbers, _at_level(k)))
+    return F.concat(*out)
+
+
 def interval_join(facts: DataFrame, links: DataFrame, on: list[str], at: str, start: str, end: str) -> DataFrame:
-    """Facts with the links of the same key that hold on their date (null end: still holds)."""
-    return facts.join(links, on).where((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) <= F.col(end))))
+    """Facts with the links of the same key that hold on their date (null end: still holds).
+
+    Each link's span is tiled with nested cells, each fact lies in one cell a level, and both meet by (key, level, cell): rows of a key are
+    paired only where the link holds (to the day, for times), whatever number of rows the key has on both sides."""
+    half = RADIX**LEVELS // 2
+    shifted = lambda df, c: F.least(F.greatest(F.floor(place(df, c) / (86_400 if df.schema[c].dataType.typeName().startswith("timestamp") else 1)) + half, F.lit(0)), F.lit(2 * half - 1))
+    spans = links.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(start) <= F.col(end))))
+    spans = spans.withColumn("_c", F.explode(_cells(shifted(links, start), F.when(F.col(end).isNull(), 2 * half - 1).otherwise(shifted(links, end))))).select(*links.columns, "_c.*")
+    n = shifted(facts, at)
+    points = facts.where(F.col(at).isNotNull()).withColumn("_c", F.explode(F.array(*(F.struct(F.lit(k).alias("_level"), F.floor(n / RADIX**k).alias("_cell")) for k in range(LEVELS))))).select(*facts.columns, "_c.*")
+    return points.join(spans, [*on, "_level", "_cell"]).drop("_level", "_cell").where((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) <= F.col(end))))
 
 
 def best_match(df: DataFrame, keys: list[str], score: str, *tie: str) -> DataFrame:
@@ -31,27 +86,27 @@ def best_match(df: DataFrame, keys: list[str], score: str, *tie: str) -> DataFra
 
 
 def latest_before(events: DataFrame, notes: DataFrame, on: list[str], event_at: str, note_at: str, days: int, tie: str) -> DataFrame:
-    """Each event with the latest note of its key dated in [event - days, event)."""
-    near = events.join(notes, on).where((F.col(note_at) >= F.date_sub(event_at, days)) & (F.col(note_at) < F.col(event_at)))
-    w = Window.partitionBy(*[c for c in events.columns]).orderBy(F.desc(note_at), tie)
-    return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Each event with the latest note of its key dated in [event - days, event); of notes of one day the one with the smallest `tie`. An as-of join: no pairs."""
+    others = [c for c in notes.columns if c not in (*on, note_at)]
+    one = notes.groupBy(*on, note_at).agg(F.min_by(F.struct(*others), tie).alias("_note"))
+    near = asof(events, one, on, event_at, note_at, ["_note"], exact=False).where(F.col("asof_at") >= F.date_sub(event_at, days))
+    return near.select(*on, *(c for c in events.columns if c not in on), F.col("asof_at").alias(note_at), "_note.*")
 
 
 def rows_around(facts: DataFrame, events: DataFrame, on: list[str], at: str, event_at: str, before: int, after: int) -> DataFrame:
-    """Facts within [event - before, event + after] days of any event of their key, each once."""
-    e = events.select(*(F.col(c).alias(f"_{c}") for c in on), F.col(event_at).alias("_event")).distinct()
-    near = F.col(at).between(F.date_sub("_event", before), F.date_add("_event", after))
-    for c in on:
-        near = near & (F.col(c) == F.col(f"_{c}"))
-    return facts.join(e, near, "left_semi")
+    """Facts within [event - before, event + after] days of any event of their key, each once: the last event up to a fact and the first one from it on decide."""
+    e = events.select(*on, F.col(event_at).alias("_event")).distinct()
+    back = asof(facts, e, on, at, "_event", []).withColumnRenamed("asof_at", "_back")
+    both = first_from(back, e, on, at, "_event", [])
+    near = (F.datediff(at, "_back") <= after) | (F.datediff("asof_at", at) <= before)
+    return both.where(near).select(*facts.columns)
 
 
 def nearest_owner(follow_ups: DataFrame, offers: DataFrame, on: list[str], follow_at: str, offer_at: str, days: int = 365) -> DataFrame:
-    """Follow-ups with the offer they belong to: from its date until the issuer's next offer, `days` at most."""
-    w = Window.partitionBy(*on).orderBy(offer_at)
-    spans = offers.withColumn("_next", F.lead(offer_at).over(w))
-    inside = (F.col(follow_at) >= F.col(offer_at)) & (F.col("_next").isNull() | (F.col(follow_at) < F.col("_next"))) & (F.datediff(follow_at, offer_at) <= days)
-    return follow_ups.join(spans, on).where(inside).drop("_next")
+    """Follow-ups with the offer they belong to: from its date until the issuer's next offer, `days` at most. An as-of join: no pairs."""
+    others = [c for c in offers.columns if c not in (*on, offer_at)]
+    owned = asof(follow_ups, offers, on, follow_at, offer_at, others).where(F.datediff(follow_at, "asof_at") <= days)
+    return owned.select(*on, *(c for c in follow_ups.columns if c not in on), F.col("asof_at").alias(offer_at), *others)
 
 
 def lagged_period(costs: DataFrame, entity: str, period: str, value: str) -> DataFrame:
@@ -113,6 +168,33 @@ def same_issuer(a: Column, b: Column) -> Column:
     return F.coalesce((F.length(s) > 0) & (F.length(t) > 0) & ((F.substring(s, 1, 4) == F.substring(t, 1, 4)) | s.contains(t) | t.contains(s) | shared), F.lit(False))
 
 
+def _blocks(name: Column) -> tuple[Column, Column]:
+    """Block keys of a name: those it is found by (words of three letters or more, its beginning), and those it looks under (the words, and every
+    stretch of its letters that another name's beginning could be)."""
+    words = name_key(name)
+    joined = F.array_join(words, "")
+    long = F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.concat(F.lit("w"), w))
+    begin = F.when(F.length(joined) > 0, F.array(F.concat(F.lit("b"), F.substring(joined, 1, 4)))).otherwise(F.array().cast("array<string>"))
+    n = F.length(joined)
+    stretches = F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.concat(F.lit("b"), joined.substr(i, k))))))
+    return F.array_union(long, begin), F.array_distinct(F.concat(long, F.coalesce(stretches, F.array().cast("array<string>"))))
+
+
+def fuzzy_links(a: DataFrame, b: DataFrame, a_name: str, b_name: str) -> DataFrame:
+    """Pairs of rows of `a` and `b` whose names are of one issuer (`same_issuer`); the rule is tried only on names that meet in a block.
+
+    Names meet by a shared word of three letters or more, or where the beginning (four letters, or all of a shorter name) of one occurs in the
+    other, which equal beginnings and contained names both imply. Distinct names meet, not rows, and each pair of names once."""
+    side = {}
+    for k, df, name in ((0, a, a_name), (1, b, b_name)):
+        found, look = _blocks(F.col(name))
+        names = df.select(F.col(name)).where(F.col(name).isNotNull()).distinct()
+        side[k] = (names.select(F.col(name).alias(f"_n{k}"), F.explode(found).alias("_block")), names.select(F.col(name).alias(f"_n{k}"), F.explode(look).alias("_block")))
+    pairs = side[0][0].join(side[1][1], "_block").select("_n0", "_n1").union(side[0][1].join(side[1][0], "_block").select("_n0", "_n1")).distinct()
+    same = pairs.where(same_issuer(F.col("_n0"), F.col("_n1")))
+    return a.join(same, a[a_name] == same["_n0"]).drop("_n0").join(b, F.col("_n1") == b[b_name]).drop("_n1")
+
+
 def cascade_link(df: DataFrame, steps: list[tuple[DataFrame, list[str], str]], out: str) -> DataFrame:
     """`out` from the first step that gives a row's keys exactly one id. Each step: (links, key columns, id column)."""
     for i, (links, keys, ident) in enumerate(steps):

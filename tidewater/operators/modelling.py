@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .ordered import counted, numbered, running
+
 
 def walk_forward(calendar: DataFrame, train_years: int = 4, purge: int = 21, least: int = 200) -> DataFrame:
     """fold, train_start, train_end, test_start, test_end: train_years of training, one year of test, a step of a year; the training
@@ -80,12 +83,12 @@ def fit_predict(rows: DataFrame, features: list[str], label: str, kind: str = "l
 
 
 def auc(scored: DataFrame, by: list[str]) -> DataFrame:
-    """Area under the curve: wins of positive over negative rows, ties half. Rows are summed to one for each distinct score first; where
-    scores hardly repeat, ranks over a range partitioning would be needed for groups beyond a task."""
+    """Area under the curve: wins of positive over negative rows, ties half, from running counts over the distinct scores in pieces: no task has all
+    of a group, however many scores differ."""
     known = scored.where("label is not null and probability is not null")
     per = known.groupBy(*by, "probability").agg(F.sum("label").alias("_p"), F.sum(1 - F.col("label")).alias("_q"))
-    under = F.coalesce(F.sum("_q").over(Window.partitionBy(*by).orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    g = per.withColumn("_u", F.col("_p") * (under + F.col("_q") / 2)).groupBy(*by).agg(F.sum("_u").alias("_u"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    ranked = running(per, by, "probability", ["_q"])
+    g = ranked.withColumn("_u", F.col("_p") * (F.col("_q_before") + F.col("_q") / 2)).groupBy(*by).agg(F.sum("_u").alias("_u"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
     return g.select(*by, F.when((F.col("_p") > 0) & (F.col("_q") > 0), F.col("_u") / (F.col("_p") * F.col("_q"))).alias("auc"))
 
 
@@ -103,10 +106,10 @@ def evaluate(scored: DataFrame, outcome: str, by: list[str], horizon: int = 5) -
         F.avg(F.pow(F.col("probability") - F.col("label"), F.lit(2))).alias("brier"), F.avg(outcome).alias("_all"), F.count_distinct("dt").alias("dates_available"),
     ).join(auc(known, by), by)
     # the score at the tenth's edge comes from counts of distinct scores; only rows at that score are ranked
-    per = known.groupBy(*by, "probability").count()
-    above = F.coalesce(F.sum("count").over(part.orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    size = F.greatest(F.lit(1), F.floor(0.1 * F.sum("count").over(part)))
-    edge = per.withColumn("_above", above).withColumn("_size", size).where((F.col("_above") < F.col("_size"))).select(*by, "probability", F.least(F.col("count"), F.col("_size") - F.col("_above")).alias("_take"), "count")
+    per = counted(known, by, "probability")
+    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_all_n"))
+    per = per.join(sizes, by).withColumn("_above", F.col("_all_n") - F.col("n_before") - F.col("n")).withColumn("_size", F.greatest(F.lit(1), F.floor(0.1 * F.col("_all_n"))))
+    edge = per.where(F.col("_above") < F.col("_size")).select(*by, "probability", F.least(F.col("n"), F.col("_size") - F.col("_above")).alias("_take"), F.col("n").alias("count"))
     rows = known.join(edge, [*by, "probability"])
     tied = F.row_number().over(Window.partitionBy(*by, "probability").orderBy("symbol", "dt"))
     whole_scores, cut = rows.where(F.col("_take") == F.col("count")), rows.where(F.col("_take") < F.col("count")).withColumn("_i", tied).where(F.col("_i") <= F.col("_take")).drop("_i")
@@ -138,23 +141,23 @@ def pooled(evaluated: DataFrame, by: list[str]) -> DataFrame:
 def permutation_importance(train: DataFrame, test: DataFrame, features: list[str], label: str, kind: str = "trees", repeats: int = 3, seed: int = 1, trees: dict | None = None) -> DataFrame:
     """feature, auc_drop, auc_drop_sd: what the model's area under the curve loses on `test` when one feature is shuffled, over `repeats`."""
     fitted = fit(train, features, label, kind, seed, trees)
-    tries = None
+    # each try reads the rows twice, and the ranking reads all tries several times: both are written once
+    test, tries = written(test, "importance-rows"), None
     for i, c in enumerate([None, *features]):
         for k in range(repeats if c else 1):
             rows = test if c is None else permuted(test, c, ["fold"], ["symbol", "dt"], seed + 1 + i * repeats + k)
             one = predicted(fitted, rows, label).select(F.lit(c).cast("string").alias("feature"), F.lit(k).alias("repeat"), "label", "probability")
             tries = one if tries is None else tries.unionByName(one)
-    found = auc(tries, ["feature", "repeat"])
+    found = auc(written(tries, "importance-tries"), ["feature", "repeat"])
     base = found.where("feature is null").select(F.col("auc").alias("_base"))
     drops = found.where("feature is not null").crossJoin(F.broadcast(base))
     return drops.groupBy("feature").agg(F.avg(F.col("_base") - F.col("auc")).alias("auc_drop"), F.stddev_pop(F.col("_base") - F.col("auc")).alias("auc_drop_sd"))
 
 
 def permuted(df: DataFrame, column: str, by: list[str], ident: list[str], seed: int) -> DataFrame:
-    """`column` shuffled inside groups (a date, say), by pairing two hashed orders."""
-    part = Window.partitionBy(*by)
-    a = df.withColumn("_r", F.row_number().over(part.orderBy(F.xxhash64(*ident)))).drop(column)
-    b = df.select(*by, F.row_number().over(part.orderBy(F.xxhash64(*ident, F.lit(seed)))).alias("_r"), column)
+    """`column` shuffled inside groups (a date, say), by pairing two hashed orders; `ident` tells the rows of a group apart."""
+    a = numbered(df, by, ident, 0, "_r").drop(column)
+    b = numbered(df, by, ident, seed, "_r").select(*by, "_r", column)
     return a.join(b, [*by, "_r"]).drop("_r").select(*df.columns)
 
 

@@ -80,12 +80,18 @@ def chain_hash(previous: Column, payload: Column) -> Column:
     return F.sha2(F.concat(previous, payload), 256)
 
 
-def first_broken_link(ledger: DataFrame, line: str, payload: Column, start: str = "0" * 64) -> DataFrame:
-    """One row: the first line whose prev_hash or entry_hash does not follow from the lines before (null: chain is whole)."""
-    w = Window.orderBy(line)  # a ledger is one chain; its order is the point
-    before = F.coalesce(F.lag("entry_hash").over(w), F.lit(start))
-    good = (F.col("prev_hash") == before) & (F.col("entry_hash") == chain_hash(F.col("prev_hash"), payload))
-    return ledger.withColumn("_ok", F.coalesce(good, F.lit(False))).agg(F.min(F.when(~F.col("_ok"), F.col(line))).alias("first_broken"))
+def first_broken_link(ledger: DataFrame, line: str, payload: Column, start: str = "0" * 64, piece: int = 100_000) -> DataFrame:
+    """One row: the first line (a number) whose prev_hash or entry_hash does not follow from the lines before (null: chain is whole).
+
+    Ranges of `piece` line numbers are checked each by itself; what each ends with is handed to the first line of the next one that has any,
+    over a table of one row a range."""
+    d = ledger.withColumn("_piece", F.floor(F.col(line) / piece))
+    ends = d.groupBy("_piece").agg(F.max_by("entry_hash", line).alias("_end"))
+    handed = ends.select("_piece", F.lag("_end").over(Window.orderBy("_piece")).alias("_handed"))
+    w = Window.partitionBy("_piece").orderBy(line)
+    d = d.join(handed, "_piece").withColumn("_before", F.coalesce(F.when(F.row_number().over(w) == 1, F.coalesce("_handed", F.lit(start))), F.lag("entry_hash").over(w)))
+    good = (F.col("prev_hash") == F.col("_before")) & (F.col("entry_hash") == chain_hash(F.col("prev_hash"), payload))
+    return d.withColumn("_ok", F.coalesce(good, F.lit(False))).agg(F.min(F.when(~F.col("_ok"), F.col(line))).alias("first_broken"))
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-9) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normal_quantile
+from .ordered import quantiles
 
 
 def running_drawdown(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
@@ -98,10 +99,14 @@ def previous_period_universe(df: DataFrame, entity: str, period: str, size: Colu
     return ranked.join(F.broadcast(following), period).where("_next is not null").select(entity, F.col("_next").alias(period))
 
 
-def winsorize(df: DataFrame, value: str, by: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """Clip to exact quantiles of the group."""
-    cut = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return df.join(cut, by).withColumn(value, F.greatest(F.least(F.col(value), F.col("_q")[1]), F.col("_q")[0])).drop("_q")
+def winsorize(df: DataFrame, value: str, by: list[str], low: float = 0.005, high: float = 0.995, large: bool | None = None) -> DataFrame:
+    """Clip to exact quantiles of the group. `large` groups (the default without any grouping) are counted in pieces; of others a task holds the distinct values."""
+    if large if large is not None else not by:
+        cut = quantiles(df, by, value, [low, high], "_q")
+    else:
+        cut = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    met = df.join(cut, by) if by else df.crossJoin(F.broadcast(cut))
+    return met.withColumn(value, F.greatest(F.least(F.col(value), F.col("_q")[1]), F.col("_q")[0])).drop("_q")
 
 
 def turnover(weights: DataFrame, period: str, entity: str, weight: str) -> DataFrame:
@@ -185,5 +190,5 @@ def percentile_bands(df: DataFrame, value: str, q: int, by: list[str]) -> DataFr
     edges are those of the distinct rows of `by` and the value, so that a busy period weighs once."""
     known = df.where(F.col(value).isNotNull())
     base = known.select(*by, value).distinct() if by else known.select(value)
-    edges = base.agg(F.percentile(value, F.array(*(F.lit(i / q) for i in range(1, q)))).alias("_edges"))
+    edges = quantiles(base, [], value, [i / q for i in range(1, q)], "_edges")
     return df.crossJoin(F.broadcast(edges)).withColumn("band", F.when(F.col(value).isNotNull(), F.size(F.filter("_edges", lambda e: e < F.col(value))))).drop("_edges")

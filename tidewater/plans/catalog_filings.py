@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import proximity
-from ..sources.adapters import table
-from .catalog import query
+from ..operators import joins, proximity, timelines
+from ..operators.features import calendar as sessions
+from ..sources.adapters import customer_symbol, daily_bars, table
+from .catalog import query, rounded
 
 
 def _long_day(d: Column) -> Column:
@@ -99,3 +100,79 @@ def k_fraction_treatment(spark, sf_dir):
     told = told.when(k % 6 == 2, "Fractions of holders of record will be rounded up. Fractional shares are rounded up.").when(k % 6 == 3, "Fractional shares are rounded up. A fraction is paid in cash.")
     told = told.when(k % 6 == 4, "Fractional shares are rounded down. Options on a fraction are paid in cash.").otherwise("Fractional shares are rounded up. There is a reverse split followed by a forward split.")
     return proximity.fraction_treatment(filings(spark, sf_dir, _filler(F.lit(200)), told))
+
+
+# --- joins of entities whose names differ, and timelines ---
+
+
+@query("""with n as (select p_name, string_split(p_name, ' ') as k, replace(p_name, ' ', '') as s, count(distinct case when p_partkey % 3 = 0 then p_brand end) as brands, bool_or(p_partkey % 3 = 1) as other from part group by p_name)
+select x.p_name, y.p_name as title, x.brands from n x, n y where x.brands > 0 and y.other
+and (substr(x.s, 1, 4) = substr(y.s, 1, 4) or contains(x.s, y.s) or contains(y.s, x.s) or list_has_any(list_filter(x.k, lambda w: length(w) >= 3), y.k))""")
+def c_fuzzy_links(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    a = p.where("p_partkey % 3 = 0").groupBy("p_name").agg(F.count_distinct("p_brand").alias("brands"))
+    return joins.fuzzy_links(a, p.where("p_partkey % 3 = 1").select(F.col("p_name").alias("title")).distinct(), "p_name", "title")
+
+
+def _terms(spark, sf_dir) -> DataFrame:
+    """Filings of events: each customer's orders."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    form = F.when(k % 3 == 0, "DEFM14A").when(k % 3 == 1, "8-K").otherwise("PRE 14A")
+    kind = F.element_at(F.array(*map(F.lit, ("UNKNOWN", "ROUNDUP_HOLDER", "ROUNDUP_HOLDER", "ROUNDUP_PARTICIPANT", "UNKNOWN", "CASH"))), (k % 6 + 1).cast("int"))
+    day = F.to_date("o_orderdate")
+    return o.select(F.col("o_custkey").alias("event"), day.alias("usable"), k.alias("acc"), form.alias("form"), kind.alias("treatment"), F.when(k % 5 < 3, k % 4 + 2).cast("int").alias("ratio"), (k % 11 == 0).alias("ratio_is_range"), F.when(k % 4 < 3, F.date_add(day, 30)).alias("effective"), (k % 13 == 0).alias("cancel"))
+
+
+@query("""with f as (select o_custkey as event, cast(o_orderdate as date) as usable, o_orderkey as acc, case o_orderkey % 6 when 1 then 'ROUNDUP_HOLDER' when 2 then 'ROUNDUP_HOLDER' when 3 then 'ROUNDUP_PARTICIPANT' when 5 then 'CASH' end as treatment,
+case when o_orderkey % 3 < 2 and o_orderkey % 11 != 0 and o_orderkey % 5 < 3 then cast(o_orderkey % 4 + 2 as int) end as ratio, case when o_orderkey % 4 < 3 then cast(cast(o_orderdate as date) + 30 as date) end as effective, o_orderkey % 13 = 0 as cancel from orders),
+a as (select *, min(case when ratio is not null and effective is not null then usable end) over (partition by event order by usable, acc) as announced from f),
+k as (select event, usable, acc, coalesce(last_value(treatment ignore nulls) over w, 'UNKNOWN') as treatment, last_value(ratio ignore nulls) over w as ratio, last_value(effective ignore nulls) over w as effective, announced,
+bool_or(cancel and was) over w as cancelled, row_number() over (partition by event, usable order by acc desc) as n from (select *, lag(announced) over (partition by event order by usable, acc) is not null as was from a) window w as (partition by event order by usable, acc))
+select event, usable, treatment, ratio, effective, announced, cancelled from k where n = 1""")
+def e_known_terms(spark, sf_dir):
+    return timelines.known_terms(_terms(spark, sf_dir), "v2")
+
+
+@query("""select l_orderkey, l_linenumber, round(v, 6) as expected_profit, round(case when up != cash then -cash / (up - cash) end, 6) as break_even_p from (
+select *, case when changed then up else (case when missed then 0 else 0.8::double end) * up + (case when missed then 1 else 0.2::double end) * cash end as v from (
+select *, later - ask as up, (case when changed then later else later / n end) - ask as cash from (
+select l_orderkey, l_linenumber, l_extendedprice / l_quantity / 1000 as ask, l_extendedprice / l_quantity / 1000 * n * (1 - l_discount) as later, n, changed, missed from (select *, l_linenumber + 1 as n, l_orderkey % 5 = 0 as changed, l_orderkey % 7 = 0 as missed from lineitem))))""")
+def f_roundup_value(spark, sf_dir):
+    ask, n = F.col("l_extendedprice") / F.col("l_quantity") / 1000, F.col("l_linenumber") + 1
+    changed, later = F.col("l_orderkey") % 5 == 0, ask * n * (1 - F.col("l_discount"))
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ask.alias("ask"), later.alias("rounded"), F.when(changed, later).otherwise(later / n).alias("cash"), F.when(changed, "changed").otherwise("split").alias("exit"), (F.col("l_orderkey") % 7 == 0).alias("settle_miss"))
+    return rounded(timelines.split_value(d, F.lit(0.8)).select("l_orderkey", "l_linenumber", "expected_profit", "break_even_p"))
+
+
+@query(None)
+def f_split_payoffs(spark, sf_dir):
+    f = _terms(spark, sf_dir)
+    bars = daily_bars(spark, sf_dir)
+    events = f.groupBy("event").agg(F.date_add(F.max("usable"), 40).alias("split_on"), F.max("ratio").alias("ratio")).where("ratio is not null").withColumn("symbol", customer_symbol(F.col("event")))
+    quotes = bars.select("symbol", "dt", F.col("low").alias("bid"), F.col("high").alias("ask"))
+    return timelines.split_payoffs(events, f, quotes, sessions(bars), "v2")
+
+
+@query(None)
+def f_tender_trades(spark, sf_dir):
+    o, k, day = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.to_date("o_orderdate")
+    bars = daily_bars(spark, sf_dir).withColumn("factor", F.when(F.col("dt") < F.lit("1998-07-01").cast("date"), 2.0).otherwise(1.0))
+    ends = F.date_add(day, (30 + k % 25).cast("int"))
+    last = F.when(k % 3 == 0, F.date_add(ends, 14)).otherwise(ends)
+    done = F.when(k % 5 == 0, "terminated").otherwise("completed")
+    deals = o.select(k.alias("deal"), customer_symbol(F.col("o_custkey")).alias("symbol"), day.alias("filed"), ends.alias("expires"), done.alias("outcome"), (100 + F.col("o_totalprice") / 10_000).alias("final_price"), last.alias("final_expires"), F.when(k % 5 == 0, F.date_sub(last, 1)).alias("terminated_on"), F.lit(None).cast("date").alias("paid_on"))
+    moved = o.where("o_orderkey % 3 = 0").select(k.alias("deal"), F.date_sub(ends, (k % 9).cast("int")).alias("known"), last.alias("expires"))
+    return timelines.tender_trades(deals, moved, sessions(bars), bars)
+
+
+@query(None)
+def e_meeting_outcomes(spark, sf_dir):
+    o, k, day = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.to_date("o_orderdate")
+    proxy = k % 3 == 0
+    f = o.select(
+        F.col("o_custkey").alias("entity"), day.alias("filed"), k.alias("acc"), F.when(proxy, "proxy").otherwise("update").alias("kind"), F.when(proxy, "DEF 14A").otherwise("8-K").alias("form"), F.when(proxy, F.date_add(day, 45)).alias("meeting"), (k % 2 == 0).alias("right"),
+        F.lit(None).cast("date").alias("redeem_by"), F.lit(10.0).alias("stated"), F.when(k % 3 == 1, F.date_add(day, 20)).alias("postponed_to"), F.when(k % 5 == 1, F.date_add(day, 180)).alias("extended_to"), F.when(k % 4 == 1, day).alias("voted_on"), F.when(k % 4 == 2, 9.5 + k % 20 / 10).alias("per_share"),
+    )
+    starts = f.groupBy("entity").agg(F.min("filed").alias("since"), F.date_add(F.min("filed"), 720).alias("deadline"))
+    days = sessions(daily_bars(spark, sf_dir))
+    return timelines.meeting_outcomes(timelines.assembled(f, starts, days), f, days)

@@ -9,6 +9,7 @@ from ..functions import scalar
 from ..operators import aggregates, costs, events, features, inference, joins, modelling, outcomes, pit, quality, signals, windows
 from ..sources import readers
 from ..sources.adapters import CUSTOMER_SYMBOL_SQL, DAILY_SQL, SESSION_SQL, customer_symbol, daily_bars, session_bars, table
+from ..sources.shared import written
 from .catalog import _RET, _TRADES, FEATURES_SQL, LABELS_SQL, query, returns, rounded, trades_of
 
 _MARKET = """market as (select dt, avg(open) as open, avg("close") as c, avg(adj_close) as a from bars group by dt),
@@ -140,7 +141,7 @@ def m_permutation_importance(spark, sf_dir):
     """On the last fold's rows, with few rounds of trees; the operator's defaults are those of production."""
     bars = daily_bars(spark, sf_dir)
     f = features.price_features(bars).join(features.forward_labels(bars).select("symbol", "dt", "win_5"), ["symbol", "dt"])
-    rows = modelling.split(features.usable_rows(f), modelling.walk_forward(features.calendar(bars))).persist()
+    rows = written(modelling.split(features.usable_rows(f), modelling.walk_forward(features.calendar(bars))), "folds")
     last = rows.agg(F.max("fold")).first()[0]
     mine = rows.where(F.col("fold") == last)
     out = modelling.permutation_importance(mine.where("role = 'train'"), mine.where("role = 'test' and win_5 is not null"), ["mom_21", "vol_20", "atr_pct", "dist_sma_20"], "win_5", "trees", 3, 1, {"maxIter": 10})
@@ -301,13 +302,6 @@ def o_top_rows(spark, sf_dir):
     return c.orderBy(F.desc("c_acctbal"), "c_custkey").limit(25).select("c_custkey", "c_acctbal")
 
 
-@query("""with x as (select o_custkey % 200 as symbol, (10 + o_totalprice / 1e5) / 7.3::double as price, o_orderkey % 30 + 2 as ratio, (o_orderkey % 10) / 10.0::double as p, o_orderkey from orders) select o_orderkey, round(p * price * ratio + (1 - p) * price - price, 6) as expected_profit, 0.0::double as break_even_p from x""")
-def f_roundup_value(spark, sf_dir):
-    k = F.col("o_orderkey")
-    df = table(spark, sf_dir, "orders").select("o_orderkey", ((10 + F.col("o_totalprice") / 1e5) / 7.3).alias("price"), (k % 30 + 2).alias("ratio"), ((k % 10) / F.lit(10.0)).alias("p"))
-    return rounded(events.roundup_value(df).select("o_orderkey", "expected_profit", "break_even_p"))
-
-
 @query(f"""with {SESSION_SQL}, n as (select symbol, session, bar, open, "close" as c, row_number() over (partition by bar order by volume, symbol, session) as i, count(*) over (partition by bar) as n from hourly),
 x as (select symbol, session, bar, cast(case when n = 1 then 0 else greatest(0, ceil((i - 1) * 10.0 / (n - 1)) - 1) end as integer) as decile, c < open - 0.3 as treated from n)
 select symbol, session, bar, decile from x where not treated and (bar, decile) in (select (bar, decile) from x where treated)""")
