@@ -3,9 +3,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm.common import ship
-from tidewater.llm.jaccard_join import _chunked, _few, _many, bands, bitmap, components, connected, representatives, signatures, spares
+from tidewater.llm.jaccard_join import _candidates, _few, _many, bands, bitmap, components, connected, representatives, signatures, spares
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -104,15 +105,52 @@ def test_large_groups_are_cut(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in components(docs, 5, 80, 100, group=2).collect()}
     assert got == dict(enumerate(brute(texts, 5, 80, 100)[1]))
-    # one part with 300 members: no task gets them all, and all pairs whose sizes allow a link meet
-    rows = [(1, i, 100 if i < 100 else 40 + i // 2, b"") for i in range(300)] + [(2, i, 50, b"") for i in range(5)]
-    cut = _chunked(spark.createDataFrame(rows, "part long, node long, n_shingles long, bitmap binary"), 80, 100, 20).collect()
-    tasks, size = {}, {r[1]: r[2] for r in rows if r[0] == 1}
-    for r in cut:
-        tasks.setdefault((r.part, r.mine, r.other), {}).setdefault(r.chunk, []).append(r.node)
-    assert max(len(c) for t in tasks.values() for c in t.values()) <= 60 and sorted(x for t, c in tasks.items() if t[0] == 2 for x in c[0]) == list(range(5))
-    met = {(u, v) for (part, mine, other), c in tasks.items() if part == 1 for u in c[mine] for v in c[other]}
-    assert all((u, v) in met or (v, u) in met for u in range(300) for v in range(u) if min(size[u], size[v]) * 100 >= max(size[u], size[v]) * 80)
+def test_candidates_of_cut_groups_join_as_whole_ones_do(spark):
+    """Near copies, two families, and sets with little in common, in parts of 300: the same components, whatever the chunks."""
+    ship(spark)
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    one, two, rows, sets = new(90), new(80), [], {}
+    for part in range(3):
+        for i in range(300):
+            base = one if part == 0 or (part == 1 and i % 2) else two if part == 1 else new(60 + i % 9)
+            if part == 2 and i % 10 == 0:
+                base = one[: 40 + i // 10]
+            x = np.unique(np.concatenate((base[rng.integers(0, 3) :], new(rng.integers(1, 6)))))
+            sets[1000 * part + i] = x
+            rows.append((part, 1000 * part + i, len(x), bytearray(bitmap(x))))
+    rows += [(9, 9000 + i, 50, bytearray(bitmap(one[:50]))) for i in range(5)]
+    groups = spark.createDataFrame(rows, "part long, node long, n_shingles long, bitmap binary")
+
+    def components_of(links):
+        root = {r[1]: r[1] for r in rows}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for u, v in links:
+            root[max(find(u), find(v))] = min(find(u), find(v))
+        return {x: find(x) for x in root}
+
+    whole = components_of([tuple(r) for r in _candidates(groups, 80, 100, 10_000).collect()])
+    for weight in (7, 20, 100):
+        assert components_of([tuple(r) for r in _candidates(groups, 80, 100, weight).collect()]) == whole
+    assert len(set(whole.values())) > 200 and sum(v == whole[1] for v in whole.values()) > 140
+
+
+def test_copies_without_an_id_meet_no_task_whole(spark):
+    ship(spark)
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone twentytwo"
+    copies = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    near = spark.createDataFrame([(5, text + " more"), (6, "something else altogether")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.n_shingles): r["count"] for r in components(copies.unionByName(near)).groupBy("doc_id", "component_id", "n_shingles").count().collect()}
+    assert got == {(None, 5, 20): 100_000, (5, 5, 21): 1, (6, 6, 1): 1}
+    # what reaches the block task: one row for each distinct text
+    from tidewater.llm.jaccard_join import _shingles
+
+    assert _shingles(copies.withColumn("row", F.lit(1).cast("long")).repartition(8), 3).count() == 1
 
 
 def test_sets_leave_frequent_parts_and_no_link_is_lost(spark):
@@ -154,4 +192,4 @@ def test_few_and_many_agree():
                     root = [root[p] if r == root[q] else r for r in root]
                 return {frozenset(i for i in range(n) if root[i] == r) for r in root}
 
-            assert groups(_few(size, maps, cut, 80, 100)) == groups(_many(np.array(size), maps, cut, 80, 100))
+            assert groups(_few(size, maps, list(range(n)), cut, 80, 100)) == groups(_many(np.array(size), maps, list(range(n)), cut, 80, 100))

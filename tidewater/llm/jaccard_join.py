@@ -244,34 +244,50 @@ def _thinned(groups: DataFrame, most: int) -> DataFrame:
     return groups.withColumn("_often", often).where(stays).drop("_often", "band", "names", "members", "spares")
 
 
-def _chunked(groups: DataFrame, num: int, den: int, weight: int) -> DataFrame:
-    """Rows of `groups` (part, node, n_shingles, bitmap; written) with `mine`, `other` and `chunk`: each (part, mine, other) is to be compared
-    by itself. A group beyond `weight` is cut by size, and by a hash of the node within a size, into chunks of at most about three
-    times that; its chunks meet pair by pair unless their sizes forbid a link."""
+def _candidates(groups: DataFrame, num: int, den: int, weight: int) -> DataFrame:
+    """(u, v) that join all members of each group of `groups` (part, node, n_shingles, bitmap; written) whose bitmaps and sizes allow a link.
+
+    A group up to `weight` is compared by itself. A larger one is cut by size, and by a hash of the node within a size, into chunks of at most
+    about three times that; first each chunk is compared by itself, and one pivot of each chunk with the other pivots. In near copies that joins
+    nearly all members. Then chunks meet pair by pair, unless their sizes forbid a link, but only for members that are outside of their group's
+    largest component so far: each of these meets all members of the other chunks, and members inside it are joined already."""
     each = 1 + F.floor(F.col("n_shingles") / 16_384)
-    whole = groups.withColumns({c: F.lit(0).cast("long") for c in ("mine", "other", "chunk")})
+    whole = groups.withColumns({c: F.lit(0).cast("long") for c in ("mine", "other", "chunk")}).withColumn("label", F.col("node"))
     large = written(groups.groupBy("part").agg(F.sum(each).alias("all")).where(F.col("all") > weight).select("part"), "jaccard-large")
     if large.isEmpty():
-        return whole
+        return _possible(whole, num, den)
     large = checked_broadcast(large, BROADCAST_ROWS)
     # one row for each part and size, however many members have it
     sizes = groups.join(large, "part", "left_semi").groupBy("part", "n_shingles").agg(F.sum(each).alias("all"))
     before = F.coalesce(F.sum("all").over(Window.partitionBy("part").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("part", "n_shingles", F.floor(before / weight).alias("first"), F.ceil(F.col("all") / weight).alias("pieces"))
     sizes = written(sizes, "jaccard-sizes")
-    spans = sizes.withColumn("chunk", F.explode(F.expr("sequence(first, first + pieces - 1)"))).groupBy("part", "chunk").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    spans = written(spans, "jaccard-spans")
-    left = spans.select("part", F.col("chunk").alias("mine"), "high")
-    right = spans.select("part", F.col("chunk").alias("other"), "low")
-    pairs = left.join(right, "part").where((F.col("mine") <= F.col("other")) & (F.col("low") * num <= F.col("high") * den))
-    pairs = pairs.select("part", "mine", "other", F.explode(F.array_distinct(F.array("mine", "other"))).alias("chunk"))
-    pairs = checked_broadcast(written(pairs, "jaccard-pairs"), BROADCAST_ROWS)
     cut = groups.join(checked_broadcast(sizes, BROADCAST_ROWS), ["part", "n_shingles"])
-    cut = cut.withColumn("chunk", F.col("first") + F.pmod(F.xxhash64("node"), F.col("pieces"))).join(pairs, ["part", "chunk"])
-    return whole.join(large, "part", "left_anti").unionByName(cut.select(whole.columns))
+    cut = written(cut.select(*groups.columns, (F.col("first") + F.pmod(F.xxhash64("node"), F.col("pieces"))).alias("chunk")), "jaccard-cut")
+    own = cut.select("*", F.col("chunk").alias("mine"), F.col("chunk").alias("other"), F.col("node").alias("label"))
+    pivots = cut.groupBy("part", "chunk").agg(F.min(F.struct("n_shingles", "node")).alias("p")).select("part", "p.node")
+    pivots = cut.join(checked_broadcast(written(pivots, "jaccard-pivots"), BROADCAST_ROWS), ["part", "node"], "left_semi")
+    pivots = pivots.withColumns({c: F.lit(-1).cast("long") for c in ("mine", "other", "chunk")}).withColumn("label", F.col("node"))
+    first = whole.join(large, "part", "left_anti").unionByName(own.select(whole.columns)).unionByName(pivots.select(whole.columns))
+    links = written(_possible(first, num, den), "jaccard-first")
+
+    so_far = connected(links, "jaccard-joined")
+    cut = written(cut.join(so_far, "node", "left").withColumn("label", F.coalesce("label", "node")), "jaccard-labelled")
+    main = cut.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    cut = cut.join(checked_broadcast(written(main, "jaccard-main"), BROADCAST_ROWS), "part").withColumn("left", F.col("label") != F.col("main")).drop("main")
+    spans = cut.groupBy("part", "chunk").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.max("left").alias("left"))
+    spans = written(spans, "jaccard-spans")
+    a = spans.select("part", F.col("chunk").alias("mine"), "high", F.col("left").alias("mine_left"))
+    b = spans.select("part", F.col("chunk").alias("other"), "low", F.col("left").alias("other_left"))
+    pairs = a.join(b, "part").where((F.col("mine") < F.col("other")) & (F.col("low") * num <= F.col("high") * den) & (F.col("mine_left") | F.col("other_left")))
+    # a chunk sends all its members where the other has some left, and else only those left
+    sends = F.explode(F.array(F.struct(F.col("mine").alias("chunk"), F.col("other_left").alias("all")), F.struct(F.col("other").alias("chunk"), F.col("mine_left").alias("all"))))
+    pairs = checked_broadcast(written(pairs.select("part", "mine", "other", sends.alias("s")).select("part", "mine", "other", "s.*"), "jaccard-pairs"), BROADCAST_ROWS)
+    across = cut.join(pairs, ["part", "chunk"]).where("left or all")
+    return links.unionByName(_possible(across.select(whole.columns), num, den))
 
 
-def _few(size: list[int], maps: list[bytes], cut: int, num: int, den: int) -> list[tuple[int, int]]:
+def _few(size: list[int], maps: list[bytes], labels: list[int], cut: int, num: int, den: int) -> list[tuple[int, int]]:
     """As `_many`, for few members: bitmaps are whole numbers."""
     width = min(map(len, maps))
     bits = []
@@ -281,7 +297,7 @@ def _few(size: list[int], maps: list[bytes], cut: int, num: int, den: int) -> li
             folds |= int.from_bytes(x[i : i + width], "little")
         bits.append(folds)
     surplus = [n - x.bit_count() for n, x in zip(size, bits, strict=True)]
-    joined, links = Joined(len(size)), []
+    joined, links = Joined.by(labels), []
     for p in range(cut):
         for q in range(cut if cut < len(size) else p + 1, len(size)):
             x, y = size[p], size[q]
@@ -293,12 +309,12 @@ def _few(size: list[int], maps: list[bytes], cut: int, num: int, den: int) -> li
     return links
 
 
-def _many(size: np.ndarray, bitmaps: list[bytes], cut: int, num: int, den: int) -> list[tuple[int, int]]:
+def _many(size: np.ndarray, bitmaps: list[bytes], labels: list[int], cut: int, num: int, den: int) -> list[tuple[int, int]]:
     """Pairs that join all members whose bitmaps and sizes allow a link: between the first `cut` members and the others, or of all
-    with all where there are no others. Sizes rise in both."""
+    with all where there are no others. Sizes rise in both. Members of one label are joined already."""
     maps = folded(bitmaps)
     surplus = size - np.bitwise_count(maps).sum(1, dtype=np.int64)
-    joined, links = Joined(len(size)), []
+    joined, links = Joined.by(labels), []
     tiles = [slice(i, min(i + TILE, end)) for start, end in ((0, cut), (cut, len(size))) for i in range(start, end, TILE)]
     second = -(-cut // TILE)
     across = second < len(tiles)
@@ -327,8 +343,9 @@ def _many(size: np.ndarray, bitmaps: list[bytes], cut: int, num: int, den: int)
 
 
 def _possible(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v) that join all members of a chunk, or all of one and of another, whose bitmaps and sizes allow a link. `rows` as of `_chunked`."""
-    keys, columns = ["part", "mine", "other"], ["chunk", "n_shingles", "node", "bitmap"]
+    """(u, v) that join all members of a chunk, or all of one and of another, whose bitmaps and sizes allow a link. `rows`: part, mine, other (each of
+    these is compared by itself), chunk, n_shingles, node, bitmap, label (members of one are joined already)."""
+    keys, columns = ["part", "mine", "other"], ["chunk", "n_shingles", "node", "bitmap", "label"]
 
     def links(batches: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links inside each run of equal keys."""
@@ -336,13 +353,13 @@ def _possible(rows: DataFrame, num: int, den: int) -> DataFrame:
         key = [table[c].to_numpy() for c in keys]
         edge = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in key])) + 1
         chunk, size, node = (table[c].to_numpy() for c in columns[:3])
-        maps = table["bitmap"].to_pylist()
+        maps, label = table["bitmap"].to_pylist(), table["label"].to_pylist()
         for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(node)], strict=True):
             cut = int(np.searchsorted(chunk[a:b], chunk[a], "right"))
             if b - a <= 12:
-                found = _few(size[a:b].tolist(), maps[a:b], cut, num, den)
+                found = _few(size[a:b].tolist(), maps[a:b], label[a:b], cut, num, den)
             else:
-                found = _many(size[a:b], maps[a:b], cut, num, den)
+                found = _many(size[a:b], maps[a:b], label[a:b], cut, num, den)
             if found:
                 p, q = np.array(found).T
                 yield node[a + p], node[a + q]
@@ -403,6 +420,14 @@ class Joined:
     def __init__(self, n: int):
         self.parent = list(range(n))
 
+    @classmethod
+    def by(cls, labels: list[int]) -> Joined:
+        """Positions of one label joined."""
+        joined, first = cls(len(labels)), {}
+        for i, x in enumerate(labels):
+            joined.parent[i] = first.setdefault(x, i)
+        return joined
+
     def find(self, x: int) -> int:
         while self.parent[x] != x:
             self.parent[x] = self.parent[self.parent[x]]
@@ -524,14 +549,18 @@ def _between(num: int, den: int):
 
 
 def _shingles(docs: DataFrame, k: int) -> DataFrame:
+    """node and shingles of `docs` (text, row); a row met again in a task is left out, and each node is there once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for at in range(0, len(texts), 1000):
-                rows = list(shingle_sets(texts[at : at + 1000], k))
-                yield pa.RecordBatch.from_arrays([pa.array([set_digest(x) for x in rows], pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["node", "shingles"])
+            texts, rows = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()
+            fresh_ = [t for t, r in zip(texts, rows, strict=True) if not (r in seen or seen.add(r))]
+            for at in range(0, len(fresh_), 1000):
+                sets = list(shingle_sets(fresh_[at : at + 1000], k))
+                yield pa.RecordBatch.from_arrays([pa.array([set_digest(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node long, shingles binary")
+    return docs.select("text", "row").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def _row(docs: DataFrame) -> Column:
@@ -555,14 +584,13 @@ def members(docs: DataFrame, k: int, num: int, den: int, chunk_bytes: int = CHUN
     # one bitmap for each class, joined to the groups the class is in
     maps = sets.where("bitmap is not null").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap"), F.max("spares").alias("spares"))
     groups = written(_thinned(_groups(texts, k, num, den, buckets).join(maps, "node"), frequent), "jaccard-groups")
-    able = _possible(_chunked(groups, num, den, group), num, den)
+    able = _candidates(groups, num, den, group)
     blocks = written(connected(able, "jaccard-candidates"), "jaccard-blocks")
 
-    # the shingles of one document of each class in a block, hashed anew
-    first = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), (8 * F.max("n_shingles")).alias("bytes"))
+    # the shingles of one row of each class in a block, hashed anew; rows alike in id and text have one `row`
+    first = sets.where("n_shingles > 0").groupBy("node").agg(F.min("row").alias("row"), (8 * F.max("n_shingles")).alias("bytes"))
     wanted = written(first.join(blocks, "node"), "jaccard-wanted")
-    ids = checked_broadcast(wanted.select(F.col("doc_id").alias("_id")), BROADCAST_ROWS)
-    found = _shingles(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), k)
+    found = _shingles(texts.join(checked_broadcast(wanted.select("row"), BROADCAST_ROWS), "row", "left_semi"), k)
     place = wanted.select("node", "label", "bytes")
 
     pair = "u long, v long"
@@ -576,13 +604,27 @@ def members(docs: DataFrame, k: int, num: int, den: int, chunk_bytes: int = CHUN
         chunk = F.floor(F.coalesce(F.sum("bytes").over(so_far), F.lit(0)) / chunk_bytes).cast("int")
         found = written(found.join(place.withColumn("chunk", chunk), "node"), "jaccard-members")
         links = written(found.groupBy("label", "chunk").applyInPandas(_inside(num, den), pair), "jaccard-links")
-        several = place.withColumn("chunk", chunk).groupBy("label").agg(F.max("chunk").alias("chunks")).where("chunks > 0")
-        roots = found.dropDuplicates(["node"]).join(several, "label").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        roots = written(roots.select("label", "node", "root", "chunk", "chunks", "shingles"), "jaccard-chunks")
-        again = roots.select(*(F.col(c).alias(c) for c in roots.columns))
-        one = roots.withColumn("mine", F.col("chunk")).withColumn("other", F.explode(F.sequence("chunk", "chunks"))).where("other > mine")
-        two = again.where("chunk > 0").withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("chunk") - 1))).withColumn("other", F.col("chunk"))
-        across = one.groupBy("label", "mine", "other").cogroup(two.groupBy("label", "mine", "other")).applyInPandas(_between(num, den), pair)
+        # one pivot of each chunk, of the chunk's largest component, meets the other pivots; what they don't join meets all other chunks
+        rooted = found.join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = place.withColumn("chunk", chunk).groupBy("label").agg(F.max("chunk").alias("chunks")).where("chunks > 0").drop("chunks")
+        rooted = written(rooted.join(checked_broadcast(written(several, "jaccard-several"), BROADCAST_ROWS), "label").select("label", "chunk", "node", "root", "shingles"), "jaccard-chunks")
+        pivots = rooted.groupBy("label", "chunk", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("label", "chunk").agg(F.max_by("root", F.struct("n", "root")).alias("node"))
+        pivots = rooted.join(checked_broadcast(written(pivots.select("label", "node"), "jaccard-block-pivots"), BROADCAST_ROWS), ["label", "node"], "left_semi")
+        links = written(links.unionByName(pivots.groupBy("label").applyInPandas(_inside(num, den), pair)), "jaccard-block-links")
+        so_far = connected(links, "jaccard-block-joined").withColumnRenamed("label", "root")
+        rooted = written(rooted.drop("root").join(so_far, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-rooted")
+        main = rooted.groupBy("label", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+        rooted = rooted.join(checked_broadcast(written(main, "jaccard-block-main"), BROADCAST_ROWS), "label").withColumn("left", F.col("root") != F.col("main")).drop("main")
+        has_left = written(rooted.groupBy("label", "chunk").agg(F.max("left").alias("left")), "jaccard-block-left")
+        a, b = (has_left.select("label", F.col("chunk").alias(c), F.col("left").alias(f"{c}_left")) for c in ("mine", "other"))
+        pairs = a.join(b, "label").where((F.col("mine") < F.col("other")) & (F.col("mine_left") | F.col("other_left")))
+        sides = []
+        for c, o in (("mine", "other"), ("other", "mine")):
+            sent = checked_broadcast(written(pairs.select("label", "mine", "other", F.col(c).alias("chunk"), F.col(f"{o}_left").alias("all")), "jaccard-block-pairs"), BROADCAST_ROWS)
+            sent = rooted.join(sent, ["label", "chunk"]).where("left or all")
+            # columns anew: both sides come from one table
+            sides.append(sent.select(*(F.col(x).alias(x) for x in sent.columns)).groupBy("label", "mine", "other"))
+        across = sides[0].cogroup(sides[1]).applyInPandas(_between(num, den), pair)
         labels = connected(links.unionByName(across), "jaccard-across")
     # the smallest row of each class, then of each component; rows take it from their class
     place_of = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
