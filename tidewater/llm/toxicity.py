@@ -39,8 +39,8 @@ SURE = 4.0
 PREFIXES = (4, 5, 6)
 #: Costs (in nats) of the channel.
 AS_LETTER, AS_VOWEL, PADDING, REPEAT, PAIR = 0.7, 2.0, 3.0, 0.3, 5.0
-#: A piece longer than this is taken to hold several words, and is searched for all of them as well.
-LONG = 64
+#: Letters of a run that are looked at together from each of its letters on: no word that is weighed is longer.
+WORD = 24
 NOWHERE, AT_SIGNS, ANYWHERE = 0, 1, 2
 
 # Letters that digits and signs stand for.
@@ -57,7 +57,9 @@ _REPEATED = re.compile(r"(.)\1")
 _SAME = re.compile(r"(.)\1*", re.DOTALL)
 _CHAIN = re.compile(r"\w[^\w\s]\w|[^\W_]_[^\W_]")
 _PLAIN = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<!\S)(?:[^\s] ){2,}[^\s](?!\S)")
+#: Single characters, or such joined by single signs, with white space of any kind and length between.
+_SPACED = re.compile(r"(?<!\S)(?:\S(?:[^\w\s]\S)*+\s+)+\S(?:[^\w\s]\S)*+(?!\S)")
+_BLANKS = re.compile(r"\s+")
 _PIECE = re.compile(r"[^,;:?\"/\\()\[\]{}]+")
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -187,15 +189,14 @@ def restore(token: str, model: np.ndarray) -> str:
 
 
 def run_words(run: str, model: np.ndarray) -> list[str]:
-    """Words behind a run of characters that may hold several, each once: as the lattice breaks it, and from each letter on (up to the run's
-    end near it, and else no farther than beginnings reach)."""
+    """Words behind a run of characters that may hold several, each once: as the lattice breaks it, and what begins at each letter (WORD letters)."""
     word = restore(run, model)
-    out = [word[i:] if len(word) - i <= LONG else word[i : i + PREFIXES[-1] + 1] for i in range(max(1, len(word) - 2))]
+    out = [word[i : i + WORD] for i in range(max(1, len(word) - 2))]
     return [x for x in dict.fromkeys(out + decode(run, model, ANYWHERE)) if x]
 
 
 def restored(token: str, model: np.ndarray) -> list[str]:
-    """Words behind one token of a text; [] if it holds no letter or sign for one. Pieces longer than LONG are cut at signs only; see `token_words`."""
+    """Words behind one token of a text, of any length; [] if it holds no letter or sign for one."""
     token = token.lower()
     if _PLAIN.fullmatch(token) and not _REPEATED.search(token):
         return [token]
@@ -207,9 +208,7 @@ def restored(token: str, model: np.ndarray) -> list[str]:
             out.append(bare)
             if bare == piece and not _REPEATED.search(bare):
                 continue
-        if len(piece) > LONG:
-            out += [x for x in _PLAIN.findall(piece) if not _RUN.search(x)]
-        elif any(c.isalpha() or c in LEET for c in piece) and (word := restore(piece, model)):
+        if any(c.isalpha() or c in LEET for c in piece) and (word := restore(piece, model)):
             if word not in out:
                 out.append(word)
             if _CHAIN.search(piece):
@@ -217,22 +216,13 @@ def restored(token: str, model: np.ndarray) -> list[str]:
     return out
 
 
-def token_words(token: str, model: np.ndarray) -> list[str]:
-    """Words behind one token of any length: `restored`, and all words of its pieces longer than LONG."""
-    out = restored(token, model)
-    if len(token) > LONG:
-        for piece in _PIECE.findall(token.lower()):
-            if len(piece := _TAIL.sub("", piece)) > LONG:
-                out += run_words(piece, model)
-        out = list(dict.fromkeys(out))
-    return out
-
-
 def spaced_words(text: str, model: np.ndarray) -> list[str]:
-    """Words spelled with a space after each letter: of the whole run."""
+    """Words spelled with white space of any kind and length between their letters (three at least), of the whole run."""
     out = []
-    for m in _SPACED.finditer(text.replace("\n", " ")):
-        out += run_words(m[0].replace(" ", "").lower(), model)
+    for m in _SPACED.finditer(text):
+        run = _BLANKS.sub("", m[0]).lower()
+        if sum(c.isalnum() or c in LEET for c in run) > 2:
+            out += run_words(run, model)
     return out
 
 
@@ -260,7 +250,7 @@ class Scorer:
             if bare != token and _PLAIN.fullmatch(bare):
                 w = self.known[bare] if bare in self.known else self.token(bare)
             else:
-                w = max((self.word(x) for x in token_words(token, self.model)), default=0.0)
+                w = max((self.word(x) for x in restored(token, self.model)), default=0.0)
         if len(self.known) >= self.most:
             self.older, self.known = self.known, {}
         self.known[token] = w
@@ -270,8 +260,7 @@ class Scorer:
         tokens = set(text.split())
         get = self.known.get
         weights = [w for t in tokens if (w := found if (found := get(t)) is not None else self.token(t))]
-        if " " in text:
-            weights += [w for x in spaced_words(text, self.model) if (w := self.word(x))]
+        weights += [w for x in spaced_words(text, self.model) if (w := self.word(x))]
         n = np.log1p(len(tokens))
         return [1.0, max(weights, default=0.0), np.log1p(sum(weights)), np.log1p(100 * len(weights) / (len(tokens) + 20)), n]
 
@@ -299,7 +288,7 @@ def _weigh(sample: DataFrame, model: np.ndarray) -> dict[str, float]:
                 words = set(spaced_words(text or "", model))
                 for t in set((text or "").split()):
                     if t not in known:
-                        known[t] = token_words(t, model)
+                        known[t] = restored(t, model)
                     words.update(known[t])
                 for f in {f for w in words for f in features(w)}:
                     seen.setdefault(f, [0, 0])[toxic] += 1
