@@ -214,7 +214,7 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(rows, "ts timestamp, symbol string, price double, quantity int").write.parquet(src)
     stream = spark.readStream.schema("ts timestamp, symbol string, price double, quantity int").parquet(src)
     for _ in range(2):
-        jobs.scoring_stream(stream, lambda d: d.select("symbol", "ts", (F.col("price") > 20).alias("up")), f"{tmp_path}/scores", f"{tmp_path}/c{_}", ["symbol", "ts"]).awaitTermination()
+        jobs.scoring_stream(stream, lambda d: d.select("symbol", "ts", (F.col("price") > 20).alias("up")), f"{tmp_path}/scores", f"{tmp_path}/c{_}", ["symbol", "ts"], "ts").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/scores").count() == 50
     changes = spark.readStream.schema("ts timestamp, symbol string, price double, quantity int").parquet(src)
     for _ in range(2):

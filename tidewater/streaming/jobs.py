@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..operators.quality import changes
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def hourly_bars(ticks: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -17,41 +18,88 @@ def hourly_bars(ticks: DataFrame, late: str = "2 hours") -> DataFrame:
     return g.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def append_new(spark: SparkSession, batch: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose keys the table does not have; a batch that is run again adds nothing."""
-    once = batch.dropDuplicates(keys)
-    try:
-        old = spark.read.schema(batch.schema).parquet(path).select(*keys)
-        once = once.join(old, keys, "left_anti")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-    once.write.mode("append").parquet(path)
+class LastPrint(StatefulProcessor):
+    """Holds of each key when its last row was and what its tracked columns were; gives the rows that differ from the one before them. Rows not later than the
+    last one, which come again or late, change nothing. With nothing tracked only a key's first row is given."""
+
+    def __init__(self, order: str, tracked: list[str], kinds: dict[str, str], at: str):
+        self.order, self.tracked, self.kinds, self.at = order, tracked, kinds, at
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", f"at {self.at}, print string")
+
+    def _print(self, row: pd.Series) -> str:
+        return "\x1f".join("\x00" if pd.isna(row[c]) else str(row[c]) for c in self.tracked)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        prints = frame.apply(self._print, axis=1)
+        order = sorted(range(len(frame)), key=lambda i: (frame[self.order][i], prints[i]))
+        known = self.last.get() if self.last.exists() else None
+        at, told = known if known else (None, None)
+        kept = []
+        for i in order:
+            now = frame[self.order][i]
+            now = now.to_pydatetime() if isinstance(now, pd.Timestamp) else now.item() if hasattr(now, "item") else now
+            if known and now <= known[0]:
+                continue
+            if told != prints[i]:
+                kept.append(i)
+            at, told = now, prints[i]
+        if at is not None:
+            self.last.update((at, told))
+        if kept:
+            yield frame.iloc[kept]
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        last = initialState.sort_values(self.order).iloc[-1]
+        now = last[self.order]
+        now = now.to_pydatetime() if isinstance(now, pd.Timestamp) else now.item() if hasattr(now, "item") else now
+        self.last.update((now, self._print(last)))
+
+
+def changed_only(stream: DataFrame, before: DataFrame | None, keys: list[str], tracked: list[str], order: str) -> DataFrame:
+    """The rows of a stream in which a tracked column differs from the row of their key before them; `before`, read once when the query starts first, says
+    what each key's last row was (rows of the stream's columns)."""
+    # a store on disk beside each task: keys need not fit in memory
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kinds = dict(stream.dtypes)
+    keyed = stream.groupBy(*keys)
+    start = None
+    if before is not None:
+        start = before.select(*stream.columns).groupBy(*keys)
+    return keyed.transformWithStateInPandas(LastPrint(order, tracked, kinds, kinds[order]), stream.schema, "Append", "None", start)
+
+
+def _target(spark: SparkSession, path: str, columns: str) -> DataFrame | None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(columns).parquet(path) if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def _append(rows: DataFrame, path: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame]):
+    """Write each batch of `rows` to a partition of its own, named after the query's folder and the batch: a batch that is run again replaces itself."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
+    def sink(batch: DataFrame, number: int) -> None:
+        shape(batch).write.mode("overwrite").parquet(f"{path}/batch={name}-{number}")
 
-def scoring_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: list[str]):
-    """Score what has arrived and append each prediction once."""
+    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def sink(batch: DataFrame, _: int) -> None:
-        append_new(batch.sparkSession, score(batch), path, keys)
 
-    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def scoring_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: list[str], order: str):
+    """Score what has arrived and append each prediction once, whichever batch its key comes in again: keys are held as state. Started with a new
+    checkpoint over a table that has rows (the columns `keys` and `order` among them), it goes on from these."""
+    old = _target(stream.sparkSession, path, ", ".join(f"{c} {t}" for c, t in stream.dtypes if c in (*keys, order)))
+    # only keys and order tell a row that was scored before; its other columns are not needed
+    before = None if old is None else old.select(*(F.col(c) if c in old.columns else F.lit(None).cast(t).alias(c) for c, t in stream.dtypes))
+    return _append(changed_only(stream, before, keys, [], order), path, checkpoint, score)
 
 
 def change_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], tracked: list[str], order: str):
-    """Append each row in which a tracked column differs from the row of its key before it, in the table or in the same batch."""
-
-    def sink(batch: DataFrame, _: int) -> None:
-        try:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(path)
-            old.isEmpty()
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            old = batch.limit(0)
-        changes(old, batch, keys, tracked, order).write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append each row in which a tracked column differs from the row of its key before it. The last row of each key is held as state, so no batch reads
+    the table; a new checkpoint over a table that has rows starts from each key's last one."""
+    old = _target(stream.sparkSession, path, ", ".join(f"{c} {t}" for c, t in stream.dtypes))
+    return _append(changed_only(stream, old, keys, tracked, order), path, checkpoint, lambda batch: batch)
 
 
 def resolved(predictions: DataFrame, labels: DataFrame, horizon: str = "7 days") -> DataFrame:
