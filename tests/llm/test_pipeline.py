@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidewater.llm.common import ship
 
@@ -31,3 +33,29 @@ def test_stages_keep_and_drop_what_they_should(spark, tmp_path):
     assert kept[2] == kept[1] - {900, 901}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == kept[2]
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    """Empty tables, repeated rows, null ids and texts, very long texts, and columns named like those that stages work with."""
+    ship(spark)
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    one, long = text(60), text(20_000)
+    rows = [(i, text(40), "en", 1.0, "r", 5, "l", i, "c", 2) for i in range(60)]
+    rows += [(None, one, None, 1.0, "r", 5, "l", 0, "c", 2)] * 3 + [(7, one, "en", None, None, None, None, None, None, None)] + [(8, long, "de", 1.0, "r", 5, "l", 0, "c", 2)] * 2
+    rows += [(9, None, None, None, None, None, None, None, None, None), (None, "", "en", 1.0, "r", 5, "l", 0, "c", 2)]
+    schema = "doc_id long, text string, lang string, score double, row string, slot int, label string, n_tokens int, stratum string, node int"
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, left.limit(0), str(tmp_path)).count() == 0
+        left = stage(spark, left, str(tmp_path))
+        assert left.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    # of the rows with the one text the smallest id stays; repeated rows are one; what has no words fails the quality rules
+    assert sorted(x for x, _ in got if x is not None) == sorted([*range(60), 7, 8]) and not any(x is None for x, _ in got)
+    assert sorted(t for i, t in got if i in (7, 8)) == sorted([one, long, rows[7][1], rows[8][1]])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(got)
+    assert corpus_pipeline.STAGES[-1][1](spark, left.limit(0), str(tmp_path)).count() == 0

@@ -69,13 +69,14 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length:
     """Per row: doc_id, n_tokens, bucket, boundary, batch (from 0 in its bucket), place (from 0 in its batch), padding."""
     spark = docs.sparkSession
     n = words(F.col("text").cast("string")) if length is None else length.cast("long")
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_tokens")), "lengths")
+    # a number of its own for each row, fixed once written: rows alike in id and length are dealt apart
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_tokens"), F.monotonically_increasing_id().alias("row")), "lengths")
     histogram = rows.groupBy("n_tokens").count().toArrow().sort_by("n_tokens")
     cuts = boundaries(histogram["n_tokens"].to_pylist(), histogram["count"].to_pylist(), buckets)
     edges = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array(F.lit(0).cast("long"))
     bucket = F.size(F.filter(edges, lambda e: e < F.col("n_tokens")))
     total = sum(histogram["count"].to_pylist())
-    placed = gapless_slots(rows.withColumn("bucket", bucket), F.col("bucket"), ["doc_id", "n_tokens"], max(32, math.ceil(total / ROWS)))
+    placed = gapless_slots(rows.withColumn("bucket", bucket), F.col("bucket"), ["doc_id", "n_tokens", "row"], max(32, math.ceil(total / ROWS)))
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("boundary"), F.lit(1))))
     return (
         placed.withColumn("boundary", F.element_at(edges, F.col("bucket") + 1))
