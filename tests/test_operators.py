@@ -332,3 +332,17 @@ def test_normal_targets(spark):
     for i, rank in enumerate([4, 1, 2.5, 2.5]):
         assert got["m", i].target == pytest.approx(NormalDist().inv_cdf(rank / 5), abs=1e-6) and got["m", i].weight == 0.25
     assert got["m", 9].target is None and got["m", 9].weight is None and got["n", 1].target == pytest.approx(0, abs=1e-9)
+
+
+def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
+    from tidewater.sources import readers
+
+    path, schema = f"{tmp_path}/t", "k int, v double, at int, year int"
+    readers.upsert_table(spark, path, spark.createDataFrame([(1, 1.0, 1, 2020), (2, 1.0, 1, 2020), (3, 1.0, 1, 2021), (3, 9.0, 0, 2021)], schema), ["k"], "at", "year")
+    files = lambda y: sorted(p.name for p in (tmp_path / "t" / f"year={y}").iterdir())
+    before = files(2021)
+    more = spark.createDataFrame([(1, 2.0, 1, 2020), (2, 5.0, 0, 2020), (4, 4.0, 4, 2022)], schema)
+    for _ in range(2):
+        readers.upsert_table(spark, path, more, ["k"], "at", "year")
+        got = sorted((r.k, r.v, r.year) for r in spark.read.parquet(path).collect())
+        assert got == [(1, 2.0, 2020), (2, 1.0, 2020), (3, 1.0, 2021), (4, 4.0, 2022)] and files(2021) == before

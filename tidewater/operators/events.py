@@ -236,3 +236,15 @@ def short_interest_signals(panel: DataFrame, reports: DataFrame) -> DataFrame:
     d = asof(panel, r, ["symbol"], "dt", "tradeable_from", ["short", "before"]).drop("asof_at")
     level = F.when(F.col("adv_shares") > 0, -F.col("short") / (F.col("adv_shares") * 21))
     return d.withColumn("short_level", level).withColumn("short_change", F.when(F.col("before") > 0, -(F.col("short") / F.col("before") - 1))).withColumn("days_to_cover", F.when(F.col("adv_shares") > 0, -F.col("short") / F.col("adv_shares")))
+
+
+def discount_flags(panel: DataFrame, fee: float = 20.0, haircut: float = 0.01, account: float = 1e6, weight: float = 0.05, of_volume: float = 0.01, most: float = 0.10, fallback: float = 0.0025) -> DataFrame:
+    """panel (dt, price, value, half_spread, adv, volume) with shares that may be bought (a weight of the account, or a share of the volume traded), raw_discount to the
+    value, net_discount (after half a spread, the fee a share and a haircut a share), suspect (a raw discount beyond `most` is a passed deadline or a stale quote, not a
+    gift) and traded. A missing half spread is the day's median, else the fallback."""
+    median = panel.groupBy("dt").agg(F.median("half_spread").alias("_median"))
+    d = panel.join(median, "dt", "left").withColumn("_h", F.coalesce("half_spread", "_median", F.lit(fallback)))
+    d = d.withColumn("shares", F.floor(F.least(F.lit(account * weight), of_volume * F.coalesce("adv", F.lit(0.0))) / F.col("price")))
+    raw = (F.col("value") - F.col("price")) / F.col("price")
+    net = (F.col("value") - F.col("price") * (1 + F.col("_h")) - fee / F.when(F.col("shares") > 0, F.col("shares")) - haircut) / F.col("price")
+    return d.withColumn("raw_discount", raw).withColumn("net_discount", net).withColumn("suspect", raw > most).withColumn("traded", F.coalesce("volume", F.lit(0)) > 0).drop("_median", "_h")

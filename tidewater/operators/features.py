@@ -112,3 +112,10 @@ def calendar(bars: DataFrame) -> DataFrame:
 def usable_rows(panel: DataFrame) -> DataFrame:
     """Rows with enough history and every model input."""
     return panel.where("bar_num > 200 and vol_20 is not null and atr_14 is not null and mom_126 is not null and sma_200 is not null and ret_1d is not null")
+
+
+def ranked_predictions(df: DataFrame, probability: str, by: list[str], tie: list[str], n: int) -> DataFrame:
+    """position of each prediction in its group (a model and date) by falling probability, how many candidates the group has, and whether it is among the first n."""
+    w = Window.partitionBy(*by)
+    position = F.row_number().over(w.orderBy(F.desc_nulls_last(probability), *tie))
+    return df.withColumn("position", position).withColumn("candidates", F.count(F.lit(1)).over(w)).withColumn("selected", F.col("position") <= n)

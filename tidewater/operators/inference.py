@@ -333,3 +333,62 @@ def nav_report(nav: DataFrame, by: list[str], day: str = "day", value: str = "na
 def break_even(gross: Column, turns: Column) -> Column:
     """Cost of one turn, each way, at which a gross return with so many turns is nothing."""
     return F.when(turns > 0, gross / (2 * turns))
+
+
+def break_even_report(df: DataFrame, gross: str, cluster: list[str], price: str, by: list[str]) -> DataFrame:
+    """What trades can afford to pay, in basis points of a round trip: gross mean and its clustered t, the lower end of its 95 % interval, the one certain cost (the median
+    of a cent over the price), the smallest effect that would have been found, and a verdict: no gross edge (t below 1.96), below the one-cent floor, or clears the floor."""
+    c = clustered_mean(df, gross, cluster, by)
+    floor = df.withColumn("_f", 0.01 / F.col(price)).groupBy(*by).agg(F.median("_f").alias("_floor"))
+    d = c.join(floor, by).withColumn("_low", F.col("mean") - 1.96 * F.col("se"))
+    verdict = F.when(F.coalesce("t", F.lit(0.0)) < 1.96, "no gross edge").when(F.col("_low") < F.col("_floor"), "below the one-cent floor").otherwise("clears the floor")
+    bp = {"gross_bp": F.col("mean"), "lower95_bp": F.col("_low"), "one_cent_floor_bp": F.col("_floor"), "mde_bp": detectable(F.col("se"))}
+    return d.select(*by, F.col("t").alias("t_gross"), *((1e4 * x).alias(name) for name, x in bp.items()), verdict.alias("verdict"))
+
+
+def robust_scores(trades: DataFrame, flagged: DataFrame, value: str, by: str, hold: int, at: str = "dt", entity: str = "symbol", low: float = 0.005, high: float = 0.995) -> DataFrame:
+    """Block-clustered mean and t per group three times: of all trades (raw), without the flagged entities (clean), and with all values clipped to quantiles of
+    the whole (trimmed); trades, blocks, and the share of the five largest absolute values."""
+    from .windows import winsorize
+
+    first = trades.agg(F.min(at).alias("_first"))
+    t = trades.crossJoin(F.broadcast(first)).withColumn("_block", time_block(at, F.col("_first"), hold))
+    versions = {"raw": t, "clean": t.join(flagged.select(entity).distinct(), entity, "left_anti"), "trimmed": winsorize(t, value, [], low, high)}
+    out = None
+    for name, rows in versions.items():
+        m = clustered_mean(rows, value, ["_block"], [by]).select(by, F.col("mean").alias(f"mean_{name}"), F.col("t").alias(f"t_{name}"), *([F.col("n").alias("trades")] if name == "raw" else [F.col("clusters").alias("blocks")] if name == "trimmed" else []))
+        out = m if out is None else out.join(m, by, "left")
+    size = t.select(by, F.abs(value).alias("_a"))
+    top = largest(size, [by], "_a", 5).groupBy(by).agg(F.sum("_a").alias("_top"))
+    share = size.groupBy(by).agg(F.sum("_a").alias("_all")).join(top, by)
+    return out.join(share.select(by, F.when(F.col("_all") > 0, F.col("_top") / F.col("_all")).alias("top5_share")), by)
+
+
+def nav_turnover(nav: DataFrame, trades: DataFrame, by: list[str], value: str = "nav", per_year: int = 252) -> DataFrame:
+    """turnover_per_year: what was bought and sold (trades: qty, entry_px, exit_px, null while open) over the mean value, a year of the series."""
+    level = nav.groupBy(*by).agg(F.avg(value).alias("_level"), F.count(value).alias("_days"))
+    traded = trades.groupBy(*by).agg(F.sum(F.col("qty") * (F.col("entry_px") + F.coalesce("exit_px", F.lit(0.0)))).alias("_traded"))
+    return level.join(traded, by).select(*by, (F.col("_traded") / F.col("_level") / (F.col("_days") / F.lit(float(per_year)))).alias("turnover_per_year"))
+
+
+def nav_factors(nav: DataFrame, by: list[str], market: str, day: str = "day", value: str = "nav", rate: str | None = None, lags: int = 5, per_year: int = 252) -> DataFrame:
+    """Per series: n, alpha a year and its t (Newey-West error with `lags`), beta to a market column, beta on its days below nothing, and r2, of daily returns over the
+    rate. Sums and one window a series, so any number of them is one job: the alpha's error is that of the mean of e (a00 + a01 x), with a the inverse of x'x."""
+    w = Window.partitionBy(*by).orderBy(day)
+    y = F.try_divide(F.col(value), F.lag(value).over(w)) - 1 - (F.coalesce(F.col(rate), F.lit(0.0)) if rate else F.lit(0.0))
+    d = nav.withColumn("_y", y).withColumn("_x", F.col(market).cast("double")).where("_y is not null and _x is not null")
+    n, sx, sxx = F.count(F.lit(1)), F.sum("_x"), F.sum(F.col("_x") * F.col("_x"))
+    down = F.col("_x") < 0
+    dx, dy = F.when(down, F.col("_x")), F.when(down, F.col("_y"))
+    s = d.groupBy(*by).agg(
+        n.alias("n"), F.when(F.var_samp("_x") > 0, F.covar_samp("_y", "_x") / F.var_samp("_x")).alias("beta"), F.avg("_y").alias("_my"), F.avg("_x").alias("_mx"), F.when(F.var_samp(dx) > 0, F.covar_samp(dy, dx) / F.var_samp(dx)).alias("down_beta"),
+        (sxx / (n * sxx - sx * sx)).alias("_a00"), (-sx / (n * sxx - sx * sx)).alias("_a01"), (F.var_pop("_y") * n).alias("_total"),
+    )
+    e = F.col("_y") - F.col("_alpha") - F.col("beta") * F.col("_x")
+    rows = d.join(s.withColumn("_alpha", F.col("_my") - F.col("beta") * F.col("_mx")), by).withColumn("_e", e).withColumn("_u", F.col("_e") * (F.col("_a00") + F.col("_a01") * F.col("_x")))
+    own = Window.partitionBy(*by).orderBy(day)
+    term = F.col("_u") * F.col("_u")
+    for k in range(1, lags + 1):
+        term = term + 2 * (1 - k / (lags + 1)) * F.coalesce(F.col("_u") * F.lag("_u", k).over(own), F.lit(0.0))
+    g = rows.withColumn("_t", term).groupBy(*by).agg(F.first("n").alias("n"), F.first("_alpha").alias("_alpha"), F.first("beta").alias("beta"), F.first("down_beta").alias("down_beta"), F.first("_total").alias("_total"), F.sum("_t").alias("_v"), F.sum(F.col("_e") * F.col("_e")).alias("_sse"))
+    return g.select(*by, "n", (F.col("_alpha") * per_year).alias("alpha_annual"), F.when(F.col("_v") > 0, F.col("_alpha") / F.sqrt("_v")).alias("alpha_t"), "beta", "down_beta", F.when(F.col("_total") > 0, 1 - F.col("_sse") / F.col("_total")).alias("r2"))

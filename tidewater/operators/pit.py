@@ -140,3 +140,48 @@ def causal_weights(trades: DataFrame, weigh: Callable[[DataFrame], DataFrame], c
         bad = reconcile(weigh(trades).where(F.col(at) <= c), weigh(trades.where(F.col(at) <= c)), keys, ["weight"]).withColumn("cut", c)
         out = bad if out is None else out.unionByName(bad)
     return out
+
+
+def _clock(day: Column, minutes: int) -> Column:
+    return F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + 60 * minutes)
+
+
+#: Minutes of the day at which sessions open and close.
+OPEN, CLOSE = 9 * 60 + 30, 16 * 60
+
+
+def known_at(df: DataFrame, calendar: DataFrame, at: str, kind: str, out: str) -> DataFrame:
+    """`out`: when a fact stamped `at` may first be used. Kinds:
+
+    at_close: the close of its date. next_open: the open of the first session after its date (filings). announced: its own minute on a session, before the close
+    and with a time (00:00 is none), else the next session's open. month_after: the close of the last session up to the end of the following month
+    (factor files). month_open: the open of the first session from the start of its month on (bill rates)."""
+    day = F.to_date(F.col(at))
+    if kind == "at_close":
+        return df.withColumn(out, _clock(day, CLOSE))
+    if kind == "next_open":
+        return next_session(df, calendar, at, "_day").withColumn(out, _clock(F.col("_day"), OPEN)).drop("_day")
+    if kind == "month_after":
+        d = df.withColumn("_end", F.last_day(F.add_months(day, 1)))
+        return _session_day(session_of(d, calendar, "_end", "_i", ahead=False, strict=False), calendar, out, CLOSE).drop("_end")
+    if kind == "month_open":
+        d = df.withColumn("_start", F.trunc(day, "month"))
+        return _session_day(session_of(d, calendar, "_start", "_i", ahead=True, strict=False), calendar, out, OPEN).drop("_start")
+    if kind == "announced":
+        minute = F.hour(at) * 60 + F.minute(at)
+        d = next_session(df, calendar, at, "_day").join(calendar.select(F.col("dt").alias("_on"), F.lit(True).alias("_open")), day == F.col("_on"), "left")
+        during = F.coalesce(F.col("_open"), F.lit(False)) & (minute > 0) & (minute < CLOSE)
+        return d.withColumn(out, F.when(during, F.date_trunc("minute", at)).otherwise(_clock(F.col("_day"), OPEN))).drop("_day", "_on", "_open")
+    raise ValueError(kind)
+
+
+def _session_day(df: DataFrame, calendar: DataFrame, out: str, minutes: int) -> DataFrame:
+    days = calendar.select(F.col("day_index").cast("int").alias("_i"), F.col("dt").alias("_day"))
+    return df.join(days, "_i", "left").withColumn(out, _clock(F.col("_day"), minutes)).drop("_i", "_day")
+
+
+def acts_on(df: DataFrame, calendar: DataFrame, at: str, out: str) -> DataFrame:
+    """`out`: the first session that can act on a release stamped `at`: its own day's before the close, else the next."""
+    d = session_of(session_of(df, calendar, at, "_on", ahead=True, strict=False), calendar, at, "_after", ahead=True)
+    days = calendar.select(F.col("day_index").cast("int").alias("_i"), F.col("dt").alias(out))
+    return d.withColumn("_i", F.when(F.hour(at) * 60 + F.minute(at) < CLOSE, F.col("_on")).otherwise(F.col("_after"))).join(days, "_i", "left").drop("_i", "_on", "_after")

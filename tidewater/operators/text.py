@@ -16,7 +16,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
 def parts(containers: DataFrame, dropped: tuple[str, ...] = ("GRAPHIC", "ZIP", "XML", "EXCEL", "PDF")) -> DataFrame:
     """id, part, type, body of each <DOCUMENT> of a container; parts of the dropped types, or uuencoded, are left out."""
     found = containers.select("id", F.posexplode(F.expr(r"regexp_extract_all(text, '(?s)<DOCUMENT>(.*?)</DOCUMENT>', 1)")).alias("part", "doc"))
-    out = found.select("id", "part", F.upper(F.regexp_extract("doc", r"<TYPE>\s*([^\s<]+)", 1)).alias("type"), F.regexp_extract("doc", r"(?s)<TEXT>(.*?)</TEXT>", 1).alias("body"))
+    out = found.select("id", "part", F.upper(F.trim(F.regexp_extract("doc", r"<TYPE>\s*([^\r\n<]+)", 1))).alias("type"), F.regexp_extract("doc", r"(?s)<TEXT>(.*?)</TEXT>", 1).alias("body"))
     return out.where(~F.col("type").isin(list(dropped)) & ~F.col("body").rlike(r"(?m)^begin \d{3} "))
 
 

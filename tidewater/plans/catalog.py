@@ -644,4 +644,4 @@ def i_liquidity_half_spread(spark, sf_dir):
     return rounded(daily_bars(spark, sf_dir).withColumn("adv", adv).select("symbol", "dt", costs.liquidity_half_spread(F.col("adv"), F.col("close")).alias("half_spread_bp")))
 
 
-from . import catalog_filings, catalog_more, catalog_reports  # noqa: E402, F401  (they add their queries to the registry above)
+from . import catalog_files, catalog_filings, catalog_more, catalog_reports, catalog_rules  # noqa: E402, F401  (they add their queries to the registry above)

@@ -123,3 +123,20 @@ def many_files(spark: SparkSession, pattern: str, schema: str, kind: str = "csv"
     """All files that a glob names, with `file`, the name of the one a row comes from; a schema is given, so no file is read to guess it."""
     rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").format(kind).load(pattern)
     return rows.withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+
+
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: str, partition: str) -> None:
+    """Merge rows into a table partitioned by `partition` (a column of `new`), rewriting only the partitions that `new` touches.
+
+    Per key the row with the largest `order` wins, the new one on a tie; a key stays in one partition. The touched partitions are
+    read, merged and put in place of the old ones in one job (dynamic partition overwrite), which leaves the others' files as they are; run again with the same rows it
+    gives the same table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    merged = new
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        touched = [r[0] for r in new.select(partition).distinct().collect()]  # partition names, not rows
+        old = spark.read.schema(new.schema).parquet(path).where(F.col(partition).isin([x for x in touched if x is not None]) | (F.col(partition).isNull() if None in touched else F.lit(False)))
+        merged = upsert(old, new, keys, order)
+    else:
+        merged = upsert(new.limit(0), new, keys, order)
+    merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
