@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates, costs, events, features, inference, modelling, outcomes, pit, quality, signals, text
 from ..sources import readers
 from ..sources.adapters import CUSTOMER_SYMBOL_SQL, DAILY_SQL, SESSION_SQL, customer_symbol, daily_bars, session_bars, symbol_of, symbol_sql, table
+from ..sources.shared import written
 from ..streaming import jobs
 from .catalog import _RET, _TRADES, query, returns, rounded, trades_of
 
@@ -192,7 +193,13 @@ def k_text_predicates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.lower("text").contains("license").alias("has_license"), F.regexp_count("text", F.lit("[0-9]+")).cast("long").alias("n_numbers"))
 
 
-@query()
+@query(f"""with {SESSION_SQL}, x as (select symbol, session, bar, ln(open) as o, ln(high) as h, ln(low) as l, ln("close") as c, (ln(high) + ln(low)) / 2 as m from hourly),
+y as (select *, lag(h) over w as h1, lag(l) over w as l1, lag(c) over w as c1, lag(m) over w as m1 from x window w as (partition by symbol, session order by bar)),
+z as (select *, case when h != l or l != c1 then 1.0::double else 0.0::double end as tau, m - o as r1, o - m1 as r2, m - c1 as r3, c1 - m1 as r4, o - c1 as r5 from y where c1 is not null),
+g as (select symbol, session, count(*) as n, avg(tau) as pt, avg(case when o != h then tau else 0 end) + avg(case when o != l then tau else 0 end) as po, avg(case when c1 != h1 then tau else 0 end) + avg(case when c1 != l1 then tau else 0 end) as pc, avg(r1) as m1_, avg(r3) as m3_, avg(r5) as m5_ from z group by 1, 2),
+e as (select symbol, session, n, -4 / po * (r1 - tau * m1_ / pt) * r2 - 4 / pc * (r3 - tau * m3_ / pt) * r4 as x1, -4 / po * (r1 - tau * m1_ / pt) * r5 - 4 / pc * (r5 - tau * m5_ / pt) * r4 as x2 from z join g using (symbol, session) where pt > 0 and po > 0 and pc > 0),
+v as (select symbol, session, n, avg(x1) as e1, avg(x2) as e2, var_pop(x1) as v1, var_pop(x2) as v2 from e group by 1, 2, 3)
+select symbol, session, n, round(sqrt(greatest(case when v1 + v2 > 0 then (v2 * e1 + v1 * e2) / (v1 + v2) else (e1 + e2) / 2 end, 0)), 6) as spread from v""")
 def i_edge_spread(spark, sf_dir):
     return rounded(costs.edge_spread(session_bars(spark, sf_dir), ["symbol", "session"], "bar"))
 
@@ -212,7 +219,10 @@ def h_drag_grid(spark, sf_dir):
     return rounded(costs.drag_grid(t, [1, 5, 21]).select("symbol", "hold", "drag"))
 
 
-@query()
+@query(f"""with {SESSION_SQL}, p as (select a.symbol, a.session, a.bar, b.bar as k, b.open, b.low, b."close" as c, first_value(b.open) over w as entry, max(b.high) over (partition by a.symbol, a.session, a.bar order by b.bar rows between unbounded preceding and 1 preceding) as best
+from hourly a join hourly b on a.symbol = b.symbol and a.session = b.session and b.bar > a.bar window w as (partition by a.symbol, a.session, a.bar order by b.bar)), s as (select *, greatest(entry - 1.0::double, coalesce(best - 1.0::double, entry - 1.0::double)) as stop from p),
+h as (select symbol, session, bar, arg_min(least(stop, open), k) as out from s where low <= stop group by 1, 2, 3), e as (select symbol, session, bar, arg_max(c, k) as held from s group by 1, 2, 3)
+select symbol, session, bar, round(coalesce(out, held), 6) as exit from e left join h using (symbol, session, bar)""")
 def f_trailing_exit(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -276,8 +286,9 @@ def m_logistic_walk_forward(spark, sf_dir):
     bars = daily_bars(spark, sf_dir)
     f = features.price_features(bars).join(features.forward_labels(bars).select("symbol", "dt", "fwd_5", "win_5"), ["symbol", "dt"])
     # read again by every fold, and the scores by every part of the evaluation
-    rows = modelling.split(features.usable_rows(f), modelling.walk_forward(features.calendar(bars))).persist()
-    scored = modelling.fit_predict(rows, ["mom_21", "vol_20", "atr_pct", "dist_sma_20"], "win_5").persist()
+    rows = modelling.split(features.usable_rows(f), modelling.walk_forward(features.calendar(bars)))
+    rows = written(rows, "folds")
+    scored = written(modelling.fit_predict(rows, ["mom_21", "vol_20", "atr_pct", "dist_sma_20"], "win_5"), "scores")
     out = scored.join(f.select("symbol", "dt", "fwd_5"), ["symbol", "dt"])
     return rounded(modelling.evaluate(out, "fwd_5", ["fold"]))
 
