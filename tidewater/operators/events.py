@@ -91,12 +91,13 @@ def consolidated(follow_ups: DataFrame, deal: str, at: str) -> DataFrame:
 def tender_payoff(deals: DataFrame, calendar: DataFrame, bars: DataFrame, shares: int = 99, fees: tuple[float, ...] = (0.0, 20.0, 40.0)) -> DataFrame:
     """Per deal (deal, symbol, filed, expires, final_price, terminated_on) and fee: entry at the first close behind the filing, exit at the final
     price, or at the next close after a termination."""
+    from .joins import first_from
+
     days = F.broadcast(calendar.select("dt", "day_index"))
     px = bars.select("symbol", "dt", F.col("close").alias("px"))
-    w = Window.partitionBy("deal").orderBy("dt")
-    entry = deals.join(px, "symbol").where(F.col("dt") > F.col("filed")).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("deal", F.col("dt").alias("entry_on"), F.col("px").alias("entry"))
-    out = deals.join(px, "symbol").where(F.col("dt") > F.col("terminated_on")).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("deal", F.col("px").alias("_sold"))
-    d = deals.join(entry, "deal").join(out, "deal", "left").withColumn("exit", F.when(F.col("terminated_on").isNotNull(), F.col("_sold")).otherwise(F.col("final_price")))
+    bought = first_from(deals, px, ["symbol"], "filed", "dt", ["px"], exact=False).where("asof_at is not null").withColumnsRenamed({"asof_at": "entry_on", "px": "entry"})
+    sold = first_from(bought, px, ["symbol"], "terminated_on", "dt", ["px"], exact=False).drop("asof_at").withColumnRenamed("px", "_sold")
+    d = sold.withColumn("exit", F.when(F.col("terminated_on").isNotNull(), F.col("_sold")).otherwise(F.col("final_price")))
     d = d.join(days.withColumnRenamed("dt", "entry_on").withColumnRenamed("day_index", "entry_index"), "entry_on", "left")
     return d.withColumn("fee", F.explode(F.array(*map(F.lit, fees)))).select("deal", "entry_on", "entry_index", "entry", "exit", "fee", (shares * (F.col("exit") - F.col("entry")) - F.col("fee")).alias("profit"))
 

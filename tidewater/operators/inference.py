@@ -182,11 +182,18 @@ def iid_bootstrap_p(df: DataFrame, value: str, by: list[str], key: list[str], re
     return drawn.groupBy(*by, "_m").agg(F.avg(reached.cast("double")).alias("p")).select(*by, "p", F.col("_m").alias("mean"))
 
 
+#: Values of a series that each task of a bootstrap may hold (64 MB).
+PERIODS = 8_000_000
+
+
 def stationary_bootstrap(series: DataFrame, columns: list[str], order: str, reps: int = 1000, block: float = 10.0, seed: int = 7, parts: int = 8) -> DataFrame:
     """rep, and each column's mean over a circular resample of geometric blocks, the same resample for all columns.
 
-    `series` is date-level (one row a period): it goes to each task, which draws its own replicates from a seed per replicate."""
+    `series` is date-level (one row a period): it goes to each task, which draws its own replicates from a seed per replicate. More than
+    `PERIODS` values of it (rows times columns) are refused."""
     spark = series.sparkSession
+    if (rows := series.count()) * len(columns) > PERIODS:
+        raise ValueError(f"{rows} rows of {len(columns)} columns are no date-level series")
     values = series.orderBy(order).select(*columns).toPandas().to_numpy(float)
     shared = spark.sparkContext.broadcast(values)
 

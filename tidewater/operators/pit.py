@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import session_of
+from .joins import asof, session_of
 from .quality import reconcile
 
 
@@ -34,7 +34,8 @@ class Dataset:
         df = df if where is None else df.where(where)
         if not (latest and self.version_key):
             return df
-        w = Window.partitionBy(*self.version_key).orderBy(F.desc(self.known_at))
+        # of versions known at one moment always the same one
+        w = Window.partitionBy(*self.version_key).orderBy(F.desc(self.known_at), F.xxhash64(*df.columns))
         return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
     def truncate(self, t: Column) -> DataFrame:
@@ -77,7 +78,15 @@ def known_timeline(filings: DataFrame, by: list[str], order: list[str]) -> DataF
 
 def ttm(filings: DataFrame, as_of: DataFrame) -> DataFrame:
     """Per (symbol, as_of): the latest annual flow if its period ends with or after the latest quarter, else the sum of the last
-    four quarters. Restated periods use the value last filed. filings: symbol, period_start, period_end, filed, val."""
+    four quarters. Restated periods use the value last filed. filings: symbol, period_start, period_end, filed, val.
+
+    Worked out for each day on which a symbol files, and met by an as-of join: a company's filings meet each other, not all the days asked for."""
+    states = _ttm_on(filings, filings.select("symbol", F.col("filed").alias("as_of")).distinct())
+    met = asof(as_of.select("symbol", "as_of").distinct(), states.withColumnRenamed("as_of", "_filed"), ["symbol"], "as_of", "_filed", ["ttm"])
+    return met.where("asof_at is not null").select("symbol", "as_of", "ttm")
+
+
+def _ttm_on(filings: DataFrame, as_of: DataFrame) -> DataFrame:
     known = as_of.join(filings, "symbol").where(F.col("filed") <= F.col("as_of")).withColumn("days", F.datediff("period_end", "period_start"))
     kind = F.when(F.col("days").between(330, 400), "annual").when(F.col("days").between(60, 120), "quarter")
     known = known.withColumn("kind", kind).where("kind is not null")

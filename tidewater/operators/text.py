@@ -20,9 +20,10 @@ def parts(containers: DataFrame, dropped: tuple[str, ...] = ("GRAPHIC", "ZIP", "
     return out.where(~F.col("type").isin(list(dropped)) & ~F.col("body").rlike(r"(?m)^begin \d{3} "))
 
 
-def main_part(parts_: DataFrame, wanted: str, negative: str, look: int = 5000) -> DataFrame:
-    """The longest part of each container whose first characters match `wanted` before any `negative`."""
-    head = F.substring("body", 1, look)
+def main_part(parts_: DataFrame, wanted: str, negative: str, look: int | None = 5000) -> DataFrame:
+    """The longest part of each container whose first `look` characters (all, if None) match `wanted` before any `negative`: what a part is stands at its
+    beginning, and what it cites stands further down."""
+    head = F.substring("body", 1, look) if look else F.col("body")
     at, no = F.regexp_instr(head, F.lit(wanted)), F.regexp_instr(head, F.lit(negative))
     ok = parts_.where((at > 0) & ((no == 0) | (at < no)))
     w = Window.partitionBy("id").orderBy(F.desc(F.length("body")), "part")

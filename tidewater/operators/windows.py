@@ -160,8 +160,8 @@ def onsets(df: DataFrame, state: str, by: list[str], order: list[str]) -> DataFr
 
 
 def latest_version(df: DataFrame, keys: list[str], known_at: str, as_of: Column) -> DataFrame:
-    """Per key the row last known at or before `as_of`."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(known_at))
+    """Per key the row last known at or before `as_of`; of rows known at one moment always the same one."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(known_at), F.xxhash64(*df.columns))
     return df.where(F.col(known_at) <= as_of).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

@@ -114,6 +114,8 @@ def materialize(df: DataFrame, path: str, date_col: str = "dt", kind: str = "par
     header) or json (one row a line)."""
     if kind not in ("parquet", "csv", "json"):
         raise ValueError(kind)
+    if "year" in (c.lower() for c in df.columns):
+        raise ValueError("the table has a column named year already")
     year: Column = F.year(date_col)
     out = df.withColumn("year", year).repartition("year", "symbol").sortWithinPartitions("symbol", date_col)
     out.write.format(kind).option("header", True).mode("overwrite").partitionBy("year").save(path)
