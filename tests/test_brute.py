@@ -156,3 +156,35 @@ def test_logistic_is_the_penalised_optimum(spark):
 
 def test_session_bars_are_what_the_adapter_says(spark):
     assert adapters.session_bars(spark, SF).where("bar not between 0 and 6 or high < low").count() == 0
+
+
+def test_reality_check_as_resampled_by_hand(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 3)) + [0.0, 0.02, 0.2]
+    df = spark.createDataFrame(pd.DataFrame({"t": range(120), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]})).repartition(4)
+    reps, block, seed = 60, 8.0, 5
+    best = []
+    for r in range(reps):
+        g = np.random.default_rng([seed, r])
+        jump = g.random(120) < 1 / block
+        jump[0] = True
+        start = g.integers(0, 120, 120)
+        at, now = [], 0
+        for i in range(120):
+            now = start[i] if jump[i] else (now + 1) % 120
+            at.append(now)
+        best.append((x[at].mean(0) - x.mean(0)).max())
+    got = inference.reality_check(df, ["a", "b", "c"], "t", reps, block, seed).first().asDict()
+    assert got["p"] == pytest.approx(np.mean(np.array(best) >= x.mean(0).max()), abs=1e-12) or got["p"] == pytest.approx((1 + np.sum(np.array(best) >= x.mean(0).max())) / (reps + 1), abs=1e-12)
+    with pytest.raises(ValueError, match="date-level"):
+        inference.PERIODS, keep = 100, inference.PERIODS
+        try:
+            inference.stationary_bootstrap(df, ["a"], "t")
+        finally:
+            inference.PERIODS = keep
+
+
+def test_sentence_classes(spark):
+    s = spark.createDataFrame([(1, 0, "We pay cash."), (1, 1, "This is final."), (1, 2, "Shares stay."), (1, 3, "These too."), (2, 0, "It is odd."), (2, 1, "Cash or shares.")], "doc_id int, n int, sentence string")
+    got = {(r.doc_id, r.n): r.kind for r in text.classified(s, "doc_id", {"cash": "(?i)cash", "share": "(?i)share"}).collect()}
+    assert got == {(1, 0): "cash", (1, 1): "cash", (1, 2): "share", (1, 3): "share", (2, 0): None, (2, 1): "cash"}

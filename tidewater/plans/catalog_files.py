@@ -165,11 +165,11 @@ def k_cancellations(spark, sf_dir):
     return text.cancellations(text.sentences(filings(spark, sf_dir, "We make pumps. ", said)), "doc_id")
 
 
-@query("""select o_orderkey as doc_id, p_partkey as entity from orders join part on p_partkey = o_custkey % 50""")
+@query("""select o_orderkey as doc_id, p_partkey as entity from orders join part on p_partkey = o_custkey""")
 def k_mentions(spark, sf_dir):
-    """Each filing names one of 50 makers at its end, beyond any prefix."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("entity"), F.concat(F.lit("Maker"), F.col("p_partkey").cast("string"), F.lit("x Pumps, Inc.")).alias("name"))
-    f = filings(spark, sf_dir, _filler(F.lit(2000)), "We thank MAKER", (F.col("o_custkey") % 50).cast("string"), "X Pumps for it. Maker99x pumpsuits are not theirs.")
+    """Each filing names one maker, of as many as there are parts, at its end, beyond any prefix."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), F.concat(F.lit("Maker"), F.col("p_partkey").cast("string"), F.lit("x Pumps, Inc.")).alias("name"))
+    f = filings(spark, sf_dir, _filler(F.lit(2000)), "We thank MAKER", F.col("o_custkey").cast("string"), "X Pumps for it. Maker7x pumpsuits are not theirs.")
     return events.mentions(p, f)
 
 

@@ -320,13 +320,13 @@ def h_effective_signals(spark, sf_dir):
 _LAGGED = " + ".join(f"2 * (1 - {k} / 6.0) * coalesce(v * lag(v, {k}) over (order by dt), 0)" for k in range(1, 6))
 
 
-@query(f"""with {DAILY_SQL}, {_RET}, d as (select dt, avg(ret) as x, avg(case when symbol < 'S00005' then ret end) as y from ret group by dt having x is not null and y is not null),
+@query(f"""with {DAILY_SQL}, {_RET}, d as (select dt, avg(ret) as x, avg(case when cast(right(symbol, 1) as int) % 2 = 1 then ret end) as y from ret group by dt having x is not null and y is not null),
 s as (select count(*) as n, avg(x) as mx, avg(y) as my, regr_slope(y, x) as b, sum(x * x) as sxx, sum(x) as sx, var_pop(y) * count(*) as total from d),
 e as (select dt, y - (my - b * mx) - b * x as e, (sxx - sx * x) / (n * sxx - sx * sx) as w from d, s), v as (select dt, e, e * w as v from e), l as (select e * e as ee, v * v + {_LAGGED} as term from v)
 select cast(n as double) as n, round((my - b * mx) * 252, 6) as alpha, round((my - b * mx) / sqrt(sum(term)), 6) as alpha_t, round((my - b * mx) / sqrt(sum(ee) / (n - 2)) * sqrt(252.0), 6) as ir, round(1 - sum(ee) / total, 6) as r2, round(b, 6) as mkt from l, s group by n, my, b, mx, total""")
 def h_factor_alpha(spark, sf_dir):
     r = returns(spark, sf_dir)
-    d = r.groupBy("dt").agg(F.avg("ret").alias("mkt"), F.avg(F.when(F.col("symbol") < "S00005", F.col("ret"))).alias("y"))
+    d = r.groupBy("dt").agg(F.avg("ret").alias("mkt"), F.avg(F.when(F.right(F.col("symbol"), F.lit(1)).cast("int") % 2 == 1, F.col("ret"))).alias("y"))
     a = inference.factor_alpha(d, "y", ["mkt"], "dt")
     return spark.createDataFrame([tuple(round(float(v), 6) for v in a.values())], ", ".join(f"{k} double" for k in a))
 
