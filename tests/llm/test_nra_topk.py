@@ -75,3 +75,14 @@ def test_few_and_none(spark):
     repeated = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1.0, 1.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<float>")
     assert results(repeated) == [(0, 1, 1, 64 * 64 * 7), (0, 2, 1, 64 * 64 * 2)]
     assert search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_lists_that_are_held_answer_as_new_ones():
+    rng = np.random.default_rng(12)
+    vectors, held = rng.integers(-40, 40, (150, 6)).astype(float), {}
+    for _ in range(3):
+        queries = rng.integers(-40, 40, (9, 6)).astype(float)
+        own = np.full(9, -1)
+        once, again = ([tuple(map(np.ndarray.tolist, x[:3])) for x in block_top(vectors, queries, own, 5, h)] for h in (None, held))
+        assert once == again
+    assert len(held) == 1

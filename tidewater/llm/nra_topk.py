@@ -48,7 +48,11 @@ class Lists:
         self.order = np.argsort(-both, axis=0, kind="stable")
         self.values = np.take_along_axis(both, self.order, 0)
         self.floor = self.values[-1]
-        self.low = np.repeat(self.floor[None, :], len(both), 0)
+        self.rewind()
+
+    def rewind(self) -> None:
+        """Nothing has been read."""
+        self.low = np.repeat(self.floor[None, :], len(self.values), 0)
         self.read = 0
 
     def advance(self, to: int) -> None:
@@ -71,13 +75,18 @@ def _of_kind(x: np.ndarray, kind: type) -> np.ndarray:
     return np.array([int(v) for v in x.ravel()], object).reshape(x.shape) if kind is object else x.astype(kind)
 
 
-def block_top(vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+def block_top(vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, held: dict[type, tuple[np.ndarray, Lists]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
     """Vectors among which each query's k best are, all that tie with the k-th included: (queries, vectors, scores, share of the lists
-    read), in pieces as queries stop. `own` is the position of the query itself among the vectors (-1: not there)."""
-    kind = _kind(vectors, queries)
-    vectors, queries = _of_kind(vectors, kind), _of_kind(queries, kind)
+    read), in pieces as queries stop. `own` is the position of the query itself among the vectors (-1: not there).
+    `held` keeps the lists of these vectors for more queries."""
+    kind, held = _kind(vectors, queries), {} if held is None else held
+    if kind not in held:
+        typed = _of_kind(vectors, kind)
+        held[kind] = typed, Lists(typed)
+    (vectors, lists), queries = held[kind], _of_kind(queries, kind)
+    lists.rewind()
     weights = np.maximum(np.concatenate((queries, -queries), axis=1), 0)
-    lists, n, left = Lists(vectors), len(vectors), np.arange(len(queries))
+    n, left = len(vectors), np.arange(len(queries))
     for depth in DEPTHS:
         lists.advance(max(1, math.ceil(depth * n)))
         low, high = lists.bounds(weights[left])
@@ -103,19 +112,22 @@ def _best(k: int, scale: float):
         return np.floor(np.nan_to_num(x, posinf=np.finfo(float).max, neginf=-np.finfo(float).max))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a block meets its packs one after the other; its lists are sorted once
+        last, vectors, held = np.zeros(0, np.int64), np.zeros((0, 0)), {}
         for batch in batches:
             c = {name: batch.column(j) for j, name in enumerate(batch.schema.names)}
             for i in range(len(batch)):
                 dims = c["dims"][i].as_py()
                 rows, ids, query_rows, query_ids = (np.asarray(c[x][i].values) for x in ("rows", "ids", "query_rows", "query_ids"))
-                vectors = vectors_of(c["vectors"], i, dims) if dims else np.zeros((len(rows), 0))
+                if not np.array_equal(rows, last):
+                    vectors, held, last = vectors_of(c["vectors"], i, dims) if dims else np.zeros((len(rows), 0)), {}, rows
                 queries = vectors_of(c["queries"], i, dims) if dims else np.zeros((len(query_rows), 0))
                 by_row = np.argsort(rows)
                 at = by_row[np.minimum(np.searchsorted(rows, query_rows, sorter=by_row), len(rows) - 1)]
                 own = np.where(rows[at] == query_rows, at, -1)
                 step = len(queries) if _kind(vectors, queries) is not object else 16
                 for first in range(0, len(queries), step):
-                    for q, v, score, read in block_top(vectors, queries[first : first + step], own[first : first + step], k):
+                    for q, v, score, read in block_top(vectors, queries[first : first + step], own[first : first + step], k, held):
                         score = np.clip(score, -(1 << 63), (1 << 63) - 1) if score.dtype == object else score
                         score, q = score.astype(np.int64), q + first
                         order = np.lexsort((rows[v], ids[v], ~score, q))
