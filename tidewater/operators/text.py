@@ -119,3 +119,33 @@ def effective_dates(docs: DataFrame, calendar: DataFrame, ident: str = "doc_id",
     days = calendar.select(F.col("dt").alias("effective"), F.col("day_index").cast("int").alias("_i"))
     d = d.withColumn("_i", F.when(F.col("_late"), F.col("_after")).otherwise(F.col("_on"))).join(days, "_i", "left")
     return d.groupBy(ident, "stated").agg(F.min("effective").alias("effective"))
+
+
+# Words of the names of funds and other pooled vehicles, and of the reasons for which an index drops a small company.
+FUND_WORDS = (
+    "FUND", "PORTFOLIO", "MULTI-STRATEGY", "MULTI STRATEGY", "ABSOLUTE RETURN", "HEDGE", "MASTER", "INTERVAL", "ALTERNATIVE", "INCOME", "CREDIT", "LENDING", "PRIVATE EQUITY",
+    "INFRASTRUCTURE", "INVESTMENT CORP", "BUSINESS DEVELOPMENT", "BDC", "REIT", "REAL ESTATE", "PROPERTIES", "TRUST",
+)
+SIZE_REASONS = ("market cap", "representative")
+
+
+def fund_like(name: Column) -> Column:
+    """Does a name hold a word of funds anywhere, or a partnership's or company's form as a word of its own? Case counts for neither; null names do not."""
+    upper = F.upper(name)
+    anywhere = upper.rlike("|".join(FUND_WORDS))
+    form = upper.rlike(r"(^|[^A-Z0-9])(L\.?P\.?|LLC)($|[^A-Z0-9])")
+    return F.coalesce(anywhere | form, F.lit(False))
+
+
+def offers_worth_reading(filings: DataFrame, known: Column, name: str = "company", form: str = "form", filer: str = "cik", original: str = "SC TO-I") -> DataFrame:
+    """Original filings by filers that are known or don't look like funds, and every amendment by the same filers."""
+    first = filings.where((F.col(form) == original) & (F.coalesce(known, F.lit(False)) | ~fund_like(F.col(name))))
+    amendments = filings.where(F.col(form) == f"{original}/A").join(first.select(filer).distinct(), filer, "left_semi").select(filings.columns)
+    return first.unionByName(amendments)
+
+
+def dropped_for_size(changes: DataFrame, removed: str, reason: str) -> DataFrame:
+    """Index changes that removed a company for its size, with `symbol` in the spelling of the bars (no dots)."""
+    told = F.lower(F.coalesce(reason, F.lit("")))
+    small = told.contains(SIZE_REASONS[0]) | told.contains(SIZE_REASONS[1])
+    return changes.where(F.col(removed).isNotNull() & small).withColumn("symbol", F.trim(F.replace(F.col(removed), F.lit("."), F.lit("-"))))

@@ -222,3 +222,34 @@ def l_changes_only(spark, sf_dir):
     e.join(once, ["user_id", "ts"]).repartition(4).write.parquet(f"{path}/in")
     jobs.change_stream(spark.readStream.schema(e.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint", ["user_id"], ["event_type"], "ts").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("user_id", "event_id", "event_type")
+
+
+@query("""with f as (select c_custkey, case c_custkey % 6 when 0 then 'Alpha Income ' || c_custkey when 1 then 'Beta L.P.' when 2 then 'Gamma Alpine Pumps' when 3 then 'Delta llc' when 4 then 'Trusty Parts' else 'Omega Works' end as company, c_custkey % 10 = 0 as known, c_custkey // 3 as cik, case when c_custkey % 3 = 0 then 'SC TO-I' else 'SC TO-I/A' end as form from customer),
+o as (select * from f where form = 'SC TO-I' and (known or not regexp_matches(company, '(?i)income|trust|(^|[^a-z0-9])(l\\.?p\\.?|llc)($|[^a-z0-9])')))
+select c_custkey from o union all select c_custkey from f where form = 'SC TO-I/A' and cik in (select cik from o)""")
+def b_offers_worth_reading(spark, sf_dir):
+    k = F.col("c_custkey")
+    name = F.when(k % 6 == 0, F.concat(F.lit("Alpha Income "), k.cast("string"))).when(k % 6 == 1, "Beta L.P.").when(k % 6 == 2, "Gamma Alpine Pumps").when(k % 6 == 3, "Delta llc").when(k % 6 == 4, "Trusty Parts").otherwise("Omega Works")
+    f = table(spark, sf_dir, "customer").select(k, name.alias("company"), (k % 10 == 0).alias("known"), F.floor(k / 3).alias("cik"), F.when(k % 3 == 0, "SC TO-I").otherwise("SC TO-I/A").alias("form"))
+    return text.offers_worth_reading(f, F.col("known")).select("c_custkey")
+
+
+@query("""select o_orderkey, 'A-' || (o_custkey % 9) as symbol from orders where o_orderkey % 4 > 0 and o_orderkey % 3 < 2""")
+def b_dropped_for_size(spark, sf_dir):
+    k = F.col("o_orderkey")
+    why = F.when(k % 3 == 0, "Market capitalization change").when(k % 3 == 1, "Not Representative of large caps").otherwise("Acquired")
+    c = table(spark, sf_dir, "orders").select(k, F.when(k % 4 > 0, F.concat(F.lit("A."), (F.col("o_custkey") % 9).cast("string"), F.lit(" "))).alias("removed"), why.alias("reason"))
+    return text.dropped_for_size(c, "removed", "reason").select("o_orderkey", "symbol")
+
+
+@query("""select o_orderdate, o_orderkey, row_number() over (order by o_orderdate, o_orderkey) as place from orders""")
+def o_sorted_table(spark, sf_dir):
+    """Orders written in order of day and key; each row's place is read off the files: rows in the parts before, and its place inside its part."""
+    from pyspark.sql import Window
+
+    path = _path(spark, "sorted")
+    readers.sorted_table(table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey"), path, ["o_orderdate", "o_orderkey"], 6)
+    rows = spark.read.parquet(path).select("o_orderdate", "o_orderkey", F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("i"))
+    sizes = rows.groupBy("part").count()
+    before = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(before, "part").select("o_orderdate", "o_orderkey", (F.col("before") + F.col("i") + 1).alias("place"))

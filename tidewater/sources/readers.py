@@ -142,3 +142,8 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str]
     else:
         merged = upsert(new.limit(0), new, keys, order)
     merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def sorted_table(df: DataFrame, path: str, order: list[str], partitions: int) -> None:
+    """A table in one global order: parts by ranges of `order`, sorted inside, so that files read in the order of their names give the rows in order."""
+    df.repartitionByRange(partitions, *order).sortWithinPartitions(*order).write.parquet(path)
