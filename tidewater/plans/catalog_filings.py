@@ -188,11 +188,11 @@ def c_asof_hot_key(spark, sf_dir):
     return rounded(joins.asof(o, v, ["key"], "day", "d", ["top"], cell=90).select("o_orderkey", F.col("asof_at").alias("found"), "top"))
 
 
-@query("""with l as (select l_orderkey, l_linenumber, cast(l_shipdate as date) as d from lineitem), s as (select o_orderkey, o_custkey % 5 as desk, cast(o_orderdate as date) as since, case when o_orderkey % 4 > 0 then cast(cast(o_orderdate as date) + cast(o_orderkey % 9 as int) as date) end as until from orders where o_orderkey % 40 = 0)
+@query("""with l as (select l_orderkey, l_linenumber, cast(l_shipdate as date) as d from lineitem), s as (select o_orderkey, o_custkey % 5 as desk, cast(o_orderdate as date) as since, case when o_orderkey % 97 > 0 then cast(cast(o_orderdate as date) + cast(o_orderkey % 9 as int) as date) end as until from orders)
 select s.desk, l.d as day, count(*) as pairs, sum(l_linenumber) as lines from l join s on l.l_orderkey % 5 = s.desk where l.d >= s.since and (s.until is null or l.d <= s.until) group by 1, 2""")
 def c_interval_hot_keys(spark, sf_dir):
     """Five keys hold all rows: spans of a few days or still open, tiled with cells, meet the days of all line items."""
     k = F.col("o_orderkey")
     items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 5).alias("desk"), F.to_date("l_shipdate").alias("day"), "l_linenumber").groupBy("desk", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("s"))
-    spans = table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select((F.col("o_custkey") % 5).alias("desk"), F.to_date("o_orderdate").alias("since"), F.when(k % 4 > 0, F.date_add(F.to_date("o_orderdate"), (k % 9).cast("int"))).alias("until"))
+    spans = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("desk"), F.to_date("o_orderdate").alias("since"), F.when(k % 97 > 0, F.date_add(F.to_date("o_orderdate"), (k % 9).cast("int"))).alias("until"))
     return joins.interval_join(items, spans, ["desk"], "day", "since", "until").groupBy("desk", "day").agg(F.sum("n").alias("pairs"), F.sum("s").alias("lines"))
