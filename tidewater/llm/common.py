@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,3 +101,33 @@ def gapless_slots(df: DataFrame, group: Column, order: list[str], salts: int) ->
         .withColumn("slot", F.col("_from") + F.col("_r") - 1)
         .drop("_g", "_s", "_g2", "_s2", "_from", "_r")
     )
+
+
+#: What operators keep in a worker from task to task; each is a list that may be emptied.
+memories: list[list] = []
+
+
+def forget() -> None:
+    """Empty what other operators keep in this worker: workers go on from stage to stage."""
+    for kept in memories:
+        kept.clear()
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` (batches to batches) that gives freed memory back to the system when its task ends."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, fresh, written
+from .common import checked_broadcast, forget, fresh, give_back, released, written
 from .wordhash import SPACES, mix, rolling, sequence, words
 
 NUM, DEN, WORDS = 90, 100, 3
@@ -151,7 +151,9 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, row, size of the set, its digest (`node`), and (of the first row a task meets with that digest) token bitmap and spares.
     `docs` has doc_id, text and row."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[int] = set()
         for batch in batches:
             sizes, nodes, maps, spare = [], [], [], []
@@ -197,6 +199,7 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFr
     """(part, node, band, names, members): the classes that share a named part with another. Parts of a band with the same classes
     count once; `names` says how many they are, and `members` how many classes are in each."""
 
+    @released
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -230,7 +233,10 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFr
         part, where, count = np.unique(members[several], return_index=True, return_counts=True)
         start, size, band = start[several][where], size[several][where], band[several][where].astype(np.int32)
         at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return pa.table({"part": np.repeat(part, size), "node": nodes[at], "band": np.repeat(band, size), "names": np.repeat(count.astype(np.int64), size), "members": np.repeat(size, size)})
+        out = pa.table({"part": np.repeat(part, size), "node": nodes[at], "band": np.repeat(band, size), "names": np.repeat(count.astype(np.int64), size), "members": np.repeat(size, size)})
+        del pairs, nodes, names, order, fresh, members
+        give_back()
+        return out
 
     met = docs.select("text").mapInArrow(name, "bucket int, parts binary").groupBy("bucket").applyInArrow(meet, "part long, node long, band int, names long, members long")
     return met.groupBy("part", "node").agg(F.max("band").alias("band"), F.sum("names").alias("names"), F.max("members").alias("members"))
@@ -364,6 +370,7 @@ def _possible(rows: DataFrame, num: int, den: int) -> DataFrame:
                 p, q = np.array(found).T
                 yield node[a + p], node[a + q]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # all of one group, the last that has been met
 
@@ -551,6 +558,7 @@ def _between(num: int, den: int):
 def _shingles(docs: DataFrame, k: int) -> DataFrame:
     """node and shingles of `docs` (text, row); a row met again in a task is left out, and each node is there once."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, written
+from .common import checked_broadcast, forget, released, written
 from .wordhash import SPACES, rolling, words_at
 
 WINDOW = 8
@@ -97,7 +97,9 @@ def count_texts(texts: list[bytes | None]) -> dict[str, np.ndarray]:
 def counts(docs: DataFrame, stratum: str | None) -> DataFrame:
     """doc_id, stratum, a hash of the text, and the counts of every whole text."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = count_texts(batch.column(3).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[c]) for c in _COUNTS)], names=["doc_id", "stratum", "hash", *_COUNTS])
@@ -201,7 +203,9 @@ def keep(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", limit
     chosen = {row["_stratum"]: {r: row[f"_{r}"] for r in RULES if row[f"_{r}"] is not None} for row in rows}
     at, of = docs.columns.index("text"), None if stratum is None else docs.columns.index(stratum)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             n = count_texts(batch.column(at).cast(pa.binary()).to_pylist())
             strata = ["all"] * batch.num_rows if of is None else ["(null)" if x is None else str(x) for x in batch.column(of).to_pylist()]

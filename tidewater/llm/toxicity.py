@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import fresh
+from .common import forget, fresh, memories, released
 
 SAMPLE = 10_000
 SYMBOLS = 28
@@ -91,7 +91,9 @@ def gram_counts(texts: list[bytes]) -> np.ndarray:
 def language_model(docs: DataFrame) -> np.ndarray:
     """log P(symbol | three before), as float32 of SYMBOLS**4; each order is smoothed by the one below."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(SYMBOLS**4, np.int64)
         for batch in batches:
             total += gram_counts([t for t in batch.column(0).cast(pa.binary()).to_pylist() if t])
@@ -280,6 +282,7 @@ def sample_of(labels: DataFrame, most: int = SAMPLE) -> tuple[DataFrame, dict[in
 def _weigh(sample: DataFrame, model: np.ndarray) -> dict[str, float]:
     """Weights of words and beginnings from the labelled texts of `sample` (text, toxic)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
         seen: dict[str, list[int]] = {}
@@ -340,6 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Fitted:
     rows = rows.select("text", F.col("toxic").cast("int").alias("toxic"), (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).alias("weighs"))
     weights = _weigh(rows.where("weighs"), model)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model, weights)
         for batch in batches:
@@ -354,6 +358,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Fitted:
 
 
 _scorers: list[tuple[int, Scorer]] = []
+memories.append(_scorers)
 
 
 def _scorer(key: int, fitted: Fitted) -> Scorer:
@@ -368,6 +373,7 @@ def score(docs: DataFrame, fitted: Fitted, name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
     at, key = docs.columns.index("text"), uuid.uuid4().int
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
         scorer = _scorer(key, f)
