@@ -101,6 +101,7 @@ def redemption_amounts(docs: DataFrame, ident: str = "doc_id", text: str = "text
     An amount called the current redemption or conversion amount comes first, then one that follows "per-share price ... redeem ...",
     then the most frequent amount per share with words of redemption up to `before` characters before it or 60 behind, amounts that are not
     whole before round ones. Amounts beside words of warrants, offers or prices (120 before, 40 behind) and outside [low, high] don't count."""
+    # Patterns.
     found = located(docs, {
         "amount": rf"{MONEY}\s*(?:per|for each)\s+(?:\w+\s+){{0,3}}?share", "word": REDEMPTION, "other": NOT_REDEMPTION,
         "current": rf"current\s+(?:conversion|redemption)\s+(?:amount|price)\s+(?:of\s+)?(?:approximately\s+)?{MONEY}",
@@ -114,6 +115,7 @@ def redemption_amounts(docs: DataFrame, ident: str = "doc_id", text: str = "text
     return most_frequent(ranked, [ident], "v", "start").withColumnRenamed("v", "stated_amount")
 
 
+# Patterns of terms, and of treatments below.
 _MONTHS_TO = rf"within\s+(\d{{1,2}}|twelve|fifteen|eighteen|twenty[- ]one|twenty[- ]four)\s+months\s+(?:\([^)]{{0,200}}\)\s+)?(?:from|after|of)\s+(?:the\s+)?(?:closing|consummation|completion|date)"
 _EXCHANGE = r"NYSE\s+(?:American|MKT|Amex)|New\s+York\s+Stock\s+Exchange|American\s+Stock\s+Exchange|NYSE|Nasdaq"
 
@@ -126,6 +128,7 @@ def _first(rows: DataFrame, ident: str, **kinds: str) -> DataFrame:
 def prospectus_terms(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: trust_per_share (the first amount per share or unit within 160 characters of the trust account; 9 to 11.5), deadline_months,
     symbol (of the units, without their U), exchange, and whether a unit holds a warrant or a right."""
+    # Patterns.
     found = located(docs, {
         "amount": rf"{MONEY}\s+per\s+(?:unit|share|public\s+share)", "trust": r"trust\s+account", "months": _MONTHS_TO, "exchange": _EXCHANGE,
         "symbol": r"units?\b[^.]{0,200}?under\s+the\s+(?:ticker\s+)?symbol\s+[\"“]?\s*([A-Z]{2,6})\b", "unit": r"each\s+unit\s+(?:consists|will\s+consist|consisting)\s+of\s+([^.]{0,300})",
@@ -146,6 +149,7 @@ def meeting_terms(docs: DataFrame, ident: str = "doc_id", text: str = "text", fo
 
     A deadline counts from ten days before the meeting to the meeting. A prospectus supplement (424B3) that speaks of no special or
     extraordinary meeting is no proxy: kind not_a_proxy and nothing else."""
+    # Patterns.
     found = located(docs, {
         "held": rf"(?:to\s+be\s+held|will\s+be\s+held|meeting\s+(?:of\s+\w+\s+)?on)[^.]{{0,120}}?{DATE}", "special": r"special\s+meeting|extraordinary\s+general\s+meeting",
         "extension": r"exten(?:d|sion)[^.]{0,120}(?:date|period|time|charter)", "combination": r"business\s+combination|merger\s+agreement",
@@ -166,6 +170,7 @@ def event_updates(docs: DataFrame, ident: str = "doc_id", text: str = "text", fi
 
     What was paid is stated next to words of redemption (160 characters) without words of expectation (60); without one it is the most frequent
     amount near redemption, else dollars over shares redeemed, where that is 5 to 12.5."""
+    # Patterns.
     found = located(docs, {
         "postponed": rf"(?:postpone|adjourn|reschedul|reconven)\w*[^.]{{0,300}}?(?:to|until|on|for)\s+(?:\w+day,\s+)?{DATE}",
         "extended": rf"(?:approved|extended|elected\s+to\s+extend)[^.]{{0,60}}?exten[^.]{{0,400}}?(?:to|until|through)\s+{DATE}|extended[^.]{{0,400}}?(?:to|until|through)\s+{DATE}",
@@ -201,6 +206,7 @@ def event_updates(docs: DataFrame, ident: str = "doc_id", text: str = "text", fi
 def offer_details(docs: DataFrame, ident: str = "doc_id", text: str = "text", filed: str = "filed") -> DataFrame:
     """Per offer: the day it expires (the first date on or after the filing that stands up to 250 characters behind a word of expiring), the odd-lot
     threshold (stated up to 1,500 characters behind a mention of odd lots), whether odd lots come first, whether only they are bought, and the security."""
+    # Patterns.
     found = located(docs, {
         "day": DATE, "expires": r"expire[sd]?\b|expiration", "odd": r"odd[\s\-]*lots?\b", "fewer": r"(?:fewer|less)\s+than\s+(\d{2,4}|one\s+hundred)\s+(?:\(\d+\)\s+)?(?:[\w-]+\s+){0,3}?(?:shares|units)",
         "first": r"priority|before\s+proration|not\s+be\s+subject\s+to\s+proration|without\s+(?:regard\s+to\s+)?proration|accept\s+for\s+purchase\s+all",
