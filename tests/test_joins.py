@@ -106,6 +106,21 @@ def test_hot_key_makes_no_pairs(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_interval_join_broadcasts_no_tiles(spark):
+    """Tiles are many times the links they are sized by; facts take the levels of these spans only (0 to 2)."""
+    facts = spark.range(3_000).select(F.lit("k").alias("k"), F.date_add(F.lit(DAY), F.col("id").cast("int")).alias("at"))
+    links = spark.range(100).select(F.lit("k").alias("k"), F.date_add(F.lit(DAY), (F.col("id") * 7).cast("int")).alias("s"), F.date_add(F.lit(DAY), (F.col("id") * 7 + 30).cast("int")).alias("e"))
+    joined = joins.interval_join(facts, links, ["k"], "at", "s", "e")
+    assert joined.count() == 100 * 31
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin [k" not in plan
+    tiles = joins._tiled(spark.range(64).select((F.col("id") + 1000).alias("_first"), (F.col("id") + 1030).alias("_end"))).select("_first", "_level", F.sequence("_low", "_high").alias("c"))
+    covered = {}
+    for r in tiles.collect():
+        covered.setdefault(r._first, []).extend(x for c in r.c for x in range(c * joins.RADIX**r._level, (c + 1) * joins.RADIX**r._level))
+    assert {k: sorted(v) for k, v in covered.items()} == {i: list(range(i, i + 31)) for i in range(1000, 1064)}
+
+
 def test_fuzzy_links_lose_no_pair(spark):
     rng = random.Random(5)
     words = ["Acme", "Bank", "of", "the", "Ohio", "Inc", "Zed", "Z", "AB", "Acmetronic", "First", "Trust", "Cob", "Obank", "co", "Über", "3M"]

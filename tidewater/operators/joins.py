@@ -45,39 +45,41 @@ def first_from(left: DataFrame, right: DataFrame, by: list[str], left_at: str, r
     return asof(a, b, by, "_ahead", "_behind", ["_on", *values], exact).drop("_ahead").withColumn("asof_at", F.col("_on")).drop("_on")
 
 
-#: Time cells nest by sixteens: spans of dates or whole numbers up to 16 ** LEVELS around 1970 (or 0).
-RADIX, LEVELS = 16, 5
+#: Time cells nest by fours: spans of dates or whole numbers up to RADIX ** LEVELS / 2 on both sides of 1970 (or 0).
+RADIX, LEVELS = 4, 10
 
 
-def _at_level(k: int):
-    return lambda x: F.struct(F.lit(k).alias("_level"), x.alias("_cell"))
+def _level_column() -> Column:
+    return F.explode(F.array(*map(F.lit, range(LEVELS)))).alias("_level")
 
 
-def _cells(first: Column, last: Column) -> Column:
-    """The fewest cells (level, number) that tile the places from first to last, each place in one of them."""
-    out = []
-    for k in range(LEVELS):
-        low, high = F.ceil(first / RADIX**k), F.floor((last + 1) / RADIX**k) - 1
-        up_low, up_high = F.ceil(first / RADIX ** (k + 1)), F.floor((last + 1) / RADIX ** (k + 1)) - 1
-        whole = (up_low > up_high) | F.lit(k + 1 == LEVELS)
-        for a, b in ((low, F.when(whole, high).otherwise(RADIX * up_low - 1)), (F.when(whole, high + 1).otherwise(RADIX * (up_high + 1)), high)):
-            numbers = F.when(a <= b, F.sequence(a.cast("long"), b.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-            out.append(F.transform(numbers, _at_level(k)))
-    return F.concat(*out)
+def _tiled(spans: DataFrame) -> DataFrame:
+    """`spans` with the fewest cells that tile the places from `_first` to `_end`, each place in one of them: a row for each stretch of cells of a level,
+    their numbers from `_low` to `_high`."""
+    size = F.pow(F.lit(RADIX), F.col("_level"))
+    low, high = F.ceil(F.col("_first") / size), F.floor((F.col("_end") + 1) / size) - 1
+    up_low, up_high = F.ceil(F.col("_first") / (size * RADIX)), F.floor((F.col("_end") + 1) / (size * RADIX)) - 1
+    d = spans.select("*", _level_column()).select("*", low.alias("_a"), high.alias("_b"), up_low.alias("_ua"), up_high.alias("_ub")).where("_a <= _b")
+    whole = (F.col("_ua") > F.col("_ub")) | (F.col("_level") == LEVELS - 1)
+    # what a larger cell can't take: all of it, or what lies before and behind the larger cells
+    pair = lambda a, b: F.struct(a.cast("long").alias("_low"), b.cast("long").alias("_high"))
+    each = F.array(pair(F.col("_a"), F.when(whole, F.col("_b")).otherwise(F.col("_ua") * RADIX - 1)), pair(F.when(whole, F.col("_b") + 1).otherwise((F.col("_ub") + 1) * RADIX), F.col("_b")))
+    return d.select(*spans.columns, "_level", F.explode(each).alias("_c")).select(*spans.columns, "_level", "_c.*").where("_low <= _high")
 
 
 def interval_join(facts: DataFrame, links: DataFrame, on: list[str], at: str, start: str, end: str) -> DataFrame:
     """Facts with the links of the same key that hold on their date (null end: still holds).
 
     Each link's span is tiled with nested cells, each fact lies in one cell a level, and both meet by (key, level, cell): rows of a key are
-    paired only where the link holds (to the day, for times), whatever number of rows the key has on both sides."""
+    paired only where the link holds (to the day, for times), whatever number of rows the key has on both sides. Facts take only the levels that
+    some span uses, at most LEVELS rows. The tiles are many times the links that the optimizer sizes them by, so they are never broadcast."""
     half = RADIX**LEVELS // 2
     shifted = lambda df, c: F.least(F.greatest(F.floor(place(df, c) / (86_400 if df.schema[c].dataType.typeName().startswith("timestamp") else 1)) + half, F.lit(0)), F.lit(2 * half - 1))
-    spans = links.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(start) <= F.col(end))))
-    spans = spans.withColumn("_c", F.explode(_cells(shifted(links, start), F.when(F.col(end).isNull(), 2 * half - 1).otherwise(shifted(links, end))))).select(*links.columns, "_c.*")
-    n = shifted(facts, at)
-    points = facts.where(F.col(at).isNotNull()).withColumn("_c", F.explode(F.array(*(F.struct(F.lit(k).alias("_level"), F.floor(n / RADIX**k).alias("_cell")) for k in range(LEVELS))))).select(*facts.columns, "_c.*")
-    return points.join(spans, [*on, "_level", "_cell"]).drop("_level", "_cell").where((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) <= F.col(end))))
+    held = links.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(start) <= F.col(end)))).withColumn("_first", shifted(links, start)).withColumn("_end", F.when(F.col(end).isNull(), 2 * half - 1).otherwise(shifted(links, end)))
+    spans = _tiled(held).select(*links.columns, "_level", F.explode(F.sequence("_low", "_high")).alias("_cell"))
+    used = F.broadcast(_tiled(held.select("_first", "_end").distinct()).select("_level").distinct())
+    points = facts.where(F.col(at).isNotNull()).select("*", _level_column()).join(used, "_level", "left_semi").withColumn("_cell", F.floor(shifted(facts, at) / F.pow(F.lit(RADIX), F.col("_level"))))
+    return points.join(spans.hint("merge"), [*on, "_level", "_cell"]).drop("_level", "_cell").where((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) <= F.col(end))))
 
 
 def best_match(df: DataFrame, keys: list[str], score: str, *tie: str) -> DataFrame:
