@@ -60,3 +60,17 @@ def test_each_key_is_scored_once(spark, tmp_path):
         jobs.scoring_stream(stream, lambda b: b.select("k", "at", (F.coalesce("v", F.lit(0.0)) > 1).alias("up")), f"{tmp_path}/out", f"{tmp_path}/{checkpoint}", ["k", "at"], "at").awaitTermination()
         got = spark.read.parquet(f"{tmp_path}/out").select("k", "at", "up").collect()
         assert sorted(map(tuple, got)) == sorted((k, at, (v or 0) > 1) for k, at, v, _ in rows)
+
+
+def test_keys_share_states(spark, tmp_path):
+    """60,000 keys, some null, in two batches that overlap by half: keys share a bounded number of states."""
+    e = spark.range(60_000).select(F.when(F.col("id") % 10_000 > 0, F.col("id")).alias("k"), F.timestamp_seconds("id").alias("at"))
+    e.where("at < timestamp_seconds(40000)").write.parquet(f"{tmp_path}/src/0")
+    e.where("at >= timestamp_seconds(20000)").write.parquet(f"{tmp_path}/src/1")
+    for n in range(2):
+        stream = spark.readStream.schema("k long, at timestamp").parquet(f"{tmp_path}/src/{n}")
+        ran = jobs.scoring_stream(stream, lambda b: b, f"{tmp_path}/out", f"{tmp_path}/c{n}", ["k"], "at")
+        ran.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in ran.recentProgress if p["stateOperators"]) <= 512
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == got.distinct().count() == 60_000 - 6 + 1 and got.where("k is null").count() == 1

@@ -6,7 +6,8 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,44 +19,59 @@ def hourly_bars(ticks: DataFrame, late: str = "2 hours") -> DataFrame:
     return g.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+#: Keys share this many states: a task handles a bucket's rows and keys together, as frames.
+BUCKETS = 512
+
+
 class LastPrint(StatefulProcessor):
-    """Holds of each key when its last row was and what its tracked columns were; gives the rows that differ from the one before them. Rows not later than the
-    last one, which come again or late, change nothing. With nothing tracked only a key's first row is given."""
+    """Holds of each key (`key__`) when its last row was and its tracked columns as text (`print__`), for all keys of a bucket in one state; gives the rows that
+    differ from the one before them. Rows not later than the last one, which come again or late, change nothing. With nothing tracked only a key's first row is given."""
 
-    def __init__(self, order: str, tracked: list[str], kinds: dict[str, str], at: str):
-        self.order, self.tracked, self.kinds, self.at = order, tracked, kinds, at
+    def __init__(self, order: str, columns: list[str]):
+        self.order, self.columns = order, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", f"at {self.at}, print string")
-
-    def _print(self, row: pd.Series) -> str:
-        return "\x1f".join("\x00" if pd.isna(row[c]) else str(row[c]) for c in self.tracked)
+        self.last = handle.getValueState("last", "keys binary")
+
+    def _known(self) -> pd.DataFrame | None:
+        return pa.ipc.open_stream(self.last.get()[0]).read_pandas() if self.last.exists() else None
+
+    def _hold(self, rows: pd.DataFrame, known: pd.DataFrame | None) -> None:
+        """Keep each key's last row of `rows`, sorted, and of what was known the keys that did not come."""
+        last = rows.drop_duplicates("key__", keep="last")[["key__", self.order, "print__"]].set_axis(["key__", "_at", "_told"], axis=1)
+        if known is not None:
+            last = pd.concat([known[~known["key__"].isin(last["key__"])], last], ignore_index=True)
+        table = pa.Table.from_pandas(last, preserve_index=False)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as writer:
+            writer.write_table(table)
+        self.last.update((out.getvalue().to_pybytes(),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True)
-        prints = frame.apply(self._print, axis=1)
-        order = sorted(range(len(frame)), key=lambda i: (frame[self.order][i], prints[i]))
-        known = self.last.get() if self.last.exists() else None
-        at, told = known if known else (None, None)
-        kept = []
-        for i in order:
-            now = frame[self.order][i]
-            now = now.to_pydatetime() if isinstance(now, pd.Timestamp) else now.item() if hasattr(now, "item") else now
-            if known and now <= known[0]:
-                continue
-            if told != prints[i]:
-                kept.append(i)
-            at, told = now, prints[i]
-        if at is not None:
-            self.last.update((at, told))
-        if kept:
-            yield frame.iloc[kept]
+        frame, known = pd.concat(list(rows), ignore_index=True), self._known()
+        if known is None:
+            frame["_told"] = None
+        else:
+            frame = frame.merge(known, on="key__", how="left")
+            seen = frame["_at"].notna()
+            come = frame[seen]
+            frame = pd.concat([frame[~seen], come[~(come[self.order] <= come["_at"]).astype(bool)]])
+        if len(frame):
+            frame = frame.sort_values(["key__", self.order, "print__"], kind="stable", ignore_index=True)
+            before = frame["print__"].shift().where(frame["key__"] == frame["key__"].shift(), frame["_told"])
+            self._hold(frame, known)
+            yield frame.loc[before.isna() | (before != frame["print__"]), self.columns]
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        last = initialState.sort_values(self.order).iloc[-1]
-        now = last[self.order]
-        now = now.to_pydatetime() if isinstance(now, pd.Timestamp) else now.item() if hasattr(now, "item") else now
-        self.last.update((now, self._print(last)))
+        self._hold(initialState.sort_values(["key__", self.order], kind="stable"), self._known())
+
+
+def _text(df: DataFrame, columns: list[str]) -> Column:
+    """Values as one text, different for different values; null is a value. (Names of columns that go to a task as rows may not begin with an underscore.)"""
+    kinds = dict(df.dtypes)
+    each = [F.unix_micros(c) if kinds[c] == "timestamp" else F.col(c) for c in columns]
+    each = [F.coalesce(F.concat(F.length(c.cast("string")), F.lit(":"), c.cast("string")), F.lit("-")) for c in each]
+    return F.concat(F.lit(""), *each)
 
 
 def changed_only(stream: DataFrame, before: DataFrame | None, keys: list[str], tracked: list[str], order: str) -> DataFrame:
@@ -63,12 +79,13 @@ def changed_only(stream: DataFrame, before: DataFrame | None, keys: list[str], t
     what each key's last row was (rows of the stream's columns)."""
     # a store on disk beside each task: keys need not fit in memory
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    kinds = dict(stream.dtypes)
-    keyed = stream.groupBy(*keys)
-    start = None
-    if before is not None:
-        start = before.select(*stream.columns).groupBy(*keys)
-    return keyed.transformWithStateInPandas(LastPrint(order, tracked, kinds, kinds[order]), stream.schema, "Append", "None", start)
+
+    def dealt(df: DataFrame):
+        told = df.select("*", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("bucket__"), _text(df, keys).alias("key__"), _text(df, tracked).alias("print__"))
+        return told.groupBy("bucket__")
+
+    start = None if before is None else dealt(before.select(*stream.columns))
+    return dealt(stream).transformWithStateInPandas(LastPrint(order, stream.columns), stream.schema, "Append", "None", start)
 
 
 def _target(spark: SparkSession, path: str, columns: str) -> DataFrame | None:
