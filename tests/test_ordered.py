@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import inference, modelling, ordered, quality, windows
+from tidewater.operators import aggregates, inference, modelling, ordered, quality, windows
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +103,28 @@ def test_newey_west_at_any_length(spark):
     df = spark.createDataFrame(pd.DataFrame({"g": 1, "t": np.arange(len(y)), "y": y}))
     got = inference.newey_west(df, "y", "t", ["g"]).first()
     assert got.se == pytest.approx(v, rel=1e-9) and got.t == pytest.approx(y.mean() / v, rel=1e-9)
+
+
+def test_quantiles_of_large_groups_sort_only_what_is_near(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "LARGE", 2_000)
+    monkeypatch.setattr(ordered, "NEAR", 0.01)
+    rng = random.Random(7)
+    rows = [("big", rng.choice([rng.gauss(0, 1), 0.0, 0.5])) for _ in range(6_000)] + [("small", rng.random()) for _ in range(50)] + [("same", 1.0)] * 3_000 + [("big", None)] * 9
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.1, 0.105, 0.5, 1.0]
+    got = {r.g: r.q for r in ordered.quantiles(df, ["g"], "v", probs).collect()}
+    for g in ("big", "small", "same"):
+        assert got[g] == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], probs).tolist(), abs=1e-12)
+
+
+def test_breakdown_median_is_not_one_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "LARGE", 500)
+    monkeypatch.setattr(ordered, "NEAR", 0.01)
+    rng = random.Random(8)
+    rows = [(2000 + i % 2, rng.choice([None, rng.gauss(0, 1)])) for i in range(4_001)]
+    out = aggregates.breakdown(spark.createDataFrame(rows, "y int, v double"), {"up": F.col("v") > 0, "none": F.lit(False)}, F.col("y"), "v")
+    got = {r["slice"]: r.median for r in out.collect()}
+    held = {"all": rows, "up": [r for r in rows if r[1] is not None and r[1] > 0], "year 2000": rows[::2], "year 2001": rows[1::2]}
+    assert got.keys() == held.keys()
+    assert all(got[k] == pytest.approx(np.median([v for _, v in x if v is not None]), abs=1e-12) for k, x in held.items())
+    assert "median(" not in out._jdf.queryExecution().logical().toString()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantiles
+
 
 def strategy_returns(rows: DataFrame, at: str, ret: str, cost: float) -> DataFrame:
     """Per date: mean net and gross return, hit rate and number of the selected rows."""
@@ -67,9 +69,13 @@ def outcome_mix(df: DataFrame, by: list[str], outcome: str, kinds: list[str]) ->
 
 
 def breakdown(df: DataFrame, slices: dict[str, Column], year: Column, value: str) -> DataFrame:
-    """One row per slice: all rows, each year, and each named mask; every row is read once and given its labels."""
+    """One row per slice: all rows, each year, and each named mask; rows are given their labels."""
     labels = F.array_compact(F.array(F.lit("all"), F.concat(F.lit("year "), year.cast("string")), *(F.when(m, F.lit(n)) for n, m in slices.items())))
-    return df.select(F.explode(labels).alias("slice"), value).groupBy("slice").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.avg(F.when(F.col(value) > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.sum(value).alias("total"))
+    rows = df.select(F.explode(labels).alias("slice"), value)
+    sums = rows.groupBy("slice").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.avg(F.when(F.col(value) > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.sum(value).alias("total"))
+    # a slice may hold all rows, so its median isn't one task's
+    middle = quantiles(rows, ["slice"], value, [0.5], "_q").select("slice", F.col("_q")[0].alias("median"))
+    return sums.join(middle, "slice", "left").select("slice", "n", "mean", "median", "win_rate", "total")
 
 
 def trade_stats(df: DataFrame, by: list[str], pnl: str, at: str) -> DataFrame:
