@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tidewater.operators import proximity as near
+from tidewater.plans import catalog  # first, as the others add to it
+from tidewater.plans import catalog_filings as filings
 
 
 def docs(spark, *texts, **more):
@@ -86,3 +88,13 @@ def test_fraction_votes(spark):
 def test_days(spark):
     d = spark.createDataFrame([("March 5 , 2021",), ("FEBRUARY  30, 2021",), ("june 1,2021",)], "v string")
     assert [r[0] for r in d.select(near.day(F.col("v"))).collect()] == [date(2021, 3, 5), None, date(2021, 6, 1)]
+
+
+def test_filings_are_dealt_out_and_matches_sorted_twice(spark):
+    """One file of orders is more texts than a task should read; all that is asked of a match's neighbours shares two sorts."""
+    sf = "/root/testdata/sf0.001"
+    assert filings.filings(spark, sf, "x").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for query in map(catalog.QUERIES.get, ("k_offer_details", "k_event_updates", "k_redemption_amounts")):
+        plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        # of `start`, in two directions; event updates read the amounts by a pass of their own
+        assert plan.count("Window [last(") <= (4 if query is filings.k_event_updates else 2)

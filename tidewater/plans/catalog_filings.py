@@ -21,8 +21,8 @@ def _filler(n: Column) -> Column:
 
 
 def filings(spark, sf_dir, *parts: Column | str) -> DataFrame:
-    """doc_id, filed, form, text: one filing an order, of the given parts."""
-    o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey")).withColumn("d", F.to_date("o_orderdate"))
+    """doc_id, filed, form, text: one filing an order, of the given parts. A file of orders holds many more texts than its size says, so rows are dealt out first."""
+    o = table(spark, sf_dir, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("k", F.col("o_orderkey")).withColumn("d", F.to_date("o_orderdate"))
     form = F.when(F.col("k") % 7 == 0, "424B3").when(F.col("k") % 7 < 3, "DEFM14A").otherwise("DEF 14A")
     return o.select(F.col("k").alias("doc_id"), F.col("d").alias("filed"), form.alias("form"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("text"))
 
