@@ -128,3 +128,15 @@ def test_breakdown_median_is_not_one_tasks(spark, monkeypatch):
     assert got.keys() == held.keys()
     assert all(got[k] == pytest.approx(np.median([v for _, v in x if v is not None]), abs=1e-12) for k, x in held.items())
     assert "median(" not in out._jdf.queryExecution().logical().toString()
+
+
+def test_concentration_cuts_are_not_one_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "LARGE", 500)
+    rng = random.Random(9)
+    rows = [("ab"[i % 2], i % 40, rng.gauss(0, 1)) for i in range(4_000)]
+    out = inference.concentration(spark.createDataFrame(rows, "g string, d int, v double"), "v", "d", ["g"])
+    for r in out.collect():
+        v = np.array([x for g, _, x in rows if g == r.g])
+        low, high = np.quantile(v, [0.005, 0.995])
+        assert r.trimmed_mean == pytest.approx(v[(v >= low) & (v <= high)].mean(), abs=1e-12)
+    assert "percentile(" not in out._jdf.queryExecution().logical().toString()

@@ -35,7 +35,7 @@ def time_block(at: str, start: Column, hold: int) -> Column:
 
 def concentration(df: DataFrame, value: str, cluster: str, by: list[str]) -> DataFrame:
     """trimmed mean (0.5 to 99.5 %) and the share of the five largest cluster sums."""
-    cuts = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.005), F.lit(0.995))).alias("_q"))
+    cuts = quantiles(df, by, value, [0.005, 0.995], "_q")
     trimmed = df.join(cuts, by).where(F.col(value).between(F.col("_q")[0], F.col("_q")[1])).groupBy(*by).agg(F.avg(value).alias("trimmed_mean"))
     sums = df.groupBy(*by, cluster).agg(F.abs(F.sum(value)).alias("_a"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_a"), cluster))
