@@ -59,17 +59,18 @@ def known_terms(filings: DataFrame, rule: str = "v1", key: str = "event") -> Dat
 
 def split_entries(events: DataFrame, known: DataFrame, calendar: DataFrame) -> DataFrame:
     """event, entry_on and the terms known then: the first session before the split on which, by what is known that day, today's trade settles before the
-    effective day and tomorrow's would not. Decided session by session: a later postponement can't move an entry that was due.
+    effective day and tomorrow's would not. Decided by the terms of that day alone: a later postponement can't move an entry that was due.
 
     events: event, split_on; known: `known_terms`. Sessions of an event run from its announcement to the split."""
-    days = settling(calendar)
-    first = known.groupBy("event").agg(F.min("announced").alias("_from")).where("_from is not null")
-    e = session_of(session_of(events.select("event", "split_on").join(first, "event"), calendar, "_from", "_a", ahead=True, strict=False), calendar, "split_on", "_b", ahead=False, strict=True)
-    each = e.where("_a <= _b").select("event", F.explode(F.sequence("_a", "_b")).alias("day_index")).join(days, "day_index")
+    # settlement days only rise, so a day lies behind the settlement of one session and not behind that of the next: effective days lead to that session by equality,
+    # whatever number of sessions lie between an event's announcement and its split
+    days = settling(calendar).where("settles_on < next_settles_on")
+    chances = days.select("dt", "settles_on", F.explode(F.sequence(F.date_add("settles_on", 1), F.col("next_settles_on"))).alias("effective"))
     terms = ["treatment", "ratio", "effective", "announced", "cancelled"]
-    d = asof(each, known, ["event"], "dt", "usable", terms)
-    last_chance = (F.col("settles_on") < F.col("effective")) & (F.col("effective") <= F.col("next_settles_on"))
-    due = d.where((F.col("dt") >= F.col("announced")) & ~F.col("cancelled") & last_chance)
+    until = F.lead("usable").over(Window.partitionBy("event").orderBy("usable"))
+    d = known.withColumn("_until", until).where("announced is not null and effective is not null and not cancelled").join(F.broadcast(chances), "effective")
+    d = d.where((F.col("dt") >= F.greatest("usable", "announced")) & (F.col("_until").isNull() | (F.col("dt") < F.col("_until"))))
+    due = d.join(events.select("event", "split_on"), "event").where(F.col("dt") < F.col("split_on"))
     return due.groupBy("event").agg(F.min("dt").alias("entry_on"), F.min_by(F.struct(*terms, "settles_on"), "dt").alias("_t")).select("event", "entry_on", "_t.*").drop("announced", "cancelled")
 
 

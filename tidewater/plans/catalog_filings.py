@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import joins, proximity, timelines
 from ..operators.features import calendar as sessions
 from ..sources.adapters import customer_symbol, daily_bars, table
+from ..sources.shared import written
 from .catalog import query, rounded
 
 
@@ -149,8 +150,9 @@ def f_split_payoffs(spark, sf_dir):
     f = _terms(spark, sf_dir)
     bars = daily_bars(spark, sf_dir)
     events = f.groupBy("event").agg(F.date_add(F.max("usable"), 40).alias("split_on"), F.max("ratio").alias("ratio")).where("ratio is not null").withColumn("symbol", customer_symbol(F.col("event")))
-    quotes = bars.select("symbol", "dt", F.col("low").alias("bid"), F.col("high").alias("ask"))
-    return timelines.split_payoffs(events, f, quotes, sessions(bars), "v2")
+    # read for the entries, the sales and the splits, and the sessions by every step: both are written once
+    quotes = written(bars.select("symbol", "dt", F.col("low").alias("bid"), F.col("high").alias("ask")), "quotes")
+    return timelines.split_payoffs(events, f, quotes, written(sessions(quotes), "sessions"), "v2")
 
 
 @query(None)
