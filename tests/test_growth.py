@@ -1,8 +1,14 @@
 """Steps whose work must grow with the rows: what their plans must not hold, and their results beside plain ones."""
 
+import random
 from datetime import date, timedelta
 
-from tidewater.operators import timelines
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidewater.operators import features, timelines, windows
+from tidewater.operators.rolling import rolled
+from tidewater.sources.adapters import daily_bars
 
 
 def optimized(df) -> str:
@@ -18,3 +24,34 @@ def test_split_entries_make_no_row_for_each_session(spark):
     assert "explode(sequence(_a" not in optimized(got)
     # from 2017-09-05 on two days to settle, so the last trade that settles before days[2005] is three sessions ahead of it
     assert [(r.event, r.entry_on, r.treatment) for r in got.collect()] == [(1, days[2002], "ROUNDUP_HOLDER")]
+
+
+def test_rolled_is_what_moving_frames_say(spark):
+    """To the last bit, nulls, NaN, short histories and rows without movement included."""
+    rng = random.Random(4)
+    value = lambda: rng.choice([None, 1.5, 1.5, rng.random(), float("nan") if rng.random() < 0.1 else 3.0])
+    rows = [(s, date(2020, 1, 1) + timedelta(i), *((2.5, 7.5) if s == "flat" else (value(), value()))) for s in ("a", "b", "flat", None) for i in range(70)] + [("one", date(2020, 1, 1), 1.0, 2.0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "symbol string, dt date, x double, y double")
+    got = rolled(df, {"a": ("avg", 20, 1, 0, "x"), "h": ("max", 25, 1, 1, "x"), "l": ("min", 7, 3, 0, "x"), "s": ("sd", 20, 5, 0, "x"), "b": ("beta", 30, 4, 1, "y", "x")})
+    w = lambda n, last: Window.partitionBy("symbol").orderBy("dt").rowsBetween(1 - n - last, -last)
+    x, y = F.col("x"), F.col("y")
+    both = x.isNotNull() & y.isNotNull()
+    u, v = F.when(both, x), F.when(both, y)
+    spread = F.var_samp(u).over(w(30, 1))
+    want = df.select(
+        "*", F.avg(x).over(w(20, 0)).alias("a"), F.max(x).over(w(25, 1)).alias("h"), F.when(F.count(x).over(w(7, 0)) >= 3, F.min(x).over(w(7, 0))).alias("l"),
+        F.when(F.count(x).over(w(20, 0)) >= 5, F.stddev_samp(x).over(w(20, 0))).alias("s"), F.when((F.count(u).over(w(30, 1)) >= 4) & (spread > 0), F.covar_samp(v, u).over(w(30, 1)) / spread).alias("b"),
+    )
+    clean = lambda d: sorted(map(str, (tuple(r) for r in d.where("not exists(array(a, h, l), z -> isnan(z))").select("symbol", "dt", "a", "h", "l").collect())))
+    assert clean(got) == clean(want)
+    assert {(r.symbol, r.dt, str(r.h), str(r.l)) for r in got.collect()} == {(r.symbol, r.dt, str(r.h), str(r.l)) for r in want.collect()}
+    finite = lambda d: sorted(map(str, (tuple(r) for r in d.where("s is null or not isnan(s)").where("b is null or not isnan(b)").where("dt < date '2020-01-01' or symbol in ('flat', 'one')").select("symbol", "dt", "s", "b").collect())))
+    assert finite(got) == finite(want)
+
+
+def test_moving_columns_need_no_frame_for_each_row(spark):
+    bars = daily_bars(spark, "/root/testdata/sf0.001")
+    assert "-251" not in optimized(features.price_features(bars))
+    df = bars.select("symbol", "dt", F.col("open").alias("ret"), F.col("close").alias("mkt"))
+    assert "-252" not in optimized(windows.rolling_beta(df, "ret", "mkt"))

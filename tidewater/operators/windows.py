@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import normal_quantile
 from .ordered import quantiles
+from .rolling import rolled
 
 
 def running_drawdown(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
@@ -61,12 +62,9 @@ def shifted(value: Column, function, by: list[str], order: list[str], n: int, le
     return F.when(F.count(value).over(w) >= least, function(value).over(w))
 
 
-def rolling_beta(y: Column, x: Column, by: list[str], order: list[str], n: int = 252, least: int = 120) -> Column:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-n, -1)
-    both = y.isNotNull() & x.isNotNull()
-    y, x = F.when(both, y), F.when(both, x)
-    spread = F.var_samp(x).over(w)
-    return F.when((F.count(x).over(w) >= least) & (spread > 0), F.covar_samp(y, x).over(w) / spread)
+def rolling_beta(df: DataFrame, y: str, x: str, by: str = "symbol", order: str = "dt", n: int = 252, least: int = 120) -> DataFrame:
+    """`df` with `beta` of y on x over the n rows before, among those that have both; null under `least` of them or where x does not move."""
+    return rolled(df, {"beta": ("beta", n, least, 1, y, x)}, by, order)
 
 
 def group_zscore(value: str, by: list[str]) -> Column:
