@@ -6,7 +6,7 @@ from datetime import date, timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import features, timelines, windows
+from tidewater.operators import features, signals, timelines, windows
 from tidewater.operators.rolling import rolled
 from tidewater.sources.adapters import daily_bars
 
@@ -55,3 +55,9 @@ def test_moving_columns_need_no_frame_for_each_row(spark):
     assert "-251" not in optimized(features.price_features(bars))
     df = bars.select("symbol", "dt", F.col("open").alias("ret"), F.col("close").alias("mkt"))
     assert "-252" not in optimized(windows.rolling_beta(df, "ret", "mkt"))
+
+
+def test_signals_need_no_frame_for_each_row(spark):
+    bars = daily_bars(spark, "/root/testdata/sf0.001")
+    for df in (signals.compute(bars, ["new_52w_high", "above_sma_200"]), signals.confluence(bars)):
+        assert not any(f"specifiedwindowframe(RowFrame, -{n}" in optimized(df) for n in (19, 49, 60, 199, 252))

@@ -1,11 +1,12 @@
 """Boolean signals over daily bars: a registry of name -> function of a frame of building blocks, giving a Column.
 
-Recursive means (ema, Wilder's rsi) have no built-in window; one grouped-map pass per symbol adds them. Everything
-else is window expressions over the same partitioning. A comparison with null is false.
+Recursive means (ema, Wilder's rsi) have no built-in window; one grouped-map pass per symbol adds them, and another
+the moving averages and extremes. Everything else is window expressions over the same partitioning. A comparison with null is false.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,22 +14,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from .rolling import rolled
+
 
 def by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("dt")
 
 
-def full(function, x: Column, n: int) -> Column:
-    """A window function over n rows that is null until n values are there."""
-    w = by_symbol().rowsBetween(-(n - 1), 0)
-    return F.when(F.count(x).over(w) == n, function(x).over(w))
-
-
-def prior(function, x: Column, n: int) -> Column:
-    w = by_symbol().rowsBetween(-n, -1)
-    return F.when(F.count(x).over(w) == n, function(x).over(w))
-
-
 def recursive_means(bars: DataFrame) -> DataFrame:
     """ema_12, ema_26, ema_200, macd and its 9-ema, rsi_14 on the adjusted close: one linear pass per symbol in date order."""
     new = ["ema_12", "ema_26", "ema_200", "macd", "macd_signal", "rsi_14"]
@@ -52,20 +44,25 @@ def recursive_means(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").applyInPandas(run, schema)
 
 
-def blocks(bars: DataFrame) -> DataFrame:
-    """Building blocks as columns. The true range of a first row is its high minus its low."""
+def blocks(bars: DataFrame, needed: set[str] | None = None, more: dict[str, tuple] | None = None) -> DataFrame:
+    """Building blocks as columns. The true range of a first row is its high minus its low. `more`: further moving columns, as `rolled` takes them."""
     a, c, h, low, o, v = (F.col(x) for x in ("adj_close", "close", "high", "low", "open", "volume"))
     pc = F.lag("close").over(by_symbol())
     df = bars.withColumn("prev_close", pc).withColumn("prev_open", F.lag("open").over(by_symbol())).withColumn("prev_high", F.lag("high").over(by_symbol())).withColumn("prev_low", F.lag("low").over(by_symbol()))
     df = df.withColumn("adj_ret", F.try_divide(a, F.lag("adj_close").over(by_symbol())) - 1).withColumn("tr", F.greatest(h - low, F.abs(h - pc), F.abs(low - pc)))
-    for n in (20, 50, 100, 200):
-        df = df.withColumn(f"sma{n}", full(F.avg, a, n))
-    df = df.withColumn("sd20", full(F.stddev_samp, a, 20)).withColumn("atr14", full(F.avg, F.col("tr"), 14)).withColumn("vol20", full(F.avg, v.cast("double"), 20))
-    for n in (20, 55, 252):
-        df = df.withColumn(f"top{n}", prior(F.max, h, n))
-    df = df.withColumn("low20", full(F.min, low, 20)).withColumn("adj_low", low * F.when(c != 0, a / c))
-    spread = full(F.max, h, 14) - full(F.min, low, 14)
-    df = df.withColumn("k14", F.when(spread != 0, 100 * (c - full(F.min, low, 14)) / spread))
+    # each column that is asked for costs a moving window, so only what `needed` names is made
+    wants = {
+        **{f"sma{n}": ("avg", n, n, 0, "adj_close") for n in (20, 50, 100, 200)}, "sd20": ("sd", 20, 20, 0, "adj_close"), "atr14": ("avg", 14, 14, 0, "tr"), "vol20": ("avg", 20, 20, 0, "_volume"),
+        **{f"top{n}": ("max", n, n, 1, "high") for n in (20, 55, 252)}, "low20": ("min", 20, 20, 0, "low"), "_high14": ("max", 14, 14, 0, "high"), "_low14": ("min", 14, 14, 0, "low"),
+    }
+    wants |= more or {}
+    wants = {n: w for n, w in wants.items() if needed is None or n in needed}
+    df = rolled(df.withColumn("_volume", v.cast("double")), wants) if wants else df.withColumn("_volume", v)
+    df = df.withColumn("adj_low", low * F.when(c != 0, a / c))
+    if needed is None or {"_high14", "_low14"} <= needed:
+        spread = F.col("_high14") - F.col("_low14")
+        df = df.withColumn("k14", F.when(spread != 0, 100 * (c - F.col("_low14")) / spread)).drop("_high14", "_low14")
+    df = df.drop("_volume")
     rng = F.when(h - low != 0, h - low)
     return df.withColumn("body", F.abs(c - o)).withColumn("rng", rng).withColumn("upper", h - F.greatest(c, o)).withColumn("lower", F.least(c, o) - low)
 
@@ -144,12 +141,18 @@ REGISTRY: dict[str, Callable[[], Column]] = {
 RECURSIVE = {"ema_cross_12_26", "rsi_oversold_30", "rsi_oversold_20", "rsi_overbought_70", "rsi_cross_50", "macd_cross_up", "macd_hist_positive", "oversold_in_uptrend"}
 
 
+def moving(names: list[str]) -> set[str]:
+    """The moving columns of `blocks` that these signals read."""
+    told = " ".join(str(REGISTRY[n]()) for n in names)
+    return set(re.findall(r"\b(?:sma\d+|sd20|atr14|vol20|top\d+|low20)\b", told)) | ({"_high14", "_low14"} if "k14" in told else set())
+
+
 def compute(bars: DataFrame, names: list[str] | None = None, custom: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
     """`bars` with one boolean column per signal; `custom` adds signals of the caller's own. The grouped-map pass runs only if a recursive one is asked."""
     registry = REGISTRY | (custom or {})
     names = names or list(registry)
     df = recursive_means(bars) if any(n in RECURSIVE or n in (custom or {}) for n in names) else bars
-    df = blocks(df)
+    df = blocks(df, None if custom else moving(names))
     return df.select(*bars.columns, *(F.coalesce(registry[n](), F.lit(False)).alias(n) for n in names))
 
 
@@ -164,7 +167,7 @@ def long_form(bars: DataFrame, names: list[str] | None = None, custom: dict[str,
 
 def squeeze(bars: DataFrame) -> DataFrame:
     """bollinger_squeeze: band width at or under the 10th percentile of its last 120 values."""
-    df = blocks(bars).withColumn("width", F.try_divide(4 * F.col("sd20"), F.col("sma20")))
+    df = blocks(bars, {"sd20", "sma20"}).withColumn("width", F.try_divide(4 * F.col("sd20"), F.col("sma20")))
     w = by_symbol().rowsBetween(-119, 0)
     cut = F.when(F.count("width").over(w) == 120, F.percentile("width", F.lit(0.1)).over(w))
     return df.select(*bars.columns, F.coalesce(F.col("width") <= cut, F.lit(False)).alias("bollinger_squeeze"))
@@ -172,13 +175,13 @@ def squeeze(bars: DataFrame) -> DataFrame:
 
 def confluence(bars: DataFrame) -> DataFrame:
     """Four daily conditions and their six pairs."""
-    df = blocks(recursive_means(bars))
-    support = F.min("low").over(by_symbol().rowsBetween(-60, -6))
+    df = blocks(recursive_means(bars), {"sma50", "_support"}, {"_support": ("min", 55, 55, 6, "low")})
+    support = F.col("_support")
     conditions = {
         "uptrend": (F.col("ema_200") > before(F.col("ema_200"), 20)) & (F.col("sma50") > F.col("ema_200")),
         "ema_pullback": (F.col("low") <= 1.01 * F.col("ema_200")) & (F.col("ema_200") <= F.col("close")),
         "rsi_low": F.col("rsi_14") < 30,
-        "near_support": (F.count("low").over(by_symbol().rowsBetween(-60, -6)) == 55) & (F.abs(F.try_divide(F.col("close"), support) - 1) <= 0.03),
+        "near_support": support.isNotNull() & (F.abs(F.try_divide(F.col("close"), support) - 1) <= 0.03),
     }
     df = df.select(*bars.columns, *(F.coalesce(x, F.lit(False)).alias(n) for n, x in conditions.items()))
     names = list(conditions)
