@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
 from ..functions.scalar import normal_cdf, normal_quantile
+from ..sources.shared import written
 from .ordered import largest, quantiles
 
 
@@ -305,7 +306,8 @@ def event_table(df: DataFrame, pnl: str, at: str, drop_top: int = 5, extra: dict
     `drop_top` best in all gains, t clustered by month, clusters, and the sum a year (`years`: how many all rows cover; one for a year).
 
     A slice may hold most rows: its quantiles are counted in pieces, and its best rows are those left of the best of each piece."""
-    rows = df.select(*df.columns, F.monotonically_increasing_id().alias("_row")).where(F.col(pnl).isNotNull())
+    # read for the best rows, the quantiles (three times), the sums and the clusters: written once
+    rows = written(df.where(F.col(pnl).isNotNull()).select(*df.columns, F.monotonically_increasing_id().alias("_row")), "events")
     best = rows.orderBy(F.desc(pnl), "_row").limit(drop_top).select("_row", F.lit(True).alias("_best"))
     marked = rows.join(F.broadcast(best), "_row", "left").withColumn("_year", F.concat(F.lit("year_"), F.year(at).cast("string")))
     span = F.lit(years) if years is not None else None
@@ -358,6 +360,8 @@ def robust_scores(trades: DataFrame, flagged: DataFrame, value: str, by: str, ho
     the whole (trimmed); trades, blocks, and the share of the five largest absolute values."""
     from .windows import winsorize
 
+    # every version and share reads the trades again, the quantiles three times: they are written once
+    trades = written(trades.select(*dict.fromkeys((by, entity, at, value))), "trades")
     first = trades.agg(F.min(at).alias("_first"))
     t = trades.crossJoin(F.broadcast(first)).withColumn("_block", time_block(at, F.col("_first"), hold))
     versions = {"raw": t, "clean": t.join(flagged.select(entity).distinct(), entity, "left_anti"), "trimmed": winsorize(t, value, [], low, high)}
