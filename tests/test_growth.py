@@ -3,11 +3,13 @@
 import random
 from datetime import date, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.operators import features, signals, timelines, windows
-from tidewater.operators.rolling import rolled
+from tidewater.operators.rolling import met, rolled
 from tidewater.sources.adapters import daily_bars
 
 
@@ -61,3 +63,46 @@ def test_signals_need_no_frame_for_each_row(spark):
     bars = daily_bars(spark, "/root/testdata/sf0.001")
     for df in (signals.compute(bars, ["new_52w_high", "above_sma_200"]), signals.confluence(bars)):
         assert not any(f"specifiedwindowframe(RowFrame, -{n}" in optimized(df) for n in (19, 49, 60, 199, 252))
+
+
+def test_tender_trades_make_no_row_for_each_session(spark):
+    days = [date(2010, 1, 4) + timedelta(i) for i in range(60)]
+    calendar = spark.createDataFrame(list(enumerate(days)), "day_index int, dt date")
+    deals = spark.createDataFrame([(1, "a", days[30], days[40], "completed", 9.0, days[40], None, None)], "deal int, symbol string, filed date, expires date, outcome string, final_price double, final_expires date, terminated_on date, paid_on date")
+    moves = spark.createDataFrame([], "deal int, known date, expires date")
+    bars = spark.createDataFrame([("a", d, float(i), 2, 1.0) for i, d in enumerate(days) if i % 3], "symbol string, dt date, close double, volume int, factor double")
+    got = timelines.tender_trades(deals, moves, calendar, bars)
+    assert "explode(sequence(" not in optimized(got)
+    # the first session behind days[30] is 31; sessions 10 to 30 with a bar hold 14 closes, 10, 11, 13 .. 29, the two in the middle 19 and 20
+    assert {(r.entry_on, r.dollar_volume) for r in got.where("variant = 'E1'").collect()} == {(days[31], 2 * 19.5)}
+
+
+def test_what_rows_find_does_not_depend_on_batches(spark):
+    """A symbol's facts and asks lie in several batches, and a batch holds several symbols."""
+    facts = spark.createDataFrame([(s, 10 * i, float(i)) for s in ("a", "b", "d") for i in range(30)], "symbol string, at int, x double")
+    asks = spark.createDataFrame([(s, t) for s in ("a", "b", "c", "d", None) for t in range(-5, 305, 3)], "symbol string, t int")
+
+    def take(m):
+        x, at = np.append(m.fact("x"), np.nan), m.find("at", m.ask("t", 0))
+        return pa.RecordBatch.from_arrays([m.asks.column("symbol"), m.asks.column("t"), pa.array(x[np.where(at < m.high, at, -1)], from_pandas=True)], names=["symbol", "t", "x"])
+
+    for size in (7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        try:
+            got = {(r.symbol, r.t): r.x for r in met(asks, facts, take, "symbol string, t int, x double", order="at").collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == {(s, t): float(max(-(-t // 10), 0)) if s in ("a", "b", "d") and t <= 290 else None for s in ("a", "b", "c", "d", None) for t in range(-5, 305, 3)}
+
+
+def test_moving_columns_are_the_same_in_any_batches(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(s, date(2020, 1, 1) + timedelta(i), rng.choice([None, rng.random()])) for s in ("a", "b", None) for i in range(70)], "symbol string, dt date, x double")
+    wants = {"a": ("avg", 20, 2, 1, "x"), "h": ("max", 25, 1, 0, "x"), "s": ("sd", 9, 3, 0, "x")}
+    assert "FlatMapGroups" not in optimized(rolled(df, wants))  # a hand-over for each symbol costs more than its means
+    whole = {(r.symbol, r.dt): tuple(r) for r in rolled(df, wants).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        assert {(r.symbol, r.dt): tuple(r) for r in rolled(df, wants).collect()} == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

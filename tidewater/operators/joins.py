@@ -144,7 +144,8 @@ def session_of(df: DataFrame, calendar: DataFrame, at: str, out: str, ahead: boo
     w = Window.orderBy("_d", "_side")
     seen = F.first("_session", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if ahead else F.last("_session", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     found = both.select("_d", "_session", seen.alias(out)).where("_session is null").drop("_session")
-    return df.join(found, F.col(at).cast("date") == F.col("_d"), "left").drop("_d")
+    # a row a date, however many rows ask: never worth a shuffle of theirs
+    return df.join(F.broadcast(found), F.col(at).cast("date") == F.col("_d"), "left").drop("_d")
 
 
 def overrides(df: DataFrame, manual: DataFrame, on: list[str], columns: list[str]) -> DataFrame:

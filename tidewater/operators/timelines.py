@@ -1,16 +1,22 @@
 """Ordered timelines: what was known when, folded over the sorted filings of an event, and the trades decided by it.
 
 Folds over a few filings of one entity are `aggregate` over its sorted array; what belongs to sessions is arithmetic on session
-numbers; what belongs to prices is an as-of join. No entity's rows are walked in Python.
+numbers; what belongs to prices is an as-of join, or found by numpy in batches of many symbols. No entity's rows are walked in Python.
 """
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalar import settlement_days
-from .joins import asof, first_from, session_of
+from .joins import first_from, session_of
+from .rolling import Met, met
 
 #: Forms whose ratio counts under the first and the second reading.
 FORMS = {"v1": r"^8-K", "v2": r"^(?:8-K|DEF 14A|DEFM14A|DEF 14C|DEFM14C|424B)"}
@@ -117,7 +123,7 @@ def tender_trades(deals: DataFrame, extensions: DataFrame, calendar: DataFrame,
     behind the termination, without a fee; a completed one at its final price, in shares of that day (factor: what a share was split by).
 
     deals: deal, symbol, filed, expires, outcome, final_price, final_expires, terminated_on, paid_on; extensions: deal, known, expires;
-    bars: symbol, dt, close, volume, factor."""
+    bars: symbol, dt, close, volume, factor, one a symbol and day."""
     c = settling(calendar)
     d = session_of(deals, calendar, "filed", "_first", ahead=True)
     for at, name in (("expires", "_x"), ("final_expires", "_fx")):
@@ -140,31 +146,65 @@ def tender_trades(deals: DataFrame, extensions: DataFrame, calendar: DataFrame,
         best = F.array_max(F.transform(seen, lambda m: F.struct(m["until"].alias("until"), m["x"].alias("x"))))
         return F.coalesce(best, s)
 
-    d = d.join(moves, "deal", "left").withColumn("_moves", F.coalesce("_moves", F.array().cast(moves.schema["_moves"].dataType)))
+    d = d.where("_first is not null").join(moves, "deal", "left").withColumn("_moves", F.coalesce("_moves", F.array().cast(moves.schema["_moves"].dataType)))
     start = F.struct(F.col("expires").alias("until"), F.coalesce("_x", F.lit(0)).cast("int").alias("x"))
     # each step takes in one extension at least, so as many steps as there are extensions settle it
-    d = d.withColumn("_last", F.aggregate(F.sequence(F.lit(0), F.size("_moves")), start, moved)).withColumn("_e2", F.when(F.col("expires").isNotNull(), day_for(F.col("_last.x"))))
-    both = d.where("_first is not null").withColumn("_v", F.explode(F.array(F.struct(F.lit("E1").alias("variant"), F.col("_first").cast("int").alias("i")), F.struct(F.lit("E2").alias("variant"), F.col("_e2").cast("int").alias("i"))))).select("*", "_v.*").drop("_v").where("i is not null")
-    days = c.select("dt", F.col("day_index").alias("i"))
-    both = both.join(days, "i").where((F.col("variant") == "E1") | F.col("terminated_on").isNull() | (F.col("terminated_on") > F.col("dt")))
-    px = bars.where(F.col("close").isNotNull()).select("symbol", F.col("dt").alias("_dt"), "close", "factor")
-    both = first_from(both, px, ["symbol"], "dt", "_dt", ["close", "factor"]).where("asof_at is not null").withColumnsRenamed({"asof_at": "entry_on", "close": "_entry", "factor": "_f0"})
-    out = first_from(both, px, ["symbol"], "terminated_on", "_dt", ["close"], exact=False).withColumnsRenamed({"asof_at": "_sold_on", "close": "_sold"}).drop("dt", "i")
-    out = asof(out, px, ["symbol"], "final_expires", "_dt", ["factor"]).drop("asof_at")
-    pays = c.select(F.col("day_index").alias("_fx"), F.col("settles_on").alias("_settled"))
-    out = out.join(pays, "_fx", "left")
+    d = d.withColumn("_last", F.when(F.size("_moves") > 0, F.aggregate(F.sequence(F.lit(1), F.size("_moves")), start, moved)).otherwise(start)).withColumn("_e2", F.when(F.col("expires").isNotNull(), day_for(F.col("_last.x"))))
     ended, done = F.col("outcome") == "terminated", (F.col("outcome") == "completed") & F.col("final_price").isNotNull()
-    scale = F.when(done & (F.col("_f0") > 0) & F.col("factor").isNotNull(), F.col("factor") / F.col("_f0")).otherwise(1.0)
+    d = d.where(ended | done).withColumn("_back", F.greatest(F.col("_first") - 21, F.lit(0)))
     last_day = F.lit(calendar.agg(F.max("dt")).first()[0])
-    t = out.where((ended & (F.col("_sold_on") >= F.col("entry_on"))) | done).select(
-        "deal", "symbol", "variant", "filed", "entry_on", (F.col("_entry") * scale).alias("entry"), F.when(ended, F.col("_sold_on")).otherwise(F.col("final_expires")).alias("exit_on"), F.when(ended, F.col("_sold")).otherwise(F.col("final_price")).alias("exit"),
-        F.when(ended, F.col("_sold_on")).otherwise(F.coalesce("paid_on", "_settled", last_day)).alias("paid_on"), (~ended).alias("_pays"), "_first",
+    for number, found, day in (("_first", "_e1_day", "dt"), ("_e2", "_e2_day", "dt"), ("_back", "_since", "dt"), ("_fx", "_settled", "settles_on")):
+        d = d.join(F.broadcast(c.select(F.col("day_index").alias(number), F.col(day).alias(found))), number, "left")  # a row a session
+    # what a deal asks of its symbol's bars is found in one pass over both, sorted once
+    asks = d.select(
+        "deal", "symbol", "_e1_day", "_e2_day", "_since", "terminated_on", "final_expires", ended.alias("_ended"), done.alias("_done"),
+        F.col("final_price").cast("double").alias("final_price"), F.coalesce("paid_on", "_settled", last_day).alias("_paid"),
+    )
+    px = bars.where(F.col("close").isNotNull()).join(F.broadcast(calendar.select("dt", F.lit(True).alias("_open"))), "dt", "left")
+    px = px.select("symbol", "dt", F.col("close").cast("double").alias("close"), F.col("factor").cast("double").alias("factor"), F.when(F.col("_open"), F.col("close") * F.col("volume")).cast("double").alias("_d"))
+    kept = asks.drop("symbol", "_since", "_e1_day")
+    schema = StructType([*kept.schema.fields])
+    for name, kind in _TENDER_PRICES.items():
+        schema = schema.add(name, kind)
+    both = met(asks, px, functools.partial(_tender_prices, kept.columns), schema)
+    each = [F.struct(F.lit(v).alias("variant"), *(F.col(f"_{v}_{x}").alias(f"_{x}") for x in ("on", "entry", "f0"))) for v in ("E1", "E2")]
+    both = both.withColumn("_v", F.explode(F.array(*each))).select("*", "_v.*").where(F.col("_on").isNotNull() & ((F.col("variant") == "E1") | F.col("terminated_on").isNull() | (F.col("terminated_on") > F.col("_e2_day"))))
+    scale = F.when(F.col("_done") & (F.col("_f0") > 0) & F.col("_f1").isNotNull(), F.col("_f1") / F.col("_f0")).otherwise(1.0)
+    t = both.where((F.col("_ended") & (F.col("_sold_on") >= F.col("_on"))) | F.col("_done")).select(
+        "deal", "variant", F.col("_on").alias("entry_on"), (F.col("_entry") * scale).alias("entry"), F.when(F.col("_ended"), F.col("_sold_on")).otherwise(F.col("final_expires")).alias("exit_on"), F.when(F.col("_ended"), F.col("_sold")).otherwise(F.col("final_price")).alias("exit"),
+        F.when(F.col("_ended"), F.col("_sold_on")).otherwise(F.col("_paid")).alias("paid_on"), "dollar_volume", (~F.col("_ended")).alias("_pays"),
     )
-    # median dollars traded over the 21 sessions before the filing's first session: bars meet deals by session number
-    back = t.select("deal", "symbol", "_first").distinct().withColumn("day_index", F.explode(F.sequence(F.greatest(F.col("_first") - 21, F.lit(0)), F.col("_first") - 1))).where("day_index >= 0 and day_index < _first")
-    traded = back.join(c.select("day_index", "dt"), "day_index").join(bars.select("symbol", "dt", (F.col("close") * F.col("volume")).alias("_d")), ["symbol", "dt"]).groupBy("deal").agg(F.median("_d").alias("dollar_volume"))
-    t = t.join(traded, "deal", "left").withColumn("gross", (F.col("exit") - F.col("entry")) * shares).withColumn("days_locked", F.datediff("paid_on", "entry_on"))
-    return t.withColumn("fee", F.explode(F.array(*map(F.lit, fees)))).withColumn("profit", F.col("gross") - F.when(F.col("_pays"), F.col("fee")).otherwise(0.0)).drop("_pays", "_first", "symbol", "filed")
+    t = t.withColumn("gross", (F.col("exit") - F.col("entry")) * shares).withColumn("days_locked", F.datediff("paid_on", "entry_on"))
+    return t.withColumn("fee", F.explode(F.array(*map(F.lit, fees)))).withColumn("profit", F.col("gross") - F.when(F.col("_pays"), F.col("fee")).otherwise(0.0)).drop("_pays")
+
+
+_TENDER_PRICES = {f"_{v}_{x}": kind for v in ("E1", "E2") for x, kind in (("on", "date"), ("entry", "double"), ("f0", "double"))} | {"_sold_on": "date", "_sold": "double", "_f1": "double", "dollar_volume": "double"}
+
+
+def _tender_prices(kept: list[str], m: Met) -> pa.RecordBatch:
+    """Per deal: the first bar from each entry day on, the first one behind the termination, the factor of the last one up to the final expiration, and the median
+    of dollars traded from `_since` to the day before the first entry."""
+    never, n = np.int64(1) << 31, m.facts.num_rows
+    known = {c: np.append(m.facts[c].combine_chunks().is_valid().to_numpy(zero_copy_only=False), False) for c in ("dt", "close", "factor", "_d")}
+    value = {c: np.append(m.fact(c, 0), 0) for c in known}
+
+    def told(c: str, place: np.ndarray, kind: pa.DataType) -> pa.Array:
+        x, none = value[c][place], ~known[c][place]
+        return pa.array(x.astype(np.int32), pa.int32(), mask=none).cast(kind) if pa.types.is_date(kind) else pa.array(x, kind, mask=none)
+
+    first = lambda at, after=False: np.where((p := m.find("dt", m.ask(at, never), after)) < m.high, p, n)
+    e1, e2, sold = first("_e1_day"), first("_e2_day"), first("terminated_on", True)
+    last = m.find("dt", m.ask("final_expires", -never), True) - 1
+    out = [told(c, at, kind) for at in (e1, e2) for c, kind in (("dt", pa.date32()), ("close", pa.float64()), ("factor", pa.float64()))]
+    out += [told("dt", sold, pa.date32()), told("close", sold, pa.float64()), told("factor", np.where(last >= m.low, last, n), pa.float64())]
+    a, b = m.find("dt", m.ask("_since", never)), m.find("dt", m.ask("_e1_day", never))
+    at = a[:, None] + np.arange(max(int((b - a).max()), 1))
+    at = np.where(at < b[:, None], at, n)
+    traded = np.sort(np.where(known["_d"][at], value["_d"][at], np.nan), axis=1)
+    count, row = known["_d"][at].sum(axis=1), np.arange(len(a))
+    low, high = traded[row, np.maximum(count - 1, 0) // 2], traded[row, np.minimum(count // 2, traded.shape[1] - 1)]
+    out.append(pa.array(np.where(count % 2 == 1, low, 0.5 * low + 0.5 * high), pa.float64(), mask=count == 0))
+    return pa.RecordBatch.from_arrays([*(m.asks.column(c) for c in kept), *out], names=[*kept, *_TENDER_PRICES])
 
 
 def assembled(filings: DataFrame, starts: DataFrame, calendar: DataFrame, key: str = "entity", same: int = 60, pending: int = 3) -> DataFrame:
