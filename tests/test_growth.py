@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import features, signals, timelines, windows
+from tidewater.operators import features, pit, signals, timelines, windows
 from tidewater.operators.rolling import met, rolled
 from tidewater.sources.adapters import daily_bars
 
@@ -106,3 +106,9 @@ def test_moving_columns_are_the_same_in_any_batches(spark):
         assert {(r.symbol, r.dt): tuple(r) for r in rolled(df, wants).collect()} == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_the_feature_layer_hands_over_no_symbol_by_itself(spark):
+    bars = daily_bars(spark, "/root/testdata/sf0.001")
+    got = pit.truncation_audit(features.price_features, bars, F.lit("1996-06-28").cast("date"), "dt", ["symbol", "dt"], ["sma_200", "atr_14", "dist_high_252"])
+    assert "FlatMapGroups" not in optimized(got) and got.count() == 0
