@@ -5,10 +5,11 @@ from datetime import date, timedelta
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import features, pit, signals, timelines, windows
+from tidewater.operators import features, modelling, pit, signals, timelines, windows
 from tidewater.operators.rolling import met, rolled
 from tidewater.sources.adapters import daily_bars
 
@@ -112,3 +113,28 @@ def test_the_feature_layer_hands_over_no_symbol_by_itself(spark):
     bars = daily_bars(spark, "/root/testdata/sf0.001")
     got = pit.truncation_audit(features.price_features, bars, F.lit("1996-06-28").cast("date"), "dt", ["symbol", "dt"], ["sma_200", "atr_14", "dist_high_252"])
     assert "FlatMapGroups" not in optimized(got) and got.count() == 0
+
+
+def test_permutation_importance_scores_all_tries_at_once(spark, monkeypatch):
+    """The tries are those of each feature put into a repeat's order by itself, and are scored in one frame."""
+    class Model:
+        calls = 0
+
+        def transform(self, df):
+            Model.calls += 1
+            return df.withColumn("probability", F.udf(lambda x, y: Vectors.dense([1 - (x + y / 7) / 3, (x + y / 7) / 3]), VectorUDT())("x", "y"))
+
+    model = Model()
+    monkeypatch.setattr(modelling, "fit", lambda *_: model)
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(7, f"S{i % 9}", date(2020, 1, 1) + timedelta(i), x := rng.random(), y := rng.random(), int(x + y / 7 + rng.random() / 2 > 0.8)) for i in range(200)], "fold int, symbol string, dt date, x double, y double, label int")
+    got = {r.feature: r.auc_drop for r in modelling.permutation_importance(rows, rows, ["x", "y"], "label", repeats=2, seed=3).collect()}
+    assert model.calls == 1
+
+    def area(df):
+        return modelling.auc(modelling.predicted(model, df, "label"), ["fold"]).first()["auc"]
+
+    base = area(rows)
+    for i, c in enumerate(("x", "y"), 1):
+        drops = [base - area(modelling.permuted(rows, c, ["fold"], ["symbol", "dt"], 4 + 2 * i + k)) for k in range(2)]
+        assert abs(got[c] - sum(drops) / 2) < 1e-12

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, proximity, timelines
 from ..operators.features import calendar as sessions
-from ..sources.adapters import customer_symbol, daily_bars, table
+from ..sources.adapters import customer_symbol, daily_bars, table, trading_days
 from ..sources.shared import written
 from .catalog import query, rounded
 
@@ -164,8 +164,7 @@ def f_tender_trades(spark, sf_dir):
     done = F.when(k % 5 == 0, "terminated").otherwise("completed")
     deals = o.select(k.alias("deal"), customer_symbol(F.col("o_custkey")).alias("symbol"), day.alias("filed"), ends.alias("expires"), done.alias("outcome"), (100 + F.col("o_totalprice") / 10_000).alias("final_price"), last.alias("final_expires"), F.when(k % 5 == 0, F.date_sub(last, 1)).alias("terminated_on"), F.lit(None).cast("date").alias("paid_on"))
     moved = o.where("o_orderkey % 3 = 0").select(k.alias("deal"), F.date_sub(ends, (k % 9).cast("int")).alias("known"), last.alias("expires"))
-    # every day of a line item has a bar: the sessions need no bars, and are written as every step reads them
-    days = written(sessions(table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("dt"))), "sessions")
+    days = written(sessions(trading_days(spark, sf_dir)), "sessions")  # every step reads them
     return timelines.tender_trades(deals, moved, days, bars)
 
 
