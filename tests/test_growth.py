@@ -9,7 +9,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import features, modelling, pit, signals, timelines, windows
+from tidewater.operators import features, modelling, outcomes, pit, signals, timelines, windows
 from tidewater.operators.rolling import met, rolled
 from tidewater.sources.adapters import daily_bars
 
@@ -138,3 +138,24 @@ def test_permutation_importance_scores_all_tries_at_once(spark, monkeypatch):
     for i, c in enumerate(("x", "y"), 1):
         drops = [base - area(modelling.permuted(rows, c, ["fold"], ["symbol", "dt"], 4 + 2 * i + k)) for k in range(2)]
         assert abs(got[c] - sum(drops) / 2) < 1e-12
+
+
+def _walk(rng, symbols, n):
+    rows = []
+    for s in symbols:
+        c = 100.0
+        for i in range(n):
+            o, c = c * (1 + rng.gauss(0, 0.01)), c * (1 + rng.gauss(0, 0.02))
+            rows.append((s, date(2020, 1, 1) + timedelta(i), o, max(o, c) * (1 + rng.random() / 50), min(o, c) * (1 - rng.random() / 50), c, c / 2 if i < n / 2 else c))
+    return rows
+
+
+def test_first_touch_of_signals_is_that_of_all_rows(spark):
+    rng = random.Random(11)
+    bars = spark.createDataFrame(_walk(rng, ("a", "b", "c"), 120), "symbol string, dt date, open double, high double, low double, close double, adj_close double")
+    signals_ = bars.where("pmod(xxhash64(symbol, dt), 3) = 0").select("symbol", "dt").unionByName(spark.createDataFrame([("a", date(2031, 1, 1)), ("z", date(2020, 2, 1))], "symbol string, dt date"))
+    got = outcomes.first_touch(bars, horizon=20, signals=signals_)
+    assert "explode(sequence(" not in optimized(got)
+    rounded = lambda df: sorted((r.symbol, r.dt, r.entry, r.outcome, r.days, round(r.gross, 12)) for r in df.collect())
+    want = rounded(outcomes.first_touch(bars, horizon=20).join(signals_, ["symbol", "dt"], "left_semi"))
+    assert rounded(got) == want and {w[3] for w in want} == {"stop", "target", "timeout", "open"}

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .joins import session_of
+from .rolling import Met, met
+
 
 def by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("dt")
@@ -22,16 +29,12 @@ def first_touch(bars: DataFrame, stop_atr: float = 2.0, target_atr: float = 3.0,
     df = bars.select("symbol", "dt", "adj_close", *((F.col(x) * f).alias(x[0]) for x in ("open", "high", "low")), (tr * f).alias("_tr"))
     atr = by_symbol().rowsBetween(-13, 0)
     df = df.withColumn("atr", F.when(F.count("_tr").over(atr) == 14, F.avg("_tr").over(atr)))
-    if signals is None:
-        df = df.withColumn("path", F.collect_list(F.struct("o", "h", "l", F.col("adj_close").alias("c"))).over(by_symbol().rowsBetween(1, horizon)))
-    else:
-        # paths of the rows with a signal only: each asks for the rows that follow it by number
-        df = df.withColumn("_n", F.row_number().over(by_symbol()))
-        asked = df.where("atr is not null").join(signals.select("symbol", "dt").distinct(), ["symbol", "dt"], "left_semi").select("symbol", "dt", "atr", F.col("_n").alias("_at"))
-        wanted = asked.select("symbol", "_at", F.explode(F.sequence(F.col("_at") + 1, F.col("_at") + horizon)).alias("_n"))
-        bar = F.struct("_n", "o", "h", "l", F.col("adj_close").alias("c"))
-        paths = wanted.join(df.select("symbol", bar.alias("_b"), "_n"), ["symbol", "_n"]).groupBy("symbol", "_at").agg(F.sort_array(F.collect_list("_b")).alias("path"))
-        df = asked.join(paths, ["symbol", "_at"])
+    if signals is not None:
+        asks = signals.select("symbol", "dt").where("dt is not null").distinct()
+        facts = df.select("symbol", "dt", *(F.col(c).cast("double").alias(c) for c in ("o", "h", "l", "adj_close", "atr")))
+        schema = StructType([*asks.schema.fields]).add("entry", "double").add("outcome", "string").add("days", "integer").add("gross", "double")
+        return met(asks, facts, functools.partial(_touches, stop_atr, target_atr, horizon), schema)
+    df = df.withColumn("path", F.collect_list(F.struct("o", "h", "l", F.col("adj_close").alias("c"))).over(by_symbol().rowsBetween(1, horizon)))
     df = df.where("atr is not null and size(path) > 0").withColumn("entry", F.col("path")[0]["o"])
     df = df.withColumn("stop", F.col("entry") - stop_atr * F.col("atr")).withColumn("target", F.col("entry") + target_atr * F.col("atr"))
     touched = F.transform("path", lambda b: (b["l"] <= F.col("stop")) | (b["h"] >= F.col("target")))
@@ -43,6 +46,35 @@ def first_touch(bars: DataFrame, stop_atr: float = 2.0, target_atr: float = 3.0,
     return df.select("symbol", "dt", "entry", outcome.alias("outcome"), F.when(F.col("days") > 0, F.col("days")).otherwise(F.size("path")).cast("int").alias("days"), (exit_ / F.col("entry") - 1).alias("gross"))
 
 
+def _touches(stop_atr: float, target_atr: float, horizon: int, m: Met) -> pa.RecordBatch:
+    """`first_touch` of a batch of rows with a signal, looking at the k-th bar behind all of them at once. Nulls are NaN here, and touch nothing."""
+    day = m.ask("dt", 0)
+    at = m.find("dt", day)
+    o, h, low, c, atr, dt = (np.append(m.fact(x, none), none) for x, none in (("o", np.nan), ("h", np.nan), ("l", np.nan), ("adj_close", np.nan), ("atr", np.nan), ("dt", 0)))
+    fits = (at < m.high) & (dt[at] == day) & (at + 1 < m.high)
+    fits &= ~np.isnan(atr[np.where(fits, at, -1)])
+    at, end = at[fits], m.high[fits]
+    size = np.minimum(end - at - 1, horizon)
+    entry = o[at + 1]
+    stop, target = entry - stop_atr * atr[at], entry + target_atr * atr[at]
+    days = np.zeros(len(at), np.int64)
+    for k in range(1, horizon + 1):
+        bar = np.where((days == 0) & (k <= size), at + k, -1)
+        with np.errstate(invalid="ignore"):
+            days = np.where((bar >= 0) & ((low[bar] <= stop) | (h[bar] >= target)), k, days)
+    touched = days > 0
+    bar = np.where(touched, at + days, -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        stopped = low[bar] <= stop
+        exit_ = np.where(touched, np.where(stopped, np.fmin(stop, o[bar]), np.fmax(target, o[bar])), c[at + size])
+        gross = exit_ / entry - 1
+    outcome = np.where(touched, np.where(stopped, "stop", "target"), np.where(size == horizon, "timeout", "open"))
+    rows = m.asks.filter(pa.array(fits))
+    plain = lambda x: pa.array(x, pa.float64(), mask=np.isnan(x))
+    out = [plain(entry), pa.array(outcome.tolist(), pa.string()), pa.array(np.where(touched, days, size).astype(np.int32), pa.int32()), plain(gross)]
+    return pa.RecordBatch.from_arrays([rows.column("symbol"), rows.column("dt"), *out], names=["symbol", "dt", "entry", "outcome", "days", "gross"])
+
+
 def touch_grid(trades: DataFrame, stops: list[float], targets: list[float]) -> DataFrame:
     """Outcome of each trade (keys, entry, unit, path of o/h/l/c) for each pair of multiples: grid of returns, ties to the stop."""
     grid = F.explode(F.array(*(F.struct(F.lit(s).alias("stop_m"), F.lit(t).alias("target_m")) for s in stops for t in targets)))
