@@ -159,3 +159,27 @@ def test_first_touch_of_signals_is_that_of_all_rows(spark):
     rounded = lambda df: sorted((r.symbol, r.dt, r.entry, r.outcome, r.days, round(r.gross, 12)) for r in df.collect())
     want = rounded(outcomes.first_touch(bars, horizon=20).join(signals_, ["symbol", "dt"], "left_semi"))
     assert rounded(got) == want and {w[3] for w in want} == {"stop", "target", "timeout", "open"}
+
+
+def test_calendar_time_makes_no_row_for_each_session(spark):
+    rng = random.Random(12)
+    rows = [r for r in _walk(rng, ("a", "b", "c"), 90) if rng.random() < 0.8]
+    rows = [(*r[:2], None if rng.random() < 0.1 else r[2], *r[3:]) for r in rows]
+    bars = spark.createDataFrame(rows, "symbol string, dt date, open double, high double, low double, close double, adj_close double")
+    days = sorted({r[1] for r in rows})
+    calendar = spark.createDataFrame(list(enumerate(days)), "day_index int, dt date")
+    events = [(s, days[i]) for s in ("a", "b", "z") for i in range(0, len(days), 7)]
+    got = outcomes.calendar_time(spark.createDataFrame(events, "symbol string, day0 date"), bars, calendar, 2, 13, 0.01)
+    assert "explode(sequence(" not in optimized(got)
+    held = {}
+    for s, day0 in events:
+        d0 = days.index(day0)
+        mine = [(i, r) for i, r in enumerate(r for r in rows if r[0] == s)]
+        covered = [(i, r) for i, r in mine if d0 + 2 <= days.index(r[1]) <= d0 + 13]
+        for k, (i, r) in enumerate(covered):
+            before = mine[i - 1][1][6] if i else None
+            ret = (None if r[2] is None else r[5] / r[2] - 1) if k == 0 else (r[6] / before - 1 if before else 0.0)
+            held.setdefault(r[1], []).append(None if ret is None else ret - 0.01 * ((k == 0) + (k == len(covered) - 1)))
+    known = {d: [x for x in xs if x is not None] for d, xs in held.items()}
+    want = {d: (round(sum(known[d]) / len(known[d]), 12) if known[d] else None, len(xs)) for d, xs in held.items()}
+    assert {r.dt: (None if r.ret is None else round(r.ret, 12), r.positions) for r in got.collect()} == want

@@ -227,9 +227,25 @@ def calendar_time(events: DataFrame, bars: DataFrame, calendar: DataFrame, first
     entry = events.join(days.withColumnRenamed("dt", "day0"), "day0").select("symbol", F.col("day_index").alias("d0"))
     adj_open = F.when(F.col("close") != 0, F.col("open") * F.col("adj_close") / F.col("close"))
     px = bars.select("symbol", "dt", (F.try_divide("adj_close", F.lag("adj_close").over(by_symbol())) - 1).alias("_r"), (F.try_divide("adj_close", adj_open) - 1).alias("_r1")).join(days, "dt")
-    held = entry.withColumn("day_index", F.explode(F.sequence(F.col("d0") + first, F.col("d0") + last))).join(px, ["symbol", "day_index"])
-    order = Window.partitionBy("symbol", "d0").orderBy("day_index")
-    n, size = F.row_number().over(order), F.count(F.lit(1)).over(Window.partitionBy("symbol", "d0"))
-    held = held.withColumn("_n", n).withColumn("_size", size)
-    r = F.when(F.col("_n") == 1, F.col("_r1")).otherwise(F.coalesce("_r", F.lit(0.0))) - half_spread * (F.when(F.col("_n") == 1, 1).otherwise(0) + F.when(F.col("_n") == F.col("_size"), 1).otherwise(0))
-    return held.groupBy("dt").agg(F.avg(r).alias("ret"), F.count(F.lit(1)).alias("positions"))
+    facts = px.select("symbol", "dt", F.col("day_index").cast("long").alias("day_index"), F.col("_r").cast("double").alias("_r"), F.col("_r1").cast("double").alias("_r1"))
+    # events meet the sessions that they cover in tasks, and leave them as sums a day
+    sums = met(entry.select("symbol", F.col("d0").cast("long").alias("d0")), facts, functools.partial(_held_sums, first, last, half_spread), "dt date, total double, known long, n long", order="day_index")
+    n = F.sum("known")
+    return sums.groupBy("dt").agg(F.when(n > 0, F.sum("total") / n).alias("ret"), F.sum("n").alias("positions"))
+
+
+def _held_sums(first: int, last: int, half_spread: float, m: Met) -> pa.RecordBatch:
+    """dt, total, known, n: the returns of a batch of events on each day, how many are known, and how many events cover it."""
+    d0 = m.ask("d0", -(1 << 31))
+    low, high = m.find("day_index", d0 + first), m.find("day_index", d0 + last, True)
+    size = high - low
+    start = np.repeat(np.cumsum(size) - size, size)
+    k = np.arange(len(start)) - start  # the number of each covered row in its event
+    at = np.repeat(low, size) + k
+    opens, closes = k == 0, k == np.repeat(size, size) - 1
+    r = np.where(opens, m.fact("_r1")[at], m.fact("_r", 0.0)[at]) - half_spread * (opens.astype(np.int64) + closes)
+    known = np.where(opens, m.facts["_r1"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)[at], True)
+    days, day = np.unique(m.fact("dt", 0)[at], return_inverse=True)
+    sums = [np.bincount(day, x, len(days)) for x in (np.where(known, r, 0.0), known, np.ones(len(at)))]
+    columns = [pa.array(days.astype(np.int32), pa.int32()).cast(pa.date32()), pa.array(sums[0]), *(pa.array(x.astype(np.int64)) for x in sums[1:])]
+    return pa.RecordBatch.from_arrays(columns, names=["dt", "total", "known", "n"])
