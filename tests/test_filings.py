@@ -98,3 +98,75 @@ def test_filings_are_dealt_out_and_matches_sorted_twice(spark):
         plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         # of `start`, in two directions; event updates read the amounts by a pass of their own
         assert plan.count("Window [last(") <= (4 if query is filings.k_event_updates else 2)
+
+
+#: Pieces of texts that begin, fill or break patterns; some of other scripts that case folding takes for letters, or that are digits.
+PIECES = [
+    "January 5, 2021", "may 31 , 2020", "On or about", "as of ", "on ", "Tuesday, ", "$10.20", "$ 9.5", "$1,000,000 million", "per share", "per-ſhare", "for each", "expired", "EXPIRATION", "odd lots", "odd‑lot", "odd - lot tender offer", "fewer than 100 shares", "less than one hundred (100) whole units",
+    "priority", "before proration", "not be subject to proration", "held by holders of 99 or fewer", "notes", "bonds", "options", "warrants", "preferred", "units", "rights", "common", "ordinary", "stocK", "offer to purchase", "1-for-7", "one for twenty-one", "١-for-3", "1-for-٣", "reverse", "consolidated", "combination", "ırange", "range",
+    "no less than", "not more than", "up to", "at least", "as low as", "postponed to", "adjourned", "extended the date until", "approved the extension", "will not complete an initial business combination", "redeem all outstanding", "dissolve and liquidate", "wind-up", "was redeemed on", "effective ",
+    "per-share redemption price", "redeemed", "redemption payment", "right to redeem", "would be", "expected", "exercise", "strike", "earnout", "trust account", "٢٣,5 shares tendered", "1,000 of the shares redeemed for $9,000", "current redemption amount of approximately ", "conversion right", "Kept", ". ", "“", " ", "  ", "\n", ", ", "x",
+]
+
+
+def patterns_of(spark, monkeypatch, *operators):
+    """The patterns that operators look for."""
+    told, plain = {}, near.located
+
+    def heard(docs, patterns, *args, **kw):
+        told.update(patterns)
+        return plain(docs, patterns, *args, **kw)
+
+    with monkeypatch.context() as m:
+        m.setattr(near, "located", heard)
+        for operator in operators:
+            operator(docs(spark, "x", filed=("date", date(2020, 5, 1)), form=("string", "DEF 14A")))
+            yield operator.__name__, dict(told)
+            told.clear()
+
+
+def found_by_beginnings(spark, monkeypatch, *operators):
+    rng = random.Random(3)
+    texts = [rng.choice(["", " "]).join(rng.choice(PIECES) for _ in range(rng.randint(1, 14))) for _ in range(400)] + [None, "", "o", "$1"]
+    frame = docs(spark, *texts).repartition(3)
+    for name, patterns in patterns_of(spark, monkeypatch, *operators):
+        assert any(isinstance(p, tuple) for p in patterns.values())
+        want = []
+        for kind, p in patterns.items():
+            for i, t in enumerate(texts):
+                flat = " ".join((t or "").split())
+                want += [(i, kind, m.start(), m.end(), next((g for g in m.groups() if g), m[0])) for m in re.finditer(p if isinstance(p, str) else p[0], flat, re.IGNORECASE)]
+        got = [(r.doc_id, r.kind, r.start, r.end, r.value) for r in near.located(frame, patterns).collect()]
+        assert sorted(got) == sorted(want), name
+
+
+def test_beginnings_miss_no_match_of_offers(spark, monkeypatch):
+    found_by_beginnings(spark, monkeypatch, near.offer_details)
+
+
+def test_neighbours_are_told_where_texts_are_read(spark):
+    """Against all pairs; texts that are told apart neither by their identifier nor by their words are read one by one."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["$1.00 ", "red ", "x", "blue", " ", "$2.50", "é", "\n\t", "red and very long "]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(0, texts[0])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    patterns = {"amount": (r"\$(\d\.\d+)", "$#"), "word": (r"\bred(?: and very long)?\b", "red")}
+    found = near.located(frame, patterns, near={"near": ("word", 9, 5)}, apart="other", kinds=["amount"]).collect()
+    want = []
+    for i, t in rows:
+        flat = " ".join(t.split())
+        words, amounts = ([m.span() for m in re.finditer(patterns[k][0], flat)] for k in ("word", "amount"))
+        want += [(i, a, b, any(x >= a - 9 and y <= b + 5 for x, y in words), min((abs(x - a) for x, _ in amounts if x != a), default=None)) for a, b in amounts]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.doc_id, r.start, r.end, r.near, r.other) for r in found), key=key) == sorted(want, key=key)
+
+
+def shuffles(df):
+    """What a plan shuffles and sorts, before it runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {what: len(re.findall(rf"(?m)^[^\w]*{what}\b", plan)) for what in ("Exchange", "Window", "Sort", "SortMergeJoin", "MapInArrow")}
+
+
+def test_offers_are_read_without_sorts(spark):
+    got = shuffles(catalog.QUERIES["k_offer_details"](spark, "/root/testdata/sf0.001"))
+    assert got == {"Exchange": 2, "Window": 0, "Sort": 0, "SortMergeJoin": 0, "MapInArrow": 1}  # orders dealt out, and a row for each document and task

@@ -11,16 +11,20 @@ false) in what is built on it; rows that share an identifier are read as one doc
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalar import number_word
 
 # Words and phrases of filings, in Python's syntax, case ignored. Where many words begin a pattern their first letters are asked first, which is faster.
 DATE = r"((?=[jfmasond])(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}\s*,\s*\d{4})"
+MONTHS = "janu|febr|marc|apri|may|june|july|augu|sept|octo|nove|dece"
 MONEY = r"\$\s?(\d{1,2}\.\d{2,4})"
 NUMBER = r"(\d{1,5}|[a-z]+(?:[- ](?:one|two|three|four|five|six|seven|eight|nine))?)"
 REDEMPTION = r"(?=[rtc])(?:redeem\w*|redemption|trust account|conversion (?:amount|price|right))"
@@ -28,25 +32,140 @@ NOT_REDEMPTION = r"(?=[wesptoc])(?:warrant|exercise|strike|subscription|private
 RANGE_WORDS = r"\brange\b|ranging|between|(?:no|not) (?:less|more|fewer|greater) than|up to|at least|as (?:low|high) as"
 
 
-def located(docs: DataFrame, patterns: dict[str, str], ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """ident, kind, start, end, value (first group that matched, else the match): every match of each pattern, places from 0."""
-    fields = "kind string, start int, end int, value string"
-    schema = f"{docs.select(F.col(ident).alias('id')).schema.simpleString()[7:-1].replace(':', ' ', 1)}, row long, {fields}"
+#: Kinds of characters that beginnings of patterns are told by: letters whatever their case, digits, space, $, - and comma; 0 is any other.
+_CLASSES = {chr(97 + i): i + 1 for i in range(26)} | {"#": 27, " ": 28, "$": 29, "-": 30, ",": 31}
+_LOOK = 4
+#: Characters whose places are looked for at once; a longer text is read by itself.
+_AT_ONCE = 1 << 20
+
+
+def _classes() -> bytes:
+    """The class of each character of ASCII."""
+    out = bytearray(256)
+    for c, n in _CLASSES.items():
+        for x in "0123456789" if c == "#" else c + c.upper():
+            out[ord(x)] = n
+    return bytes(out)
+
+
+def _class_of(c: str) -> int:
+    """Of a character beyond ASCII: patterns that ignore case take some for letters, and some are digits."""
+    return 27 if c.isdecimal() else next((_CLASSES[x] for x in (c.lower()[0], c.upper()[0].lower()) if "a" <= x <= "z"), 0)
+
+
+def _begun(begins: list[str]) -> np.ndarray:
+    """For each four characters' classes in a row, a bit for each set of beginnings that they can be of."""
+    out = np.zeros((32,) * _LOOK, np.uint32)
+    for i, words in enumerate(begins):
+        for word in words.split("|"):
+            out[tuple(slice(None) if c == "." else _CLASSES[c] for c in word[:_LOOK])] |= np.uint32(1 << i)
+    return out.ravel()
+
+
+def _candidates(texts: list[str], table: np.ndarray, classes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """text, place in it and bits of the beginnings wherever there are any."""
+    # a text ends in characters of no class, so that no beginning is seen across two texts
+    whole = "\n\n\n\n".join((*texts, ""))
+    if whole.isascii():
+        c = np.frombuffer(whole.encode("ascii").translate(classes), np.uint8)
+    else:
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        c = np.frombuffer(np.minimum(codes, 128).astype(np.uint8).tobytes().translate(classes), np.uint8).copy()
+        beyond = np.flatnonzero(codes >= 128)
+        told, which = np.unique(codes[beyond], return_inverse=True)
+        c[beyond] = np.array([_class_of(chr(x)) for x in told], np.uint8)[which]
+    two = (c[:-1].astype(np.uint16) << 5) | c[1:]
+    bits = table[(two[:-2].astype(np.uint32) << 10) | two[2:]]
+    at = np.flatnonzero(bits)
+    begins = np.cumsum([0, *(len(t) + 4 for t in texts[:-1])])
+    of = np.searchsorted(begins, at, "right") - 1
+    return of, at - begins[of], bits[at]
+
+
+def _matches(texts: list[str], p: re.Pattern, of: np.ndarray | None, at: np.ndarray | None) -> tuple[list, list, list, list]:
+    """text, start, end, value of every match of `p`; where places are given it can begin at those only."""
+    value = (lambda m: m[1] or m[0]) if p.groups == 1 else lambda m: next((g for g in m.groups() if g), m[0])
+    if of is None:
+        found = [(i, m) for i, t in enumerate(texts) for m in p.finditer(t)]
+        return [i for i, _ in found], [m.start() for _, m in found], [m.end() for _, m in found], [value(m) for _, m in found]
+    rows: tuple[list, list, list, list] = ([], [], [], [])
+    texts_of, starts, ends, values = (x.append for x in rows)
+    match, text, past = p.match, -1, 0
+    for i, place in zip(of.tolist(), at.tolist(), strict=True):
+        if i != text:
+            text, past = i, 0
+        if place >= past and (m := match(texts[i], place)):
+            past = m.end()
+            texts_of(i)
+            starts(place)
+            ends(past)
+            values(value(m) if p.groups else m[0])
+    return rows
+
+
+def _least_step(of: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
+    """From each place, in order, to the nearest other one in the same text."""
+    step = np.where(np.diff(of) == 0, np.diff(at), none)
+    alone = np.full(min(len(at), 1), none)
+    return np.minimum(np.concatenate((alone, step)), np.concatenate((step, alone)))
+
+
+def located(
+    docs: DataFrame, patterns: dict[str, str | tuple[str, str]], ident: str = "doc_id", text: str = "text", near: dict[str, tuple[str, int, int]] | None = None,
+    apart: str | None = None, kinds: Iterable[str] | None = None, more: Iterable[str] = (),
+) -> DataFrame:
+    """ident, kind, start, end, value (first group that matched, else the match): every match of each pattern (or of `kinds` only), places from 0.
+
+    A pattern may come with its beginnings, which are faster to look for: the first characters (four count) of all that it can match, parted by |, in lower case, with # for a
+    digit and a dot for any character. `near`: name -> (kind, before, after), a column: does a match of that kind begin at most `before` characters before the row's match and
+    end at most `after` behind its end? `apart` names a column: characters between the beginnings of the row's match and of the nearest other of its kind, null if there is none.
+    `more` columns of `docs` are kept."""
+    near, kinds, more = near or {}, list(kinds or patterns), list(more)
+    read = docs.select(F.col(ident).alias("id"), F.xxhash64(F.col(text)).alias("row"), *more, F.col(text).cast("string").alias("text"))
+    schema = StructType([*read.schema.fields[:-1]])
+    for name, of_type in ({"kind": "string", "start": "integer", "end": "integer", "value": "string"} | dict.fromkeys(near, "boolean") | ({apart: "integer"} if apart else {})).items():
+        schema = schema.add(name, of_type)
+    plain = {k: p if isinstance(p, str) else p[0] for k, p in patterns.items()}
+    begins = {k: p[1] for k, p in patterns.items() if not isinstance(p, str)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = {k: re.compile(p, re.IGNORECASE) for k, p in patterns.items()}
+        compiled = {k: re.compile(p, re.IGNORECASE) for k, p in plain.items()}
+        table, classes = _begun(list(begins.values())), _classes()
+
+        def read_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = [" ".join((t or "").split()) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            of, at, bits = _candidates(texts, table, classes)
+            found = {}
+            for kind, p in compiled.items():
+                mine = (bits & np.uint32(1 << list(begins).index(kind))) != 0 if kind in begins else None
+                i, start, end, value = _matches(texts, p, None if mine is None else of[mine], None if mine is None else at[mine])
+                found[kind] = tuple(np.array(x, np.int64) for x in (i, start, end)) + (value,)
+            # places in all texts one behind the other tell where they stand, and in which text
+            wide = 1 + max(map(len, texts), default=0)
+            i, start, end = (np.concatenate([found[k][n] for k in kinds]) for n in range(3))
+            columns = [pa.array(kinds).take(pa.array(np.repeat(np.arange(len(kinds)), [len(found[k][0]) for k in kinds]))), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array([v for k in kinds for v in found[k][3]], pa.string())]
+            for kind, before, after in near.values():
+                oi, begin, finish, _ = found[kind]
+                # matches of a kind don't overlap, so the first that doesn't begin too early is also the first to end
+                j = np.searchsorted(oi * wide + begin, i * wide + np.maximum(start - before, 0))
+                there = j < len(oi)
+                j = np.where(there, j, 0)
+                columns.append(pa.array(there & (oi[j] == i) & (finish[j] <= end + after) if len(oi) else np.zeros(len(i), bool)))
+            if apart:
+                least = np.concatenate([_least_step(*found[k][:2], none=wide) for k in kinds])
+                columns.append(pa.array(least, pa.int32(), mask=least == wide))
+            order = np.lexsort((start, i))
+            at_doc, order = pa.array(i[order]), pa.array(order)
+            return pa.RecordBatch.from_arrays([batch.column(n).take(at_doc) for n in range(batch.num_columns - 1)] + [c.take(order) for c in columns], names=schema.names)
+
         for batch in batches:
-            rows: list[tuple] = []
-            for i, t in enumerate(batch.column(2).to_pylist()):
-                flat = " ".join((t or "").split())
-                for kind, p in compiled.items():
-                    rows += [(i, kind, m.start(), m.end(), next((g for g in m.groups() if g), m[0])) for m in p.finditer(flat)]
-            at, kind, start, end, value = zip(*rows, strict=True) if rows else ((),) * 5
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(kind, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(value, pa.string())], names=["id", "row", "kind", "start", "end", "value"])
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy()
+            cut = np.flatnonzero(np.diff(np.cumsum(sizes) // _AT_ONCE, prepend=0))
+            for low, high in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+                if high > low:
+                    yield read_texts(batch.slice(low, high - low))
 
     # rows of one identifier are told apart by a digest of their text
-    read = docs.select(F.col(ident).alias("id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).cast("string").alias("text"))
     return read.mapInArrow(run, schema).withColumnRenamed("id", ident)
 
 
@@ -206,15 +325,16 @@ def event_updates(docs: DataFrame, ident: str = "doc_id", text: str = "text", fi
 def offer_details(docs: DataFrame, ident: str = "doc_id", text: str = "text", filed: str = "filed") -> DataFrame:
     """Per offer: the day it expires (the first date on or after the filing that stands up to 250 characters behind a word of expiring), the odd-lot
     threshold (stated up to 1,500 characters behind a mention of odd lots), whether odd lots come first, whether only they are bought, and the security."""
-    # Patterns.
-    found = located(docs, {
-        "day": DATE, "expires": r"expire[sd]?\b|expiration", "odd": r"odd[\s\-]*lots?\b", "fewer": r"(?:fewer|less)\s+than\s+(\d{2,4}|one\s+hundred)\s+(?:\(\d+\)\s+)?(?:[\w-]+\s+){0,3}?(?:shares|units)",
-        "first": r"priority|before\s+proration|not\s+be\s+subject\s+to\s+proration|without\s+(?:regard\s+to\s+)?proration|accept\s+for\s+purchase\s+all",
-        "only": r"held\s+by\s+(?:holders|stockholders|shareholders)\s+of\s+(?:\d{2,3}|ninety-nine)\s+or\s+fewer|odd[\s-]*lot\s+tender\s+offer",
-        "notes": r"\bnotes?\b|debenture|\bbonds?\b", "options": r"\boptions?\b", "warrants": r"warrants?", "preferred": r"preferred|preference", "units": r"\bunits\b", "rights": r"\brights\b", "common": r"common|ordinary|shares|stock|beneficial\s+interest", "title": r"offer\s+to\s+(?:purchase|exchange)",
-    }, ident, text).join(docs.select(ident, F.col(filed).cast("date").alias("_filed")).dropDuplicates([ident]), ident)
-    d = found.withColumns({"_expires": beside("expires", 250, 0, ident), "_odd": beside("odd", 1500, 0, ident), "_close": beside("odd", 200, 120, ident), "_titled": beside("title", 600, 0, ident)}).withColumn("_day", F.when(F.col("kind") == "day", day(F.col("value"))))
     kinds = ["notes", "options", "warrants", "preferred", "units", "rights", "common"]
+    # Patterns.
+    found = located(docs.withColumn("_filed", F.col(filed).cast("date")), {
+        "day": (DATE, MONTHS), "expires": (r"expire[sd]?\b|expiration", "expi"), "odd": (r"odd[\s\-]*lots?\b", "odd"), "fewer": (r"(?:fewer|less)\s+than\s+(\d{2,4}|one\s+hundred)\s+(?:\(\d+\)\s+)?(?:[\w-]+\s+){0,3}?(?:shares|units)", "fewe|less"),
+        "first": (r"priority|before\s+proration|not\s+be\s+subject\s+to\s+proration|without\s+(?:regard\s+to\s+)?proration|accept\s+for\s+purchase\s+all", "prio|befo|not |with|acce"),
+        "only": (r"held\s+by\s+(?:holders|stockholders|shareholders)\s+of\s+(?:\d{2,3}|ninety-nine)\s+or\s+fewer|odd[\s-]*lot\s+tender\s+offer", "held|odd"),
+        "notes": (r"\bnotes?\b|debenture|\bbonds?\b", "note|debe|bond"), "options": (r"\boptions?\b", "opti"), "warrants": (r"warrants?", "warr"), "preferred": (r"preferred|preference", "pref"), "units": (r"\bunits\b", "unit"), "rights": (r"\brights\b", "righ"),
+        "common": (r"common|ordinary|shares|stock|beneficial\s+interest", "comm|ordi|shar|stoc|bene"), "title": (r"offer\s+to\s+(?:purchase|exchange)", "offe"),
+    }, ident, text, {"_expires": ("expires", 250, 0), "_odd": ("odd", 1500, 0), "_close": ("odd", 200, 120), "_titled": ("title", 600, 0)}, kinds=["day", "fewer", "first", "only", *kinds], more=["_filed"])
+    d = found.withColumn("_day", F.when((F.col("kind") == "day") & F.col("_expires"), day(F.col("value"))))
     threshold = F.when(F.lower("value").contains("hundred"), 100).otherwise(F.col("value").try_cast("int"))
     g = d.groupBy(ident).agg(
         F.min_by("_day", F.when((F.col("kind") == "day") & F.col("_expires") & (F.col("_day") >= F.col("_filed")), F.col("start"))).alias("expires"),
