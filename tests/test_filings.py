@@ -170,3 +170,18 @@ def shuffles(df):
 def test_offers_are_read_without_sorts(spark):
     got = shuffles(catalog.QUERIES["k_offer_details"](spark, "/root/testdata/sf0.001"))
     assert got == {"Exchange": 2, "Window": 0, "Sort": 0, "SortMergeJoin": 0, "MapInArrow": 1}  # orders dealt out, and a row for each document and task
+
+
+def test_beginnings_miss_no_match_of_ratios(spark, monkeypatch):
+    found_by_beginnings(spark, monkeypatch, near.chosen_ratios)
+
+
+def test_ratios_are_read_without_windows_or_joins(spark):
+    got = shuffles(catalog.QUERIES["k_chosen_ratios"](spark, "/root/testdata/sf0.001"))
+    assert (got["Window"], got["SortMergeJoin"], got["MapInArrow"]) == (0, 0, 1)
+
+
+def test_a_filing_listed_twice_is_no_range(spark):
+    """Its copies are read one by one: a ratio is no neighbour of its own copy."""
+    frame = docs(spark, "A 1-for-10 reverse split.", "A 1-for-4 reverse split, then 1-for-5.")
+    assert by_doc(near.chosen_ratios(frame.unionByName(frame)), "ratio", "is_range") == {0: (10, False), 1: (None, True)}

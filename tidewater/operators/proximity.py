@@ -196,9 +196,9 @@ def day(value: Column) -> Column:
 
 
 def most_frequent(rows: DataFrame, by: list[str], value: str, place: str) -> DataFrame:
-    """Per group the most frequent value; of equally frequent ones the one met first."""
+    """Per group the most frequent value; of equally frequent ones the one met first. Null is no value: a group of nulls has null."""
     c = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"), F.min(place).alias("_p"))
-    return c.groupBy(*by).agg(F.max_by(value, F.struct("_c", -F.col("_p"))).alias(value))
+    return c.groupBy(*by).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct("_c", -F.col("_p")))).alias(value))
 
 
 def chosen_ratios(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,12 +206,16 @@ def chosen_ratios(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
 
     A ratio belongs to a range if range words stand up to 150 characters before it or 40 behind, or another ratio begins
     within 120. The most frequent ratio outside of ranges is the one chosen; with ranges only there is none."""
-    found = located(docs, {"ratio": rf"\b(?:1|one)[- ]for[- ]{NUMBER}\b", "subject": r"reverse|consolidat\w*|combin\w*", "range": RANGE_WORDS}, ident, text)
-    seen = found.withColumns({"of": beside("subject", 250, 250, ident), "in": beside("range", 150, 40, ident) | F.coalesce(distance_to_other(ident) < 120, F.lit(False))})
+    # Patterns.
+    found = located(docs, {
+        "ratio": (rf"\b(?:1|one)[- ]for[- ]{NUMBER}\b", "#.fo|one."), "subject": (r"reverse|consolidat\w*|combin\w*", "reve|cons|comb"), "range": (RANGE_WORDS, "rang|betw|no |not |up t|at l|as l|as h"),
+    }, ident, text, {"of": ("subject", 250, 250), "in": ("range", 150, 40)}, "apart", ["ratio"])
     n = F.coalesce(F.col("value").try_cast("int"), number_word(F.lower("value")))
-    stated = seen.where("kind = 'ratio' and of").withColumn("ratio", n).where("ratio between 2 and 10000")
-    best = most_frequent(stated.where("not in"), [ident], "ratio", "start")
-    return stated.select(ident).distinct().join(best, ident, "left").withColumn("is_range", F.col("ratio").isNull())
+    stated = found.where("of").withColumn("ratio", n).where("ratio between 2 and 10000")
+    # a ratio of a range is counted under null, so that a document with ranges only is met too
+    free = F.when(~F.col("in") & ~F.coalesce(F.col("apart") < 120, F.lit(False)), F.col("ratio"))
+    best = most_frequent(stated.withColumn("ratio", free), [ident], "ratio", "start")
+    return best.withColumn("is_range", F.col("ratio").isNull())
 
 
 def redemption_amounts(docs: DataFrame, ident: str = "doc_id", text: str = "text", before: int = 250, low: float = 5.0, high: float = 12.5) -> DataFrame:
