@@ -185,3 +185,35 @@ def test_a_filing_listed_twice_is_no_range(spark):
     """Its copies are read one by one: a ratio is no neighbour of its own copy."""
     frame = docs(spark, "A 1-for-10 reverse split.", "A 1-for-4 reverse split, then 1-for-5.")
     assert by_doc(near.chosen_ratios(frame.unionByName(frame)), "ratio", "is_range") == {0: (10, False), 1: (None, True)}
+
+
+def test_beginnings_miss_no_match_of_filings(spark, monkeypatch):
+    found_by_beginnings(spark, monkeypatch, near.event_updates, near.redemption_amounts, near.prospectus_terms, near.meeting_terms)
+
+
+def test_updates_are_read_once(spark):
+    """One reading of the texts finds what is told of events and the stated amounts; nothing is joined to it."""
+    got = shuffles(catalog.QUERIES["k_event_updates"](spark, "/root/testdata/sf0.001"))
+    assert (got["MapInArrow"], got["Window"], got["SortMergeJoin"]) == (1, 0, 0)
+
+
+def test_updates_of_documents_with_some_words_only(spark):
+    """Words beside which nothing stands make a document an update; words of stated amounts alone do not."""
+    t = ["It is expected.", "A trust account.", "The per share price in trust is $10.31.", "It is expected. The per share price in trust is $10.31.", "Shares of all redeemed at $10.20 per share, $10.30 per share and then $10.30 per share."]
+    got = by_doc(near.event_updates(docs(spark, *t, filed=("date", date(2020, 5, 1)))), "liquidation", "per_share")
+    assert got == {0: (False, None), 3: (False, 10.31), 4: (False, 10.2)}
+    frame = docs(spark, "They redeem $10.20 per share", "They redeem $10.30 per share; $10.30 per share.").withColumn("doc_id", F.lit(7))
+    assert by_doc(near.redemption_amounts(frame), "stated_amount") == {7: 10.3}
+
+
+def test_offers_of_documents_with_some_words_only(spark):
+    got = by_doc(near.offer_details(docs(spark, "It expires.", "Odd lots.", "Offer to purchase", "Nothing.", filed=("date", date(2020, 5, 1)))), "odd_lot_priority", "odd_lot_only", "security")
+    assert got == dict.fromkeys(range(3), (False, False, "other"))
+
+
+def test_days_are_the_same_read_in_python(spark):
+    t = ["on March 5, 2021", "on FEBRUARY 30, 2021", "on june 1,2021", "on May 09 , 1997", "on July 0, 2020", "on auguſt 3, 2020", "on June ٣, 2020", "on February 29, 2020", "on January 1, 0001"]
+    found = near.located(docs(spark, *t), {"on": (f"on {near.DATE}", "on ")}, days=["on"])
+    rows = found.select("doc_id", "day", near.day(F.col("value")).alias("want")).collect()
+    assert len(rows) == len(t) and all(r.day == r.want for r in rows)
+    assert sum(r.day is None for r in rows) == 3

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from datetime import date
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,12 @@ from ..functions.scalar import number_word
 
 # Words and phrases of filings, in Python's syntax, case ignored. Where many words begin a pattern their first letters are asked first, which is faster.
 DATE = r"((?=[jfmasond])(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}\s*,\s*\d{4})"
-MONTHS = "janu|febr|marc|apri|may|june|july|augu|sept|octo|nove|dece"
 MONEY = r"\$\s?(\d{1,2}\.\d{2,4})"
 NUMBER = r"(\d{1,5}|[a-z]+(?:[- ](?:one|two|three|four|five|six|seven|eight|nine))?)"
 REDEMPTION = r"(?=[rtc])(?:redeem\w*|redemption|trust account|conversion (?:amount|price|right))"
 NOT_REDEMPTION = r"(?=[wesptoc])(?:warrant|exercise|strike|subscription|private placement|purchase price|offering price|per unit|earn-?out|trading price|closing price|equals or exceeds)"
+#: What they begin with, as `located` wants it.
+MONTHS, MONEY_BEGINS, REDEMPTION_BEGINS, NOT_REDEMPTION_BEGINS = "janu|febr|marc|apri|may|june|july|augu|sept|octo|nove|dece", "$#|$ #", "rede|trus|conv", "warr|exer|stri|subs|priv|purc|offe|per |earn|trad|clos|equa"
 RANGE_WORDS = r"\brange\b|ranging|between|(?:no|not) (?:less|more|fewer|greater) than|up to|at least|as (?:low|high) as"
 
 
@@ -39,6 +42,10 @@ _LOOK = 4
 _AT_ONCE = 1 << 20
 
 
+_EPOCH, _NO_DAY = date(1970, 1, 1).toordinal(), -(1 << 31)
+_MONTH_NUMBERS = {m: i for i, m in enumerate("january february march april may june july august september october november december".split(), 1)}
+
+
 def _classes() -> bytes:
     """The class of each character of ASCII."""
     out = bytearray(256)
@@ -103,6 +110,16 @@ def _matches(texts: list[str], p: re.Pattern, of: np.ndarray | None, at: np.ndar
     return rows
 
 
+@lru_cache(1 << 16)
+def _written_day(value: str) -> int:
+    """Days from 1970 to a date written as in `DATE`; `_NO_DAY` where there is no such day."""
+    told = re.fullmatch(r"([a-z]+) ([0-9]{1,2}) ?, ?([0-9]{4})", value, re.IGNORECASE)
+    try:
+        return date(int(told[3]), _MONTH_NUMBERS[told[1].casefold()], int(told[2])).toordinal() - _EPOCH if told else _NO_DAY
+    except (KeyError, ValueError):
+        return _NO_DAY
+
+
 def _least_step(of: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
     """From each place, in order, to the nearest other one in the same text."""
     step = np.where(np.diff(of) == 0, np.diff(at), none)
@@ -112,18 +129,18 @@ def _least_step(of: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
 
 def located(
     docs: DataFrame, patterns: dict[str, str | tuple[str, str]], ident: str = "doc_id", text: str = "text", near: dict[str, tuple[str, int, int]] | None = None,
-    apart: str | None = None, kinds: Iterable[str] | None = None, more: Iterable[str] = (),
+    apart: str | None = None, kinds: Iterable[str] | None = None, more: Iterable[str] = (), days: Iterable[str] = (),
 ) -> DataFrame:
     """ident, kind, start, end, value (first group that matched, else the match): every match of each pattern (or of `kinds` only), places from 0.
 
     A pattern may come with its beginnings, which are faster to look for: the first characters (four count) of all that it can match, parted by |, in lower case, with # for a
     digit and a dot for any character. `near`: name -> (kind, before, after), a column: does a match of that kind begin at most `before` characters before the row's match and
     end at most `after` behind its end? `apart` names a column: characters between the beginnings of the row's match and of the nearest other of its kind, null if there is none.
-    `more` columns of `docs` are kept."""
-    near, kinds, more = near or {}, list(kinds or patterns), list(more)
+    `more` columns of `docs` are kept. `days`: kinds whose value is a date as in `DATE`; it stands in a column `day`, null where there is no such day."""
+    near, kinds, more, days = near or {}, list(kinds or patterns), list(more), set(days)
     read = docs.select(F.col(ident).alias("id"), F.xxhash64(F.col(text)).alias("row"), *more, F.col(text).cast("string").alias("text"))
     schema = StructType([*read.schema.fields[:-1]])
-    for name, of_type in ({"kind": "string", "start": "integer", "end": "integer", "value": "string"} | dict.fromkeys(near, "boolean") | ({apart: "integer"} if apart else {})).items():
+    for name, of_type in ({"kind": "string", "start": "integer", "end": "integer", "value": "string"} | dict.fromkeys(near, "boolean") | ({apart: "integer"} if apart else {}) | ({"day": "date"} if days else {})).items():
         schema = schema.add(name, of_type)
     plain = {k: p if isinstance(p, str) else p[0] for k, p in patterns.items()}
     begins = {k: p[1] for k, p in patterns.items() if not isinstance(p, str)}
@@ -154,6 +171,9 @@ def located(
             if apart:
                 least = np.concatenate([_least_step(*found[k][:2], none=wide) for k in kinds])
                 columns.append(pa.array(least, pa.int32(), mask=least == wide))
+            if days:
+                told = np.array([d for k in kinds for d in (map(_written_day, found[k][3]) if k in days else [_NO_DAY] * len(found[k][3]))], np.int32)
+                columns.append(pa.array(told, pa.int32(), mask=told == _NO_DAY).cast(pa.date32()))
             order = np.lexsort((start, i))
             at_doc, order = pa.array(i[order]), pa.array(order)
             return pa.RecordBatch.from_arrays([batch.column(n).take(at_doc) for n in range(batch.num_columns - 1)] + [c.take(order) for c in columns], names=schema.names)
@@ -195,10 +215,15 @@ def day(value: Column) -> Column:
     return F.to_date(F.try_to_timestamp(F.initcap(F.regexp_replace(F.regexp_replace(value, r"\s*,\s*", ", "), r"\s+", " ")), F.lit("MMMM d, yyyy")))
 
 
+def _more_and_earlier(count: str, place: str) -> Column:
+    """What is larger for a larger count and, of equal counts, for an earlier place (whole numbers of 31 bits): one number, as aggregates by number need no sort."""
+    return F.shiftleft(F.col(count).cast("long"), 31) + (2**31 - 1 - F.col(place))
+
+
 def most_frequent(rows: DataFrame, by: list[str], value: str, place: str) -> DataFrame:
     """Per group the most frequent value; of equally frequent ones the one met first. Null is no value: a group of nulls has null."""
     c = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"), F.min(place).alias("_p"))
-    return c.groupBy(*by).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct("_c", -F.col("_p")))).alias(value))
+    return c.groupBy(*by).agg(F.max_by(value, F.when(F.col(value).isNotNull(), _more_and_earlier("_c", "_p"))).alias(value))
 
 
 def chosen_ratios(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,24 +243,42 @@ def chosen_ratios(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     return best.withColumn("is_range", F.col("ratio").isNull())
 
 
+# Patterns of stated amounts, and the words that speak for one and against it.
+_STATED = {
+    "amount": (rf"{MONEY}\s*(?:per|for each)\s+(?:\w+\s+){{0,3}}?share", MONEY_BEGINS), "word": (REDEMPTION, REDEMPTION_BEGINS), "other": (NOT_REDEMPTION, NOT_REDEMPTION_BEGINS),
+    "current": (rf"current\s+(?:conversion|redemption)\s+(?:amount|price)\s+(?:of\s+)?(?:approximately\s+)?{MONEY}", "curr"),
+    "price": (rf"per\s?-?\s?share\s+(?:redemption\s+)?(?:price|amount)[^$]{{0,200}}?(?:redeem|redemption|trust)[^$]{{0,200}}?{MONEY}", "per |per-|pers"),
+}
+
+
+def _stated_near(before: int) -> dict[str, tuple[str, int, int]]:
+    return {"_told": ("word", before, 60), "_against": ("other", 120, 40)}
+
+
+def _with_amounts(found: DataFrame, low: float, high: float, kinds: Iterable[str] = ()) -> DataFrame:
+    """With `_v`, the number of a stated amount (and of `kinds`), and `_use`: 0 for an amount called the current one, 1 for one of a price, 2 and 3 for one told with words of
+    redemption; null for what is no stated amount."""
+    v = F.col("_v")
+    plain = (F.col("kind") == "amount") & F.col("_told") & ~F.col("_against")
+    # a price's own words may stand far before it, so only what stands right before its figure speaks against it
+    use = F.when(F.col("kind") == "current", 0).when(F.col("kind") == "price", 1).when(plain & (F.round(v * 100) % 100 != 0), 2).when(plain, 3)
+    return found.withColumn("_v", F.when(F.col("kind").isin("amount", "current", "price", *kinds), F.col("value").try_cast("double"))).withColumn("_use", F.when(v.between(low, high), use))
+
+
+def _stated(rows: str = "_rows", place: str = "_place") -> Column:
+    """Of counted amounts: the most frequent of the best use, of equally frequent ones the one met first."""
+    return F.max_by("_v", F.when(F.col("_use").isNotNull(), F.shiftleft((3 - F.col("_use")).cast("long"), 61) + _more_and_earlier(rows, place))).alias("stated_amount")
+
+
 def redemption_amounts(docs: DataFrame, ident: str = "doc_id", text: str = "text", before: int = 250, low: float = 5.0, high: float = 12.5) -> DataFrame:
     """stated_amount per document: what a share is redeemed for.
 
     An amount called the current redemption or conversion amount comes first, then one that follows "per-share price ... redeem ...",
     then the most frequent amount per share with words of redemption up to `before` characters before it or 60 behind, amounts that are not
     whole before round ones. Amounts beside words of warrants, offers or prices (120 before, 40 behind) and outside [low, high] don't count."""
-    # Patterns.
-    found = located(docs, {
-        "amount": rf"{MONEY}\s*(?:per|for each)\s+(?:\w+\s+){{0,3}}?share", "word": REDEMPTION, "other": NOT_REDEMPTION,
-        "current": rf"current\s+(?:conversion|redemption)\s+(?:amount|price)\s+(?:of\s+)?(?:approximately\s+)?{MONEY}",
-        "price": rf"per\s?-?\s?share\s+(?:redemption\s+)?(?:price|amount)[^$]{{0,200}}?(?:redeem|redemption|trust)[^$]{{0,200}}?{MONEY}",
-    }, ident, text)
-    d = found.withColumn("v", F.col("value").try_cast("double")).withColumns({"told": beside("word", before, 60, ident), "other_near": beside("other", 120, 40, ident)}).where(F.col("v").between(low, high))
-    cents = F.round(F.col("v") * 100) % 100 != 0
-    # a price's own words may stand far before it, so only what stands right before its figure speaks against it
-    use = F.when(F.col("kind") == "current", 0).when((F.col("kind") == "price") & ~F.col("value").isNull(), 1).when((F.col("kind") == "amount") & F.col("told") & ~F.col("other_near") & cents, 2).when((F.col("kind") == "amount") & F.col("told") & ~F.col("other_near"), 3)
-    ranked = d.withColumn("use", use).where("use is not null").withColumn("best", F.min("use").over(Window.partitionBy(ident))).where("use = best")
-    return most_frequent(ranked, [ident], "v", "start").withColumnRenamed("v", "stated_amount")
+    found = located(docs, _STATED, ident, text, _stated_near(before), kinds=["amount", "current", "price"])
+    d = _with_amounts(found, low, high).where("_use is not null")
+    return d.groupBy(ident, "_use", "_v").agg(F.count(F.lit(1)).alias("_rows"), F.min("start").alias("_place")).groupBy(ident).agg(_stated())
 
 
 # Patterns of terms, and of treatments below.
@@ -253,10 +296,10 @@ def prospectus_terms(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     symbol (of the units, without their U), exchange, and whether a unit holds a warrant or a right."""
     # Patterns.
     found = located(docs, {
-        "amount": rf"{MONEY}\s+per\s+(?:unit|share|public\s+share)", "trust": r"trust\s+account", "months": _MONTHS_TO, "exchange": _EXCHANGE,
-        "symbol": r"units?\b[^.]{0,200}?under\s+the\s+(?:ticker\s+)?symbol\s+[\"“]?\s*([A-Z]{2,6})\b", "unit": r"each\s+unit\s+(?:consists|will\s+consist|consisting)\s+of\s+([^.]{0,300})",
-    }, ident, text)
-    kept = found.withColumn("_near", beside("trust", 160, 160, ident)).where((F.col("kind") != "amount") | F.col("_near"))
+        "amount": (rf"{MONEY}\s+per\s+(?:unit|share|public\s+share)", MONEY_BEGINS), "trust": (r"trust\s+account", "trus"), "months": (_MONTHS_TO, "with"), "exchange": (_EXCHANGE, "nyse|new |amer|nasd"),
+        "symbol": (r"units?\b[^.]{0,200}?under\s+the\s+(?:ticker\s+)?symbol\s+[\"“]?\s*([A-Z]{2,6})\b", "unit"), "unit": (r"each\s+unit\s+(?:consists|will\s+consist|consisting)\s+of\s+([^.]{0,300})", "each"),
+    }, ident, text, {"_near": ("trust", 160, 160)})
+    kept = found.where((F.col("kind") != "amount") | F.col("_near"))
     t = _first(kept, ident, amount="amount", months="months", symbol="symbol", exchange="exchange", unit="unit")
     amount, months = F.col("amount").try_cast("double"), F.regexp_replace(F.lower("months"), " ", "-")
     symbol = F.upper("symbol")
@@ -274,9 +317,9 @@ def meeting_terms(docs: DataFrame, ident: str = "doc_id", text: str = "text", fo
     extraordinary meeting is no proxy: kind not_a_proxy and nothing else."""
     # Patterns.
     found = located(docs, {
-        "held": rf"(?:to\s+be\s+held|will\s+be\s+held|meeting\s+(?:of\s+\w+\s+)?on)[^.]{{0,120}}?{DATE}", "special": r"special\s+meeting|extraordinary\s+general\s+meeting",
-        "extension": r"exten(?:d|sion)[^.]{0,120}(?:date|period|time|charter)", "combination": r"business\s+combination|merger\s+agreement",
-        "right": r"(?:right|opportunity|elect)\w*[^.]{0,80}redeem|redemption\s+rights?", "until": rf"(?:redeem|redemption|tender|deliver)[^.]{{0,250}}?(?:prior\s+to|before|by|no\s+later\s+than)[^.]{{0,60}}?{DATE}",
+        "held": (rf"(?:to\s+be\s+held|will\s+be\s+held|meeting\s+(?:of\s+\w+\s+)?on)[^.]{{0,120}}?{DATE}", "to b|will|meet"), "special": (r"special\s+meeting|extraordinary\s+general\s+meeting", "spec|extr"),
+        "extension": (r"exten(?:d|sion)[^.]{0,120}(?:date|period|time|charter)", "exte"), "combination": (r"business\s+combination|merger\s+agreement", "busi|merg"),
+        "right": (r"(?:right|opportunity|elect)\w*[^.]{0,80}redeem|redemption\s+rights?", "righ|oppo|elec|rede"), "until": (rf"(?:redeem|redemption|tender|deliver)[^.]{{0,250}}?(?:prior\s+to|before|by|no\s+later\s+than)[^.]{{0,60}}?{DATE}", "rede|tend|deli"),
     }, ident, text)
     t = _first(found, ident, held="held", special="special", extension="extension", combination="combination", right="right", until="until")
     d = docs.select(ident, F.col(form).alias("_form")).join(t, ident, "left").join(redemption_amounts(docs, ident, text), ident, "left")
@@ -294,19 +337,21 @@ def event_updates(docs: DataFrame, ident: str = "doc_id", text: str = "text", fi
     What was paid is stated next to words of redemption (160 characters) without words of expectation (60); without one it is the most frequent
     amount near redemption, else dollars over shares redeemed, where that is 5 to 12.5."""
     # Patterns.
-    found = located(docs, {
-        "postponed": rf"(?:postpone|adjourn|reschedul|reconven)\w*[^.]{{0,300}}?(?:to|until|on|for)\s+(?:\w+day,\s+)?{DATE}",
-        "extended": rf"(?:approved|extended|elected\s+to\s+extend)[^.]{{0,60}}?exten[^.]{{0,400}}?(?:to|until|through)\s+{DATE}|extended[^.]{{0,400}}?(?:to|until|through)\s+{DATE}",
-        "liquidation": r"will\s+not\s+(?:be\s+able\s+to\s+)?(?:consummate|complete)\s+(?:an|its|a)\s+(?:initial\s+)?business\s+combination|redeem\s+all\s+(?:of\s+)?(?:the\s+|its\s+)?outstanding|dissol\w+\s+and\s+liquidat\w*|wind[\s-]up",
-        "redeemed_on": rf"(?:be|been|were|was)\s+redeemed\s+(?:on|as\s+of)\s+(?:or\s+about\s+)?(?:\w+day,\s+)?{DATE}", "dated": rf"(?:on\s+or\s+about|as\s+of|on|effective)\s+(?:\w+day,\s+)?{DATE}",
-        "liquidation_amount": rf"per[- ]share\s+(?:redemption|liquidation)\s+(?:price|amount)[^$]{{0,120}}?{MONEY}",
-        "paid": rf"{MONEY}\s*(?:per|for\s+each)", "paid_word": r"redeemed|redemption\s+(?:price|amount|payment)|conversion\s+amount|right\s+to\s+redeem",
-        "expected": r"will\s+be\s+approximately|would\s+be|anticipate\w*|expect\w*|estimate\w*", "other": NOT_REDEMPTION,
-        "total": r"([\d,]+\s+(?:\w+\s+){0,4}?shares[^.]{0,250}?(?:redeem|redemption|tendered)[^.]{0,250}?\$\s?[\d,]+(?:\.\d+)?(?:\s*million)?)",
-    }, ident, text).join(docs.select(ident, F.col(filed).cast("date").alias("_filed")).dropDuplicates([ident]), ident)
-    near = found.withColumns({"_paid": beside("paid_word", 160, 0, ident), "_expected": beside("expected", 60, 0, ident), "_other": beside("other", 120, 30, ident), "_over": beside("liquidation", 1500, 1500, ident)})
-    d = near.withColumn("_day", F.when(F.col("kind").isin("postponed", "extended", "redeemed_on", "dated"), day(F.col("value")))).withColumn("_v", F.col("value").try_cast("double"))
-    on = F.col("_day")
+    own = {
+        "postponed": (rf"(?:postpone|adjourn|reschedul|reconven)\w*[^.]{{0,300}}?(?:to|until|on|for)\s+(?:\w+day,\s+)?{DATE}", "post|adjo|resc|reco"),
+        "extended": (rf"(?:approved|extended|elected\s+to\s+extend)[^.]{{0,60}}?exten[^.]{{0,400}}?(?:to|until|through)\s+{DATE}|extended[^.]{{0,400}}?(?:to|until|through)\s+{DATE}", "appr|exte|elec"),
+        "liquidation": (r"will\s+not\s+(?:be\s+able\s+to\s+)?(?:consummate|complete)\s+(?:an|its|a)\s+(?:initial\s+)?business\s+combination|redeem\s+all\s+(?:of\s+)?(?:the\s+|its\s+)?outstanding|dissol\w+\s+and\s+liquidat\w*|wind[\s-]up", "will|rede|diss|wind"),
+        "redeemed_on": (rf"(?:be|been|were|was)\s+redeemed\s+(?:on|as\s+of)\s+(?:or\s+about\s+)?(?:\w+day,\s+)?{DATE}", "be r|been|were|was "), "dated": (rf"(?:on\s+or\s+about|as\s+of|on|effective)\s+(?:\w+day,\s+)?{DATE}", "on |as o|effe"),
+        "liquidation_amount": (rf"per[- ]share\s+(?:redemption|liquidation)\s+(?:price|amount)[^$]{{0,120}}?{MONEY}", "per |per-"),
+        "paid": (rf"{MONEY}\s*(?:per|for\s+each)", MONEY_BEGINS), "paid_word": (r"redeemed|redemption\s+(?:price|amount|payment)|conversion\s+amount|right\s+to\s+redeem", "rede|conv|righ"),
+        "expected": (r"will\s+be\s+approximately|would\s+be|anticipate\w*|expect\w*|estimate\w*", "will|woul|anti|expe|esti"), "other": _STATED["other"],
+        "total": (r"([\d,]+\s+(?:\w+\s+){0,4}?shares[^.]{0,250}?(?:redeem|redemption|tendered)[^.]{0,250}?\$\s?[\d,]+(?:\.\d+)?(?:\s*million)?)", "#|,"),
+    }
+    near = {"_paid": ("paid_word", 160, 0), "_expected": ("expected", 60, 0), "_other": ("other", 120, 30), "_over": ("liquidation", 1500, 1500)} | _stated_near(300)
+    # the stated amounts are found in the same reading of the texts
+    found = located(docs.withColumn("_filed", F.col(filed).cast("date")), own | _STATED, ident, text, near, kinds=[k for k in own | _STATED if k != "word"], more=["_filed"], days=["postponed", "extended", "redeemed_on", "dated"])
+    d = _with_amounts(found, 5.0, 12.5, ["liquidation_amount", "paid"])
+    on = F.col("day")
 
     def of(kind: str, rule: Column, value: Column) -> Column:
         return F.when((F.col("kind") == kind) & rule, value)
@@ -314,14 +359,16 @@ def event_updates(docs: DataFrame, ident: str = "doc_id", text: str = "text", fi
     shares = F.regexp_replace(F.regexp_extract("value", r"^([\d,]+)", 1), ",", "").try_cast("double")
     dollars = F.regexp_replace(F.regexp_extract("value", r"\$\s?([\d,]+(?:\.\d+)?)", 1), ",", "").try_cast("double") * F.when(F.col("value").rlike("(?i)million$"), 1e6).otherwise(1.0)
     each = F.when(shares > 0, dollars / shares)
-    g = d.groupBy(ident).agg(
+    amount, paid, whole = F.col("_v").between(5, 12.5), F.col("_v").between(5, 12.5) & F.col("_paid") & ~F.col("_expected") & ~F.col("_other"), each.between(5, 12.5)
+    firsts = {"_amount": ("liquidation_amount", amount, F.col("_v")), "_per": ("paid", paid, F.col("_v")), "_whole": ("total", whole, F.round(each, 4))}
+    # once for each stated amount of a document and once for all else, then once a document
+    c = d.groupBy(ident, "_use", F.when(F.col("_use").isNotNull(), F.col("_v")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("start").alias("_place"), F.max(F.col("kind").isin(*own)).alias("_own"),
         F.max(of("postponed", (on > F.col("_filed")) & (on <= F.date_add("_filed", 120)), on)).alias("postponed_to"), F.max(of("extended", on > F.col("_filed"), on)).alias("extended_to"),
         F.max(F.col("kind") == "liquidation").alias("liquidation"), F.max(of("redeemed_on", on >= F.col("_filed"), on)).alias("_redeemed"), F.min(of("dated", (on >= F.col("_filed")) & F.col("_over"), on)).alias("_dated"),
-        F.min_by(of("liquidation_amount", F.col("_v").between(5, 12.5), F.col("_v")), of("liquidation_amount", F.col("_v").between(5, 12.5), F.col("start"))).alias("_amount"),
-        F.min_by("_v", of("paid", F.col("_v").between(5, 12.5) & F.col("_paid") & ~F.col("_expected") & ~F.col("_other"), F.col("start"))).alias("_per"),
-        F.min_by(F.round(each, 4), of("total", each.between(5, 12.5), F.col("start"))).alias("_whole"),
+        *(F.min_by(value, of(kind, rule, F.col("start"))).alias(name) for name, (kind, rule, value) in firsts.items()), *(F.min(of(kind, rule, F.col("start"))).alias(f"{name}_at") for name, (kind, rule, _) in firsts.items()),
     )
-    g = g.join(redemption_amounts(docs, ident, text, before=300), ident, "left")
+    g = c.groupBy(ident).agg(*(F.max(n).alias(n) for n in ("_own", "postponed_to", "extended_to", "liquidation", "_redeemed")), F.min("_dated").alias("_dated"), *(F.min_by(n, f"{n}_at").alias(n) for n in firsts), _stated()).where("_own")
     gone = F.col("liquidation")
     return g.select(ident, "postponed_to", "extended_to", gone, F.when(gone, F.coalesce("_redeemed", "_dated")).alias("liquidation_date"), F.when(gone, F.col("_amount")).alias("liquidation_amount"), F.coalesce("_per", "stated_amount", "_whole").alias("per_share"))
 
@@ -337,11 +384,10 @@ def offer_details(docs: DataFrame, ident: str = "doc_id", text: str = "text", fi
         "only": (r"held\s+by\s+(?:holders|stockholders|shareholders)\s+of\s+(?:\d{2,3}|ninety-nine)\s+or\s+fewer|odd[\s-]*lot\s+tender\s+offer", "held|odd"),
         "notes": (r"\bnotes?\b|debenture|\bbonds?\b", "note|debe|bond"), "options": (r"\boptions?\b", "opti"), "warrants": (r"warrants?", "warr"), "preferred": (r"preferred|preference", "pref"), "units": (r"\bunits\b", "unit"), "rights": (r"\brights\b", "righ"),
         "common": (r"common|ordinary|shares|stock|beneficial\s+interest", "comm|ordi|shar|stoc|bene"), "title": (r"offer\s+to\s+(?:purchase|exchange)", "offe"),
-    }, ident, text, {"_expires": ("expires", 250, 0), "_odd": ("odd", 1500, 0), "_close": ("odd", 200, 120), "_titled": ("title", 600, 0)}, kinds=["day", "fewer", "first", "only", *kinds], more=["_filed"])
-    d = found.withColumn("_day", F.when((F.col("kind") == "day") & F.col("_expires"), day(F.col("value"))))
+    }, ident, text, {"_expires": ("expires", 250, 0), "_odd": ("odd", 1500, 0), "_close": ("odd", 200, 120), "_titled": ("title", 600, 0)}, more=["_filed"], days=["day"])
     threshold = F.when(F.lower("value").contains("hundred"), 100).otherwise(F.col("value").try_cast("int"))
-    g = d.groupBy(ident).agg(
-        F.min_by("_day", F.when((F.col("kind") == "day") & F.col("_expires") & (F.col("_day") >= F.col("_filed")), F.col("start"))).alias("expires"),
+    g = found.groupBy(ident).agg(
+        F.min_by("day", F.when((F.col("kind") == "day") & F.col("_expires") & (F.col("day") >= F.col("_filed")), F.col("start"))).alias("expires"),
         F.min_by(threshold, F.when((F.col("kind") == "fewer") & F.col("_odd"), F.col("start"))).alias("odd_lot"),
         F.coalesce(F.max((F.col("kind") == "first") & F.col("_close")), F.lit(False)).alias("_first"), F.max(F.col("kind") == "only").alias("odd_lot_only"),
         *(F.max((F.col("kind") == k) & F.col("_titled")).alias(f"_{k}") for k in kinds),
